@@ -153,23 +153,25 @@ def java(pattern: str) -> str:
     return "(?dU)" + pattern
 
 
-def _test(rule: Rule, text: Column) -> Column:
-    cond = None
+def sql(text: str) -> str:
+    """A SQL string literal. Long chains are built as one SQL text: one call instead of hundreds."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _test(rule: Rule, text: str) -> str:
+    parts = []
     if rule.starts:
-        cond = text.startswith(rule.starts)
+        parts.append(f"startswith({text}, {sql(rule.starts)})")
     if rule.has:
-        cond = text.contains(rule.has)
+        parts.append(f"contains({text}, {sql(rule.has)})")
     if rule.pattern:
-        match = text.rlike(java(rule.pattern))
-        cond = match if cond is None else cond & match
-    return cond
+        parts.append(f"{text} RLIKE {sql(java(rule.pattern))}")
+    return " AND ".join(parts)
 
 
-def _first(rules: list[Rule], base: int, text: Column) -> Column:
-    out = None
-    for i, rule in enumerate(rules):
-        out = F.when(_test(rule, text), F.lit(base + i)) if out is None else out.when(_test(rule, text), F.lit(base + i))
-    return out
+def _first(rules: list[Rule], base: int, text: str) -> Column:
+    whens = " ".join(f"WHEN {_test(r, text)} THEN {base + i}" for i, r in enumerate(rules))
+    return F.expr(f"CASE {whens} END")
 
 
 def phrase_table(phrases: dict[str, tuple[int, int | None]], which: int) -> Column:
@@ -194,7 +196,7 @@ def classify(df: DataFrame, message: str = "message", trainer_messages: DataFram
     out = df.withColumn("_m", S.ltrim_all(message))
     out = out.withColumn("_sys", m.startswith("¥") | m.startswith("•"))
     out = out.withColumn("_body", F.when(F.col("_sys"), S.trim_all(F.substring(m, 2, 1_000_000_000))))
-    out = out.withColumn("_r1", F.when(m == "", F.lit(NOTHING)).otherwise(_first(SPOKEN, 100, m)))
+    out = out.withColumn("_r1", F.when(m == "", F.lit(NOTHING)).otherwise(_first(SPOKEN, 100, "_m")))
 
     greet_phrase = F.regexp_extract(m, java(GREETING), 3)
     first_sentence = F.concat(F.substring_index(greet_phrase, ". ", 1), F.lit("."))
@@ -212,27 +214,26 @@ def classify(df: DataFrame, message: str = "message", trainer_messages: DataFram
         .when(m.contains(" says") & m.rlike(java(NPC_SPEECH)) & spoken.isin(known), UNHAILED),
     ))
     out = out.withColumn("_r3", F.coalesce(
-        F.col("_r2"), F.when(F.col("_sys"), F.coalesce(_first(SYSTEM, 200, body), F.lit(SYSTEM_OTHER))),
-        _first(CHATTER, 300, m)))
-    out = out.withColumn("_r4", F.coalesce(F.col("_r3"), _first(LIFE, 400, m)))
-    out = out.withColumn("_rule", F.coalesce(F.col("_r4"), _first(THINGS, 500, m), F.lit(NOTHING)))
+        F.col("_r2"), F.when(F.col("_sys"), F.coalesce(_first(SYSTEM, 200, "_body"), F.lit(SYSTEM_OTHER))),
+        _first(CHATTER, 300, "_m")))
+    out = out.withColumn("_r4", F.coalesce(F.col("_r3"), _first(LIFE, 400, "_m")))
+    out = out.withColumn("_rule", F.coalesce(F.col("_r4"), _first(THINGS, 500, "_m"), F.lit(NOTHING)))
     out = _trainer_of_message(out, trainer_messages)
     rule = F.col("_rule")
 
     def capture(column: str) -> Column:
-        whens = None
+        whens = []
         for name, (rules, base) in GROUPS.items():
-            text = body if name == "system" else m
+            text = "_body" if name == "system" else "_m"
             for i, r in enumerate(rules):
                 if column in r.captures:
-                    value = F.regexp_extract(text, java(r.pattern), r.captures[column])
+                    value = f"regexp_extract({text}, {sql(java(r.pattern))}, {r.captures[column]})"
                 elif column in r.constants and not isinstance(r.constants[column], bool):
-                    value = F.lit(r.constants[column])
+                    value = sql(r.constants[column])
                 else:
                     continue
-                cond = rule == base + i
-                whens = F.when(cond, value) if whens is None else whens.when(cond, value)
-        return whens if whens is not None else F.lit(None).cast("string")
+                whens.append(f"WHEN {base + i} THEN {value}")
+        return F.expr(f"CASE _rule {' '.join(whens)} END") if whens else F.lit(None).cast("string")
 
     greeted = rule.isin(CHECKPOINT, UNKNOWN_CHECKPOINT)
     fields = {c: capture(c) for c in EVENT_FIELDS if c not in ("rank_min", "rank_max", "flag")}
@@ -271,17 +272,14 @@ def classify(df: DataFrame, message: str = "message", trainer_messages: DataFram
     phrase = F.when(rule == UNHAILED, spoken).when(rule == CHECKPOINT, F.col("_phrase"))
     fields["rank_min"] = phrase_table(phrases, 0)[phrase]
     fields["rank_max"] = phrase_table(phrases, 1)[phrase]
-    flag = None
+    flags = []
     for rules, base in GROUPS.values():
         for i, r in enumerate(rules):
-            if isinstance(r.constants.get("flag"), bool):
-                value = F.lit(r.constants["flag"])
+            if "flag" in r.constants:
+                flags.append(f"WHEN {base + i} THEN {str(r.constants['flag']).lower()}")
             elif "flag" in r.captures:
-                value = F.regexp_extract(m, java(r.pattern), r.captures["flag"]) == "good"
-            else:
-                continue
-            flag = F.when(rule == base + i, value) if flag is None else flag.when(rule == base + i, value)
-    fields["flag"] = flag
+                flags.append(f"WHEN {base + i} THEN regexp_extract(_m, {sql(java(r.pattern))}, {r.captures['flag']}) = 'good'")
+    fields["flag"] = F.expr(f"CASE _rule {' '.join(flags)} END")
 
     by_kind: dict[str, list[int]] = {}
     for rules, base in GROUPS.values():

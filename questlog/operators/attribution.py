@@ -6,22 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from questlog.functions import scalars as S
-from questlog.functions.grammar import WELCOME_BACK, WELCOME_LOGIN, java
 from questlog.operators.scan import FILE_BLOCKS, prefix_scan
-
-
-def welcome_login(message: Column | str) -> Column:
-    m = S.col(message)
-    return F.when(m.startswith("Welcome ") & m.rlike(java(WELCOME_LOGIN)),
-                  S.titlecase_name(F.regexp_extract(m, java(WELCOME_LOGIN), 1)))
-
-
-def welcome(message: Column | str) -> Column:
-    """Name on a welcome line (login or return), title-cased; NULL on other lines."""
-    m = S.col(message)
-    back = F.when(m.startswith("Welcome ") & m.rlike(java(WELCOME_BACK)),
-                  S.titlecase_name(F.regexp_extract(m, java(WELCOME_BACK), 1)))
-    return F.coalesce(welcome_login(m), back)
+from questlog.sources.logs import welcome_back, welcome_login
 
 
 def folder_character(parsed: DataFrame, per_file: bool = False) -> DataFrame:
@@ -30,7 +16,7 @@ def folder_character(parsed: DataFrame, per_file: bool = False) -> DataFrame:
     With per_file=True (explicit file lists) the unit is the file, and the fallback the title-cased folder.
     """
     unit = ["root_no", "folder", "path"] if per_file else ["root_no", "folder"]
-    name = welcome("message")
+    name = F.col("welcome")
     fallback = S.titlecase_name("folder") if per_file else F.col("folder")
     found = parsed.filter(~F.col("loose")).groupBy(*unit).agg(
         F.min_by(name, F.when(name.isNotNull(), F.struct("path", "line_no"))).alias("_welcome"))
@@ -55,7 +41,7 @@ def attribute(parsed: DataFrame, folders: DataFrame | None = None, keep_unknown:
     """
     folders = folder_character(parsed) if folders is None else folders
     scanned = prefix_scan(parsed, ["path"], ["line_no"],
-                          {"_last_ts": ("last", F.col("ts")), "_active": ("last", welcome("message"))}, FILE_BLOCKS)
+                          {"_last_ts": ("last", F.col("ts")), "_active": ("last", F.col("welcome"))}, FILE_BLOCKS)
     unit = [c for c in folders.columns if c != "folder_character"]
     out = _filled(scanned).join(folders, unit, "left")
     out = out.withColumn("folder_character", F.when(~F.col("loose"), F.col("folder_character")))
@@ -65,23 +51,27 @@ def attribute(parsed: DataFrame, folders: DataFrame | None = None, keep_unknown:
 
 def undetermined_files(parsed: DataFrame) -> DataFrame:
     """Loose files without any welcome line: nobody to attribute them to."""
-    return (parsed.filter("loose").groupBy("path").agg(F.count(welcome("message")).alias("_n"))
+    return (parsed.filter("loose").groupBy("path").agg(F.count("welcome").alias("_n"))
             .filter("_n = 0").select("path"))
 
 
+def _welcomed() -> Column:
+    """The start-date rule looks at the trimmed line; switching the character looks at the line as it is."""
+    m = S.ltrim_all("message")
+    return F.coalesce(welcome_login(m), welcome_back(m)).isNotNull()
+
+
 def _per_file(attributed: DataFrame) -> DataFrame:
     """One row per file with a folder character: does it have a login, any welcome, and its first date."""
     seen = attributed.filter(F.col("folder_character").isNotNull())
-    # the start-date rule looks at the classified (trimmed) line, the login rule at the raw message
-    any_welcome = welcome(S.ltrim_all("message"))
     return seen.groupBy("path", "folder_character").agg(
-        F.count(welcome_login("message")).alias("logins"), F.count(any_welcome).alias("welcomes"),
+        F.count("login").alias("logins"), F.count_if(_welcomed()).alias("welcomes"),
         F.min_by("date", F.when(F.col("date") != "", F.col("line_no"))).alias("first_date"))
 
 
 def logins(attributed: DataFrame) -> DataFrame:
     """One per login line, plus one for the folder character of every file without a login line."""
-    own = attributed.filter(welcome_login("message").isNotNull()).groupBy("character").agg(F.count("*").alias("n"))
+    own = attributed.filter("login is not null").groupBy("character").agg(F.count("*").alias("n"))
     fallback = _per_file(attributed).filter("logins = 0").groupBy(F.col("folder_character").alias("character")).agg(
         F.count("*").alias("n"))
     return own.unionByName(fallback).groupBy("character").agg(F.sum("n").alias("logins"))
@@ -89,7 +79,7 @@ def logins(attributed: DataFrame) -> DataFrame:
 
 def start_dates(attributed: DataFrame) -> DataFrame:
     """Earliest dated welcome; a file without a welcome counts with its first date for its folder character."""
-    own = attributed.filter(welcome(S.ltrim_all("message")).isNotNull() & (F.col("date") != "")).select("character", "date")
+    own = attributed.filter(_welcomed() & (F.col("date") != "")).select("character", "date")
     fallback = _per_file(attributed).filter("welcomes = 0 and first_date is not null").select(
         F.col("folder_character").alias("character"), F.col("first_date").alias("date"))
     return own.unionByName(fallback).groupBy("character").agg(F.min("date").alias("start_date"))

@@ -14,6 +14,7 @@ from questlog.functions import scalars as S
 from questlog.functions.grammar import VERBS
 from questlog.operators.scan import SEQ_BLOCKS, prefix_scan, seq
 from questlog.operators.sequences import about_self, gate_studies
+from questlog.session import materialise
 
 SOLO = {v: f"{v}_count" for v in VERBS}
 ASSISTED = {"killed": "assisted_kill_count", "slaughtered": "assisted_slaughter_count",
@@ -195,7 +196,7 @@ def _popped(events: DataFrame, rows: DataFrame) -> DataFrame:
                 for _ in range(min(n, len(open_rows))):
                     out.append(open_rows.popitem()[0])
         return pd.DataFrame({"character": [pdf["character"].iloc[0]] * len(out), "creature": [c for c, _ in out],
-                             "lasty_type": [t for _, t in out]})
+                             "lasty_type": [t for _, t in out]}, dtype=object)
 
     return steps.groupBy("character").applyInPandas(pass_over, "character string, creature string, lasty_type string")
 
@@ -205,7 +206,7 @@ def lastys(events: DataFrame, reflected: DataFrame | None = None) -> DataFrame:
 
     `reflected(character, lasty_type, creature, date)` are the lists applied after the scan; they come last.
     """
-    studied = _studied(events)
+    studied = materialise(_studied(events))
     touched = studied.filter(F.col("kind").isin(_TOUCHES))
     fin = F.col("kind") == "LastyFinished"
     place = F.struct("root_no", "loose", "folder", "path", "line_no", "path_head", "line_block")
@@ -215,6 +216,7 @@ def lastys(events: DataFrame, reflected: DataFrame | None = None) -> DataFrame:
         F.max(fin).alias("finished"), F.max_by("date", F.when(fin, F.col("_at"))).alias("completed"),
         F.min("_at").alias("_since"), F.min_by(place, "_at").alias("_new"),
         F.min_by(place, F.when(fin, F.col("_at"))).alias("_fin"))
+    rows = materialise(rows)
     popped = _popped(events, rows).withColumn("_popped", F.lit(True))
     # abandoning marks the rows that exist; beginning any type of the creature clears all of them
     control = studied.filter(F.col("kind").isin("StudyAbandon", "LastyBeginStudy")).groupBy("character", "creature").agg(

@@ -7,6 +7,8 @@ grammar) from `events`; the other adapters shape `lineitem`, `orders`, `part`, `
 
 from __future__ import annotations
 
+from functools import cache
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +16,7 @@ from questlog.functions import catalogs
 from questlog.functions.grammar import EVENT_FIELDS, classify
 from questlog.operators.attribution import attribute
 from questlog.operators.scan import line_block, path_head
+from questlog.session import materialise
 from questlog.sources.logs import parse_lines
 
 PHRASES = list(catalogs.CHECKPOINT_PHRASES)
@@ -48,17 +51,20 @@ def pick(names: list[str], index: Column) -> Column:
     return F.element_at(F.array(*[F.lit(n) for n in names]), (index + 1).cast("int"))
 
 
+@cache  # the plan, not the data
 def trainer_meta(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(
         [(n, p, m, c) for n, p, m, c in TRAINERS],
         "trainer string, profession string, multiplier double, combo_components array<string>")
 
 
+@cache  # the plan, not the data
 def trainer_messages(spark: SparkSession) -> DataFrame:
     rows = [(f"You feel the lessons of {n}" + ("." if i % 2 == 0 else ""), n) for i, n in enumerate(TRAINER_NAMES[:10])]
     return spark.createDataFrame(rows, "message string, trainer string")
 
 
+@cache  # the plan, not the data
 def overrides(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rank overrides keyed on character and trainer, derived from `events`' users."""
     u = table(spark, sf_dir, "events").select("user_id").distinct().withColumn("character", F.concat(F.lit("Hero"), "user_id"))
@@ -187,6 +193,7 @@ def _stamp() -> Column:
             .otherwise(F.concat(date, F.lit(" "), half_day, F.lit(" "))))
 
 
+@cache  # the plan, not the data
 def render_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(root_no, loose, folder, path, line_no, content): one file per user and week; every tenth user is loose."""
     ev = _kx(table(spark, sf_dir, "events"))
@@ -205,16 +212,24 @@ def render_log(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.concat("_stamp", "_message").alias("content"))
 
 
+@cache  # the plan, not the data
 def parsed_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parse_lines(render_log(spark, sf_dir))
 
 
+@cache  # the plan, not the data
 def attributed_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return attribute(parsed_log(spark, sf_dir))
 
 
+@cache  # written once per session: the event table is what all rollups read
 def log_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return classify(attributed_log(spark, sf_dir), "message", trainer_messages(spark))
+    return materialise(ingest_log(spark, sf_dir))
+
+
+def ingest_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Render, parse, attribute and classify, from the tables to events."""
+    return classify(attribute(materialise(parse_lines(render_log(spark, sf_dir)))), "message", trainer_messages(spark))
 
 
 # --- event-shaped facts ------------------------------------------------------------------------------------
@@ -228,6 +243,7 @@ def as_events(df: DataFrame) -> DataFrame:
     return out.withColumn("path_head", path_head()).withColumn("line_block", line_block())
 
 
+@cache  # written once per session
 def kill_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M2: every line item is a kill (or a death) of its customer's group of 30 by part type and brand."""
     li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber", "l_returnflag", "l_linestatus", "l_shipdate")
@@ -245,6 +261,7 @@ def kill_events(spark: SparkSession, sf_dir: str) -> DataFrame:
                               (F.col("l_orderkey") * 8 + n).alias("line_no")))
 
 
+@cache  # the plan, not the data
 def kill_bestiary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bestiary of M2's creatures: value 20 x the largest size, family from the type, rarity text from the size."""
     p = table(spark, sf_dir, "part").groupBy("p_type", "p_brand").agg(F.max("p_size").alias("s"))
@@ -262,6 +279,7 @@ def _rarity(index: Column) -> Column:
     return pick(RARITIES, index % len(RARITIES))
 
 
+@cache  # written once per session
 def rank_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M4: every order is a rank line or an apply-learning line of its customer's group of 30."""
     o = table(spark, sf_dir, "orders")
@@ -274,6 +292,7 @@ def rank_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit(" 12:00:00")).alias("date"), F.col("o_orderkey").alias("line_no")))
 
 
+@cache  # written once per session
 def study_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M5: events as study lines on 50 creatures of the bestiary."""
     ev = _kx(table(spark, sf_dir, "events")).withColumn("b", F.col("k") % 50)
@@ -288,6 +307,7 @@ def study_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.date_trunc("second", "ts").cast("timestamp_ntz").cast("string").alias("date"), F.col("event_id").alias("line_no")))
 
 
+@cache  # the plan, not the data
 def bestiary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M8: parts as creatures."""
     p = table(spark, sf_dir, "part")
@@ -299,6 +319,7 @@ def bestiary(spark: SparkSession, sf_dir: str) -> DataFrame:
                     (key % 79).cast("bigint").alias("health"), (key % 7).cast("double").alias("frames_per_swing"))
 
 
+@cache  # the plan, not the data
 def aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Aliases of M8: pointers for every 25th part (some to a missing entry, some twice), inline entries for others."""
     key = F.col("p_partkey")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -37,7 +38,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return target
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: survives the loss of executors, unlike a local one."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+def materialise(df: DataFrame) -> DataFrame:
+    """Write `df` as Parquet to the shared checkpoint folder and read it back.
+
+    Used where a result is read several times. Unlike a cache it survives the loss of executors, and unlike
+    a checkpointed RDD later readers still get column pruning, filter pushdown and size statistics.
+    """
+    spark = df.sparkSession
+    target = f"{ensure_checkpoint_dir(spark).rstrip('/')}/questlog-{uuid.uuid4().hex}"
+    df.write.parquet(target)
+    return spark.read.schema(df.schema).parquet(target)

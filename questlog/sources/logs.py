@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from questlog.functions import scalars as S
+from questlog.functions.grammar import WELCOME_BACK, WELCOME_LOGIN, java
 from questlog.operators.scan import line_block, path_head, prefix_scan
 
 LOG_GLOB = "CL Log *"
@@ -124,14 +125,32 @@ def read_log_lines(spark: SparkSession, base: str, recursive: bool = True) -> Da
     return lines.join(located, "path")
 
 
+def welcome_login(message: Column | str) -> Column:
+    """Name on a login line, title-cased; NULL on other lines."""
+    return _welcome(S.col(message), WELCOME_LOGIN)
+
+
+def welcome_back(message: Column | str) -> Column:
+    return _welcome(S.col(message), WELCOME_BACK)
+
+
+def _welcome(m: Column, pattern: str) -> Column:
+    return F.when(m.startswith("Welcome ") & m.rlike(java(pattern)), S.titlecase_name(F.regexp_extract(m, java(pattern), 1)))
+
+
 def parse_lines(lines: DataFrame) -> DataFrame:
-    """Timestamps and scan blocks: adds `ts` (own, text), `message`, `file_ts`, `path_head`, `line_block`."""
+    """Adds `ts` (own, text), `message`, `welcome`, `login`, `file_ts`, `path_head`, `line_block`.
+
+    All text work of attribution happens here, once; written as a table, the later scans read narrow columns.
+    """
     parsed = S.parse_line_ts("content")
     return (
         lines.withColumn("_p", parsed)
         .withColumn("ts", F.col("_p.ts").cast("string"))
         .withColumn("message", F.col("_p.message"))
         .drop("_p")
+        .withColumn("login", welcome_login("message"))
+        .withColumn("welcome", F.coalesce("login", welcome_back("message")))
         .withColumn("file_ts", S.filename_date(_name(F.col("path"))))
         .withColumn("path_head", path_head())
         .withColumn("line_block", line_block())
