@@ -260,9 +260,9 @@ def scan_report(parsed: DataFrame, events: DataFrame, gated: DataFrame, confirme
     lines = parsed.groupBy("path").agg(F.count("*").alias("n"), F.max("loose").alias("loose"), F.min("undetermined").alias("undetermined")).agg(
         F.count_if(~F.col("undetermined")).alias("files_scanned"), F.count_if("undetermined").alias("files_skipped"),
         F.sum(F.when(~F.col("undetermined"), F.col("n"))).alias("lines_parsed"))
-    one = plain.crossJoin(ranks).crossJoin(bows).crossJoin(progress).crossJoin(lines)  # one row each
-    return one.select("characters", "files_scanned", "files_skipped", "lines_parsed",
-                      F.expr("e1 + e2 + e3 + e4").alias("events_found"))
+    counted = F.col("e1") + ranks.scalar() + bows.scalar() + progress.scalar()
+    files = {c: lines.select(c).scalar() for c in ("files_scanned", "files_skipped", "lines_parsed")}
+    return plain.select("characters", *[v.alias(c) for c, v in files.items()], counted.alias("events_found"))
 
 
 def process_log(df: DataFrame, level: str | None = None, limit: int | None = 200) -> DataFrame:
