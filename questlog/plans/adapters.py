@@ -267,8 +267,9 @@ def kill_bestiary(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part").groupBy("p_type", "p_brand").agg(F.max("p_size").alias("s"))
     brand = F.regexp_extract("p_brand", "([0-9]+)$", 1).cast("int")
     family = F.when(brand % 10 == 0, F.upper("p_type")).when(brand % 7 == 0, F.lit("Ethereal")).otherwise(F.initcap("p_type"))
-    return p.filter(brand % 11 != 5).select(
-        F.concat_ws(" ", "p_type", "p_brand").alias("name"), family.alias("family"), _rarity(F.col("s") + brand).alias("rarity"),
+    known = F.concat_ws(" ", "p_type", "p_brand")  # every eleventh brand is filed under a name no log uses
+    return p.select(
+        F.when(brand % 11 == 5, F.concat(F.lit("Unseen "), known)).otherwise(known).alias("name"), family.alias("family"), _rarity(F.col("s") + brand).alias("rarity"),
         (F.col("s") * 20).cast("bigint").alias("value"), (brand % 6 == 0).alias("is_seasonal"))
 
 
@@ -321,13 +322,80 @@ def bestiary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @cache  # the plan, not the data
 def aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Aliases of M8: pointers for every 25th part (some to a missing entry, some twice), inline entries for others."""
+    """Aliases of M8: a pointer for every even part, an inline entry for every odd one."""
     key = F.col("p_partkey")
-    p = table(spark, sf_dir, "part").filter(key % 25 == 0)
     name = F.concat_ws(" ", "p_name", "p_partkey")
+    pointer = key % 2 == 0
     inline = F.struct((key * 2).cast("bigint").alias("value"), F.lit("Odd").alias("family"), F.lit("Rare").alias("rarity"))
-    pointers = p.filter(key % 50 == 0).select(F.concat(F.lit("Old "), name).alias("log_name"), name.alias("resolves_to"),
-                                              F.lit(None).cast("struct<value:bigint,family:string,rarity:string>").alias("inline"))
-    inlines = p.filter(key % 50 == 25).select(F.concat(F.lit("Odd "), name).alias("log_name"), F.lit(None).cast("string").alias("resolves_to"),
-                                              inline.alias("inline"))
-    return pointers.unionByName(inlines)
+    return table(spark, sf_dir, "part").select(
+        F.concat(F.when(pointer, F.lit("Old ")).otherwise(F.lit("Odd ")), name).alias("log_name"),
+        F.when(pointer, name).alias("resolves_to"), F.when(~pointer, inline).alias("inline"))
+
+
+# --- characters, trainers with overrides, files, lines ------------------------------------------------------
+
+def _group(key: Column | str) -> Column:
+    return F.floor(F.col(key) / 30) if isinstance(key, str) else F.floor(key / 30)
+
+
+@cache  # the plan, not the data
+def people(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Characters: groups of 30 customers; the group's number decides what it is merged into."""
+    c = table(spark, sf_dir, "customer").withColumn("n", _group("c_custkey"))
+    g = c.groupBy("n").agg(
+        F.sum(F.col("c_nationkey") % 3).alias("logins"), F.sum("c_nationkey").alias("deaths"), F.count("*").alias("departs"),
+        F.sum(F.floor(F.col("c_acctbal"))).alias("coins_picked_up"), F.max("c_name").alias("start_date"))
+    hero = lambda n: F.concat(F.lit("Hero"), n.cast("string"))
+    n = F.col("n")
+    into = F.when(n % 10 == 1, hero(n - 1)).when(n % 10 == 3, hero(n - 2))
+    return g.select(hero(n).alias("character"), into.alias("merged_into"), "logins", "deaths", "departs", "coins_picked_up", "start_date",
+                    pick(["Unknown", "Ranger", "Fighter", "Healer"], n % 4).alias("profession"))
+
+
+@cache  # the plan, not the data
+def rank_overrides(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.regexp_extract("character", "([0-9]+)$", 1).cast("bigint")
+    p = people(spark, sf_dir).select("character", n.alias("n"))
+    row = lambda when, trainer, mode, date, mod: p.filter(when).select(
+        "character", F.lit(trainer).alias("trainer"), F.lit(mode).alias("rank_mode"), F.lit(date).cast("string").alias("override_date"),
+        mod.cast("bigint").alias("modified_ranks"))
+    return row("n % 7 = 0", "Atkus", "override", None, F.col("n") + 1).unionByName(
+        row("n % 5 = 0", "Regia", "override_until_date", "1/1/99", F.lit(3))).unionByName(
+        row("n % 3 = 0", "Zeno", "modifier", None, F.lit(2)))
+
+
+@cache  # the plan, not the data
+def trainer_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.regexp_extract("character", "([0-9]+)$", 1).cast("bigint")
+    return people(spark, sf_dir).filter(n % 4 == 0).select("character", F.lit("Evus").alias("trainer"), F.concat(F.lit("note "), "character").alias("notes"))
+
+
+def lines_of_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M3: one file per conversation, one line per turn; the role is the character."""
+    c = table(spark, sf_dir, "conversations")
+    return c.select(F.lpad(F.col("conv_id").cast("string"), 12, "0").alias("path"), F.col("turn").alias("line_no"), F.col("text").alias("content"),
+                    F.col("role").alias("character"), F.lit("").alias("date"))
+
+
+def item_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M6: documents as (item, path, line): the source is the item, each document a file."""
+    d = table(spark, sf_dir, "documents")
+    return d.select(F.col("source").alias("item"), F.col("doc_id").cast("string").alias("path"), F.explode(F.split("text", "\n")).alias("line")).filter("line <> ''")
+
+
+def text_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M7: documents as files of UTF-8 bytes."""
+    d = table(spark, sf_dir, "documents")
+    return d.select("doc_id", F.col("doc_id").cast("string").alias("path"), F.encode("text", "UTF-8").alias("content")).withColumn(
+        "length", F.octet_length("content").cast("bigint"))
+
+
+def text_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The state of an earlier scan by doc_id: never seen, the same, a prefix, a changed prefix, or a legacy row."""
+    f = text_files(spark, sf_dir).filter("doc_id % 5 <> 0")
+    i = F.col("doc_id") % 5
+    half = F.floor(F.col("length") / 2)
+    prefix = F.substring(F.col("content"), F.lit(1), half.cast("int"))
+    hash_ = F.when(i == 1, F.sha2("content", 256)).when(i == 2, F.sha2(prefix, 256)).otherwise(F.sha2(F.concat(prefix, F.lit("x").cast("binary")), 256))
+    length = F.when(i == 1, F.col("length")).when(i.isin(2, 3), half).otherwise(0)
+    return f.select("path", hash_.alias("content_hash"), length.cast("bigint").alias("byte_len"), F.lit("2024-01-01 00:00:00").alias("date_read"))
