@@ -34,10 +34,13 @@ def rank_cost(trainer: Column, unknown_cost: int = UNKNOWN_RANK_COST) -> Column:
 
 
 def linear_forms(unknown_cost: int = UNKNOWN_RANK_COST) -> list[Column]:
-    """Aggregates over (trainer, total, multiplier): the ten linear forms, ranks, and slaughter points."""
+    """Aggregates over (trainer, total, multiplier): the ten linear forms, ranks, and slaughter points.
+
+    Multipliers are summed as decimals, so the result does not depend on the order of the rows.
+    """
     name, n = formula_name(F.col("trainer")), F.col("total")
     return [F.sum(n * coefficient(name, s)).alias(s) for s in STATS] + [
-        F.sum(n).alias("trained_ranks"), F.sum(n * F.col("multiplier")).alias("_effective"),
+        F.sum(n).alias("trained_ranks"), F.sum(n * F.col("multiplier").cast("decimal(12,6)")).alias("_effective"),
         F.sum(n * rank_cost(name, unknown_cost)).alias("_cost")]
 
 
@@ -50,7 +53,7 @@ def derive(df: DataFrame) -> DataFrame:
         F.round(F.lit(628.0 * 50) / F.col("heen")))
     out = base.withColumn("offense", offense)
     return out.withColumns({
-        "effective_ranks": F.round("_effective", 1), "slaughter_points": F.col("_cost") + race_points(),
+        "effective_ranks": (F.round(F.col("_effective") * 10) / 10).cast("double"), "slaughter_points": F.col("_cost") + race_points(),
         "balance_per_swing": F.expr("(5 * greatest(offense, 200)) div 3"), "shieldstone_drain": drain.cast("bigint"),
         "health_per_frame": F.col("health_regen") / 100.0, "balance_per_frame": F.col("balance_regen") / 6.0,
         "spirit_per_frame": F.col("spirit_regen") / 100.0,

@@ -22,7 +22,8 @@ def _or_zero(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def one_decimal(c: Column) -> Column:
-    return F.round(c, 1)
+    """Tenths as the reference counts them: the tenfold is rounded, so 7.65 in binary becomes 7.7."""
+    return F.round(c * 10) / 10
 
 
 def per_entry(df: DataFrame, catalogue: DataFrame) -> DataFrame:
@@ -229,7 +230,7 @@ def summary(characters: DataFrame, kills: DataFrame, trainers: DataFrame, lastys
         kills.filter(RK.total() > 0).groupBy("character").agg(RK.best(RK.total()).alias("b")).select(
             "character", F.col("b.name").alias("most_killed")), "character", "left")
     t = trainers.groupBy("character").agg(
-        F.sum("ranks").alias("ranks"), one_decimal(F.sum(effective_ranks() * F.col("effective_multiplier"))).alias("effective_ranks"),
+        F.sum("ranks").alias("ranks"), one_decimal(F.sum(effective_ranks() * F.col("effective_multiplier").cast("decimal(12,6)"))).cast("double").alias("effective_ranks"),
         F.count("*").alias("trainers"))
     out = characters.join(k, "character", "left").join(t, "character", "left")
     if lastys is not None:

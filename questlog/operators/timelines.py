@@ -62,7 +62,7 @@ def rank_value_timeline(trainers: DataFrame, kill_steps: DataFrame | None = None
     what no date explains is added at the latest one.
     """
     total = F.col("ranks") + F.col("modified_ranks")
-    t = trainers.withColumn("points", total * fighter.rank_cost(F.col("trainer"))).withColumn("_total", total)
+    t = trainers.withColumn("points", total * fighter.rank_cost(fighter.formula_name(F.col("trainer")))).withColumn("_total", total)
     dated = t.filter("date_of_last_rank is not null and _total > 0").withColumn("date", day("date_of_last_rank"))
     per_day = dated.groupBy("character", "date").agg(F.sum("points").alias("points"))
     known = per_day.select("character", "date")
@@ -80,7 +80,7 @@ def rank_value_timeline(trainers: DataFrame, kill_steps: DataFrame | None = None
     w = Window.partitionBy("character").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
     running = F.sum("points").over(w)  # a month start before the first step has no value yet
     return points.withColumn("_run", running).select("character", "date", F.when(
-        F.col("_run").isNotNull(), F.round((F.col("_run") + race_points()) / float(POINTS_PER_VALUE), 1)).alias("rank_value"))
+        F.col("_run").isNotNull(), F.round((F.col("_run") + race_points()) / float(POINTS_PER_VALUE) * 10) / 10).alias("rank_value"))
 
 
 def _origin(month: Column) -> Column:
@@ -119,7 +119,7 @@ def stats_timeline(trainers: DataFrame, trainer_meta: DataFrame) -> DataFrame:
     w = Window.partitionBy("character").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
     run = lambda c: F.sum(c).over(w)
     return points.select("character", "date", run("trained_ranks").alias("trained_ranks"),
-                         F.floor(F.round(run("_effective"), 1) + 0.5).alias("effective_ranks"),
+                         F.floor(F.round(run("_effective") * 10) / 10 + F.lit(0.5).cast("decimal(2,1)")).cast("bigint").alias("effective_ranks"),
                          F.floor((run("_cost") + race_points()) / float(POINTS_PER_VALUE) + 0.5).alias("slaughter_ranks"))
 
 

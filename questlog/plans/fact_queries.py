@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,10 +24,12 @@ from questlog.operators import timelines as TL
 from questlog.operators.scan import seq
 from questlog.plans import adapters as A
 from questlog.plans import log_queries as L
-from questlog.session import materialise
-from questlog.sources import legacy
+from questlog.operators.attribution import folder_character
+from questlog.session import materialise, scratch_path
+from questlog.sources import legacy, sinks
+from questlog.sources.dimensions import read_bestiary_xml
 from questlog.sources.logs import decode_lines as decode
-from questlog.sources.logs import parse_lines
+from questlog.sources.logs import locate, parse_lines
 from questlog.streaming import live
 
 KILL_ORDER = ("line_no", "date")
@@ -452,7 +453,7 @@ def tail_scan(spark, d):
 
 
 def stream_hourly(spark, d):
-    src = tempfile.mkdtemp(prefix="spark-stream-")
+    src = scratch_path(spark)
     A.log_events(spark, d).select("path", "line_no", "character", "creature", "kind", "date").repartition(4).write.mode("overwrite").parquet(src + "/in")
     feed = spark.readStream.schema("path string, line_no bigint, character string, creature string, kind string, date string").parquet(src + "/in")
     out = src + "/out"
@@ -517,6 +518,85 @@ def _imported(spark, d):
     return legacy.import_legacy({"characters": characters, "trainers": trained, "kills": killed}, values, A.trainer_meta(spark))
 
 
+def discover_logs(spark, d):
+    """Paths of a folder tree with one file per user: log roots, loose files, nested and hidden folders."""
+    u = F.col("user_id").cast("string")
+    shape = F.col("user_id") % 6
+    path = (F.when(shape == 0, F.concat(F.lit("/base/a/Hero"), u, F.lit("/CL Log 1"))).when(shape == 1, F.concat(F.lit("/base/a/CL Log "), u))
+            .when(shape == 2, F.concat(F.lit("/base/b/c/Hero"), u, F.lit("/CL Log 1"))).when(shape == 3, F.concat(F.lit("/base/b/c/Hero"), u, F.lit("/deep/CL Log 1")))
+            .when(shape == 4, F.concat(F.lit("/base/b/.hidden/Hero"), u, F.lit("/CL Log 1"))).otherwise(F.concat(F.lit("/base/a/CL_Movies/CL Log "), u)))
+    files = A.table(spark, d, "events").select("user_id").distinct().select(path.alias("path"))
+    return locate(files, "/base/a").unionByName(locate(files, "/base/b")).select("path", "root", "folder", "loose")
+
+
+def bestiary_xml(spark, d):
+    """The bestiary written in the shape of the dump, and read back."""
+    b = A.bestiary(spark, d)
+    names = {"name": "name", "family": "family", "rarity": "rarity", "exp_taxidermy": "value", "framesperswing": "frames_per_swing"}
+    cells = [F.struct(F.col(c).cast("string").alias("_VALUE"), F.lit(n).alias("_name")) for n, c in names.items()]
+    cells += [F.struct(F.when(F.col("attack") > 0, F.col("attack").cast("string")).otherwise(F.lit("NULL")).alias("_VALUE"), F.lit("attack").alias("_name")),
+              F.struct(F.col("is_seasonal").cast("int").cast("string").alias("_VALUE"), F.lit("is_seasonal").alias("_name"))]
+    target = scratch_path(spark)
+    b.select(F.lit("creatures").alias("_name"), F.array(*cells).alias("column")).write.format("xml").option("rowTag", "table").option(
+        "rootTag", "database").save(target)
+    return read_bestiary_xml(spark, target).select("name", "family", "rarity", F.col("value").cast("bigint").alias("value"), "frames_per_swing", "is_seasonal",
+                                                   F.col("attack").cast("bigint").alias("attack"))
+
+
+def bestiary_writer(spark, d):
+    target = scratch_path(spark)
+    sinks.write_bestiary(A.bestiary(spark, d).select("name", "family", "value"), target, "/dumps/bestiary_20260520_full.xml")
+    return spark.read.schema("name string, family string, value bigint, version string").json(target)
+
+
+def write_tables(spark, d):
+    target = scratch_path(spark)
+    sinks.write_tables({"kill_hourly": hourly(spark, d)}, target)
+    return sinks.read_table(spark, target, "kill_hourly")
+
+
+def csv_export(spark, d):
+    return RP.csv_lines(kills(spark, d).select("creature", "character", "killed_count"))
+
+
+def item_help_lines(spark, d):
+    """Log lines about items from `events`: one file per user, ten-minute bursts."""
+    ev = A.table(spark, d, "events")
+    item = F.concat(F.lit("magic "), A.pick(["boots", "belt", "lamp", "stone", "ring"], F.col("event_id") % 5))
+    t = F.col("event_type")
+    message = (F.when(t == "click", F.concat(F.lit("You equip your "), item, F.lit(".")))
+               .when(t == "view", F.concat(F.lit("* The "), item, F.lit(" allows you to hop."))).when(t == "purchase", F.lit("/hop : hop once"))
+               .when(t == "signup", F.lit("Type “/use” to use it")).otherwise(F.lit("* You gain experience.")))
+    at = F.col("ts").cast("timestamp")
+    stamp = F.format_string("%d/%d/24 %d:%d0:00", F.month(at), F.dayofmonth(at), F.hour(at), F.floor(F.minute(at) / 10).cast("int"))
+    return ev.select(F.concat(F.lit("file"), F.col("user_id").cast("string")).alias("path"), F.col("event_id").alias("line_no"), F.concat_ws(" ", stamp, message).alias("content"))
+
+
+def item_help(spark, d):
+    return IH.item_help(item_help_lines(spark, d))
+
+
+def stream_attribute(spark, d):
+    """Lines of the rendered log as a file stream, attributed with per-file state."""
+    src = scratch_path(spark)
+    lines = A.parsed_log(spark, d)
+    folders = folder_character(lines)
+    feed_rows = lines.join(folders, ["root_no", "folder"], "left").select(
+        "path", "line_no", "welcome", F.when(~F.col("loose"), F.col("folder_character")).alias("folder_character"))
+    feed_rows.repartition(4).write.parquet(src + "/in")
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        feed = spark.readStream.schema("path string, line_no bigint, welcome string, folder_character string").parquet(src + "/in")
+        q = (live.stream_attribute(feed).writeStream.outputMode("append").option("checkpointLocation", src + "/state").format("parquet")
+             .option("path", src + "/out").trigger(availableNow=True).start())
+        q.awaitTermination()
+    finally:
+        spark.conf.set(key, before)
+    return spark.read.parquet(src + "/out").filter("character is not null")
+
+
 # --- scalar functions --------------------------------------------------------------------------------------
 
 def scalar_functions(spark, d):
@@ -556,4 +636,5 @@ QUERIES = {f.__name__: f for f in (
     equipment_report, update_delta, month_spine, cv_timeline_kill, cv_timeline_rank, trainer_timeline, studies_timeline, stats_timeline,
     checkpoint_timeline, creature_lookup, trainer_lookup, alias_checks, canonical_family, canonical_rarity, bestiary_table, decode_lines,
     log_line_count, log_search, log_search_context, log_snippets, scan_plan, pending_files, manifest_update, tail_scan, stream_hourly,
-    majority_vote, jaccard_pairs, jaccard_dedup, import_characters, import_kills, scalar_functions, titlecase_name, date_after)}
+    majority_vote, jaccard_pairs, jaccard_dedup, discover_logs, bestiary_xml, bestiary_writer, write_tables, csv_export, item_help,
+    stream_attribute, import_characters, import_kills, scalar_functions, titlecase_name, date_after)}

@@ -157,11 +157,11 @@ def _stat(s: str) -> str:
 FIGHTER = TRAINED + f""", st AS (
   SELECT character, {', '.join(_stat(s) + ' AS ' + s for s in STAT_COEFFICIENTS)},
     (SELECT sum(ranks + modified_ranks) FROM tre t WHERE t.character = p.character) AS trained,
-    (SELECT sum((t.ranks + t.modified_ranks) * coalesce(m.multiplier, 1.0)) FROM tre t LEFT JOIN meta m USING (trainer) WHERE t.character = p.character) AS eff,
+    (SELECT sum((t.ranks + t.modified_ranks) * CAST(coalesce(m.multiplier, 1.0) AS DECIMAL(12,6))) FROM tre t LEFT JOIN meta m USING (trainer) WHERE t.character = p.character) AS eff,
     (SELECT sum((t.ranks + t.modified_ranks) * coalesce(c.c, 20)) FROM tre t LEFT JOIN cost c ON c.trainer = t.formula WHERE t.character = p.character) AS cst
   FROM (SELECT DISTINCT character FROM tre) p
 ), st2 AS (SELECT *, accuracy + 300 + (3 * (damage_max + 200) + damage_min + 100) // 4 AS offense FROM st)
-SELECT character, CAST(trained AS BIGINT) AS trained_ranks, round(eff, 1) AS effective_ranks, CAST(cst + {RACE_SP} AS BIGINT) AS slaughter_points,
+SELECT character, CAST(trained AS BIGINT) AS trained_ranks, CAST(round(eff, 1) AS DOUBLE) AS effective_ranks, CAST(cst + {RACE_SP} AS BIGINT) AS slaughter_points,
   CAST(accuracy + 300 AS BIGINT) AS accuracy, CAST(greatest(damage_min + 100, 0) + 100 AS BIGINT) AS damage_min,
   CAST(greatest((damage_max + 200) * 3, 0) + 100 AS BIGINT) AS damage_max, CAST(offense AS BIGINT) AS offense, CAST(balance + 5000 AS BIGINT) AS balance,
   CAST(balance_regen + 400 AS BIGINT) AS balance_regen, (balance_regen + 400) / 6.0::DOUBLE AS balance_per_frame, CAST(health + 3000 AS BIGINT) AS health,
@@ -418,7 +418,7 @@ ORACLES = {
         , kt AS (SELECT character, CAST(sum(s) AS BIGINT) AS solo, CAST(sum(a) AS BIGINT) AS assisted, CAST(sum(f) AS BIGINT) AS killed_by, count(*) AS creatures FROM kk GROUP BY 1)
         , mk AS (SELECT character, creature AS most_killed FROM kk WHERE s + a > 0 QUALIFY row_number() OVER (PARTITION BY character ORDER BY s + a DESC, creature) = 1)
         , tt AS (SELECT character, trainer, count(*) FILTER (kind = 'TrainerRank') AS ranks, 10 * count(*) FILTER (kind = 'ApplyLearningRank' AND flag) AS al FROM ranks WHERE counted GROUP BY ALL)
-        , ts AS (SELECT character, CAST(sum(ranks) AS BIGINT) AS ranks, round(sum((ranks + al) * CASE trainer WHEN 'Evus' THEN 1.1436 WHEN 'Swengus' THEN 1.0549 WHEN 'Gossamer' THEN 0.5 ELSE 1.0 END::DOUBLE), 1) AS effective_ranks,
+        , ts AS (SELECT character, CAST(sum(ranks) AS BIGINT) AS ranks, CAST(round(sum((ranks + al) * CAST(CASE trainer WHEN 'Evus' THEN 1.1436 WHEN 'Swengus' THEN 1.0549 WHEN 'Gossamer' THEN 0.5 ELSE 1.0 END AS DECIMAL(12,6))), 1) AS DOUBLE) AS effective_ranks,
                    count(*) AS trainers FROM tt GROUP BY 1)
         , sl AS (SELECT character, count(DISTINCT creature || '|' || coalesce(lasty_type, 'Movements')) AS studies FROM studied WHERE kind <> 'StudyAbandon' GROUP BY 1)
         SELECT cc.character, deaths, coalesce(departs, 0) AS departs, solo, assisted, killed_by, creatures, most_killed, ts.ranks, effective_ranks, trainers,
@@ -428,15 +428,15 @@ ORACLES = {
     "update_delta": LOG + """SELECT character, CAST(count(*) FILTER (kind = 'Login') AS BIGINT) AS logins, CAST(count(*) FILTER (kind = 'Fallen' AND self) AS BIGINT) AS deaths
         FROM att WHERE date >= '2024-01-15' GROUP BY 1 HAVING count(*) FILTER (kind = 'Login') + count(*) FILTER (kind = 'Fallen' AND self) > 0""",
     "month_spine": KILLS + f"SELECT * FROM {SPINE('k', 'date_last')}",
-    "cv_timeline_kill": KILLS + f""", s AS {STUFF}, c AS (SELECT character, creature, creature_value AS v, coalesce(date_first_killed, date_last_killed) AS at FROM s
+    "cv_timeline_kill": KILLS + f""", s AS {STUFF}, c AS (SELECT character, creature, creature_value AS v, coalesce(date_first_killed, date_last_killed) AS k_at FROM s
           WHERE {VT['killed']} >= 5 AND stuffable AND coalesce(date_first_killed, date_last_killed) IS NOT NULL)
-        , st AS (SELECT * FROM (SELECT *, at[1:10] AS date, coalesce(max(v) OVER (PARTITION BY character ORDER BY at, creature ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS high FROM c) WHERE v > high)
+        , st AS (SELECT * FROM (SELECT *, k_at[1:10] AS date, coalesce(max(v) OVER (PARTITION BY character ORDER BY k_at, creature ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS high FROM c) WHERE v > high)
         , pt AS (SELECT character, date FROM st UNION SELECT character, date FROM {SPINE('st', 'date')})
         SELECT pt.character, pt.date, (SELECT max(v) FROM st WHERE st.character = pt.character AND st.date <= pt.date) AS kill_value,
           (SELECT first(creature ORDER BY v DESC) FROM st WHERE st.character = pt.character AND st.date = pt.date) AS kill_creature FROM pt""",
-    "cv_timeline_rank": TRAINED + f""", s AS {STUFF}, c AS (SELECT character, creature, creature_value AS v, coalesce(date_first_killed, date_last_killed) AS at FROM s
+    "cv_timeline_rank": TRAINED + f""", s AS {STUFF}, c AS (SELECT character, creature, creature_value AS v, coalesce(date_first_killed, date_last_killed) AS k_at FROM s
           WHERE {VT['killed']} >= 5 AND stuffable AND coalesce(date_first_killed, date_last_killed) IS NOT NULL)
-        , ks AS (SELECT * FROM (SELECT *, at[1:10] AS date, coalesce(max(v) OVER (PARTITION BY character ORDER BY at, creature ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS high FROM c) WHERE v > high)
+        , ks AS (SELECT * FROM (SELECT *, k_at[1:10] AS date, coalesce(max(v) OVER (PARTITION BY character ORDER BY k_at, creature ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS high FROM c) WHERE v > high)
         , tp AS (SELECT t.character, (ranks + modified_ranks) * coalesce(c.c, 20) AS points, date_of_last_rank[1:10] AS date, ranks + modified_ranks AS n
                  FROM tre t LEFT JOIN cost c ON c.trainer = t.formula)
         , dt AS (SELECT * FROM tp WHERE date IS NOT NULL AND n > 0)
@@ -455,7 +455,7 @@ ORACLES = {
                  WHERE NOT EXISTS (SELECT 1 FROM dn WHERE dn.character = m.character AND dn.date[1:10] = m.date))
         SELECT character, date, lasty_type, creature, {', '.join(f"CAST(count(*) FILTER (lasty_type = '{t}') OVER w AS BIGINT) AS {a}" for t, a in (('Movements', 'movements'), ('Befriend', 'befriends'), ('Morph', 'morphs')))}
         FROM al WINDOW w AS (PARTITION BY character ORDER BY date, filler, list_position(['Movements', 'Befriend', 'Morph'], lasty_type), creature ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""",
-    "stats_timeline": TRAINED + f""", tt AS (SELECT t.character, ranks + modified_ranks AS n, date_of_last_rank[1:7] || '-01' AS m, coalesce(meta.multiplier, 1.0) AS mult, coalesce(c.c, 20) AS cst
+    "stats_timeline": TRAINED + f""", tt AS (SELECT t.character, ranks + modified_ranks AS n, date_of_last_rank[1:7] || '-01' AS m, CAST(coalesce(meta.multiplier, 1.0) AS DECIMAL(12,6)) AS mult, coalesce(c.c, 20) AS cst
           FROM tre t LEFT JOIN meta USING (trainer) LEFT JOIN cost c ON c.trainer = t.formula WHERE date_of_last_rank IS NOT NULL AND ranks + modified_ranks > 0)
         SELECT sp.character, sp.date, CAST(sum(n) AS BIGINT) AS trained_ranks, CAST(floor(round(sum(n * mult), 1) + 0.5) AS BIGINT) AS effective_ranks,
           CAST(floor((sum(n * cst) + {RACE_SP}) / 150.0 + 0.5) AS BIGINT) AS slaughter_ranks FROM {SPINE('tt', 'm')} sp JOIN tt ON tt.character = sp.character AND tt.m <= sp.date GROUP BY ALL""",
@@ -501,6 +501,20 @@ ORACLES = {
     "jaccard_pairs": SETS + """, sig AS (SELECT item, string_agg(line, ' ' ORDER BY line) AS sig FROM s GROUP BY 1)
         , rep AS (SELECT first(sig.item ORDER BY files DESC, sig.item) AS item FROM sig JOIN fc USING (item) GROUP BY sig)
         SELECT CASE WHEN fpf >= fqf THEN p ELSE q END AS a, CASE WHEN fpf >= fqf THEN q ELSE p END AS b, common, combined FROM j WHERE p IN (SELECT item FROM rep) AND q IN (SELECT item FROM rep)""",
+    "jaccard_dedup": SETS.replace("WITH w AS", "WITH RECURSIVE w AS", 1) + """, o AS (SELECT item, row_number() OVER (ORDER BY files DESC, item) AS i FROM fc)
+        , walk AS (SELECT 0::BIGINT AS i, []::VARCHAR[] AS kept UNION ALL
+          SELECT o.i, CASE WHEN EXISTS (SELECT 1 FROM j WHERE (j.p = o.item AND list_contains(w2.kept, j.q)) OR (j.q = o.item AND list_contains(w2.kept, j.p)))
+            THEN w2.kept ELSE list_append(w2.kept, o.item) END FROM walk w2 JOIN o ON o.i = w2.i + 1)
+        SELECT unnest(kept) AS item FROM (SELECT kept FROM walk ORDER BY i DESC LIMIT 1)""",
+    "discover_logs": """WITH u AS (SELECT DISTINCT user_id AS u FROM events), f AS (
+          SELECT u, CASE u % 6 WHEN 0 THEN '/base/a/Hero' || u || '/CL Log 1' WHEN 1 THEN '/base/a/CL Log ' || u WHEN 2 THEN '/base/b/c/Hero' || u || '/CL Log 1'
+            WHEN 3 THEN '/base/b/c/Hero' || u || '/deep/CL Log 1' WHEN 4 THEN '/base/b/.hidden/Hero' || u || '/CL Log 1' ELSE '/base/a/CL_Movies/CL Log ' || u END AS path FROM u)
+        SELECT path, CASE WHEN u % 6 < 2 THEN '/base/a' ELSE '/base/b/c' END AS root, CASE WHEN u % 6 IN (0, 2) THEN 'Hero' || u END AS folder, u % 6 = 1 AS loose FROM f WHERE u % 6 < 3""",
+    "bestiary_xml": "WITH z AS (SELECT 1)" + BEAST_X + "SELECT name, family, rarity, value, fps AS frames_per_swing, p_partkey % 6 = 0 AS is_seasonal, CASE WHEN attack > 0 THEN attack END AS attack FROM be",
+    "bestiary_writer": "WITH z AS (SELECT 1)" + BEAST_X + "SELECT name, family, value, '20260520' AS version FROM be",
+    "write_tables": KILLS + f"SELECT character, creature, date[1:13] AS hour, {COUNTERS} FROM kev WHERE {IS_KILL} GROUP BY ALL",
+    "csv_export": KILLS + """SELECT '"' || creature || '",' || character || ',' || killed_count AS value FROM k""",
+    "stream_attribute": LOG + "SELECT path, line_no, character FROM att",
     "import_characters": f"""WITH meta(trainer, profession, multiplier, parts) AS (VALUES {_META}), c AS (SELECT *, replace(c_name, '#', ' ') AS nm, c_custkey % 11 = 5 AS bad FROM customer)
         , t AS (SELECT o_custkey, ({_T})[o_orderkey % {_NT} + 1] AS trainer, count(*) + 1 AS eff FROM orders WHERE o_orderstatus = 'F' GROUP BY ALL)
         , w AS (SELECT o_custkey, CAST(sum(round(eff * multiplier)) AS BIGINT) AS lvl FROM t JOIN meta USING (trainer)
@@ -510,9 +524,10 @@ ORACLES = {
           CAST(floor(c_acctbal) AS BIGINT) AS coins_picked_up, coalesce(lvl, 0) AS coin_level FROM c LEFT JOIN w ON w.o_custkey = c_custkey
         WHERE NOT bad AND (c_mktsegment = 'BUILDING' OR c_nationkey % 3 > 0 OR c_custkey IN (SELECT o_custkey FROM orders))""",
     "import_kills": """WITH k AS (SELECT o_custkey, o_orderpriority AS creature, count(*) AS killed_count, count(*) FILTER (o_orderstatus = 'P') AS slaughtered_count, max(o_orderkey) AS lv,
-          min(o_orderdate) AS d0, min(o_orderdate) FILTER (o_orderstatus = 'O') AS dk, max(o_orderdate) AS dl FROM orders WHERE o_orderstatus <> 'F' GROUP BY ALL)
+          nullif(min(o_orderdate) FILTER (o_orderstatus = 'O'), TIMESTAMP '2001-01-01') AS dk, nullif(min(o_orderdate) FILTER (o_orderstatus = 'P'), TIMESTAMP '2001-01-01') AS ds,
+          nullif(max(o_orderdate), TIMESTAMP '2001-01-01') AS dl FROM orders WHERE o_orderstatus <> 'F' GROUP BY ALL)
         SELECT replace(c_name, '#', ' ') AS character, creature, killed_count, slaughtered_count, CASE WHEN creature = '1-URGENT' THEN 77 ELSE lv END AS creature_value,
-          strftime(d0, '%Y-%m-%d') AS date_first, strftime(dk, '%Y-%m-%d') AS date_first_killed, strftime(dl, '%Y-%m-%d') AS date_last FROM k JOIN customer ON c_custkey = o_custkey WHERE c_custkey % 11 <> 5""",
+          strftime(least(dk, ds), '%Y-%m-%d') AS date_first, strftime(dk, '%Y-%m-%d') AS date_first_killed, strftime(dl, '%Y-%m-%d') AS date_last FROM k JOIN customer ON c_custkey = o_custkey WHERE c_custkey % 11 <> 5""",
     "scalar_functions": """SELECT p_partkey, array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(w[1]) || w[2:]), ' ') AS words, p_name AS bare,
         upper(p_type[1]) || lower(p_type[2:]) AS profession, printf('2024-01-05 %02d', p_partkey % 24) AS hour, '2024-01-05 00' AS day_hour,
         printf('2024-01-05 %02d:00–%02d:00', p_partkey % 24, (p_partkey + 2) % 24) AS two_hours, '2024-01-05' AS day, '"' || p_name || ',""' || p_brand || '"' AS cell,

@@ -38,6 +38,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return target
 
 
+def scratch_path(spark: SparkSession) -> str:
+    """A new folder name in the shared checkpoint folder."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/questlog-{uuid.uuid4().hex}"
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Write `df` as Parquet to the shared checkpoint folder and read it back.
 
@@ -45,6 +50,6 @@ def materialise(df: DataFrame) -> DataFrame:
     a checkpointed RDD later readers still get column pruning, filter pushdown and size statistics.
     """
     spark = df.sparkSession
-    target = f"{ensure_checkpoint_dir(spark).rstrip('/')}/questlog-{uuid.uuid4().hex}"
+    target = scratch_path(spark)
     df.write.parquet(target)
     return spark.read.schema(df.schema).parquet(target)

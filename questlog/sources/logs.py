@@ -56,6 +56,7 @@ def _name(path: Column) -> Column:
 def locate(files: DataFrame, base: str, recursive: bool = True) -> DataFrame:
     """Add (root, folder, loose) to rows with a `path` below `base`; rows outside every log root go."""
     base = base.rstrip("/")
+    files = files.filter(F.col("path").startswith(base + "/"))
     files = files.withColumn("_dir", _dir(F.col("path"))).withColumn("_up", _dir(F.col("_dir")))
     if not recursive:
         roots = None
