@@ -80,19 +80,14 @@ def iequals(a: Column | str, b: Column | str) -> Column:
 def log_day(c: Column | str) -> Column:
     """(year, month, day) as one comparable number, from ISO text or M/D/YY; NULL if neither."""
     c = col(c)
-    iso = r"^([0-9]{4})-([0-9]{2})-([0-9]{2})"
-    part = lambda i: F.split(c, "/").getItem(i).try_cast("int")
-    short = part(2)
+    num = lambda part: part.try_cast("bigint")
+    iso = num(F.substring(c, 1, 4)) * 10000 + num(F.substring(c, 6, 2)) * 100 + num(F.substring(c, 9, 2))
+    month, rest = F.substring_index(c, "/", 1), F.substring_index(c, "/", -1)
+    day = F.substring_index(F.substring_index(c, "/", 2), "/", -1)
+    short = num(F.when(F.length(c) - F.length(F.replace(c, F.lit("/"), F.lit(""))) > 2, F.split(c, "/").getItem(2)).otherwise(rest))
     year = F.when(short >= 90, 1900 + short).otherwise(2000 + short)
-    return F.when(
-        c.rlike(iso),
-        F.regexp_extract(c, iso, 1).try_cast("bigint") * 10000
-        + F.regexp_extract(c, iso, 2).try_cast("bigint") * 100
-        + F.regexp_extract(c, iso, 3).try_cast("bigint"),
-    ).when(
-        (F.size(F.split(c, "/")) >= 3) & ~c.rlike("^.{4}-"),
-        year.cast("bigint") * 10000 + part(0).cast("bigint") * 100 + part(1).cast("bigint"),
-    )
+    return F.when((F.length(c) >= 10) & (F.substring(c, 5, 1) == "-"), iso).when(
+        F.length(c) - F.length(F.replace(c, F.lit("/"), F.lit(""))) >= 2, year * 10000 + num(month) * 100 + num(day))
 
 
 def date_after(log_date: Column | str, cutoff: Column | str) -> Column:
@@ -176,27 +171,36 @@ def _after_blank(c: Column) -> Column:
     return F.regexp_replace(c, r"(?s)^[^ ]* ", "")
 
 
-# Fixed pattern: month/day/year, clock with optional a or p, one blank, message.
-LINE_TS = (
-    r"(?s)^(\+?[0-9]+)/(\+?[0-9]+)/([+-]?[0-9]+) "
-    r"(\+?[0-9]+):(\+?[0-9]+):(\+?[0-9]+)([ap]?) (.*)$"
-)
+# Fixed pattern: month/day/year, clock with optional a or p, one blank.
+LINE_TS = r"^\+?[0-9]+/\+?[0-9]+/[+-]?[0-9]+ \+?[0-9]+:\+?[0-9]+:\+?[0-9]+[ap]? "
+
+
+def stamp_prefix(content: Column | str) -> Column:
+    """The timestamp at the head of a line with the blank behind it, or ''. The one expression per line."""
+    c = col(content)
+    return F.when((F.octet_length(c) >= 16) & F.substring(c, 1, 1).between("+", "9"), F.regexp_extract(c, LINE_TS, 0)).otherwise(F.lit(""))
+
+
+def stamp_time(prefix: Column | str) -> Column:
+    """TIMESTAMP_NTZ of a timestamp prefix; NULL for '' and for dates that do not exist."""
+    p = col(prefix)
+    date, clock = F.substring_index(p, " ", 1), F.substring_index(F.substring_index(p, " ", 2), " ", -1)
+    half = F.when(clock.endswith("a") | clock.endswith("p"), F.right(clock, F.lit(1))).otherwise(F.lit(""))
+    digits = F.rtrim(clock, F.lit("ap"))
+    d = lambda i: F.split_part(date, F.lit("/"), F.lit(i)).try_cast("int")
+    t = lambda i: F.split_part(digits, F.lit(":"), F.lit(i)).try_cast("int")
+    hour = F.when((half == "a") & (t(1) == 12), F.lit(0)).when((half == "p") & (t(1) != 12), t(1) + 12).otherwise(t(1))
+    # second 60 would roll over in the calendar function, so it is refused first
+    return F.when((p != "") & t(3).between(0, 59) & d(3).between(-1999, 7999),
+                  F.try_make_timestamp_ntz(d(3) + 2000, d(1), d(2), hour, t(2), t(3).cast("decimal(16,6)")))
 
 
 def parse_line_ts(content: Column | str) -> Column:
     """STRUCT<ts TIMESTAMP_NTZ, message>. A line without a valid stamp is all message."""
     c = col(content)
-    g = lambda i: F.regexp_extract(c, LINE_TS, i)
-    num = lambda i: g(i).try_cast("int")
-    hour = (
-        F.when((g(7) == "a") & (num(4) == 12), F.lit(0)).when((g(7) == "p") & (num(4) != 12), num(4) + 12).otherwise(num(4))
-    )
-    # second 60 would roll over in the calendar function, so it is refused first
-    stamp = F.when(
-        (F.octet_length(c) >= 16) & c.rlike(LINE_TS) & num(6).between(0, 59) & num(3).between(-1999, 7999),
-        F.try_make_timestamp_ntz(num(3) + 2000, num(1), num(2), hour, num(5), num(6).cast("decimal(16,6)")),
-    )
-    return F.struct(stamp.alias("ts"), F.when(stamp.isNotNull(), g(8)).otherwise(c).alias("message"))
+    prefix = stamp_prefix(c)
+    stamp = stamp_time(prefix)
+    return F.struct(stamp.alias("ts"), F.when(stamp.isNotNull(), F.substring(c, F.length(prefix) + 1, F.length(c))).otherwise(c).alias("message"))
 
 
 def ts_text(ts: Column | str) -> Column:

@@ -153,31 +153,26 @@ def kill_extremes(kills: DataFrame, bestiary: DataFrame) -> DataFrame:
         F.col(f"{n}.name").alias(n), (-F.col(f"{n}.m")).alias(f"{n}_n"))])
 
 
-def lowest_recent(kills: DataFrame, verb: str, n: int = 20, min_value: int = 2) -> DataFrame:
-    """Lowest value among the n creatures most recently hit by the verb."""
-    last = F.col(f"date_last_{verb}")
-    ok = kills.filter((verb_total(verb) > 0) & last.isNotNull() & (F.col("creature_value") >= min_value))
-    w = Window.partitionBy("character").orderBy(last.desc(), "creature")
-    recent = ok.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n)
+def lowest_recent(kills: DataFrame, verbs: list[str] = VERBS, n: int = 20, min_value: int = 2) -> DataFrame:
+    """Per verb: the lowest value among the n creatures most recently hit by it. All verbs in one pass."""
+    hits = kills.filter(F.col("creature_value") >= min_value).select("character", "creature", "creature_value", F.explode(F.array(*[
+        F.struct(F.lit(v).alias("verb"), verb_total(v).alias("n"), F.col(f"date_last_{v}").alias("last")) for v in verbs])).alias("s"))
+    hits = hits.filter("s.n > 0 and s.last is not null").select("character", "creature", "creature_value", "s.verb", "s.last")
+    w = Window.partitionBy("character", "verb").orderBy(F.desc("last"), "creature")
+    recent = hits.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n)
     # ties on the value go to the more recent one
-    low = recent.groupBy("character").agg(F.min(F.struct("creature_value", "_rn", "creature")).alias("b"))
-    return low.select("character", F.lit(verb).alias("verb"), "b.creature", "b.creature_value")
-
-
-def lowest_recent_all(kills: DataFrame, n: int = 20) -> DataFrame:
-    out = None
-    for verb in VERBS:
-        part = lowest_recent(kills, verb, n)
-        out = part if out is None else out.unionByName(part)
-    return out
-
-
-def most_recent_kill(kills: DataFrame, role: str) -> DataFrame:
-    count = {"solo": solo(), "assisted": assisted()}[role]
-    rows = kills.filter((count > 0) & F.col("date_last").isNotNull())
-    latest = rows.groupBy("character").agg(F.max("date_last").alias("date_last"))
-    tied = rows.join(latest, ["character", "date_last"]).groupBy("character", "date_last").agg(F.min("creature").alias("creature"))
-    return tied.select("character", F.lit(role).alias("role"), "creature", "date_last")
+    low = recent.groupBy("character", "verb").agg(F.min(F.struct("creature_value", "_rn", "creature")).alias("b"))
+    return low.select("character", "verb", "b.creature", "b.creature_value")
+
+
+def most_recent_kill(kills: DataFrame, roles: tuple[str, ...] = ("solo", "assisted")) -> DataFrame:
+    """Per role: the creature with the latest last date, smallest name on ties."""
+    count = {"solo": solo(), "assisted": assisted()}
+    rows = kills.filter("date_last is not null").select("character", "creature", "date_last", F.explode(F.filter(F.array(*[
+        F.when(count[r] > 0, F.lit(r)) for r in roles]), lambda r: r.isNotNull())).alias("role"))
+    newest_first = (-F.unix_timestamp(F.to_timestamp("date_last"))).alias("m")
+    best_row = rows.groupBy("character", "role").agg(F.min(F.struct(newest_first, "creature", "date_last")).alias("b"))
+    return best_row.select("character", "role", "b.creature", "b.date_last")
 
 
 def first_by_verb(kills: DataFrame) -> DataFrame:

@@ -36,22 +36,37 @@ def own_death() -> Column:
     return (F.col("kind") == "Fallen") & about_self()
 
 
-def kills(events: DataFrame, values: DataFrame | None = None, order: Column | None = None) -> DataFrame:
-    """Per (character, creature): counters by verb and role, deaths, dates, value.
+FILE_KEYS = ["root_no", "loose", "folder", "path"]
 
-    `values(name, value)` is the creature lookup; it is joined to the small rollup, not to the events.
-    """
-    order = seq() if order is None else order
-    date = F.when(is_kill(), S.blank_to_null("date"))
-    by_verb = lambda v: F.when(is_kill() & (F.col("verb") == v), S.blank_to_null("date"))
-    rollup = events.filter(is_kill() | own_death()).groupBy("character", "creature").agg(
+
+def kills_per_file(events: DataFrame) -> DataFrame:
+    """The kill rollup of each file. Every aggregate buffer has a fixed width (counts, timestamps, line numbers), so
+    this is a hash aggregate with map-side combining; what needs the order of files comes after, on far fewer rows."""
+    at = F.when(is_kill(), F.col("date").try_cast("timestamp_ntz"))
+    by_verb = lambda v: F.when(F.col("verb") == v, at)
+    return events.filter(is_kill() | own_death()).groupBy("character", "creature", *FILE_KEYS).agg(
         *_kill_counters(),
         F.count_if(F.col("kind") == "Fallen").alias("killed_by_count"),
-        F.min_by(date, F.when(date.isNotNull(), order)).alias("date_first"),
-        F.max(date).alias("date_last"),
+        F.min_by(at, F.when(at.isNotNull(), F.col("line_no"))).alias("date_first"),
+        F.max(at).alias("date_last"),
         *[F.min(by_verb(v)).alias(f"date_first_{v}") for v in VERBS],
         *[F.max(by_verb(v)).alias(f"date_last_{v}") for v in VERBS],
     )
+
+
+def kills(events: DataFrame, values: DataFrame | None = None) -> DataFrame:
+    """Per (character, creature): counters by verb and role, deaths, dates, value.
+
+    `date_first` is the first date in scan order, not the smallest. `values(name, value)` is the creature
+    lookup; it is joined to the small rollup, not to the events.
+    """
+    text = lambda c: c.cast("string")
+    first = F.min_by("date_first", F.when(F.col("date_first").isNotNull(), F.struct(*FILE_KEYS)))
+    rollup = kills_per_file(events).groupBy("character", "creature").agg(
+        *[F.sum(c).alias(c) for c in [*COUNTERS, "killed_by_count"]],
+        text(first).alias("date_first"), text(F.max("date_last")).alias("date_last"),
+        *[text(F.min(f"date_first_{v}")).alias(f"date_first_{v}") for v in VERBS],
+        *[text(F.max(f"date_last_{v}")).alias(f"date_last_{v}") for v in VERBS])
     if values is None:
         return rollup.withColumn("creature_value", F.lit(0).cast("bigint"))
     v = values.select(F.col("name").alias("creature"), F.col("value").cast("bigint").alias("creature_value"))
@@ -126,17 +141,19 @@ def fishing_catches(events: DataFrame) -> DataFrame:
         F.map_from_entries(F.collect_list(F.struct("item", "n"))).alias("fishing_catches"))
 
 
-def trainer_ranks(gated: DataFrame, trainer_meta: DataFrame | None = None, order: Column | None = None) -> DataFrame:
-    """Counted rank events per (character, trainer): ranks, confirmed and unknown apply-learning, last date."""
-    order = seq() if order is None else order
-    full = (F.col("kind") == "ApplyLearningRank") & F.col("flag")
-    part = (F.col("kind") == "ApplyLearningRank") & ~F.col("flag")
-    out = gated.filter("counted").groupBy("character", "trainer").agg(
+def trainer_ranks(gated: DataFrame, trainer_meta: DataFrame | None = None) -> DataFrame:
+    """Counted rank events per (character, trainer): ranks, confirmed and unknown apply-learning, last date.
+
+    Per file first, with fixed-width buffers; the last date in scan order is then chosen among files.
+    """
+    learning = F.col("kind") == "ApplyLearningRank"
+    per_file = gated.filter("counted").groupBy("character", "trainer", *FILE_KEYS).agg(
         F.count_if(F.col("kind") == "TrainerRank").alias("ranks"),
-        (F.count_if(full) * 10).alias("apply_learning_ranks"),
-        F.count_if(part).alias("apply_learning_unknown_count"),
-        F.max_by("date", order).alias("date_of_last_rank"),
-    )
+        F.count_if(learning & F.col("flag")).alias("full"), F.count_if(learning & ~F.col("flag")).alias("part"),
+        F.max_by(F.col("date").try_cast("timestamp_ntz"), "line_no").alias("last"))
+    out = per_file.groupBy("character", "trainer").agg(
+        F.sum("ranks").alias("ranks"), (F.sum("full") * 10).alias("apply_learning_ranks"), F.sum("part").alias("apply_learning_unknown_count"),
+        F.max_by("last", F.struct(*FILE_KEYS)).cast("string").alias("date_of_last_rank"))
     if trainer_meta is None:
         return out.withColumn("effective_multiplier", F.lit(1.0))
     meta = trainer_meta.select("trainer", F.col("multiplier").alias("effective_multiplier"))

@@ -47,6 +47,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(spark: SparkSession, df: DataFrame) -> DataFrame:
+    """Redistribute a table that comes in fewer files than there are cores; a large table stays as it is."""
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
 def pick(names: list[str], index: Column) -> Column:
     return F.element_at(F.array(*[F.lit(n) for n in names]), (index + 1).cast("int"))
 
@@ -196,7 +202,7 @@ def _stamp() -> Column:
 @cache  # the plan, not the data
 def render_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(root_no, loose, folder, path, line_no, content): one file per user and week; every tenth user is loose."""
-    ev = _kx(table(spark, sf_dir, "events"))
+    ev = _kx(spread(spark, table(spark, sf_dir, "events")))
     part = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("int").alias("k"), F.concat_ws(" ", "p_name", "p_partkey").alias("creature"))
     ev = ev.join(part, "k", "left")
     u = F.col("user_id")
@@ -212,9 +218,9 @@ def render_log(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.concat("_stamp", "_message").alias("content"))
 
 
-@cache  # the plan, not the data
+@cache  # written once per session: parsed lines are the first table of the ingest
 def parsed_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return parse_lines(render_log(spark, sf_dir))
+    return materialise(parse_lines(render_log(spark, sf_dir)))
 
 
 @cache  # the plan, not the data
@@ -246,7 +252,7 @@ def as_events(df: DataFrame) -> DataFrame:
 @cache  # the plan, not the data
 def kill_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M2: every line item is a kill (or a death) of its customer's group of 30 by part type and brand."""
-    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber", "l_returnflag", "l_linestatus", "l_shipdate")
+    li = spread(spark, table(spark, sf_dir, "lineitem")).select("l_orderkey", "l_partkey", "l_linenumber", "l_returnflag", "l_linestatus", "l_shipdate")
     o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
     p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), F.concat_ws(" ", "p_type", "p_brand").alias("creature"))
     f = li.join(o, "l_orderkey").join(p, "l_partkey")
@@ -255,10 +261,11 @@ def kill_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.when(n == 6, F.lit("Fallen")).when(F.col("l_linestatus") == "O", F.lit("AssistedKill")).otherwise(F.lit("SoloKill"))
     verb = F.when(n == 7, F.lit("dispatched")).when(F.col("l_returnflag") == "A", F.lit("killed")).when(
         F.col("l_returnflag") == "N", F.lit("slaughtered")).otherwise(F.lit("vanquished"))
-    date = F.concat_ws(" ", F.date_format("l_shipdate", "yyyy-MM-dd"), F.format_string("%02d:00:00", F.col("l_orderkey") % 24))
+    date = F.concat(F.to_date("l_shipdate").cast("string"), F.lit(" "), F.lpad((F.col("l_orderkey") % 24).cast("string"), 2, "0"), F.lit(":00:00"))
     return as_events(f.select(who.alias("character"), who.alias("subject"), "creature", kind.alias("kind"),
                               F.when(n != 6, verb).alias("verb"), date.alias("date"),
-                              (F.col("l_orderkey") * 8 + n).alias("line_no")))
+                              # several items may share a number: the day makes the order total
+                              ((F.col("l_orderkey") * 8 + n) * 10000 + F.datediff("l_shipdate", F.lit("1990-01-01"))).alias("line_no")))
 
 
 @cache  # the plan, not the data
@@ -290,7 +297,7 @@ def rank_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         who.alias("character"), who.alias("subject"), pick(TRAINER_NAMES, F.col("o_orderkey") % len(TRAINER_NAMES)).alias("trainer"),
         F.when(learning, F.lit("ApplyLearningRank")).otherwise(F.lit("TrainerRank")).alias("kind"),
         F.when(learning, F.col("o_orderpriority") == "1-URGENT").alias("flag"),
-        F.concat(F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit(" 12:00:00")).alias("date"), F.col("o_orderkey").alias("line_no")))
+        F.concat(F.to_date("o_orderdate").cast("string"), F.lit(" 12:00:00")).alias("date"), F.col("o_orderkey").alias("line_no")))
 
 
 @cache  # the plan, not the data

@@ -32,27 +32,34 @@ from questlog.sources.logs import decode_lines as decode
 from questlog.sources.logs import locate, parse_lines
 from questlog.streaming import live
 
-KILL_ORDER = ("line_no", "date")
 
+def kill_rollup(spark: SparkSession, d: str) -> DataFrame:
+    return R.kills(A.kill_events(spark, d), A.kill_bestiary(spark, d).select("name", "value"))
 
-@cache  # the plan, not the data
+
+def trainer_rollup(spark: SparkSession, d: str) -> DataFrame:
+    gated = Q.gate_ranks(A.rank_events(spark, d), A.rank_overrides(spark, d))
+    return RP.apply_overrides(R.trainer_ranks(gated, A.trainer_meta(spark)), A.rank_overrides(spark, d), A.trainer_notes(spark, d))
+
+
+# The rollups are tables that reports read: written once per session. `kill_table`, `kill_hourly_volume` and
+# `rank_override_apply` compute them anew.
+
+@cache
 def kills(spark: SparkSession, d: str) -> DataFrame:
-    ev = A.kill_events(spark, d)
-    out = R.kills(ev, A.kill_bestiary(spark, d).select("name", "value"), F.struct(*KILL_ORDER))
     # the loot columns of the kill table: here the best value comes from the counts
-    return out.withColumn("best_loot_value", F.col("killed_count") * 3).withColumn("best_loot_item", F.concat(F.lit("fur of "), "creature"))
+    return materialise(kill_rollup(spark, d).withColumn("best_loot_value", F.col("killed_count") * 3).withColumn(
+        "best_loot_item", F.concat(F.lit("fur of "), "creature")))
 
 
-@cache  # the plan, not the data
+@cache
 def hourly(spark: SparkSession, d: str) -> DataFrame:
-    return R.kill_hourly(A.kill_events(spark, d))
+    return materialise(R.kill_hourly(A.kill_events(spark, d)))
 
 
-@cache  # the plan, not the data
+@cache
 def trainers(spark: SparkSession, d: str) -> DataFrame:
-    gated = Q.gate_ranks(A.rank_events(spark, d), A.rank_overrides(spark, d))
-    ranks = R.trainer_ranks(gated, A.trainer_meta(spark), F.struct("line_no"))
-    return RP.apply_overrides(ranks, A.rank_overrides(spark, d), A.trainer_notes(spark, d))
+    return materialise(trainer_rollup(spark, d))
 
 
 @cache  # written once per session: several reports fork from it
@@ -66,11 +73,11 @@ def mapping(spark: SparkSession, d: str) -> DataFrame:
 
 
 def kill_table(spark, d):
-    return kills(spark, d).drop("best_loot_value", "best_loot_item")
+    return kill_rollup(spark, d)
 
 
 def kill_hourly_volume(spark, d):
-    return hourly(spark, d)
+    return R.kill_hourly(A.kill_events(spark, d))
 
 
 def _freq(df: DataFrame) -> DataFrame:
@@ -129,11 +136,11 @@ def kill_extremes(spark, d):
 
 
 def lowest_recent(spark, d):
-    return RK.lowest_recent_all(kills(spark, d))
+    return RK.lowest_recent(kills(spark, d))
 
 
 def most_recent_kill(spark, d):
-    return RK.most_recent_kill(kills(spark, d), "solo").unionByName(RK.most_recent_kill(kills(spark, d), "assisted"))
+    return RK.most_recent_kill(kills(spark, d))
 
 
 def first_by_verb(spark, d):
@@ -179,10 +186,9 @@ def bestiary_completion(spark, d):
 
 def update_equals_rescan(spark, d):
     ev = A.kill_events(spark, d)
-    cut = A.table(spark, d, "orders").agg(F.floor(F.max("o_orderkey") / 2) * 8).scalar()
+    cut = A.table(spark, d, "orders").agg(F.floor(F.max("o_orderkey") / 2) * 80000).scalar()
     values = A.kill_bestiary(spark, d).select("name", "value")
-    order = F.struct(*KILL_ORDER)
-    return IN.fold_kills(R.kills(ev.filter(F.col("line_no") < cut), values, order), R.kills(ev.filter(F.col("line_no") >= cut), values, order))
+    return IN.fold_kills(R.kills(ev.filter(F.col("line_no") < cut), values), R.kills(ev.filter(F.col("line_no") >= cut), values))
 
 
 def kills_merged(spark, d):
@@ -192,7 +198,7 @@ def kills_merged(spark, d):
 # --- trainers ----------------------------------------------------------------------------------------------
 
 def rank_override_apply(spark, d):
-    return trainers(spark, d)
+    return trainer_rollup(spark, d)
 
 
 def trainers_merged(spark, d):

@@ -144,12 +144,13 @@ def parse_lines(lines: DataFrame) -> DataFrame:
 
     All text work of attribution happens here, once; written as a table, the later scans read narrow columns.
     """
-    parsed = S.parse_line_ts("content")
+    # staged, so that the prefix is matched once per line
+    staged = lines.withColumn("_prefix", S.stamp_prefix("content")).withColumn("_at", S.stamp_time("_prefix"))
+    rest = F.expr("substring(content, length(_prefix) + 1)")
     return (
-        lines.withColumn("_p", parsed)
-        .withColumn("ts", F.col("_p.ts").cast("string"))
-        .withColumn("message", F.col("_p.message"))
-        .drop("_p")
+        staged.withColumn("ts", F.col("_at").cast("string"))
+        .withColumn("message", F.when(F.col("_at").isNotNull(), rest).otherwise(F.col("content")))
+        .drop("_prefix", "_at")
         .withColumn("login", welcome_login("message"))
         .withColumn("welcome", F.coalesce("login", welcome_back("message")))
         .withColumn("file_ts", S.filename_date(_name(F.col("path"))))
