@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from questlog.functions import scalars as S
-from questlog.operators.scan import FILE_BLOCKS, prefix_scan
+from questlog.operators.scan import FILE_BLOCKS, line_block, prefix_scan
 from questlog.session import materialise
 
 # Fixed patterns: what a help text looks like.
@@ -63,7 +63,7 @@ def item_help(lines: DataFrame) -> DataFrame:
                         F.when(F.col("content").rlike(_LOG_TS), F.regexp_replace("content", _LOG_TS, "")).otherwise(F.col("content")).alias("message"))
     equip = F.when(m.rlike(_EQUIP), F.regexp_extract(m, _EQUIP, 1))
     rows = rows.withColumns({"equip": equip, "trigger": equip.isNull() & is_trigger(m), "cont": equip.isNull() & is_continuation(m),
-                             "line_block": F.floor(F.col("line_no") / 65_536)})
+                             "line_block": line_block()})
     # 1. bursts: a new one begins where the timestamp changes, at an equip line, and at every unstamped line
     prev = prefix_scan(rows, ["path"], ["line_no"], {"_prev": ("last", F.coalesce("ts", F.concat(F.lit("#"), F.col("line_no").cast("string")))),
                                                      "_prev_equip": ("max", F.when(F.col("equip").isNotNull(), F.col("line_no"))),
@@ -76,7 +76,7 @@ def item_help(lines: DataFrame) -> DataFrame:
     first = F.min_by(F.struct("trigger", "cont", "equip"), "line_no")
     bursts = rows.groupBy("path", "burst").agg(
         F.min("line_no").alias("line_no"), F.min(F.when(F.col("trigger"), F.col("line_no"))).alias("_trigger"),
-        first.alias("_first"), F.max("ts").alias("ts")).withColumn("line_block", F.floor(F.col("line_no") / 65_536))
+        first.alias("_first"), F.max("ts").alias("ts")).withColumn("line_block", line_block())
     # 3. a burst starts a block at its first trigger; one whose first line is only a continuation joins an open block;
     #    any other first line closes the block before it
     begins = F.col("_trigger").isNotNull()
@@ -103,7 +103,7 @@ def item_help(lines: DataFrame) -> DataFrame:
         F.min(F.when(help_like, F.col("line_no"))).alias("_lo"), F.max(F.when(help_like, F.col("line_no"))).alias("_hi"))
     # an equipped item serves one block: the first one after it that got any item
     has_item = F.col("_named").isNotNull() | F.col("_fallback").isNotNull()
-    blocks = prefix_scan(blocks.withColumn("line_block", F.floor(F.col("line_no") / 65_536)), ["path"], ["line_no"],
+    blocks = prefix_scan(blocks.withColumn("line_block", line_block()), ["path"], ["line_no"],
                          {"_used": ("max", F.when(has_item, F.col("line_no")))}, FILE_BLOCKS, inclusive=False)
     free = F.col("_used").isNull() | (F.col("_used") < F.col("_fallback.at"))
     blocks = blocks.select("path", "block", "_lo", "_hi", F.coalesce("_named", F.when(free, F.col("_fallback.item"))).alias("item"))
@@ -122,59 +122,72 @@ def majority_vote(found: DataFrame) -> DataFrame:
     return lines.join(files, "item").filter(F.col("n") >= F.ceil(F.col("files") / 2)).select("item", "line", "files")
 
 
-def similar_pairs(sets: DataFrame, order: Column | None = None) -> DataFrame:
-    """Pairs of items whose line sets have Jaccard >= 0.5: (a, b, common, combined), a before b in `rank` order.
+def _signatures(sets: DataFrame) -> DataFrame:
+    """(item, files, n, sig): equal sets have equal signatures. An order-free digest of 192 bits and the size, so a set
+    of any size stays a partial aggregate and is never gathered in one place."""
+    h1, h2 = F.xxhash64("line"), F.xxhash64(F.lit(1), "line")
+    return sets.groupBy("item").agg(
+        F.max("files").alias("files"), F.count("*").alias("n"),
+        F.struct(F.count("*").alias("n"), F.sum(h1.cast("decimal(20,0)")).alias("a"), F.sum(h2.cast("decimal(20,0)")).alias("b"),
+                 F.bit_xor(h1).alias("x")).alias("sig"))
 
-    Exact set-similarity join by prefix filtering. Items with one and the same set are one group, joined
-    once through a representative. Lines are ordered from rare to common; two sets with Jaccard >= 1/2 must
-    share a line among the first |s| - ceil(|s|/2) + 1 of each, so a line that everything contains
-    practically never makes candidates. Sizes must also be within a factor of two.
+
+def _representatives(sets: DataFrame) -> DataFrame:
+    """One item per distinct set: the one in most files, smallest name on ties. (item, files, n)"""
+    chosen = _signatures(sets).groupBy("sig").agg(F.min(F.struct((-F.col("files")).alias("m"), "item", "n")).alias("r"))
+    return chosen.select("r.item", (-F.col("r.m")).alias("files"), "r.n")
+
+
+def similar_pairs(sets: DataFrame) -> DataFrame:
+    """Pairs of items whose line sets have Jaccard >= 0.5: (a, b, common, combined), a before b by file count, then name.
+
+    `sets(item, line, files)` has distinct rows. Exact set-similarity join by prefix filtering:
+
+    * items with one and the same set are joined once, through a representative;
+    * with lines ordered from rare to common, two sets with Jaccard >= 1/2 share a line among the first
+      n - ceil(n/2) + 1 of each. Those are taken as all lines up to a cut in rarity, found from a histogram
+      per item, so no set is sorted or gathered, and a line that everything contains makes no candidates;
+    * sizes must be within a factor of two, and candidates are checked by counting shared lines.
     """
-    freq = sets.groupBy("line").agg(F.count("*").alias("_df"))
-    sized = sets.join(freq, "line")
-    ordered = sized.groupBy("item").agg(
-        F.transform(F.array_sort(F.collect_set(F.struct("_df", "line"))), lambda s: s["line"]).alias("lines"),
-        F.max("files").alias("files"))
-    groups = ordered.groupBy("lines").agg(F.min(F.struct((-F.col("files")).alias("m"), "item")).alias("_rep"))
-    reps = materialise(groups.select(F.col("_rep.item").alias("item"), "lines", (-F.col("_rep.m")).alias("files")))
-    prefix = reps.select("item", F.size("lines").alias("n"), F.explode(F.slice(
-        "lines", F.lit(1), (F.size("lines") - F.ceil(F.size("lines") / 2) + 1).cast("int"))).alias("line"))
+    sets = materialise(sets.select("item", "line", "files"))
+    reps = materialise(_representatives(sets))
+    lines = sets.select("item", "line").join(reps.select("item", "n"), "item")
+    freq = lines.groupBy("line").agg(F.count("*").alias("df"))
+    rare = materialise(lines.join(freq, "line"))
+    histogram = rare.groupBy("item", "n", "df").agg(F.count("*").alias("c"))
+    upto = F.sum("c").over(Window.partitionBy("item").orderBy("df").rowsBetween(Window.unboundedPreceding, 0))
+    need = F.col("n") - F.ceil(F.col("n") / 2) + 1
+    cuts = histogram.withColumn("_upto", upto).filter(F.col("_upto") >= need).groupBy("item").agg(F.min("df").alias("cut"))
+    prefix = rare.join(cuts, "item").filter(F.col("df") <= F.col("cut")).select("item", "n", "line")
     left = prefix.select(F.col("item").alias("a"), F.col("n").alias("na"), "line")
     right = prefix.select(F.col("item").alias("b"), F.col("n").alias("nb"), "line")
-    cand = left.join(right, "line").filter("a < b and na <= 2 * nb and nb <= 2 * na").select("a", "b").distinct()
-    la = reps.select(F.col("item").alias("a"), F.col("lines").alias("_la"), F.col("files").alias("_fa"))
-    lb = reps.select(F.col("item").alias("b"), F.col("lines").alias("_lb"), F.col("files").alias("_fb"))
-    checked = cand.join(la, "a").join(lb, "b").withColumn("common", F.size(F.array_intersect("_la", "_lb"))).withColumn(
-        "combined", F.size("_la") + F.size("_lb") - F.col("common")).filter("common * 2 >= combined")
+    cand = materialise(left.join(right, "line").filter("a < b and na <= 2 * nb and nb <= 2 * na").select("a", "b", "na", "nb").distinct())
+    la = lines.select(F.col("item").alias("a"), "line")
+    lb = lines.select(F.col("item").alias("b"), "line")
+    shared = cand.join(la, "a").join(lb, ["b", "line"]).groupBy("a", "b", "na", "nb").agg(F.count("*").alias("common"))
+    close = shared.withColumn("combined", F.col("na") + F.col("nb") - F.col("common")).filter("common * 2 >= combined")
+    fa, fb = reps.select(F.col("item").alias("a"), F.col("files").alias("_fa")), reps.select(F.col("item").alias("b"), F.col("files").alias("_fb"))
+    close = close.join(fa, "a").join(fb, "b")
     swap = F.struct(-F.col("_fa"), F.col("a")) > F.struct(-F.col("_fb"), F.col("b"))
-    between = checked.select(F.when(swap, F.col("b")).otherwise(F.col("a")).alias("a"), F.when(swap, F.col("a")).otherwise(F.col("b")).alias("b"),
-                             F.col("common").cast("bigint"), F.col("combined").cast("bigint"))
-    return between
+    return close.select(F.when(swap, F.col("b")).otherwise(F.col("a")).alias("a"), F.when(swap, F.col("a")).otherwise(F.col("b")).alias("b"), "common", "combined")
 
 
-def dedup_sets(sets: DataFrame, max_rounds: int | None = None) -> DataFrame:
+def dedup_sets(sets: DataFrame) -> DataFrame:
     """Items kept when, from most files to fewest, an item is dropped if a kept earlier one is similar.
 
     Copies of one set are dropped up front (the first stays or falls for all). The greedy pass runs in
-    rounds over the similar pairs: an item without undecided earlier neighbour is kept, its later
+    rounds over the similar pairs: an item without an undecided earlier neighbour is kept, its later
     neighbours are dropped. Each round decides at least the first undecided item of every chain.
     """
-    files = sets.groupBy("item").agg(F.max("files").alias("files"), F.sort_array(F.collect_set("line")).alias("_lines"))
-    reps = files.groupBy("_lines").agg(F.min(F.struct((-F.col("files")).alias("m"), "item")).alias("r")).select(F.col("r.item").alias("item"))
-    undecided = materialise(reps)
+    undecided = materialise(_representatives(sets).select("item"))
     pairs = materialise(similar_pairs(sets).select("a", "b"))
-    kept = None
-    rounds = 0
+    kept = undecided.limit(0)
     while not undecided.isEmpty():
         blocked = pairs.select(F.col("b").alias("item")).distinct()
         free = materialise(undecided.join(blocked, "item", "left_anti"))
-        kept = free if kept is None else kept.unionByName(free)
+        kept = kept.unionByName(free)
         dropped = pairs.join(free.withColumnRenamed("item", "a"), "a", "left_semi").select(F.col("b").alias("item")).distinct()
         undecided = materialise(undecided.join(free, "item", "left_anti").join(dropped, "item", "left_anti"))
-        gone = undecided.select("item")
-        pairs = materialise(pairs.join(gone.withColumnRenamed("item", "a"), "a", "left_semi").join(
-            gone.withColumnRenamed("item", "b"), "b", "left_semi"))
-        rounds += 1
-        if max_rounds is not None and rounds >= max_rounds:
-            raise RuntimeError("the greedy pass did not settle")
-    return kept if kept is not None else undecided
+        pairs = materialise(pairs.join(undecided.withColumnRenamed("item", "a"), "a", "left_semi").join(
+            undecided.withColumnRenamed("item", "b"), "b", "left_semi"))
+    return kept
