@@ -24,7 +24,7 @@ from questlog.operators import timelines as TL
 from questlog.operators.scan import seq
 from questlog.plans import adapters as A
 from questlog.plans import log_queries as L
-from questlog.operators.attribution import folder_character
+from questlog.operators.attribution import attribute, folder_character
 from questlog.session import materialise, scratch_path
 from questlog.sources import legacy, sinks
 from questlog.sources.dimensions import read_bestiary_xml
@@ -450,11 +450,10 @@ def manifest_update(spark, d):
 
 
 def tail_scan(spark, d):
-    """The second half (by bytes) of each rendered file, attributed as in a full scan."""
-    from questlog.operators.attribution import attribute
+    """Files whose first half was read before: the lines from the old length on, attributed as in a full scan."""
     lines = materialise(IN.with_byte_offsets(A.render_log(spark, d)))
-    sizes = lines.groupBy("path").agg(F.max(F.col("byte_pos") + F.octet_length("content") + 1).alias("length"))
-    plan = sizes.select("path", F.lit("tail").alias("action"), F.floor(F.col("length") / 2).alias("offset"))
+    middle = lines.groupBy("path").agg(((F.min("line_no") + F.max("line_no")) / 2).alias("_mid"))
+    plan = lines.join(middle, "path").filter("line_no >= _mid").groupBy("path").agg(F.min("byte_pos").alias("offset")).withColumn("action", F.lit("tail"))
     return IN.tail_lines(attribute(parse_lines(lines)), plan).select("path", "line_no", "character")
 
 

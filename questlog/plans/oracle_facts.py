@@ -514,6 +514,8 @@ ORACLES = {
     "bestiary_writer": "WITH z AS (SELECT 1)" + BEAST_X + "SELECT name, family, value, '20260520' AS version FROM be",
     "write_tables": KILLS + f"SELECT character, creature, date[1:13] AS hour, {COUNTERS} FROM kev WHERE {IS_KILL} GROUP BY ALL",
     "csv_export": KILLS + """SELECT '"' || creature || '",' || character || ',' || killed_count AS value FROM k""",
+    "tail_scan": LOG + """SELECT path, line_no, character FROM att JOIN (SELECT path, (min(line_no) + max(line_no)) / 2.0 AS mid FROM ln GROUP BY path) USING (path)
+        WHERE line_no >= mid""",
     "stream_attribute": LOG + "SELECT path, line_no, character FROM att",
     "import_characters": f"""WITH meta(trainer, profession, multiplier, parts) AS (VALUES {_META}), c AS (SELECT *, replace(c_name, '#', ' ') AS nm, c_custkey % 11 = 5 AS bad FROM customer)
         , t AS (SELECT o_custkey, ({_T})[o_orderkey % {_NT} + 1] AS trainer, count(*) + 1 AS eff FROM orders WHERE o_orderstatus = 'F' GROUP BY ALL)
