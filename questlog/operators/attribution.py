@@ -40,10 +40,10 @@ def attribute(parsed: DataFrame, folders: DataFrame | None = None, keep_unknown:
     have no character and are dropped unless keep_unknown is set.
     """
     folders = folder_character(parsed) if folders is None else folders
-    scanned = prefix_scan(parsed, ["path"], ["line_no"],
-                          {"_last_ts": ("last", F.col("ts")), "_active": ("last", F.col("welcome"))}, FILE_BLOCKS)
-    unit = [c for c in folders.columns if c != "folder_character"]
-    out = _filled(scanned).join(folders, unit, "left")
+    # the folder's fallback joins the block summaries, not the lines
+    scanned = prefix_scan(parsed, ["root_no", "folder", "path"], ["line_no"],
+                          {"_last_ts": ("last", F.col("ts")), "_active": ("last", F.col("welcome"))}, FILE_BLOCKS, attach=folders)
+    out = _filled(scanned)
     out = out.withColumn("folder_character", F.when(~F.col("loose"), F.col("folder_character")))
     out = out.withColumn("character", F.coalesce("_active", "folder_character")).drop("_last_ts", "_active")
     return out if keep_unknown else out.filter(F.col("character").isNotNull())

@@ -46,10 +46,12 @@ _MERGE = {
 
 
 def prefix_scan(df: DataFrame, keys: list[str], order: list[str], values: dict[str, tuple[str, Column]],
-                blocks: list[list[str]] = (), inclusive: bool = True) -> DataFrame:
+                blocks: list[list[str]] = (), inclusive: bool = True, attach: DataFrame | None = None) -> DataFrame:
     """Add, per row, the running 'last' (non-null), 'sum' or 'max' of earlier rows of the same key.
 
     `values` maps a new column to (how, expression). With inclusive=False the row itself does not count.
+    `attach` is a table keyed by some of `keys`: its columns travel with the block summaries, so the rows
+    themselves are not shuffled once more for it.
     """
     group = [*keys, *[c for level in blocks for c in level]]
     frame = (Window.partitionBy(*group).orderBy(*order)
@@ -64,6 +66,11 @@ def prefix_scan(df: DataFrame, keys: list[str], order: list[str], values: dict[s
     before = prefix_scan(blocks_df, keys, blocks[-1], {f"_c_{n}": (how, F.col(f"_b_{n}")) for n, (how, _) in values.items()},
                          blocks[:-1], inclusive=False)
     before = before.select(*group, *[f"_c_{n}" for n in values])
+    extra = []
+    if attach is not None:
+        on = [c for c in attach.columns if c in keys]
+        extra = [c for c in attach.columns if c not in keys]
+        before = before.join(attach, on, "left")
     out = here.join(before, group, "left")
     merged = {n: _MERGE[how](F.col(n), F.col(f"_c_{n}")) for n, (how, _) in values.items()}
-    return out.select(*[c for c in df.columns if c not in values], *[merged[n].alias(n) for n in values])
+    return out.select(*[c for c in df.columns if c not in values], *extra, *[merged[n].alias(n) for n in values])

@@ -1,5 +1,8 @@
 """Grammar cases: message, kind, some fields."""
 
+import pytest
+
+from questlog.functions import grammar
 from questlog.functions.grammar import classify
 
 CASES = [
@@ -52,7 +55,10 @@ CASES = [
 ]
 
 
-def test_grammar(spark):
+@pytest.mark.parametrize("limit", [1000, 1])
+def test_grammar(spark, monkeypatch, limit):
+    """With a catalogue that fits the limit, and with one that has to be joined."""
+    monkeypatch.setattr(grammar, "CATALOGUE_LIMIT", limit)
     messages = spark.createDataFrame([("You feel stronger.", "Darkus"), ("You feel lighter", "Atkus")], "message string, trainer string")
     df = spark.createDataFrame([(i, m) for i, (m, *_) in enumerate(CASES)], "i int, message string")
     got = {r["i"]: r for r in classify(df, "message", messages).collect()}

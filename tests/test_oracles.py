@@ -34,6 +34,23 @@ def test_kill_rollup_aggregates_by_hash_with_map_side_combining(spark):
     assert plan.count("HashAggregate") == 2 and "SortAggregate" not in plan
 
 
+def test_lines_are_shuffled_once(spark):
+    """Attribution and classification move each line once, by file block; lookups go to the block summaries."""
+    from questlog.functions.grammar import classify
+    from questlog.operators.attribution import attribute
+    from questlog.plans.adapters import parsed_log, trainer_messages
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        ev = classify(attribute(parsed_log(spark, SF)), "message", trainer_messages(spark))
+        plan = ev._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    moved = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    main = plan[plan.index("Window"):]
+    assert moved and "hashpartitioning(root_no" in main.split("Exchange", 1)[1][:60]
+    assert not any("_key" in line for line in moved)
+
+
 def test_kill_scan_reads_only_the_columns_it_needs(spark):
     from questlog.plans.adapters import kill_events
     plan = kill_events(spark, SF).select("character")._jdf.queryExecution().executedPlan().toString()
