@@ -145,10 +145,9 @@ def valid_character_name(c: Column | str) -> Column:
 def legacy_date(c: Column | str) -> Column:
     """Seconds since 2001-01-01 as 'YYYY-MM-DD'; 0, NaN and NULL give NULL."""
     c = col(c).cast("double")
-    return F.when(
-        c.isNotNull() & (c != 0) & ~F.isnan(c),
-        F.date_format(F.timestamp_seconds((c + LEGACY_EPOCH_OFFSET).cast("bigint")), "yyyy-MM-dd"),
-    )
+    seconds = (c + LEGACY_EPOCH_OFFSET).cast("bigint")  # by day number, so the session's zone plays no part
+    return F.when(c.isNotNull() & (c != 0) & ~F.isnan(c),
+                  F.date_from_unix_date(F.floor(seconds / 86400).cast("int")).cast("string"))
 
 
 def version_from_filename(path: Column | str) -> Column:

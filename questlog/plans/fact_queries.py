@@ -501,7 +501,7 @@ def import_kills(spark, d):
 def _imported(spark, d):
     c = A.table(spark, d, "customer")
     o = A.table(spark, d, "orders")
-    t = o.select(F.col("o_custkey").alias("ZRELATIONSHIP"), F.col("o_orderkey"), (F.unix_timestamp("o_orderdate") - 978307200).cast("double").alias("z"), "o_orderpriority", "o_orderstatus")
+    t = o.select(F.col("o_custkey").alias("ZRELATIONSHIP"), F.col("o_orderkey"), (F.datediff("o_orderdate", F.lit("2001-01-01")) * 86400).cast("double").alias("z"), "o_orderpriority", "o_orderstatus")
     characters = c.select(
         F.col("c_custkey").alias("Z_PK"),
         F.when(F.col("c_custkey") % 11 == 5, F.concat(F.lit("bad/"), "c_name")).otherwise(F.translate("c_name", "#", " ")).alias("ZCHARACTERNAME"),
