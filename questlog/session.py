@@ -5,10 +5,12 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
+_WRITTEN: dict[int, str] = {}
 
 
 def local_session(app: str = "questlog", cpus: str | None = None, partitions: int = 8) -> SparkSession:
@@ -27,15 +29,16 @@ def local_session(app: str = "questlog", cpus: str | None = None, partitions: in
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a scratch one only where none is configured."""
+    """The cluster's checkpoint folder. Only a session inside one process may fall back to a folder of this machine."""
     sc = spark.sparkContext
     configured = spark.conf.get(CHECKPOINT_DIR, None) or sc.getConf().get(CHECKPOINT_DIR, None)
     current = sc.getCheckpointDir()
     if current:
         return current
-    target = configured or tempfile.mkdtemp(prefix="spark-ckpt-")
-    sc.setCheckpointDir(target)
-    return target
+    if not configured and not (sc.master == "local" or sc.master.startswith("local[")):
+        raise RuntimeError(f"set {CHECKPOINT_DIR} to a folder that the driver and all executors share")
+    sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="spark-ckpt-"))
+    return sc.getCheckpointDir()
 
 
 def scratch_path(spark: SparkSession) -> str:
@@ -52,4 +55,17 @@ def materialise(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     target = scratch_path(spark)
     df.write.parquet(target)
-    return spark.read.schema(df.schema).parquet(target)
+    out = spark.read.schema(df.schema).parquet(target)
+    _WRITTEN[id(out)] = target
+    weakref.finalize(out, _WRITTEN.pop, id(out), None)
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete tables that `materialise` wrote, once nothing reads them any more."""
+    for df in frames:
+        target = _WRITTEN.pop(id(df), None)
+        if target:
+            jvm, hadoop = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+            path = jvm.org.apache.hadoop.fs.Path(target)
+            path.getFileSystem(hadoop).delete(path, True)

@@ -4,9 +4,10 @@ import pytest
 from compare import DATA, compare, duck
 
 import __spark_entry__ as entry
+from questlog.plans import registry
 
 SF = f"{DATA}/sf0.001"
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
+QUERIES, ORACLES = registry.QUERIES, registry.ORACLES
 ROWS_ONLY = {"log_snippets", "item_help"}
 
 
