@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from questlog.llm import mixing, simhash
+from questlog.llm import mixing, packing, simhash
 from questlog.session import materialise
 
 
@@ -32,7 +32,14 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return mixing.mix(items, carry="row").filter("copies > 0").select("row.*")
 
 
-STAGES = [("simhash", simhash_stage), ("mixing", mixing_stage)]
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all kept documents with their places in sequences of 2048 tokens."""
+    import public_tokenizers
+
+    return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+STAGES = [("simhash", simhash_stage), ("mixing", mixing_stage), ("packing", packing_stage)]
 ORACLE_SQL = None
 
 

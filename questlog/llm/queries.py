@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from questlog.llm import mixing, sharding, simhash
+from questlog.llm import bpe, mixing, packing, sharding, simhash
 from questlog.llm.oracles import mixing_sql
 
 
@@ -21,16 +21,30 @@ def op2_mixing(spark, sf_dir):
     return mixed.withColumns({c: F.round(c, 6) for c in ("weight", "rate")})
 
 
+def vocabulary_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op5_token_counts(spark, sf_dir):
+    return bpe.token_table(_read(spark, sf_dir, "documents"), vocabulary_path(), limit=512)
+
+
 def op6_simhash(spark, sf_dir):
     found = simhash.near_duplicates(_read(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op8_packing(spark, sf_dir):
+    return packing.pack_documents(_read(spark, sf_dir, "documents"), vocabulary_path())
+
+
 def op10_sharding(spark, sf_dir):
     return sharding.assign_shards(_read(spark, sf_dir, "documents"), shards=24)
 
 
-QUERIES = {f.__name__: f for f in (op2_mixing, op6_simhash, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op2_mixing, op5_token_counts, op6_simhash, op8_packing, op10_sharding)}
 QUERIES["pipeline"] = corpus_pipeline.run
 ORACLES = {"op2_mixing": mixing_sql()}
 if corpus_pipeline.ORACLE_SQL:
