@@ -8,10 +8,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from questlog.llm import mixing, packing, simhash
+from questlog.llm import langid, mixing, packing, simhash
 from questlog.session import materialise
 
 
+LEAST_SCORE = 0.5
+
+
+def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is recognised: those without a letter, and those for which no language has half of the evidence, go."""
+    model = langid.fit(docs.filter(langid.fold(F.col("doc_id"), 4) != 2).select("doc_id", "text", "lang"))
+    found = docs.select(F.struct("*").alias("row"), langid.predicted(F.col("text"), model, spark).alias("p"))
+    return found.filter((F.col("p.lang_pred") != langid.UNDETERMINED) & (F.col("p.score") >= LEAST_SCORE)).select("row.*")
+
+
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group stays: the one with the smallest doc_id, of rows with that id one text, of repeated rows
     one. Documents without an id stay only where their group has no other. All columns are kept."""
@@ -39,7 +49,7 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
-STAGES = [("simhash", simhash_stage), ("mixing", mixing_stage), ("packing", packing_stage)]
+STAGES = [("language_id", language_stage), ("simhash", simhash_stage), ("mixing", mixing_stage), ("packing", packing_stage)]
 ORACLE_SQL = None
 
 

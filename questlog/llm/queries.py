@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from questlog.llm import bpe, mixing, packing, sharding, simhash
+from questlog.llm import bpe, langid, minhash, mixing, packing, sharding, simhash
 from questlog.llm.oracles import mixing_sql
 
 
@@ -21,6 +21,14 @@ def op2_mixing(spark, sf_dir):
     return mixed.withColumns({c: F.round(c, 6) for c in ("weight", "rate")})
 
 
+def op3_language_id(spark, sf_dir):
+    return langid.identify(_read(spark, sf_dir, "documents"), folds=4, held_out=2)
+
+
+def op4_fingerprints(spark, sf_dir):
+    return minhash.fingerprints(_read(spark, sf_dir, "documents"))
+
+
 def vocabulary_path() -> str:
     import public_tokenizers
 
@@ -44,7 +52,7 @@ def op10_sharding(spark, sf_dir):
     return sharding.assign_shards(_read(spark, sf_dir, "documents"), shards=24)
 
 
-QUERIES = {f.__name__: f for f in (op2_mixing, op5_token_counts, op6_simhash, op8_packing, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op2_mixing, op3_language_id, op4_fingerprints, op5_token_counts, op6_simhash, op8_packing, op10_sharding)}
 QUERIES["pipeline"] = corpus_pipeline.run
 ORACLES = {"op2_mixing": mixing_sql()}
 if corpus_pipeline.ORACLE_SQL:
