@@ -168,7 +168,7 @@ def sequences(packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     kind = StructType([StructField("sequence_id", LongType()), StructField("ids", packed.select(F.array(F.lit(0))).schema[0].dataType),
                        StructField("tokens", IntegerType())])
 
-    def join(key, group: pa.Table) -> pa.Table:
+    def join(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
         group = group.sort_by("offset")
         ids = np.frombuffer(b"".join(group.column("ids").to_pylist()), "<u4").astype(np.int32)
         full = np.zeros(capacity, np.int32)

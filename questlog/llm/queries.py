@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from questlog.llm import bpe, langid, minhash, mixing, packing, sharding, simhash
+from questlog.llm import bpe, langid, lm, minhash, mixing, packing, sharding, simhash
 from questlog.llm.oracles import mixing_sql
 
 
@@ -48,11 +48,15 @@ def op8_packing(spark, sf_dir):
     return packing.pack_documents(_read(spark, sf_dir, "documents"), vocabulary_path())
 
 
+def op9_lm_scores(spark, sf_dir):
+    return lm.score_documents(_read(spark, sf_dir, "documents"), train=langid.fold(F.col("doc_id"), 5) != 1)
+
+
 def op10_sharding(spark, sf_dir):
     return sharding.assign_shards(_read(spark, sf_dir, "documents"), shards=24)
 
 
-QUERIES = {f.__name__: f for f in (op2_mixing, op3_language_id, op4_fingerprints, op5_token_counts, op6_simhash, op8_packing, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op2_mixing, op3_language_id, op4_fingerprints, op5_token_counts, op6_simhash, op8_packing, op9_lm_scores, op10_sharding)}
 QUERIES["pipeline"] = corpus_pipeline.run
 ORACLES = {"op2_mixing": mixing_sql()}
 if corpus_pipeline.ORACLE_SQL:
