@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from questlog.llm import bpe, langid, lm, minhash, mixing, packing, sharding, simhash
+from questlog.llm import bpe, langid, lm, minhash, mixing, packing, pq, sharding, simhash, warc
 from questlog.llm.oracles import mixing_sql
 
 
@@ -14,6 +14,10 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_pq_near_dedup(spark, sf_dir):
+    return pq.near_duplicates(_read(spark, sf_dir, "embeddings"), threshold=0.95)
+
+
 def op2_mixing(spark, sf_dir):
     docs = _read(spark, sf_dir, "documents")
     items = docs.select("doc_id", "source", "lang", mixing.topic_of(F.col("text")).alias("topic"), mixing.token_count(F.col("text")).alias("tokens"))
@@ -44,6 +48,11 @@ def op6_simhash(spark, sf_dir):
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op7_warc_index(spark, sf_dir):
+    back = warc.round_trip(_read(spark, sf_dir, "pages"), min_bytes=0)
+    return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op8_packing(spark, sf_dir):
     return packing.pack_documents(_read(spark, sf_dir, "documents"), vocabulary_path())
 
@@ -56,7 +65,7 @@ def op10_sharding(spark, sf_dir):
     return sharding.assign_shards(_read(spark, sf_dir, "documents"), shards=24)
 
 
-QUERIES = {f.__name__: f for f in (op2_mixing, op3_language_id, op4_fingerprints, op5_token_counts, op6_simhash, op8_packing, op9_lm_scores, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_pq_near_dedup, op2_mixing, op3_language_id, op4_fingerprints, op5_token_counts, op6_simhash, op7_warc_index, op8_packing, op9_lm_scores, op10_sharding)}
 QUERIES["pipeline"] = corpus_pipeline.run
 ORACLES = {"op2_mixing": mixing_sql()}
 if corpus_pipeline.ORACLE_SQL:
