@@ -24,13 +24,12 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group stays: the one with the smallest doc_id, of rows with that id one text, of repeated rows
-    one. Documents without an id stay only where their group has no other. All columns are kept."""
+    one. A document without an id stays only where its group has no other. All columns are kept."""
     found = simhash.near_duplicates(docs)
-    chosen = materialise(found.groupBy("component_id").agg(F.min(F.struct("doc_id", F.coalesce("text_hash", F.lit(0)).alias("text_hash"))).alias("keep"))
-                         .filter("component_id is not null").select("keep.*"))
-    text_hash = F.xxhash64("text")
-    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("doc_id"), text_hash.alias("text_hash"))
-    kept = rows.join(chosen, ["doc_id", "text_hash"], "left_semi")
+    chosen = materialise(found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("kept_id"), F.col("text_hash").alias("kept_hash"))).alias("keep"))
+                         .select("keep.kept_id", "keep.kept_hash"))
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("doc_id"), F.xxhash64("text").alias("text_hash"))
+    kept = rows.join(chosen, F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col("text_hash") == F.col("kept_hash")), "left_semi")
     once = Window.partitionBy("doc_id", "text_hash").orderBy("text_hash")
     return kept.withColumn("copy", F.row_number().over(once)).filter("copy = 1").select("row.*")
 

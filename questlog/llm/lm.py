@@ -279,4 +279,6 @@ def score_documents(docs: DataFrame, train: Column) -> DataFrame:
     paired = chunks.groupBy("chunk").cogroup(answers.groupBy("chunk"))
     counted = paired.applyInArrow(_deleted(stats), "key long, count long").groupBy("key").agg(F.sum("count").alias("count")).toArrow()
     weights = mixture_weights(counted.column("key").to_numpy(), counted.column("count").to_numpy())
+    if not stats["train_tokens"]:
+        weights[:] = [0.0, 0.0, 1.0]
     return paired.applyInArrow(_score(stats, weights), SCORED_KIND)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 
-def mixing_sql(share: float = 0.8, rounds: int = 12) -> str:
+def mixing_sql(share: float = 0.8, rounds: int = 40) -> str:
     """Raking unrolled round by round, the scale by cumulative sums over cells in order of their filling points."""
     dims = {"source": 0.5, "lang": 0.7, "topic": 0.8}
     cte = [r"""items AS (SELECT doc_id, coalesce(source, '') AS source, coalesce(lang, '') AS lang,

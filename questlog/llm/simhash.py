@@ -140,10 +140,10 @@ def links(prints: DataFrame, bucket_limit: int = BUCKET_LIMIT) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, bucket_limit: int = BUCKET_LIMIT) -> DataFrame:
-    """doc_id, fp (64 bits as a signed long), text_hash, component_id for every row of `docs` (doc_id, text; other columns are left).
+    """doc_id, fp (64 bits as a signed long), text_hash, root, component_id for every row of `docs` (doc_id, text; other columns are left).
 
-    component_id is the smallest doc_id reachable over links of at most 2 differing bits. Null and blank texts have fingerprint 0 and are
-    linked like any others; null ids are never a component's id unless it holds nothing else; repeated rows each give a row. Equal
+    component_id is the smallest doc_id reachable over links of at most 2 differing bits; root is that component's smallest fingerprint. Null and blank texts have fingerprint 0 and are
+    linked like any others; null ids never name a component (component_id is null where it holds nothing else); repeated rows each give a row. Equal
     fingerprints are one node, so copies cost no links. An empty table gives an empty result.
     """
     signed = materialise(docs.select("doc_id", fingerprint_udf("text").alias("fp"), F.xxhash64("text").alias("text_hash")))
@@ -152,6 +152,6 @@ def near_duplicates(docs: DataFrame, bucket_limit: int = BUCKET_LIMIT) -> DataFr
     joined = components(found)
     rooted = materialise(prints.join(joined, prints["fp"] == joined["node"], "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root")))
     least = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    named = materialise(rooted.join(least, "root").select("fp", "component_id"))
+    named = materialise(rooted.join(least, "root").select("fp", "root", "component_id"))
     discard(found, prints, rooted)
-    return signed.join(named, "fp").select("doc_id", "fp", "text_hash", "component_id")
+    return signed.join(named, "fp").select("doc_id", "fp", "text_hash", "root", "component_id")
