@@ -306,14 +306,10 @@ def message_key(c: Column) -> Column:
     return F.regexp_replace(c, r"\.\z", "")
 
 
-CATALOGUE_LIMIT = 1_000  # messages; the game has some hundred
-
-
 def _trainer_of_message(df: DataFrame, trainer_messages: DataFrame | None) -> DataFrame:
     """Exact catalogue text first, else the text with one final period added or removed.
 
-    A catalogue of checked size becomes one map, looked up only for the lines that need it, so no line is
-    shuffled. A larger one is joined.
+    A left join with the catalogue, one row per text without its final period; lines that need no lookup never match.
     """
     if trainer_messages is None:
         return df.withColumn("_trainer", F.lit(None).cast("string"))
@@ -321,10 +317,6 @@ def _trainer_of_message(df: DataFrame, trainer_messages: DataFrame | None) -> Da
     shorter, longer = F.expr("substring(_body, 1, length(_body) - 1)"), F.concat(body, F.lit("."))
     wanted = F.col("_rule") == SYSTEM_OTHER
     entries = trainer_messages.groupBy(F.col("message").alias("_cat")).agg(F.max("trainer").alias("_name"))
-    if trainer_messages.limit(CATALOGUE_LIMIT + 1).count() <= CATALOGUE_LIMIT:
-        table = entries.agg(F.map_from_entries(F.collect_list(F.struct("_cat", "_name")))).scalar()
-        found = F.coalesce(table[body], F.when(body.endswith("."), table[shorter]).otherwise(table[longer]))
-        return df.withColumn("_trainer", F.when(wanted, found))
     # lines that need no lookup get scattered keys, so that they do not all meet in the partition of the NULL key
     scatter = F.concat(F.lit("\u0000"), F.pmod(F.xxhash64("_m"), F.lit(4096)).cast("string"))
     catalogue = entries.groupBy(message_key(F.col("_cat")).alias("_key")).agg(

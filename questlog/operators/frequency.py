@@ -26,7 +26,7 @@ def kill_frequency(hourly: DataFrame, merge_map: DataFrame | None = None, includ
     hours = hourly.groupBy(*keys, "hour").agg(*[c.alias(v) for v, c in per_verb.items()])
     total = sum((F.col(v) for v in VERBS), F.lit(0))
     hours = hours.withColumn("n", total).withColumn("day", F.substring("hour", 1, 10)).withColumn(
-        "at", F.unix_timestamp(F.to_timestamp(F.concat("hour", F.lit(":00:00")))))
+        "at", F.coalesce(F.unix_timestamp(F.try_to_timestamp(F.concat("hour", F.lit(":00:00")), F.lit("yyyy-MM-dd HH:mm:ss"))), F.lit(0)))
     days = Window.partitionBy(*keys, "day")
     span = Window.partitionBy(*keys).orderBy("at").rangeBetween(-(TWO_HOURS - 1), 0)
     facts = hours.withColumn("day_n", F.sum("n").over(days)).withColumn("span_n", F.sum("n").over(span)).withColumn(

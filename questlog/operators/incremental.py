@@ -64,11 +64,17 @@ def update_manifest(manifest: DataFrame, plan: DataFrame, read_at: str) -> DataF
 
 
 def with_byte_offsets(lines: DataFrame) -> DataFrame:
-    """Byte position of each line's start, for files with LF line ends; scanned in blocks like every running value."""
+    """Byte position of each line's start in its file; scanned in blocks like every running value.
+
+    `raw_len` and `head_len` of `decode_lines(positions=True)` give it for any encoding and line ends. Lines without them count as UTF-8
+    with LF line ends, as the rendered log has.
+    """
     from questlog.operators.scan import FILE_BLOCKS, line_block, prefix_scan
     sized = lines.withColumn("line_block", line_block())
-    return prefix_scan(sized, ["path"], ["line_no"], {"byte_pos": ("sum", (F.octet_length("content") + 1).cast("bigint"))},
-                       FILE_BLOCKS, inclusive=False)
+    raw = "raw_len" in lines.columns
+    size = F.col("raw_len") if raw else (F.octet_length("content") + 1).cast("bigint")
+    out = prefix_scan(sized, ["path"], ["line_no"], {"byte_pos": ("sum", size)}, FILE_BLOCKS, inclusive=False)
+    return out.withColumn("byte_pos", F.coalesce("byte_pos", F.lit(0)) + F.col("head_len")).drop("raw_len", "head_len") if raw else out
 
 
 def tail_lines(attributed: DataFrame, plan: DataFrame) -> DataFrame:

@@ -68,14 +68,23 @@ def merged_lastys(lastys: DataFrame, mapping: DataFrame) -> DataFrame:
         F.max("last_seen").alias("last_seen"), F.max("completed").alias("completed"), F.max("abandoned").alias("abandoned"))
 
 
-def merged_characters(characters: DataFrame, mapping: DataFrame) -> DataFrame:
-    """Sums of every counter, earliest start date."""
-    skip = {"character", "merged_into", "start_date", "profession"}
+def merged_characters(characters: DataFrame, mapping: DataFrame, levels: DataFrame | None = None) -> DataFrame:
+    """Sums of every counter, earliest start date, catches of fish added up by kind.
+
+    A coin level is no counter: `levels(character, coin_level)`, computed over the merged kills, gives that of each target.
+    """
+    skip = {"character", "merged_into", "start_date", "profession", "coin_level"}
     counters = [c for c, t in characters.dtypes if t in ("bigint", "int") and c not in skip]
     aggs = [F.sum(c).alias(c) for c in counters]
     if "start_date" in characters.columns:
         aggs.append(F.min("start_date").alias("start_date"))
-    return _retarget(characters, mapping).groupBy(F.col("target").alias("character")).agg(*aggs, F.count("*").alias("members"))
+    rows = _retarget(characters, mapping)
+    out = rows.groupBy(F.col("target").alias("character")).agg(*aggs, F.count("*").alias("members"))
+    if "fishing_catches" in characters.columns:
+        kinds = rows.select(F.col("target").alias("character"), F.explode("fishing_catches").alias("fish", "n")).groupBy("character", "fish").agg(F.sum("n").alias("n"))
+        catches = kinds.groupBy("character").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("fish", "n")))).alias("fishing_catches"))
+        out = out.join(catches, "character", "left")
+    return out if levels is None else out.join(levels.select("character", "coin_level"), "character", "left")
 
 
 def merge_violations(requests: DataFrame, characters: DataFrame, trainers: DataFrame) -> DataFrame:

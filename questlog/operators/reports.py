@@ -26,11 +26,15 @@ def one_decimal(c: Column) -> Column:
     return F.round(c * 10) / 10
 
 
+GRID_BUCKETS = 16
+
+
 def per_entry(df: DataFrame, catalogue: DataFrame) -> DataFrame:
-    """Every row of `df` with every row of a closed catalogue (families, trainers): the catalogue becomes one
-    array, as a scalar subquery, and is unfolded next to each row."""
-    entries = catalogue.agg(F.collect_list(F.struct(*catalogue.columns))).scalar()
-    return df.select("*", F.explode(entries).alias("_e")).select(*df.columns, "_e.*")
+    """Every row of `df` with every row of a catalogue, for reports whose result is that grid: the catalogue is dealt into
+    buckets and each row of `df` meets every bucket in an equi-join, so that neither side is gathered."""
+    dealt = catalogue.withColumn("_bucket", F.pmod(F.xxhash64(*catalogue.columns[:1]), F.lit(GRID_BUCKETS)).cast("int"))
+    asked = df.select("*", F.explode(F.sequence(F.lit(0), F.lit(GRID_BUCKETS - 1))).alias("_bucket"))
+    return asked.join(dealt, "_bucket").drop("_bucket")
 
 
 # --- kills -------------------------------------------------------------------------------------------------
@@ -78,11 +82,11 @@ def kill_facets(kills: DataFrame, bestiary: DataFrame) -> DataFrame:
 
 
 def kill_breakdown(kills: DataFrame, bestiary: DataFrame, by: str) -> DataFrame:
-    """Kills and their share per family or rarity; 'Unknown' where the creature has no entry."""
+    """Kills and their share per family or rarity with kills; 'Unknown' where the creature has no entry."""
     label = {"family": "family_canonical", "rarity": "rarity_canonical"}[by]
     b = labelled(bestiary).select(F.col("name").alias("creature"), F.col(label).alias("_label"))
     per = kills.join(b, "creature", "left").groupBy("character", F.coalesce("_label", F.lit("Unknown")).alias(by)).agg(
-        F.sum(RK.total()).alias("kills"), F.count("*").alias("creatures"))
+        F.sum(RK.total()).alias("kills"), F.count("*").alias("creatures")).filter("kills > 0")
     share = F.try_divide(F.col("kills") * 100.0, F.sum("kills").over(Window.partitionBy("character")))
     return per.withColumn("share", F.round(share, 6))
 

@@ -282,8 +282,8 @@ def scan_report(parsed: DataFrame, events: DataFrame, gated: DataFrame, confirme
     return plain.select("characters", *[v.alias(c) for c, v in files.items()], counted.alias("events_found"))
 
 
-def process_log(df: DataFrame, level: str | None = None, limit: int | None = 200) -> DataFrame:
-    """Newest entries first, at most `limit`; `logged_at` orders them."""
+def process_log(df: DataFrame, level: str | None = None, limit: int | None = None) -> DataFrame:
+    """Newest entries first, at most `limit` if given; `logged_at` orders them."""
     rows = df if level is None else df.filter(F.col("level") == level)
     rows = rows.orderBy(F.desc("logged_at"), F.desc("message"))
     return rows if limit is None else rows.limit(limit)

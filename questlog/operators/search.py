@@ -13,9 +13,14 @@ from questlog.operators.scan import LINE_BLOCK
 TOKEN = r"[\p{L}\p{N}\p{Co}\p{M}]+"
 SNIPPET_TOKENS = 64
 
-# letters with one diacritic -> the bare letter, from the Unicode data of Latin-1 and Latin Extended-A
-_FOLD = {chr(c): unicodedata.normalize("NFD", chr(c))[0] for c in range(0xC0, 0x180)
-         if len(unicodedata.normalize("NFD", chr(c))) > 1}
+def _bare(ch: str) -> str:
+    """A letter without its diacritics; letters that are composed otherwise stay."""
+    first, *marks = unicodedata.normalize("NFD", ch)
+    return first if marks and all(unicodedata.category(m)[0] == "M" for m in marks) else ch
+
+
+# letter with diacritics -> the bare letter, for every letter of the basic plane that Unicode composes that way
+_FOLD = {ch: _bare(ch) for ch in map(chr, range(0xC0, 0xD800)) if _bare(ch) != ch}
 
 
 def fold(c: Column) -> Column:
@@ -30,7 +35,7 @@ def tokens(c: Column) -> Column:
 
 
 def query_tokens(query: str) -> list[str]:
-    bare = "".join(ch for ch in unicodedata.normalize("NFD", query.lower()) if not unicodedata.combining(ch))
+    bare = "".join(_FOLD.get(ch, ch) for ch in query.lower() if unicodedata.category(ch)[0] != "M")
     return re.findall(r"[^\W_]+", bare)
 
 
@@ -77,7 +82,7 @@ def snippet(content: Column, query: str) -> Column:
                     F.when(start + SNIPPET_TOKENS - 1 < F.size(parts), F.lit("...")).otherwise(""))
 
 
-def search(lines: DataFrame, characters: DataFrame | None, query: str, character: str | None = None, limit: int | None = 200,
+def search(lines: DataFrame, characters: DataFrame | None, query: str, character: str | None = None, limit: int | None = None,
            include_speech: bool = False, before: int = 0, after: int = 0) -> DataFrame:
     """Hits in order of file and line, newest first, with their snippet and `before`/`after` context lines.
 

@@ -47,12 +47,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(spark: SparkSession, df: DataFrame) -> DataFrame:
-    """Redistribute a table that comes in fewer files than there are cores; a large table stays as it is."""
-    cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
-
-
 def pick(names: list[str], index: Column) -> Column:
     return F.element_at(F.array(*[F.lit(n) for n in names]), (index + 1).cast("int"))
 
@@ -202,8 +196,8 @@ def _stamp() -> Column:
 @cache  # the plan, not the data
 def render_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(root_no, loose, folder, path, line_no, content): one file per user and week; every tenth user is loose."""
-    ev = _kx(spread(spark, table(spark, sf_dir, "events")))
-    part = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("int").alias("k"), F.concat_ws(" ", "p_name", "p_partkey").alias("creature"))
+    ev = _kx(table(spark, sf_dir, "events"))
+    part = table(spark, sf_dir, "part").filter("p_partkey < 100").select(F.col("p_partkey").cast("int").alias("k"), F.concat_ws(" ", "p_name", "p_partkey").alias("creature"))
     ev = ev.join(part, "k", "left")
     u = F.col("user_id")
     week = F.floor((F.dayofmonth("ts") - 1) / 7) * 7 + 1
@@ -252,7 +246,7 @@ def as_events(df: DataFrame) -> DataFrame:
 @cache  # the plan, not the data
 def kill_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M2: every line item is a kill (or a death) of its customer's group of 30 by part type and brand."""
-    li = spread(spark, table(spark, sf_dir, "lineitem")).select("l_orderkey", "l_partkey", "l_linenumber", "l_returnflag", "l_linestatus", "l_shipdate")
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber", "l_returnflag", "l_linestatus", "l_shipdate")
     o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
     p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), F.concat_ws(" ", "p_type", "p_brand").alias("creature"))
     f = li.join(o, "l_orderkey").join(p, "l_partkey")
@@ -304,7 +298,7 @@ def rank_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 def study_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M5: events as study lines on 50 creatures of the bestiary."""
     ev = _kx(table(spark, sf_dir, "events")).withColumn("b", F.col("k") % 50)
-    part = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("int").alias("b"), F.concat_ws(" ", "p_name", "p_partkey").alias("creature"))
+    part = table(spark, sf_dir, "part").filter("p_partkey < 50").select(F.col("p_partkey").cast("int").alias("b"), F.concat_ws(" ", "p_name", "p_partkey").alias("creature"))
     t = F.col("event_type")
     kind = (F.when(t == "click", F.lit("LastyBeginStudy")).when(t == "view", F.lit("LastyProgress")).when(t == "purchase", F.lit("LastyFinished"))
             .when(t == "error", F.lit("StudyAbandon")).when(F.col("k") < 50, F.lit("LastyCompleted")).otherwise(F.lit("StudyProgress")))

@@ -422,17 +422,17 @@ def log_line_count(spark, d):
 
 
 def log_search(spark, d):
-    hits = SE.search(A.lines_of_conversations(spark, d), None, "De  LA", limit=None)
+    hits = SE.search(A.lines_of_conversations(spark, d), None, "De  LA")
     return hits.select("path", "line_no", "character_name")
 
 
 def log_search_context(spark, d):
-    hits = SE.search(A.lines_of_conversations(spark, d), None, "the of", limit=None, include_speech=True, before=1, after=2)
+    hits = SE.search(A.lines_of_conversations(spark, d), None, "the of", include_speech=True, before=1, after=2)
     return hits.select("path", "line_no", F.array_join("context_before", "|").alias("context_before"), F.array_join("context_after", "|").alias("context_after"))
 
 
 def log_snippets(spark, d):
-    return SE.search(A.lines_of_conversations(spark, d), None, "the of", limit=200, include_speech=True).select("path", "line_no", "snippet")
+    return SE.search(A.lines_of_conversations(spark, d), None, "the of", include_speech=True).select("path", "line_no", "snippet")
 
 
 def scan_plan(spark, d):
@@ -457,15 +457,27 @@ def tail_scan(spark, d):
     return IN.tail_lines(attribute(parse_lines(lines)), plan).select("path", "line_no", "character")
 
 
+def _run(feed_of, src: str) -> None:
+    """Read what has arrived below `src`, in several batches, and stop; a later call goes on from the checkpoint."""
+    q = (feed_of().writeStream.outputMode("append").option("checkpointLocation", src + "/state").format("parquet")
+         .option("path", src + "/out").trigger(availableNow=True).start())
+    q.awaitTermination()
+
+
 def stream_hourly(spark, d):
+    """Two deliveries by time with a restart in between; a heartbeat far ahead closes the last hours."""
     src = scratch_path(spark)
-    A.log_events(spark, d).select("path", "line_no", "character", "creature", "kind", "date").repartition(4).write.mode("overwrite").parquet(src + "/in")
-    feed = spark.readStream.schema("path string, line_no bigint, character string, creature string, kind string, date string").parquet(src + "/in")
-    out = src + "/out"
-    q = (live.stream_hourly(feed).writeStream.outputMode("complete").option("checkpointLocation", src + "/state")
-         .foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(out)).trigger(availableNow=True).start())
-    q.awaitTermination()
-    return spark.read.parquet(out)
+    schema = "path string, line_no bigint, character string, creature string, kind string, date string"
+    rows = A.log_events(spark, d).select("path", "line_no", "character", "creature", "kind", "date")
+    at = F.unix_timestamp(F.try_to_timestamp("date"))
+    middle, last = rows.agg(F.percentile_approx(at, 0.5), F.max(at)).first()
+    feed = lambda: live.stream_hourly(spark.readStream.schema(schema).option("maxFilesPerTrigger", 4).parquet(src + "/in"), lateness="20 days")
+    beat = spark.range(1).select(F.lit("heartbeat").alias("path"), F.lit(0).cast("bigint").alias("line_no"), F.lit("").alias("character"), F.lit("").alias("creature"),
+                                 F.lit("SoloKill").alias("kind"), F.timestamp_seconds(F.lit((last or 0) + 40 * 86400)).cast("string").alias("date"))
+    for part in (rows.filter(F.coalesce(at, F.lit(0)) < (middle or 0)), rows.filter(at >= (middle or 0)), beat):
+        part.write.mode("append").parquet(src + "/in")
+        _run(feed, src)
+    return spark.read.schema("character string, creature string, hour string, solo bigint, assisted bigint").parquet(src + "/out")
 
 
 def majority_vote(spark, d):
@@ -473,12 +485,10 @@ def majority_vote(spark, d):
 
 
 def _sets(spark, d):
-    """Items with line sets that overlap: languages per source, by first letters of the lines."""
-    lines = A.table(spark, d, "documents").select(F.concat_ws("/", "lang", (F.col("doc_id") % 40).cast("string")).alias("item"),
-                                                  F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("line"), "doc_id")
-    lines = lines.filter("line <> ''").select("item", F.substring("line", 1, 2).alias("line"), "doc_id")
-    files = lines.groupBy("item").agg(F.count_distinct("doc_id").alias("files"))
-    return materialise(lines.select("item", "line").distinct().join(files, "item"))
+    """Documents as items with the set of their lines; items of more lines come first."""
+    lines = A.table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("item"), F.explode(F.split("text", "\n")).alias("line")).filter("line <> ''")
+    files = lines.groupBy("item").agg(F.count("*").alias("files"))
+    return materialise(lines.distinct().join(files, "item"))
 
 
 def jaccard_pairs(spark, d):
@@ -582,21 +592,24 @@ def item_help(spark, d):
 
 
 def stream_attribute(spark, d):
-    """Lines of the rendered log as a file stream, attributed with per-file state."""
+    """Lines of the rendered log as a file stream, attributed with per-file state: the first half of every file, a restart, the second half."""
     src = scratch_path(spark)
     lines = A.parsed_log(spark, d)
     folders = folder_character(lines)
     feed_rows = lines.join(folders, ["root_no", "folder"], "left").select(
         "path", "line_no", "welcome", F.when(~F.col("loose"), F.col("folder_character")).alias("folder_character"))
-    feed_rows.repartition(4).write.parquet(src + "/in")
+    middle = feed_rows.groupBy("path").agg(((F.min("line_no") + F.max("line_no")) / 2).alias("_mid"))
+    halves = feed_rows.join(middle, "path").withColumn("_second", F.col("line_no") >= F.col("_mid")).drop("_mid")
     key = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(key)
     spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    feed = lambda: live.stream_attribute(spark.readStream.schema("path string, line_no bigint, welcome string, folder_character string").option(
+        "maxFilesPerTrigger", 4).parquet(src + "/in"))
     try:
-        feed = spark.readStream.schema("path string, line_no bigint, welcome string, folder_character string").parquet(src + "/in")
-        q = (live.stream_attribute(feed).writeStream.outputMode("append").option("checkpointLocation", src + "/state").format("parquet")
-             .option("path", src + "/out").trigger(availableNow=True).start())
-        q.awaitTermination()
+        for second in (False, True):
+            part = halves.filter(F.col("_second") == second).drop("_second")
+            part.repartition("path").sortWithinPartitions("path", "line_no").write.mode("append").parquet(src + "/in")
+            _run(feed, src)
     finally:
         spark.conf.set(key, before)
     return spark.read.parquet(src + "/out").filter("character is not null")

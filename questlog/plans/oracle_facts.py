@@ -291,9 +291,9 @@ WITH f AS (
 """
 
 SETS = """
-WITH w AS (SELECT lang || '/' || (doc_id % 40) AS item, unnest(string_split_regex(lower(text), '[^a-z]+')) AS word, doc_id FROM documents),
-l AS (SELECT item, word[1:2] AS line, doc_id FROM w WHERE word <> ''),
-fc AS (SELECT item, count(DISTINCT doc_id) AS files FROM l GROUP BY item), s AS (SELECT DISTINCT item, line FROM l), n AS (SELECT item, count(*) AS n FROM s GROUP BY item),
+WITH w AS (SELECT CAST(doc_id AS VARCHAR) AS item, unnest(string_split(text, chr(10))) AS line FROM documents),
+l AS (SELECT item, line FROM w WHERE line <> ''),
+fc AS (SELECT item, count(*) AS files FROM l GROUP BY item), s AS (SELECT DISTINCT item, line FROM l), n AS (SELECT item, count(*) AS n FROM s GROUP BY item),
 c AS (SELECT x.item AS p, y.item AS q, count(*) AS common FROM s x JOIN s y USING (line) WHERE x.item < y.item GROUP BY ALL),
 j AS (SELECT p, q, common, np.n + nq.n - common AS combined, fp.files AS fpf, fq.files AS fqf FROM c JOIN n np ON np.item = p JOIN n nq ON nq.item = q
       JOIN fc fp ON fp.item = p JOIN fc fq ON fq.item = q WHERE common * 2 >= np.n + nq.n - common)
@@ -339,7 +339,7 @@ ORACLES = {
         UNION ALL SELECT DISTINCT 'rarity', rarity_canonical, list_position(['Common', 'Medium', 'Rare', 'Unique', 'Exotic', 'GM Only', 'Unknown'], rarity_canonical) - 1 FROM kbl WHERE name IN (SELECT creature FROM k)""",
     **{f"breakdown_{by}": KILLS + f"""SELECT character, {by}, kills, creatures, round(100.0 * kills / nullif(sum(kills) OVER (PARTITION BY character), 0), 6)::DOUBLE AS share FROM (
         SELECT k.character, coalesce(kbl.{by}_canonical, 'Unknown') AS {by}, CAST(sum({TOTAL}) AS BIGINT) AS kills, count(*) AS creatures
-        FROM k LEFT JOIN kbl ON kbl.name = k.creature GROUP BY ALL)""" for by in ("family", "rarity")},
+        FROM k LEFT JOIN kbl ON kbl.name = k.creature GROUP BY ALL) WHERE kills > 0""" for by in ("family", "rarity")},
     "encountered": with_kills(LASTYS) + f"SELECT character, creature FROM k WHERE {TOTAL} + killed_by_count > 0 UNION SELECT character, creature FROM la",
     "bestiary_completion": KILLS + f""", seen AS (SELECT DISTINCT character, creature FROM k WHERE {TOTAL} + killed_by_count > 0)
         , who AS (SELECT DISTINCT character FROM seen), fams AS (SELECT family_canonical AS family, count(*) AS total FROM kbl GROUP BY 1 UNION ALL SELECT '*', count(*) FROM kbl)
@@ -495,10 +495,10 @@ ORACLES = {
     "manifest_update": PLAN + """SELECT path, length AS byte_len, '2024-02-01 00:00:00' AS date_read FROM plan WHERE action IN ('scan', 'tail')
         UNION ALL SELECT f.path, CASE WHEN i = 1 THEN f.length WHEN i IN (2, 3) THEN f.length // 2 ELSE 0 END, '2024-01-01 00:00:00' FROM f JOIN plan USING (path) WHERE i > 0 AND action NOT IN ('scan', 'tail')""",
     "stream_hourly": LOG + """SELECT character, creature, date[1:13] AS hour, count(*) FILTER (kind = 'SoloKill') AS solo, count(*) FILTER (kind = 'AssistedKill') AS assisted
-        FROM att WHERE kind IN ('SoloKill', 'AssistedKill') GROUP BY ALL""",
+        FROM att WHERE kind IN ('SoloKill', 'AssistedKill') AND date <> '' GROUP BY ALL""",
     "majority_vote": """WITH l AS (SELECT source AS item, doc_id, unnest(string_split(text, chr(10))) AS line FROM documents), d AS (SELECT DISTINCT * FROM l WHERE line <> '')
         , f AS (SELECT item, count(DISTINCT doc_id) AS files FROM d GROUP BY 1) SELECT item, line, files FROM d JOIN f USING (item) GROUP BY ALL HAVING count(*) >= ceil(files / 2.0)""",
-    "jaccard_pairs": SETS + """, sig AS (SELECT item, string_agg(line, ' ' ORDER BY line) AS sig FROM s GROUP BY 1)
+    "jaccard_pairs": SETS + """, sig AS (SELECT item, string_agg(line, chr(10) ORDER BY line) AS sig FROM s GROUP BY 1)
         , rep AS (SELECT first(sig.item ORDER BY files DESC, sig.item) AS item FROM sig JOIN fc USING (item) GROUP BY sig)
         SELECT CASE WHEN fpf >= fqf THEN p ELSE q END AS a, CASE WHEN fpf >= fqf THEN q ELSE p END AS b, common, combined FROM j WHERE p IN (SELECT item FROM rep) AND q IN (SELECT item FROM rep)""",
     "jaccard_dedup": SETS.replace("WITH w AS", "WITH RECURSIVE w AS", 1) + """, o AS (SELECT item, row_number() OVER (ORDER BY files DESC, item) AS i FROM fc)

@@ -58,7 +58,10 @@ def import_legacy(tables: dict[str, DataFrame], bestiary_values: DataFrame, trai
     characters = _first_row(kept, ["character"], "Z_PK")
 
     def owned(t: str) -> DataFrame:
-        return tables[t].withColumn("_row", F.monotonically_increasing_id()).join(ids.withColumnRenamed("Z_PK", RELATED[t]), RELATED[t])
+        # rows come in the order of their primary key; without one, in that of their values
+        order = ["Z_PK"] if "Z_PK" in tables[t].columns else sorted(tables[t].columns)
+        rows = tables[t].withColumn("_row", F.struct(*order))
+        return rows.drop("Z_PK").join(ids.withColumnRenamed("Z_PK", RELATED[t]), RELATED[t])
 
     out: dict[str, DataFrame] = {}
     counts = [judged.agg(F.count_if(F.col("_wanted") & F.col("_valid")).alias("n")).select(F.lit("characters_imported").alias("item"), "n"),

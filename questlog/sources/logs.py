@@ -1,6 +1,6 @@
 """Log folders to log lines.
 
-Two readers give the same lines:
+Two readers give the same lines (but for blank lines at the head of a file that is not valid UTF-8, which only the first one leaves out):
 
 * `read_logs` + `decode_lines`: one row per file with its bytes, needed where files are hashed or
   compared with a manifest (incremental ingest);
@@ -37,16 +37,27 @@ def decode_line(raw: Column) -> Column:
         F.translate(F.decode(raw.cast("binary"), "ISO-8859-1"), MAC_BYTES, MAC_CHARS))
 
 
-def decode_lines(files: DataFrame) -> DataFrame:
-    """Rows of (…, content BINARY) to one row per line: (…, line_no BIGINT, content STRING)."""
+LINE_END = r"(?<=\n)|(?<=\r)(?!\n)"
+
+
+def decode_lines(files: DataFrame, positions: bool = False) -> DataFrame:
+    """Rows of (…, content BINARY) to one row per line: (…, line_no BIGINT, content STRING).
+
+    With `positions` also `raw_len`, the line's bytes in the file with its line end, and `head_len`, the bytes before the
+    file's first line: what byte offsets are made of, whatever the encoding and the line ends.
+    """
     rest = [c for c in files.columns if c != "content"]
-    latin = F.regexp_replace(F.decode("content", "ISO-8859-1"), "\r\n?", "\n")
+    pieces = F.split(F.decode("content", "ISO-8859-1"), LINE_END)
+    pieces = F.when((F.size(pieces) > 1) & (F.element_at(pieces, -1) == ""), F.slice(pieces, F.lit(1), F.size(pieces) - 1)).otherwise(pieces)
+    cut = files.select(*rest, pieces.alias("_all"), F.is_valid_utf8(F.col("content").cast("string")).alias("_utf8"))
     # blank lines at the head of a file count only when the whole file is valid UTF-8
-    text = F.when(F.is_valid_utf8(F.col("content").cast("string")), latin).otherwise(F.regexp_replace(latin, "^\n+", ""))
-    lines = F.split(F.regexp_replace(text, "\n\\z", ""), "\n")
-    exploded = files.select(*rest, F.posexplode(lines).alias("_pos", "_latin"))
-    return exploded.select(*rest, F.col("_pos").cast("bigint").alias("line_no"),
-                           decode_line(F.encode("_latin", "ISO-8859-1").cast("string")).alias("content"))
+    first = F.array_position(F.transform("_all", lambda x: x.rlike(r"[^\r\n]")), True).cast("int")
+    kept = F.when(F.col("_utf8") | (first <= 1), F.col("_all")).otherwise(F.slice("_all", first, F.size("_all") - first + 1))
+    head = F.when(F.col("_utf8") | (first <= 1), F.lit(0)).otherwise(F.length(F.array_join(F.slice("_all", F.lit(1), first - 1), "")))
+    exploded = cut.select(*rest, head.cast("bigint").alias("head_len"), F.posexplode(kept).alias("_pos", "_latin"))
+    text = F.regexp_replace("_latin", r"[\r\n]+\z", "")
+    return exploded.select(*rest, F.col("_pos").cast("bigint").alias("line_no"), decode_line(F.encode(text, "ISO-8859-1").cast("string")).alias("content"),
+                           *([F.length("_latin").cast("bigint").alias("raw_len"), "head_len"] if positions else []))
 
 
 def _dir(path: Column) -> Column:

@@ -6,20 +6,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from questlog.functions import scalars as S
-from questlog.operators.reports import csv_lines
 
 # layout of the derived tables: the big ones are split by a hash of the character, so that a hot character
-# never decides a file's size and a report on one character reads one bucket
+# never decides a file's size and a report on one character reads one bucket; inside a bucket rows are dealt over `salt` tasks
 BUCKETS = 64
 BUCKETED = {"events", "kill_hourly", "log_lines"}
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    """Text files under the export's quoting rule, each with the header line as its first row of the folder."""
-    spark = df.sparkSession
-    header = spark.createDataFrame([(",".join(df.columns),)], "value string")
-    csv_lines(df).write.mode("overwrite").text(f"{path}/rows")
-    header.coalesce(1).write.mode("overwrite").text(f"{path}/header")
+    """CSV files, each with the header line; cells are quoted where they hold a comma, a quote or a line end."""
+    cells = df.select(*[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")).alias(c) for c in df.columns])
+    cells.write.mode("overwrite").option("header", True).option("escape", '"').option("emptyValue", "").csv(path)
 
 
 def write_bestiary(bestiary: DataFrame, path: str, source_name: str) -> None:
@@ -28,20 +25,21 @@ def write_bestiary(bestiary: DataFrame, path: str, source_name: str) -> None:
     bestiary.withColumn("version", version).orderBy("name").write.mode("overwrite").json(path)
 
 
-def write_tables(tables: dict[str, DataFrame], path: str) -> None:
-    """One Parquet folder per rollup; large ones in character buckets."""
+def write_tables(tables: dict[str, DataFrame], path: str, buckets: int = BUCKETS, salt: int = 1) -> None:
+    """One Parquet folder per rollup; large ones in character buckets of `salt` files each."""
     for name, df in tables.items():
         if name in BUCKETED:
-            bucketed = df.withColumn("bucket", F.pmod(F.xxhash64("character"), F.lit(BUCKETS)))
-            bucketed.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/{name}")
+            bucketed = df.withColumn("bucket", F.pmod(F.xxhash64("character"), F.lit(buckets)))
+            dealt = bucketed.repartition("bucket", F.pmod(F.xxhash64(*df.columns), F.lit(salt))) if salt > 1 else bucketed.repartition("bucket")
+            dealt.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/{name}")
         else:
             df.write.mode("overwrite").parquet(f"{path}/{name}")
 
 
-def read_table(spark: SparkSession, path: str, name: str, character: str | None = None) -> DataFrame:
+def read_table(spark: SparkSession, path: str, name: str, character: str | None = None, buckets: int = BUCKETS) -> DataFrame:
     df = spark.read.parquet(f"{path}/{name}")
     if name in BUCKETED:
         if character is not None:
-            df = df.filter(F.col("bucket") == F.pmod(F.xxhash64(F.lit(character)), F.lit(BUCKETS)))
+            df = df.filter(F.col("bucket") == F.pmod(F.xxhash64(F.lit(character)), F.lit(buckets)))
         df = df.drop("bucket")
     return df if character is None else df.filter(F.col("character") == character)

@@ -18,9 +18,10 @@ LATENESS = "1 day"
 def stream_hourly(events: DataFrame, lateness: str = LATENESS) -> DataFrame:
     """Kills per (character, creature, hour) of a stream of classified lines; a line seen twice counts once.
 
-    `events(path, line_no, character, creature, kind, date)`; watermarks need TIMESTAMP, hence the cast.
+    `events(path, line_no, character, creature, kind, date)`; watermarks need TIMESTAMP, hence the cast. Lines without a time belong
+    to no hour. In append mode an hour is given once it is `lateness` old, and its state goes.
     """
-    kills = events.filter(F.col("kind").isin("SoloKill", "AssistedKill")).withColumn("at", F.to_timestamp("date"))
+    kills = events.filter(F.col("kind").isin("SoloKill", "AssistedKill")).withColumn("at", F.try_to_timestamp("date")).filter("at is not null")
     once = kills.withWatermark("at", lateness).dropDuplicatesWithinWatermark(["path", "line_no"])
     return once.groupBy("character", "creature", F.window("at", "1 hour")).agg(
         F.count_if(F.col("kind") == "SoloKill").alias("solo"), F.count_if(F.col("kind") == "AssistedKill").alias("assisted")).select(

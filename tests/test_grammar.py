@@ -2,7 +2,6 @@
 
 import pytest
 
-from questlog.functions import grammar
 from questlog.functions.grammar import classify
 
 CASES = [
@@ -55,13 +54,17 @@ CASES = [
 ]
 
 
-@pytest.mark.parametrize("limit", [1000, 1])
-def test_grammar(spark, monkeypatch, limit):
-    """With a catalogue that fits the limit, and with one that has to be joined."""
-    monkeypatch.setattr(grammar, "CATALOGUE_LIMIT", limit)
+@pytest.mark.parametrize("broadcast", ["10m", "-1"])
+def test_grammar(spark, broadcast):
+    """With a catalogue that Spark may broadcast, and with one that it joins by a shuffle."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
     messages = spark.createDataFrame([("You feel stronger.", "Darkus"), ("You feel lighter", "Atkus")], "message string, trainer string")
     df = spark.createDataFrame([(i, m) for i, (m, *_) in enumerate(CASES)], "i int, message string")
-    got = {r["i"]: r for r in classify(df, "message", messages).collect()}
+    try:
+        got = {r["i"]: r for r in classify(df, "message", messages).collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     wrong = []
     for i, (message, kind, fields) in enumerate(CASES):
         r = got[i]

@@ -94,3 +94,29 @@ def test_updates_equal_a_rescan(spark):
         assert sorted(map(str, a.select(*sorted(a.columns)).collect())) == sorted(map(str, b.select(*sorted(b.columns)).collect()))
         a, b = IN.fold_hourly(kill_hourly(old), kill_hourly(new)), kill_hourly(whole)
         assert sorted(map(str, a.select(*sorted(a.columns)).collect())) == sorted(map(str, b.select(*sorted(b.columns)).collect()))
+
+
+def test_undated_hours_stand_in_1970(spark):
+    from questlog.operators.frequency import kill_frequency
+    from questlog.operators.rollups import COUNTERS
+    rows = [("A", "Rat", " 00", *([1] + [0] * (len(COUNTERS) - 1))), ("A", "Rat", "2024-01-01 05", *([2] + [0] * (len(COUNTERS) - 1)))]
+    df = spark.createDataFrame(rows, "character string, creature string, hour string, " + ", ".join(f"{c} bigint" for c in COUNTERS))
+    r = kill_frequency(df).first()
+    assert (r["best_2h_count"], r["best_2h_start"]) == (2, "2024-01-01 05:00")
+
+
+def test_merged_levels_are_not_added(spark):
+    from questlog.operators.merge import merged_characters
+    people = spark.createDataFrame([("A", None, 100, 3, {"Trout": 1}), ("B", "A", 300, 4, {"Trout": 2, "Eel": 5})],
+                                   "character string, merged_into string, coin_level bigint, logins bigint, fishing_catches map<string,bigint>")
+    mapping = spark.createDataFrame([("A", "A"), ("B", "A")], "name string, target string")
+    levels = spark.createDataFrame([("A", 250)], "character string, coin_level bigint")
+    assert merged_characters(people, mapping, levels).first().asDict() == {"character": "A", "logins": 7, "members": 2, "fishing_catches": {"Trout": 3, "Eel": 5}, "coin_level": 250}
+
+
+def test_search_folds_letters_with_several_marks(spark):
+    from questlog.operators.search import search
+    lines = spark.createDataFrame([("f", 1, "nói tiếng Việt", "A"), ("f", 2, "noi tieng khac", "A"), ("f", 3, "한국어 が", "A")], "path string, line_no bigint, content string, character string")
+    assert {r["line_no"] for r in search(lines, None, "tiếng").collect()} == {1, 2}
+    assert [r["snippet"] for r in search(lines, None, "tieng viet").collect()] == ["nói <mark>tiếng Việt</mark>"]
+    assert [r["line_no"] for r in search(lines, None, "한국어 が").collect()] == [3]

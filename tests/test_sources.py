@@ -117,3 +117,25 @@ def test_legacy_date(spark):
     df = spark.createDataFrame([(0.0,), (float("nan"),), (None,), (86400.5,)], "z double").select(S.legacy_date("z").alias("d"))
     assert [r["d"] for r in df.collect()] == [None, None, None, "2001-01-02"]
     assert datetime.date(2001, 1, 2).isoformat() == "2001-01-02"
+
+
+def test_tail_offsets_are_bytes_of_the_file(spark):
+    """LF, CRLF and single-byte files: the lines from the old length on, and no others."""
+    from questlog.operators.incremental import tail_lines, with_byte_offsets
+    old = {"lf": "één\ntwo\n".encode(), "crlf": "één\r\ntwo\r\n".encode(), "mac": b"\n\r\xe9\xe9n\rtwo\r", "blank": "\n\nx\n".encode()}
+    new = {k: v + "three\nfour\n".encode() for k, v in old.items()}
+    files = spark.createDataFrame([(k, bytearray(v)) for k, v in new.items()], "path string, content binary")
+    plan = spark.createDataFrame([(k, "tail", len(v)) for k, v in old.items()], "path string, action string, offset bigint")
+    lines = with_byte_offsets(decode_lines(files, positions=True))
+    got = {}
+    for r in tail_lines(lines, plan).orderBy("line_no").collect():
+        got.setdefault(r["path"], []).append(r["content"])
+    assert got == {k: ["three", "four"] for k in old}
+
+
+def test_csv_files_carry_their_header(spark, tmp_path):
+    from questlog.sources.sinks import write_csv
+    df = spark.createDataFrame([("a,b", 1, None), ('say "x"', 2, "y")], "name string, n int, note string")
+    write_csv(df, str(tmp_path / "out"))
+    back = spark.read.option("header", True).option("escape", '"').csv(str(tmp_path / "out"))
+    assert back.columns == ["name", "n", "note"] and {tuple(r) for r in back.collect()} == {("a,b", "1", None), ('say "x"', "2", "y")}
