@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, IntegerType, LongType, StringType, StructField, StructType
 
 from questlog.llm import ragged
+from questlog.llm.components import components
+from questlog.session import discard, materialise
 
 WIDTH = 5
 PERMUTATIONS = 128
@@ -135,3 +137,114 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     kind = StructType([StructField("doc_id", LongType()), StructField("n_chars", LongType()), *(StructField(c, StringType()) for c in ("edited_sha256", "fingerprint", "edited_fingerprint")),
                        StructField("near_edited", DoubleType()), StructField("near_next", DoubleType())])
     return in_order(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).select("doc_id", "text", "ahead").mapInArrow(_compare, kind)
+
+
+BANDS = 32
+GROUP_LIMIT = 32
+BLOCK = 128
+
+
+def _sets(texts: pa.Array) -> Iterator[np.ndarray]:
+    """Sorted distinct shingle hashes of each text."""
+    for hashes, first in shingles(texts):
+        for k in range(len(first) - 1):
+            yield np.unique(hashes[first[k]:first[k + 1]])
+
+
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard likeness of two sorted sets of hashes."""
+    common = len(np.intersect1d(a, b, assume_unique=True))
+    return common / (len(a) + len(b) - common)
+
+
+def _decoded(column) -> list[np.ndarray]:
+    return [np.frombuffer(x, np.uint64) for x in column.to_pylist()]
+
+
+def links(texts: DataFrame, threshold: float = 0.8, bands: int = BANDS, group_limit: int = GROUP_LIMIT) -> DataFrame:
+    """Verified links (a, b) between the nodes of `texts` (node, text; one row per different text) that connect all candidate pairs with Jaccard >= threshold.
+
+    Candidates agree in one of `bands` bands of the signature. Bands shared by up to `group_limit` texts give their pairs, each verified once. Members of
+    larger groups would give pairs with the square of their number; they are dealt into blocks instead, and a task, which sees two blocks of a group, verifies
+    only pairs that its earlier links do not connect yet, so a crowd of near copies costs about one comparison per member and block.
+    """
+    rows = PERMUTATIONS // bands
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, len(whole), ROWS):
+                batch = whole.slice(at, ROWS)
+                marks = signatures(batch.column(1)).astype(np.uint64)
+                keys = np.zeros((len(batch), bands), np.uint64)
+                for k in range(rows):
+                    keys = ragged.mixed(keys * np.uint64(0x9E3779B97F4A7C15) + marks[:, k:bands * rows:rows])
+                keys = ragged.mixed(keys + np.arange(bands, dtype=np.uint64))
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), bands)), pa.array(keys.ravel().view(np.int64))], names=["node", "key"])
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, len(whole), ROWS):
+                batch = whole.slice(at, ROWS)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in _sets(batch.column(1))], pa.binary())], names=["node", "shingles"])
+
+    @F.arrow_udf(BooleanType())
+    def alike(a: pa.Array, b: pa.Array) -> pa.Array:
+        return pa.array([jaccard(x, y) >= threshold for x, y in zip(_decoded(a), _decoded(b), strict=True)], pa.bool_())
+
+    def compare(left: pa.Table, right: pa.Table) -> pa.Table:
+        nodes = [*left.column("node").to_pylist(), *right.column("r_node").to_pylist()]
+        sets = [*_decoded(left.column("shingles")), *_decoded(right.column("r_shingles"))]
+        root = list(range(len(nodes)))
+        same = {}
+
+        def find(i: int) -> int:
+            while root[i] != i:
+                root[i] = root[root[i]]
+                i = root[i]
+            return i
+
+        for i, n in enumerate(nodes):
+            root[i] = same.setdefault(n, i)
+        found = []
+        for i in range(len(left)):
+            for j in range(len(left), len(nodes)):
+                a, b = find(i), find(j)
+                if a != b and jaccard(sets[i], sets[j]) >= threshold:
+                    root[max(a, b)] = min(a, b)
+                    found.append((nodes[i], nodes[j]))
+        return pa.table({"a": pa.array([f[0] for f in found], pa.int64()), "b": pa.array([f[1] for f in found], pa.int64())})
+
+    keyed = materialise(texts.select("node", "text").mapInArrow(sign, "node long, key long"))
+    shared = materialise(keyed.join(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("members")).filter("members > 1"), "key"))
+    candidates = texts.select("node", "text").join(shared.select("node").distinct(), "node", "left_semi")
+    sets = materialise(candidates.mapInArrow(gather, "node long, shingles binary"))
+    small = shared.filter(F.col("members") <= group_limit)
+    pairs = small.select("key", F.col("node").alias("a")).join(small.select("key", F.col("node").alias("b")), "key").filter("a < b").select("a", "b").distinct()
+    verified = (pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
+                .filter(alike(F.col("sa"), F.col("sb"))).select("a", "b"))
+    crowd = shared.filter(F.col("members") > group_limit).withColumn("blocks", F.ceil(F.col("members") / F.lit(BLOCK)).cast("int")).withColumn("own", F.pmod(F.xxhash64("node"), "blocks").cast("int")).join(sets, "node")
+    crowd = materialise(crowd.select("key", "node", "own", "blocks", "shingles"))
+    left = crowd.withColumn("other", F.explode(F.sequence(F.col("own"), F.col("blocks") - 1))).select("key", "own", "other", "node", "shingles")
+    right = crowd.withColumn("first", F.explode(F.sequence(F.lit(0), F.col("own")))).select(
+        F.col("key").alias("r_key"), F.col("first").alias("r_own"), F.col("own").alias("r_other"), F.col("node").alias("r_node"), F.col("shingles").alias("r_shingles"))
+    crowded = left.groupBy("key", "own", "other").cogroup(right.groupBy("r_key", "r_own", "r_other")).applyInArrow(compare, "a long, b long")
+    found = materialise(verified.unionByName(crowded).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    discard(keyed, shared, sets, crowd)
+    return found
+
+
+def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = BANDS, group_limit: int = GROUP_LIMIT) -> DataFrame:
+    """doc_id, node, component_id for every row of `docs` (doc_id, text; other columns are left): documents whose sets of five-word shingles have Jaccard likeness of at
+    least `threshold` are linked, component_id is the smallest doc_id reachable.
+
+    Equal texts are one node (a 64-bit hash of the text). Null is an empty text; texts without words have one common shingle and so are alike. Null ids never
+    name a component. Repeated rows each give a row. An empty table gives an empty result. A pair at the threshold shares no band with a probability below 1e-7.
+    """
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("node", F.xxhash64("text"))
+    nodes = materialise(rows.groupBy("node").agg(F.min("doc_id").alias("least_id")))
+    texts = rows.select("node", "text").dropDuplicates(["node"])
+    joined = components(links(texts, threshold, bands, group_limit))
+    rooted = materialise(nodes.join(joined, "node", "left").select("node", "least_id", F.coalesce("root", "node").alias("root")))
+    named = materialise(rooted.join(rooted.groupBy("root").agg(F.min("least_id").alias("component_id")), "root").select("node", "component_id"))
+    discard(nodes, rooted)
+    return rows.select("doc_id", "node").join(named, "node")

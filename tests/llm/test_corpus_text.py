@@ -218,6 +218,29 @@ def test_fingerprints(docs, corpus):
     assert [r["near_next"] for r in minhash.fingerprints(docs.filter("doc_id = 0")).collect()] == [1.0]
 
 
+@pytest.mark.parametrize(("limit", "block"), [(32, 128), (1, 4)])
+def test_near_duplicates_by_bands(spark, monkeypatch, limit, block):
+    """Every pair at 0.8 or more is joined and none below, with pairs and with blocks of crowded bands."""
+    monkeypatch.setattr(minhash, "BLOCK", block)
+    rng = random.Random(11)
+    base = [_text(rng, 80) for _ in range(40)]
+    rows = list(base)
+    for t in base[:15]:
+        for _ in range(6):
+            w = t.split()
+            for _ in range(rng.randint(0, 3)):
+                w[rng.randrange(len(w))] = "changed"
+            rows.append(" ".join(w))
+    rows += [base[0], base[0], None, "", " ", "one two"]
+    docs = spark.createDataFrame(list(enumerate(rows)) + [(None, base[1])], "doc_id long, text string").repartition(3)
+    sets = [_shingles(t or "") for t in rows]
+    likeness = {(i, j): len(sets[i] & sets[j]) / len(sets[i] | sets[j]) for i in range(len(rows)) for j in range(i)}
+    want = _roots(range(len(rows)), [p for p, x in likeness.items() if x >= 0.8])
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(docs, group_limit=limit).collect()}
+    assert got.pop(None) == want[1] and got == want
+    assert minhash.near_duplicates(docs.limit(0)).collect() == []
+
+
 def test_signatures_estimate_jaccard():
     rng = random.Random(2)
     a = [_text(rng, 200) for _ in range(30)]
