@@ -58,8 +58,8 @@ def _normalised(targets: DataFrame) -> DataFrame:
 def rake(cells: DataFrame, targets: DataFrame, max_rounds: int = 40, tolerance: float = 1e-9) -> DataFrame:
     """`cells` with column weight (sums to 1), whose marginals equal the targets within `tolerance`.
 
-    A value without target gets weight 0; a target without cells is given to the others of its dimension in proportion. One written
-    table per round; a round is, for each dimension, one partial aggregate and one join with its few sums.
+    A value without target gets weight 0; a target without cells is given to the others of its dimension in proportion. A round is, for
+    each dimension, one partial aggregate, one join with its few sums and one written table, so that plans stay small.
     """
     total = cells.agg(F.sum("tokens")).first()[0]
     if total is None:
@@ -71,17 +71,16 @@ def rake(cells: DataFrame, targets: DataFrame, max_rounds: int = 40, tolerance:
         present = part if present is None else present.unionByName(part)
     shares = materialise(_normalised(targets.join(present, ["dimension", "value"])))
     for _ in range(max_rounds):
-        step = now.withColumn("off", F.lit(0.0))
-        for d in DIMENSIONS:
+        for i, d in enumerate(DIMENSIONS):
             goal = shares.filter(F.col("dimension") == d).select(F.col("value").alias(d), "target")
-            factors = step.groupBy(d).agg(F.sum("weight").alias("has")).filter("has > 0").join(goal, d).select(
+            factors = now.groupBy(d).agg(F.sum("weight").alias("has")).filter("has > 0").join(goal, d).select(
                 d, (F.col("target") / F.col("has")).alias("factor"))
-            step = step.join(factors, d, "left").withColumn("factor", F.coalesce("factor", F.lit(0.0))).withColumn(
-                "off", F.greatest("off", F.when(F.col("weight") > 0, F.abs(F.col("factor") - 1)).otherwise(0.0))).withColumn(
-                "weight", F.col("weight") * F.col("factor")).drop("factor")
-        new = materialise(step)
-        discard(now)
-        now = new
+            factor = F.coalesce("factor", F.lit(0.0))
+            moved = F.when(F.col("weight") > 0, F.abs(factor - 1)).otherwise(0.0)
+            new = materialise(now.join(factors, d, "left").select(
+                *DIMENSIONS, "tokens", (F.col("weight") * factor).alias("weight"), (F.greatest("off", moved) if i else moved).alias("off")))
+            discard(now)
+            now = new
         if now.agg(F.max("off")).first()[0] <= tolerance:
             break
     discard(shares)
