@@ -103,7 +103,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                                  names=["lang", "n", "item", "count"])
 
 
-def fit(labelled: DataFrame, rows_per_language: int = 3_000, max_languages: int = 256, max_entries: int = 300_000, min_count: int = 2) -> Model:
+def fit(labelled: DataFrame, rows_per_language: int = 3_000, max_languages: int = 256, max_entries: int = 100_000, min_count: int = 2) -> Model:
     """A model from `labelled` (doc_id, text, lang); rows without language are left out.
 
     Fitted on a bounded sample, chosen by a hash of doc_id and language: about `rows_per_language` whole documents of each of the
