@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from questlog.functions.grammar import VERBS
 from questlog.operators.rollups import COUNTERS
+from questlog.session import materialise
+
+BROADCAST_PATHS = 200_000
 
 
 def content_hash(content: Column) -> Column:
@@ -16,19 +19,24 @@ def content_hash(content: Column) -> Column:
 def plan_scan(files: DataFrame, manifest: DataFrame, force: bool = False, order: list[str] | None = None) -> DataFrame:
     """(path, action, offset, content_hash, length) for every candidate file.
 
-    `files(path, length, content)`, `manifest(path, content_hash, byte_len)`. Actions: scan, tail, skip,
+    `files(path, length, content)`, `manifest(path, content_hash, byte_len)`. Bytes are not shuffled while at most BROADCAST_PATHS files are open. Actions: scan, tail, skip,
     duplicate, changed. Copies of one content inside the batch count as duplicates of the first in scan
     order: found by an aggregate on the hash, so any number of copies is one partial minimum per task.
     """
     order = order or ["path"]
     prior = manifest.select("path", F.col("byte_len").alias("_len"), F.col("content_hash").alias("_hash"))
-    f = files.join(prior, "path", "left").withColumn("_at", F.struct(*order))
+    # first the sizes alone decide which files are open; only those are read, hashed once and written
+    sized = materialise(files.select("path", "length", F.struct(*order).alias("_at")).join(prior, "path", "left"))
     same_size = F.col("_len") == F.col("length")
-    # bytes are hashed only where the sizes leave the question open
     needs = F.lit(True) if force else F.col("_len").isNull() | ((F.col("_len") > 0) & ~same_size)
-    f = f.select("path", "length", "_len", "_hash", "_at",
-                 F.when(needs, content_hash(F.col("content"))).alias("content_hash"),
-                 F.when(needs & (F.col("length") > F.col("_len")), content_hash(F.substring(F.col("content"), F.lit(1), F.col("_len").cast("int")))).alias("_prefix"))
+    open_ = materialise(sized.filter(needs).select("path", "length", "_len"))
+    wanted = open_.drop("length")
+    if open_.count() <= BROADCAST_PATHS:
+        wanted = F.broadcast(wanted)
+    hashed = materialise(files.select("path", "content").join(wanted, "path").select(
+        "path", content_hash(F.col("content")).alias("content_hash"),
+        F.when(F.octet_length("content") > F.col("_len"), content_hash(F.substring(F.col("content"), F.lit(1), F.col("_len").cast("int")))).alias("_prefix")))
+    f = sized.join(hashed, "path", "left")
     if force:
         return f.select("path", F.lit("scan").alias("action"), F.lit(0).cast("bigint").alias("offset"), "content_hash", "length")
     known = manifest.select("content_hash").distinct().withColumn("_known", F.lit(True))

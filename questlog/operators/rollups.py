@@ -54,11 +54,12 @@ def kills_per_file(events: DataFrame) -> DataFrame:
     )
 
 
-def kills(events: DataFrame, values: DataFrame | None = None) -> DataFrame:
+def kills(events: DataFrame, values: DataFrame | None = None, aliases: DataFrame | None = None) -> DataFrame:
     """Per (character, creature): counters by verb and role, deaths, dates, value.
 
     `date_first` is the first date in scan order, not the smallest. `values(name, value)` is the creature
-    lookup; it is joined to the small rollup, not to the events.
+    lookup; it is joined to the small rollup, not to the events. With `aliases(log_name, resolves_to, inline)` the
+    value is that of the alias, else of the name, else of the name without `the `; `values` then is a bestiary with family and rarity.
     """
     text = lambda c: c.cast("string")
     first = F.min_by("date_first", F.when(F.col("date_first").isNotNull(), F.struct(*FILE_KEYS)))
@@ -69,6 +70,10 @@ def kills(events: DataFrame, values: DataFrame | None = None) -> DataFrame:
         *[text(F.max(f"date_last_{v}")).alias(f"date_last_{v}") for v in VERBS])
     if values is None:
         return rollup.withColumn("creature_value", F.lit(0).cast("bigint"))
+    if aliases is not None:
+        from questlog.operators.lookups import lookup_creature
+        found = lookup_creature(rollup, values, aliases)
+        return found.withColumn("creature_value", F.col("value").cast("bigint")).drop("value", "family", "rarity", "source")
     v = values.select(F.col("name").alias("creature"), F.col("value").cast("bigint").alias("creature_value"))
     return rollup.join(v, "creature", "left").withColumn("creature_value", F.coalesce("creature_value", F.lit(0).cast("bigint")))
 

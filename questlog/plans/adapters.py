@@ -61,7 +61,7 @@ def trainer_meta(spark: SparkSession) -> DataFrame:
 @cache  # the plan, not the data
 def trainer_messages(spark: SparkSession) -> DataFrame:
     rows = [(f"You feel the lessons of {n}" + ("." if i % 2 == 0 else ""), n) for i, n in enumerate(TRAINER_NAMES[:10])]
-    return spark.createDataFrame(rows, "message string, trainer string")
+    return spark.sql("SELECT * FROM VALUES " + ", ".join(f"('{m}', '{n}')" for m, n in rows) + " AS t(message, trainer)")  # of known size
 
 
 @cache  # the plan, not the data
@@ -274,6 +274,16 @@ def kill_bestiary(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("s") * 20).cast("bigint").alias("value"), (brand % 6 == 0).alias("is_seasonal"))
 
 
+@cache  # the plan, not the data
+def kill_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The names that logs use for the creatures filed otherwise: pointers for even brands, inline entries for odd ones."""
+    p = table(spark, sf_dir, "part").select("p_type", "p_brand").distinct()
+    brand = F.regexp_extract("p_brand", "([0-9]+)$", 1).cast("int")
+    known, pointer = F.concat_ws(" ", "p_type", "p_brand"), brand % 2 == 0
+    inline = F.struct(F.lit(7).cast("bigint").alias("value"), F.lit("Inline").alias("family"), F.lit("Rare").alias("rarity"))
+    return p.filter(brand % 11 == 5).select(known.alias("log_name"), F.when(pointer, F.concat(F.lit("Unseen "), known)).alias("resolves_to"), F.when(~pointer, inline).alias("inline"))
+
+
 RARITIES = ["Common", "Medium to rare", "Rare", "Unique boss", "Exotic", "GM only", "Extinct", "Uncommon and rare", "??"]
 
 
@@ -379,9 +389,9 @@ def lines_of_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def item_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """M6: documents as (item, path, line): the source is the item, each document a file."""
-    d = table(spark, sf_dir, "documents")
-    return d.select(F.col("source").alias("item"), F.col("doc_id").cast("string").alias("path"), F.explode(F.split("text", "\n")).alias("line")).filter("line <> ''")
+    """M6: conversations as (item, path, line): each conversation an item, each turn a file, each word a line."""
+    c = table(spark, sf_dir, "conversations")
+    return c.select(F.col("conv_id").cast("string").alias("item"), F.col("turn").cast("string").alias("path"), F.explode(F.split("text", " ")).alias("line")).filter("line <> ''")
 
 
 def text_files(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -76,6 +76,12 @@ def kill_table(spark, d):
     return kill_rollup(spark, d)
 
 
+def kill_values_aliased(spark, d):
+    """Values of the kill table through aliases, inline entries and plain names."""
+    rollup = R.kills(A.kill_events(spark, d), A.kill_bestiary(spark, d), A.kill_aliases(spark, d))
+    return rollup.select("character", "creature", "creature_value", "killed_count")
+
+
 def kill_hourly_volume(spark, d):
     return R.kill_hourly(A.kill_events(spark, d))
 
@@ -645,7 +651,7 @@ def date_after(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    kill_table, kill_hourly_volume, freq_best_day, freq_best_day_solo, freq_best_2h, freq_merged, frequency_export, kills_export, kills_sorted,
+    kill_table, kill_values_aliased, kill_hourly_volume, freq_best_day, freq_best_day_solo, freq_best_2h, freq_merged, frequency_export, kills_export, kills_sorted,
     nemesis, highest_kill, coin_level, coin_level_stuffable, kill_extremes, lowest_recent, most_recent_kill, first_by_verb, kill_totals,
     kills_filtered, kills_multi_filter, kill_facets, breakdown_family, breakdown_rarity, encountered, bestiary_completion, update_equals_rescan,
     kills_merged, rank_override_apply, trainers_merged, trainer_report, zero_trainers, weighted_ranks, trainer_catalog, fighter_stats, profession,

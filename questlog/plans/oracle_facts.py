@@ -302,6 +302,8 @@ j AS (SELECT p, q, common, np.n + nq.n - common AS combined, fp.files AS fpf, fq
 ORACLES = {
     "kill_table": KILLS + f"SELECT {KILL_COLUMNS} FROM k",
     "update_equals_rescan": KILLS + f"SELECT {KILL_COLUMNS} FROM k",
+    "kill_values_aliased": KILLS + r""", sz AS (SELECT concat_ws(' ', p_type, p_brand) AS creature, max(p_size) AS s, max(CAST(regexp_extract(p_brand, '([0-9]+)$', 1) AS INT)) AS b FROM part GROUP BY p_type, p_brand)
+        SELECT k.character, k.creature, CAST(CASE WHEN b % 11 = 5 AND b % 2 = 1 THEN 7 ELSE s * 20 END AS BIGINT) AS creature_value, k.killed_count FROM k JOIN sz USING (creature)""",
     "kill_hourly_volume": KILLS + f"SELECT character, creature, date[1:13] AS hour, {COUNTERS} FROM kev WHERE {IS_KILL} GROUP BY ALL",
     "freq_best_day": freq() + "SELECT character, creature, best_day_count, best_day_date, best_day_verbs FROM f",
     "freq_best_day_solo": freq(False) + "SELECT character, creature, best_day_count, best_day_date, best_day_verbs FROM f",
@@ -496,7 +498,7 @@ ORACLES = {
         UNION ALL SELECT f.path, CASE WHEN i = 1 THEN f.length WHEN i IN (2, 3) THEN f.length // 2 ELSE 0 END, '2024-01-01 00:00:00' FROM f JOIN plan USING (path) WHERE i > 0 AND action NOT IN ('scan', 'tail')""",
     "stream_hourly": LOG + """SELECT character, creature, date[1:13] AS hour, count(*) FILTER (kind = 'SoloKill') AS solo, count(*) FILTER (kind = 'AssistedKill') AS assisted
         FROM att WHERE kind IN ('SoloKill', 'AssistedKill') AND date <> '' GROUP BY ALL""",
-    "majority_vote": """WITH l AS (SELECT source AS item, doc_id, unnest(string_split(text, chr(10))) AS line FROM documents), d AS (SELECT DISTINCT * FROM l WHERE line <> '')
+    "majority_vote": """WITH l AS (SELECT CAST(conv_id AS VARCHAR) AS item, turn AS doc_id, unnest(string_split(text, ' ')) AS line FROM conversations), d AS (SELECT DISTINCT * FROM l WHERE line <> '')
         , f AS (SELECT item, count(DISTINCT doc_id) AS files FROM d GROUP BY 1) SELECT item, line, files FROM d JOIN f USING (item) GROUP BY ALL HAVING count(*) >= ceil(files / 2.0)""",
     "jaccard_pairs": SETS + """, sig AS (SELECT item, string_agg(line, chr(10) ORDER BY line) AS sig FROM s GROUP BY 1)
         , rep AS (SELECT first(sig.item ORDER BY files DESC, sig.item) AS item FROM sig JOIN fc USING (item) GROUP BY sig)
