@@ -9,7 +9,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +20,7 @@ from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 UNDETERMINED = "und"
 LONGEST = 4
 WORDS = re.compile(r"[^\W\d_]+")
-CACHED_WORDS = 400_000
+CACHED_WORDS = 600_000
 #: Evidence counts as that of so many words at most, so that a score of 1 needs a clear lead and not only length.
 FULL_EVIDENCE = 20
 
@@ -42,44 +42,65 @@ class Model:
     languages: list[str]
     tables: list[dict[str, int]]
     scores: np.ndarray
-    seen: dict[str, int] = field(default_factory=dict)
-    extra: list[np.ndarray] = field(default_factory=list)
+
+    def __post_init__(self):
+        self._forget()
 
     def __getstate__(self):
-        return {"languages": self.languages, "tables": self.tables, "scores": self.scores, "seen": {}, "extra": []}
-
-    def word(self, word: str) -> np.ndarray:
-        """Scores of a word per language."""
-        row = self.tables[0].get(word)
-        if row is not None:
-            return self.scores[row]
-        for n in range(LONGEST, 0, -1):
-            rows = [r for r in map(self.tables[n].get, grams(word, n)) if r is not None]
+        return {"languages": self.languages, "tables": self.tables, "scores": self.scores}
+
+    def __setstate__(self, state):
+        self.__dict__ |= state
+        self._forget()
+
+    def _forget(self):
+        """Words met so far are scored once: `index` gives their rows of `rows`, after those of the known words."""
+        self.index, self.rows, self.used = dict(self.tables[0]), self.scores, len(self.scores)
+
+    def backoff(self, word: str) -> list[int]:
+        """Rows of the n-grams that an unseen word is scored by: the longest ones of which any is known."""
+        padded = f" {word} "
+        for n in range(LONGEST, 1, -1):
+            known = self.tables[n].get
+            rows = [r for i in range(len(padded) - n + 1) if (r := known(padded[i:i + n])) is not None]
             if rows:
-                return self.scores[rows].mean(axis=0)
-        return np.zeros(len(self.languages))
+                return rows
+        known = self.tables[1].get
+        return [r for c in word if (r := known(c)) is not None]
+
+    def _learn(self, words: list[str]):
+        if self.used + len(words) > len(self.rows):
+            grown = np.zeros((max(2 * len(self.rows), self.used + len(words)), len(self.languages)))
+            grown[:self.used] = self.rows[:self.used]
+            self.rows = grown
+        found = [self.backoff(w) for w in words]
+        sizes = np.array([len(r) for r in found])
+        some = sizes > 0
+        own = np.zeros((len(words), len(self.languages)))
+        if some.any():
+            flat = self.scores[[x for r in found for x in r]]
+            firsts = (np.cumsum(sizes) - sizes)[some]
+            own[some] = np.add.reduceat(flat, firsts) / sizes[some][:, None]
+        self.rows[self.used:self.used + len(words)] = own
+        self.index.update(zip(words, range(self.used, self.used + len(words)), strict=True))
+        self.used += len(words)
 
     def predict(self, text: str | None) -> tuple[str, float]:
         """(language, share of the evidence for it); (und, 0) for a text without letters or a model without languages."""
         words = words_of(text)
         if not words or not self.languages:
             return UNDETERMINED, 0.0
-        known, total = self.tables[0], np.zeros(len(self.languages))
+        total = np.zeros(len(self.languages))
         for at in range(0, len(words), 1 << 16):
             part = words[at:at + (1 << 16)]
-            rows = [known.get(w, -1) for w in part]
-            picked = np.array(rows, np.int64)
-            total += self.scores[picked[picked >= 0]].sum(axis=0)
-            if (picked < 0).any():
-                if len(self.seen) > CACHED_WORDS:
-                    self.seen.clear()
-                    self.extra.clear()
-                for w, count in Counter(w for w, r in zip(part, rows, strict=True) if r < 0).items():
-                    k = self.seen.get(w)
-                    if k is None:
-                        k = self.seen[w] = len(self.extra)
-                        self.extra.append(self.word(w))
-                    total += count * self.extra[k]
+            try:
+                rows = [self.index[w] for w in part]
+            except KeyError:
+                if len(self.index) > len(self.tables[0]) + CACHED_WORDS:
+                    self._forget()
+                self._learn(list({w for w in part if w not in self.index}))
+                rows = [self.index[w] for w in part]
+            total += np.add.reduce(self.rows[rows])
         lead = total / len(words) * min(len(words), FULL_EVIDENCE)
         share = np.exp(lead - lead.max())
         best = int(np.argmax(total))
