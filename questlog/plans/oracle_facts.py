@@ -299,6 +299,10 @@ j AS (SELECT p, q, common, np.n + nq.n - common AS combined, fp.files AS fpf, fq
       JOIN fc fp ON fp.item = p JOIN fc fq ON fq.item = q WHERE common * 2 >= np.n + nq.n - common)
 """
 
+# each hit of the phrase in marks; twice, as neighbouring hits share the character between them
+_MARK = r"'(^|[^\p{L}\p{N}>])(the[^\p{L}\p{N}]+of)($|[^\p{L}\p{N}<])', '\1<mark>\2</mark>\3', 'gi'"
+_MARKED = f"regexp_replace(regexp_replace(text, {_MARK}), {_MARK})"
+
 ORACLES = {
     "kill_table": KILLS + f"SELECT {KILL_COLUMNS} FROM k",
     "update_equals_rescan": KILLS + f"SELECT {KILL_COLUMNS} FROM k",
@@ -492,6 +496,11 @@ ORACLES = {
         coalesce((SELECT {_CTX} FROM conversations y WHERE y.conv_id = c.conv_id AND y.turn = c.turn - 1 AND trim(y.text) <> ''), '') AS context_before,
         coalesce((SELECT {_CTX} FROM conversations y WHERE y.conv_id = c.conv_id AND y.turn IN (c.turn + 1, c.turn + 2) AND trim(y.text) <> ''), '') AS context_after
         FROM conversations c WHERE {_NORM.replace('text', 'c.text')} LIKE '% the of %'""",
+    "log_snippets": f"""WITH h AS (SELECT lpad(CAST(conv_id AS VARCHAR), 12, '0') AS path, turn AS line_no, {_MARKED} AS marked FROM conversations WHERE {_NORM} LIKE '% the of %'),
+        p AS (SELECT path, line_no, string_split(marked, ' ') AS parts FROM h),
+        f AS (SELECT *, len(parts) AS n, coalesce(nullif(list_position(list_transform(parts, lambda x: contains(x, '<mark>')), true), 0), 1) AS hit FROM p),
+        w AS (SELECT *, greatest(1, least(hit - 32, n - 63)) AS lo FROM f)
+        SELECT path, line_no, CASE WHEN lo > 1 THEN '...' ELSE '' END || array_to_string(parts[lo:lo + 63], ' ') || CASE WHEN lo + 63 < n THEN '...' ELSE '' END AS snippet FROM w""",
     "scan_plan": PLAN + "SELECT path, action, CAST(off AS BIGINT) AS offset FROM plan".replace("AS offset", 'AS "offset"'),
     "pending_files": PLAN + "SELECT path FROM plan WHERE action IN ('scan', 'tail')",
     "manifest_update": PLAN + """SELECT path, length AS byte_len, '2024-02-01 00:00:00' AS date_read FROM plan WHERE action IN ('scan', 'tail')

@@ -8,7 +8,7 @@ from questlog.plans import registry
 
 SF = f"{DATA}/sf0.001"
 QUERIES, ORACLES = registry.QUERIES, registry.ORACLES
-ROWS_ONLY = {"log_snippets", "item_help"}
+ROWS_ONLY = {"item_help"}
 
 
 def test_every_query_has_an_oracle():
