@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 from questlog.llm import ragged
 from questlog.session import materialise
 
-CHUNK_TOKENS = 1 << 21
-SHARD_ENTRIES = 1 << 21
+CHUNK_TOKENS = 1 << 20
+SHARD_ENTRIES = 1 << 20
 TEXT_ROWS = 512
 END, START = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 BUCKETS = 40
