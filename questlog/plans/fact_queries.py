@@ -107,6 +107,10 @@ def freq_merged(spark, d):
     return _freq(FR.kill_frequency(hourly(spark, d), mapping(spark, d)))
 
 
+def kills_with_frequency(spark, d):
+    return FR.with_frequency(kills(spark, d), FR.kill_frequency(hourly(spark, d))).select("character", "creature", "killed_count", "best_day_count", "best_2h_count")
+
+
 def frequency_export(spark, d):
     return RP.frequency_export(FR.kill_frequency(hourly(spark, d), include_assisted=False), "both", True)
 
@@ -256,6 +260,13 @@ def merge_map(spark, d):
     return mapping(spark, d)
 
 
+def merge_members(spark, d):
+    """What a target is merged from, and the target itself."""
+    p = A.people(spark, d)
+    found = MG.find_character(p, "Hero0").select("character", F.coalesce("merged_into", F.lit("-")).alias("merged_into"))
+    return MG.merge_sources(p, "Hero0").select("character", F.lit("Hero0").alias("merged_into")).unionByName(found)
+
+
 def merge_violations(spark, d):
     n = F.regexp_extract("character", "([0-9]+)$", 1).cast("bigint")
     asked = A.people(spark, d).select(F.col("character").alias("source"), F.concat(F.lit("Hero"), (n - n % 4 + F.when(n % 6 == 0, 100000).otherwise(0)).cast("string")).alias("target"))
@@ -651,11 +662,11 @@ def date_after(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    kill_table, kill_values_aliased, kill_hourly_volume, freq_best_day, freq_best_day_solo, freq_best_2h, freq_merged, frequency_export, kills_export, kills_sorted,
+    kill_table, kill_values_aliased, kill_hourly_volume, freq_best_day, freq_best_day_solo, freq_best_2h, freq_merged, kills_with_frequency, frequency_export, kills_export, kills_sorted,
     nemesis, highest_kill, coin_level, coin_level_stuffable, kill_extremes, lowest_recent, most_recent_kill, first_by_verb, kill_totals,
     kills_filtered, kills_multi_filter, kill_facets, breakdown_family, breakdown_rarity, encountered, bestiary_completion, update_equals_rescan,
     kills_merged, rank_override_apply, trainers_merged, trainer_report, zero_trainers, weighted_ranks, trainer_catalog, fighter_stats, profession,
-    top_trainers, character_list, merge_map, merge_violations, character_merged, pets_merged, lastys_rollup, lastys_merged, study_states,
+    top_trainers, character_list, merge_map, merge_members, merge_violations, character_merged, pets_merged, lastys_rollup, lastys_merged, study_states,
     study_costs, ranger_points, family_progress, families_near, morph_candidates, top_targets, character_summary, coins_report,
     equipment_report, update_delta, month_spine, cv_timeline_kill, cv_timeline_rank, trainer_timeline, studies_timeline, stats_timeline,
     checkpoint_timeline, creature_lookup, trainer_lookup, alias_checks, canonical_family, canonical_rarity, bestiary_table, decode_lines,

@@ -313,6 +313,7 @@ ORACLES = {
     "freq_best_day_solo": freq(False) + "SELECT character, creature, best_day_count, best_day_date, best_day_verbs FROM f",
     "freq_best_2h": freq() + "SELECT character, creature, best_2h_count, best_2h_start, best_2h_verbs FROM f",
     "freq_merged": freq(True, True) + "SELECT * FROM f",
+    "kills_with_frequency": freq() + "SELECT k.character, k.creature, k.killed_count, f.best_day_count, f.best_2h_count FROM k LEFT JOIN f USING (character, creature)",
     "frequency_export": freq(False) + "SELECT * FROM f",
     "kills_export": freq() + f"""SELECT k.character, k.creature, CAST({VT['vanquished']} AS VARCHAR) AS vanquished, CAST({VT['killed']} AS VARCHAR) AS killed,
         CAST({VT['dispatched']} AS VARCHAR) AS dispatched, CAST({VT['slaughtered']} AS VARCHAR) AS slaughtered, CAST(killed_by_count AS VARCHAR) AS killed_by,
@@ -383,6 +384,7 @@ ORACLES = {
     "character_list": TRAINED + """SELECT character, logins, coalesce(t, 0) AS total_ranks FROM people LEFT JOIN (SELECT character, CAST(sum(ranks + modified_ranks + apply_learning_ranks) AS BIGINT) AS t FROM tr GROUP BY 1) USING (character)
         WHERE merged_into IS NULL AND logins > 0 AND t >= 1 AND profession <> 'Unknown'""",
     "merge_map": KILLS + "SELECT name, target FROM mm",
+    "merge_members": KILLS + "SELECT character, coalesce(merged_into, '-') AS merged_into FROM people WHERE character = 'Hero0' OR merged_into = 'Hero0'",
     "merge_violations": TRAINED + """, q AS (SELECT character AS source, 'Hero' || (n - n % 4 + CASE WHEN n % 6 = 0 THEN 100000 ELSE 0 END) AS target FROM people)
         , x AS (SELECT q.*, s.merged_into AS s_into, t.character AS t, t.merged_into AS t_into,
             EXISTS (SELECT 1 FROM tr WHERE tr.character = source AND rank_mode <> 'modifier') AS s_mode, EXISTS (SELECT 1 FROM tr WHERE tr.character = target AND rank_mode <> 'modifier') AS t_mode
