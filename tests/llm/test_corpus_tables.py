@@ -63,7 +63,7 @@ def test_embedding_links(spark, block_rows, monkeypatch):
     rows += [(1000 + i, v[i].tolist()) for i in range(5)] + [(2000, v[0].tolist()), (2000, v[0].tolist())]
     odd = [(3000, None), (3001, [0.0] * 16), (3002, [float("nan")] * 16), (3003, [float("inf"), *[1.0] * 15]), (3004, [None, *[1.0] * 15]), (3005, [1.0, 2.0]), (3006, [])]
     frame = spark.createDataFrame(rows + odd, "vec_id long, embedding array<float>").withColumns({"node": F.lit(1), "weight": F.lit("x"), "vector": F.lit(None)})
-    got = pq.near_duplicates(frame, sample_rows=200).collect()
+    got = pq.near_duplicates(frame, sample_rows=200, sigmas=4.5).collect()
     s = _brute(np.array([r[1] for r in rows], np.float32))
     want = Counter((rows[i][0], int(n)) for i, n in enumerate(s.sum(1)))
     found = Counter((r["vec_id"], r["n_links"]) for r in got if r["vec_id"] < 3000)
@@ -85,6 +85,19 @@ def test_embedding_empty(spark):
     assert [tuple(r) for r in pq.near_duplicates(spark.createDataFrame([(1, None)], "vec_id long, embedding array<float>")).collect()] == [(1, 0, 1, True)]
 
 
+def test_default_probes_reach_recall_at_the_threshold():
+    """Neighbours at cosine 0.95 exactly, in random directions."""
+    rng = np.random.default_rng(6)
+    q = rng.normal(size=(3000, 64))
+    q /= np.linalg.norm(q, axis=1)[:, None]
+    d = rng.normal(size=q.shape)
+    d -= (d * q).sum(1)[:, None] * q
+    x = 0.95 * q + math.sqrt(1 - 0.95**2) * d / np.linalg.norm(d, axis=1)[:, None]
+    index = pq.fit(q, 55, 0.95, 3.0)
+    probed, own = set(zip(*(v.tolist() for v in index.probes(q)), strict=True)), index.lists(x)[0].tolist()
+    assert np.mean([(i, at) in probed for i, at in enumerate(own)]) >= 0.99
+
+
 def test_table_lookup_filter_loses_nothing():
     v = _vectors(2).astype(float)
     u = v / np.linalg.norm(v, axis=1)[:, None]
