@@ -10,6 +10,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -35,6 +36,12 @@ class Index:
     radius: float
     reach: float
 
+    @cached_property
+    def apart(self) -> np.ndarray:
+        """Distances between the centroids."""
+        square = (self.centroids**2).sum(1)
+        return np.sqrt(np.maximum(square[:, None] + square - 2 * self.centroids @ self.centroids.T, 1e-30))
+
     def lists(self, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(own list of each vector, squared distances to all centroids)."""
         far = (unit**2).sum(1)[:, None] - 2 * unit @ self.centroids.T + (self.centroids**2).sum(1)
@@ -43,8 +50,7 @@ class Index:
     def probes(self, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(row, list) pairs: lists whose bounding plane with the vector's own list is at most `reach` away from the vector."""
         own, far = self.lists(unit)
-        apart = np.sqrt(np.maximum(((self.centroids[:, None] - self.centroids[None]) ** 2).sum(-1), 1e-30))
-        plane = (far - far[np.arange(len(unit)), own][:, None]) / (2 * apart[own])
+        plane = (far - far[np.arange(len(unit)), own][:, None]) / (2 * self.apart[own])
         plane[np.arange(len(unit)), own] = 0.0
         return np.nonzero(plane <= self.reach)
 
