@@ -32,3 +32,20 @@ SELECT doc_id, source, lang, topic, items.tokens AS tokens, round(coalesce(w, 0)
  CAST(floor(coalesce(rate, 1.0)) + CASE WHEN CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS UBIGINT) / 4294967296.0
   < coalesce(rate, 1.0) - floor(coalesce(rate, 1.0)) THEN 1 ELSE 0 END AS INTEGER) AS copies
 FROM items LEFT JOIN rated USING (source, lang, topic)"""
+
+
+def near_vectors_sql(threshold: float = 0.95) -> str:
+    """All pairs by brute force, components by reachability."""
+    return f"""WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+l AS MATERIALIZED (SELECT a.vec_id AS p, b.vec_id AS q FROM v a JOIN v b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= {threshold}),
+r(p, q) AS (SELECT vec_id, vec_id FROM v UNION SELECT r.p, l.q FROM r JOIN l ON l.p = r.q),
+c AS (SELECT p, min(q) AS component_id FROM r GROUP BY p), n AS (SELECT p, count(*) AS n FROM l GROUP BY p)
+SELECT vec_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_links, c.component_id, vec_id = c.component_id AS kept FROM v JOIN c ON c.p = vec_id LEFT JOIN n ON n.p = vec_id"""
+
+
+def archives_sql() -> str:
+    """What a lossless archive gives back: sizes, SHA-1 in base32 (eight letters for each ten hex digits), first pages of equal payloads."""
+    letter = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[CAST((CAST('0x' || x[10 * (i // 8) + 1:10 * (i // 8) + 10] AS UBIGINT) >> (35 - 5 * (i % 8))) & 31 AS INTEGER) + 1]"
+    return f"""WITH p AS (SELECT page_id, coalesce(html, '') AS h, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS f FROM pages), d AS (SELECT *, sha1(h) AS x FROM p)
+SELECT page_id, CAST(strlen(h) AS BIGINT) AS payload_bytes, array_to_string(list_transform(range(0, 32), lambda i: {letter}), '') AS payload_digest,
+ CASE WHEN f = page_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN f <> page_id THEN f END AS refers_to FROM d"""

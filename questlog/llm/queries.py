@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from questlog.llm import bpe, langid, lm, minhash, mixing, packing, pq, sharding, simhash, warc
-from questlog.llm.oracles import mixing_sql
+from questlog.llm.oracles import archives_sql, mixing_sql, near_vectors_sql
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -67,6 +67,6 @@ def op10_sharding(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (op1_pq_near_dedup, op2_mixing, op3_language_id, op4_fingerprints, op5_token_counts, op6_simhash, op7_warc_index, op8_packing, op9_lm_scores, op10_sharding)}
 QUERIES["pipeline"] = corpus_pipeline.run
-ORACLES = {"op2_mixing": mixing_sql()}
+ORACLES = {"op1_pq_near_dedup": near_vectors_sql(), "op2_mixing": mixing_sql(), "op7_warc_index": archives_sql()}
 if corpus_pipeline.ORACLE_SQL:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL

@@ -189,8 +189,9 @@ def test_registered_queries_and_oracles(spark):
     names = [n for n in entry.queries() if n.startswith("op") or n == "pipeline"]
     assert sorted(int(n[2:].split("_")[0]) for n in names if n != "pipeline") == list(range(1, 11)) and "pipeline" in names
     sf = f"{DATA}/sf0.001"
-    ok, note = compare(spark, duck(sf), sf, "op2_mixing", entry.queries()["op2_mixing"], entry.oracle_sql()["op2_mixing"])
-    assert ok, note
+    for name in ("op1_pq_near_dedup", "op2_mixing", "op7_warc_index"):
+        ok, note = compare(spark, duck(sf), sf, name, entry.queries()[name], entry.oracle_sql()[name])
+        assert ok, (name, note)
 
 
 def test_pq_recall_on_the_given_vectors(spark):
