@@ -88,7 +88,7 @@ class Model:
     def predict(self, text: str | None) -> tuple[str, float]:
         """(language, share of the evidence for it); (und, 0) for a text without letters or a model without languages."""
         words = words_of(text)
-        if not words or not self.languages:
+        if not self.languages or not any(c.isalpha() for w in words for c in w):  # numerals such as superscripts are no letters
             return UNDETERMINED, 0.0
         total = np.zeros(len(self.languages))
         for at in range(0, len(words), 1 << 16):
