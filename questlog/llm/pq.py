@@ -81,8 +81,9 @@ def _kmeans(points: np.ndarray, k: int, rounds: int, rng: np.random.Generator) -
     return centers
 
 
-def fit(sample: np.ndarray, lists: int, threshold: float, sigmas: float, rounds: int = 8) -> Index:
-    """An index from unit vectors. `sigmas`: how many standard deviations of a random direction's share of the radius a plane may be away."""
+def fit(sample: np.ndarray, lists: int, threshold: float, sigmas: float | None, rounds: int = 8) -> Index:
+    """An index from unit vectors. `sigmas`: how many standard deviations of a random direction's share of the radius a plane may be away;
+    None: the whole radius, beyond which no neighbour can be."""
     rng, dims = np.random.default_rng(7), sample.shape[1]
     centroids = _kmeans(sample, min(lists, len(sample)), rounds, rng)
     own = ((centroids**2).sum(1) - 2 * sample @ centroids.T).argmin(axis=1)
@@ -90,7 +91,8 @@ def fit(sample: np.ndarray, lists: int, threshold: float, sigmas: float, rounds:
     splits = np.array_split(np.arange(dims), min(SUBSPACES, dims))
     books = [_kmeans(rest[:, s], min(CODEWORDS, len(rest)), rounds, rng) for s in splits]
     radius = math.sqrt(max(0.0, 2 - 2 * threshold))
-    return Index(centroids, books, splits, radius, radius * min(1.0, sigmas / math.sqrt(dims)))
+    part = 1.0 if sigmas is None else min(1.0, sigmas / math.sqrt(dims))
+    return Index(centroids, books, splits, radius, radius * part + 1e-6)
 
 
 def _matrix(column: pa.Array, dims: int) -> np.ndarray:
@@ -124,7 +126,7 @@ def _spanning(a: np.ndarray, b: np.ndarray, nodes: int) -> np.ndarray:
         root = new
 
 
-def link_counts(classes: DataFrame, index: Index, threshold: float, block_rows: int = 1024) -> DataFrame:
+def link_counts(classes: DataFrame, index: Index, threshold: float, block_rows: int = 4096) -> DataFrame:
     """(node, links, root) rows for `classes` (node, weight, vector): parts of the weight that a node is linked with, and links of a spanning forest.
 
     A group is a block of queries against a block of one list; lists and their queries are cut into blocks of about `block_rows`, so a list that
@@ -202,7 +204,7 @@ def blocks_of(count: str, rows: int) -> Column:
     return F.greatest(F.lit(1), F.ceil(F.col(count) / F.lit(rows))).cast("int")
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = 0.95, sample_rows: int = 16_384, max_lists: int = 1_024, sigmas: float = 3.0) -> DataFrame:
+def near_duplicates(vectors: DataFrame, threshold: float = 0.95, sample_rows: int = 16_384, max_lists: int = 1_024, sigmas: float | None = None) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row of `vectors` (vec_id, embedding; other columns are left).
 
     n_links counts the other rows with cosine >= `threshold`; component_id is the smallest vec_id reachable. Equal vectors are one class with a
@@ -210,10 +212,10 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, sample_rows: in
     the table's most frequent one, link with nothing: 0 links, their own vec_id. Null ids never name a component unless it holds nothing else;
     repeated rows link with one another. An empty table gives an empty result.
 
-    The index is fitted on about `sample_rows` vectors chosen by a hash; it has about the square root of the number of vectors as lists, at
-    most `max_lists` and a sixteenth of the sample. `sigmas` sets how far beyond its cell a query looks, for a neighbour in a random direction; the table-lookup
-    filter itself loses nothing. Neighbours in random directions at cosine 0.95 exactly are found with a recall of 0.9995 or more at 3 (64 dimensions, 100 to 500
-    lists, about 16 probes), closer ones more often; recall against brute force is measured in the tests.
+    The index is fitted on about `sample_rows` vectors chosen by a hash; it has about a quarter of the square root of the number of vectors as lists,
+    at most `max_lists` and a sixteenth of the sample. A query goes to every list whose plane is within the link radius, and neither that bound nor the
+    table-lookup filter loses a link, whatever the directions of the neighbours. Vectors without clusters are thus compared with most lists: few lists
+    keep the copies of a vector few. `sigmas` narrows the reach to what suffices for a neighbour in a random direction of all dimensions; it loses links of low rank.
     """
     rows = vectors.select("vec_id", F.col("embedding").alias("vector")).withColumn("good", valid(F.col("vector")))
     width = rows.filter("good").groupBy(F.size("vector").alias("d")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "d").first()
@@ -226,7 +228,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, sample_rows: in
     draw = F.shiftrightunsigned(F.xxhash64("node"), 11).cast("double") * F.lit(2.0**-53)
     drawn = classes.filter(draw < share) if share < 1 else classes
     sample = _units(drawn.select("vector").toArrow().column("vector"), width["d"])
-    index = fit(sample, max(1, min(max_lists, len(sample) // 16, round(math.sqrt(count)))), threshold, sigmas)
+    index = fit(sample, max(1, min(max_lists, len(sample) // 16, round(math.sqrt(count) / 4))), threshold, sigmas)
     found = link_counts(classes, index, threshold)
     joined = components(found.filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")))
     links = found.groupBy("node").agg(F.sum("links").alias("links"))

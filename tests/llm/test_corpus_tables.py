@@ -98,6 +98,23 @@ def test_default_probes_reach_recall_at_the_threshold():
     assert np.mean([(i, at) in probed for i, at in enumerate(own)]) >= 0.99
 
 
+@pytest.mark.parametrize("rank", [3, 64])
+def test_default_settings_find_links_of_any_rank(spark, rank):
+    """Vectors of 64 components in a subspace; half of them have a neighbour close to the threshold."""
+    rng = np.random.default_rng(rank)
+    base = rng.normal(size=(600, rank))
+    base /= np.linalg.norm(base, axis=1)[:, None]
+    side = rng.normal(size=(600, rank))
+    side -= (side * base).sum(1)[:, None] * base
+    near = 0.951 * base + math.sqrt(1 - 0.951**2) * side / np.linalg.norm(side, axis=1)[:, None]
+    v = (np.concatenate([base, near]) @ np.linalg.qr(rng.normal(size=(64, rank)))[0].T).astype(np.float32)
+    s = _brute(v)
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in pq.near_duplicates(
+        spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<float>")).collect()}
+    root = _roots(range(len(v)), zip(*(x.tolist() for x in np.nonzero(s)), strict=True))
+    assert got == {i: (int(n), root[i]) for i, n in enumerate(s.sum(1))}
+
+
 def test_table_lookup_filter_loses_nothing():
     v = _vectors(2).astype(float)
     u = v / np.linalg.norm(v, axis=1)[:, None]
