@@ -482,15 +482,17 @@ def _run(feed_of, src: str) -> None:
 
 
 def stream_hourly(spark, d):
-    """Two deliveries by time with a restart in between; a heartbeat far ahead closes the last hours."""
+    """Two deliveries by time with a restart in between; a heartbeat far ahead closes the last hours. Files inside a delivery are in no order, so the lateness is
+    the longer delivery's span of time."""
     src = scratch_path(spark)
     schema = "path string, line_no bigint, character string, creature string, kind string, date string"
     rows = A.log_events(spark, d).select("path", "line_no", "character", "creature", "kind", "date")
     at = F.unix_timestamp(F.try_to_timestamp("date"))
-    middle, last = rows.agg(F.percentile_approx(at, 0.5), F.max(at)).first()
-    feed = lambda: live.stream_hourly(spark.readStream.schema(schema).option("maxFilesPerTrigger", 4).parquet(src + "/in"), lateness="20 days")
+    first, middle, last = rows.agg(F.min(at), F.percentile_approx(at, 0.5), F.max(at)).first()
+    span = max((middle or 0) - (first or 0), (last or 0) - (middle or 0)) + 3600
+    feed = lambda: live.stream_hourly(spark.readStream.schema(schema).option("maxFilesPerTrigger", 4).parquet(src + "/in"), lateness=f"{span} seconds")
     beat = spark.range(1).select(F.lit("heartbeat").alias("path"), F.lit(0).cast("bigint").alias("line_no"), F.lit("").alias("character"), F.lit("").alias("creature"),
-                                 F.lit("SoloKill").alias("kind"), F.timestamp_seconds(F.lit((last or 0) + 40 * 86400)).cast("string").alias("date"))
+                                 F.lit("SoloKill").alias("kind"), F.timestamp_seconds(F.lit((last or 0) + 2 * span + 86400)).cast("string").alias("date"))
     for part in (rows.filter(F.coalesce(at, F.lit(0)) < (middle or 0)), rows.filter(at >= (middle or 0)), beat):
         part.write.mode("append").parquet(src + "/in")
         _run(feed, src)
