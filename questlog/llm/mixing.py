@@ -130,3 +130,18 @@ def mix(items: DataFrame, targets: DataFrame | None = None, share: float = 0.8,
     whole = F.floor("rate")
     copies = whole + F.when(unit_draw(F.col("doc_id")) < F.col("rate") - whole, 1).otherwise(0)
     return out.select("doc_id", *DIMENSIONS, "tokens", "weight", "rate", copies.cast("int").alias("copies"), *kept)
+
+
+def marginals(mixed: DataFrame, targets: DataFrame) -> DataFrame:
+    """dimension, value, target, expected, drawn for the values in the result of `mix`: shares of tokens by the targets, by the rates and by the copies drawn.
+
+    Where `max_copies` clips rates, `expected` misses `target`; without clipping (`max_copies` infinite) it meets it.
+    """
+    parts = None
+    for d in DIMENSIONS:
+        part = mixed.filter("tokens > 0").groupBy(F.lit(d).alias("dimension"), F.col(d).alias("value")).agg(
+            F.sum(F.col("tokens") * F.col("rate")).alias("expected"), F.sum(F.col("tokens") * F.col("copies")).alias("drawn"))
+        parts = part if parts is None else parts.unionByName(part)
+    norms = parts.groupBy("dimension").agg(F.sum("expected").alias("e"), F.sum("drawn").alias("d"))
+    return parts.join(norms, "dimension").join(targets, ["dimension", "value"], "left").select(
+        "dimension", "value", F.coalesce("target", F.lit(0.0)).alias("target"), (F.col("expected") / F.col("e")).alias("expected"), (F.col("drawn") / F.col("d")).alias("drawn"))

@@ -59,6 +59,21 @@ def test_rates_give_the_share_of_tokens(spark, cap):
     assert all(abs(r["copies"] - r["rate"]) < 1 for r in mixed)
 
 
+@pytest.mark.parametrize("cap", [1.0, math.inf])
+def test_marginals_report_what_is_drawn(spark, cap):
+    """With no limit to the copies the drawn shares are the targets; at one copy rates are clipped and the report shows the gap."""
+    items = _items(spark)
+    mixed = mixing.materialise(mixing.mix(items, share=0.8, max_copies=cap, tolerance=1e-7))
+    rows = mixing.marginals(mixed, mixing.tempered_targets(mixing.cells_of(items))).collect()
+    copies, total = Counter(), sum(r["tokens"] * r["copies"] for r in mixed.collect())
+    for r in mixed.collect():
+        for d in mixing.DIMENSIONS:
+            copies[d, r[d]] += r["tokens"] * r["copies"] / total
+    assert {(r["dimension"], r["value"]) for r in rows} == set(copies) and all(math.isclose(r["drawn"], copies[r["dimension"], r["value"]]) for r in rows)
+    gap = max(abs(r["expected"] - r["target"]) for r in rows)
+    assert gap < 1e-5 if cap > 1 else gap > 0.005
+
+
 def test_mixing_odd_rows(odd_docs):
     items = odd_docs.withColumns({"topic": mixing.topic_of(F.col("text")), "tokens": mixing.token_count(F.col("text"))})
     rows = mixing.mix(items).collect()
