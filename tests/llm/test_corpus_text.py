@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import pickle
 import random
 import re
 import zlib
@@ -267,6 +268,25 @@ def test_language_id(spark):
     assert {r["lang_pred"] for r in langid.identify(docs.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def test_a_bounded_model_keeps_rare_languages(spark):
+    """Two frequent languages with many words beside 18 with few: all languages keep their words, and one that shares a kept word its own count of it."""
+    rng = random.Random(4)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    words = {f"l{k:02}": ["".join(rng.choice(letters) for _ in range(7)) for _ in range(3000 if k < 2 else 30)] for k in range(20)}
+    rows = [(la, " ".join(rng.choice(own) for _ in range(40))) for la, own in words.items() for _ in range(600 if la < "l02" else 6)]
+    rows += [("l00", "shared " * 500), ("l19", "shared shared")]
+    model = langid.fit(spark.createDataFrame([(i, t, la) for i, (la, t) in enumerate(rows)], "doc_id long, text string, lang string"), max_entries=20 * 5 * 100)
+    assert all(sum(w in model.tables[0] for w in words[la]) >= 20 for la in words)
+    assert sum(w in model.tables[0] for w in words["l00"]) < 200
+    row = model.tables[0]["shared"]
+    gains = dict(zip(model.langs[model.starts[row]:model.starts[row + 1]].tolist(), model.gains[model.starts[row]:model.starts[row + 1]].tolist(), strict=True))
+    assert {k: round(math.exp(g) * 0.5, 6) for k, g in gains.items()} == {0: 500.5, 19: 2.5}
+    held = [(la, " ".join(rng.choice(own) for _ in range(10))) for la, own in words.items() for _ in range(20)]
+    assert np.mean([model.predict(t)[0] == la for la, t in held]) >= 0.98
+    again = pickle.loads(pickle.dumps(model))
+    assert again.tables == model.tables and [again.predict(t) for _, t in held] == [model.predict(t) for _, t in held]
+
+
 def test_unseen_words_back_off_to_shorter_grams():
     entries = [(0, "known", "a"), (4, "xyza", "a"), (3, "pqr", "b"), (2, "uv", "a"), (1, "m", "b"), (1, "n", "a")]
     entries += [(n, "filler"[:n or 6], la) for n in range(5) for la in "ab"]
