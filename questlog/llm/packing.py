@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
 from questlog.llm import bpe
 from questlog.session import materialise
@@ -165,8 +165,7 @@ def pack_documents(docs: DataFrame, path: str, capacity: int = CAPACITY, closing
 def sequences(packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """sequence_id, ids (array of `capacity` ints, padded with 0), tokens: the packed sequences themselves. `packed` has ids; a group is at most
     `capacity` pieces."""
-    kind = StructType([StructField("sequence_id", LongType()), StructField("ids", packed.select(F.array(F.lit(0))).schema[0].dataType),
-                       StructField("tokens", IntegerType())])
+    kind = StructType([StructField("sequence_id", LongType()), StructField("ids", ArrayType(IntegerType())), StructField("tokens", IntegerType())])
 
     def join(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
         group = group.sort_by("offset")
