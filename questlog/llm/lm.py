@@ -2,7 +2,7 @@
 
 A bigram model: maximum-likelihood estimates of word given the word before it, of the word alone and of any word are mixed by
 weights that depend on how often the context was seen, in buckets of a doubling each. The weights are learned by expectation-maximisation on
-deleted counts: each training document is predicted from counts without its own.
+deleted counts: each block of a training document is predicted from counts without its own, so that what a long text repeats counts as seen.
 
 N-grams travel as sorted hash arrays, not as rows. Documents are encoded once into chunks (word table and word numbers). Each chunk asks
 the shards of the hash space for the counts of its distinct n-grams, sending its own training counts along; a shard adds up and
@@ -29,6 +29,7 @@ CHUNK_TOKENS = 1 << 20
 SHARD_ENTRIES = 1 << 20
 TEXT_ROWS = 512
 END, START = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
+BLOCK_TOKENS = 256
 BUCKETS = 40
 BINS = 96  # half octaves of a likelihood ratio
 CODEC = "zstd"
@@ -109,10 +110,14 @@ class Chunk:
         self.context = np.concatenate([[-1], self.word[:-1]])  # -1: start of a document
         self.context[self.first[:-1]] = -1
 
-    def own_counts(self, code: np.ndarray) -> np.ndarray:
-        """How often each token's n-gram occurs in its own document."""
-        owner = np.repeat(np.arange(len(self.sizes)), self.sizes)
-        number, _ = pd.factorize(owner * (int(code.max()) + 2) + code)
+    def blocks(self) -> np.ndarray:
+        """The block of each token: documents are cut every BLOCK_TOKENS tokens."""
+        place = np.arange(len(self.word)) - np.repeat(self.first[:-1], self.sizes)
+        return np.cumsum(place % BLOCK_TOKENS == 0) - 1
+
+    def own_counts(self, code: np.ndarray, block: np.ndarray) -> np.ndarray:
+        """How often each token's n-gram occurs in its own block."""
+        number, _ = pd.factorize(block * (int(code.max()) + 2) + code)
         return np.bincount(number)[number]
 
 
@@ -189,17 +194,19 @@ def _estimates(pair, context, word, size) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _deleted(stats: dict) -> Callable:
-    """Counts of (context bucket, likelihood ratios to the uniform estimate) over training tokens, each document's own counts taken out."""
+    """Counts of (context bucket, likelihood ratios to the uniform estimate) over training tokens, each block's own counts taken out."""
     def statistics(left: pa.Table, right: pa.Table) -> pa.Table:
         total = np.zeros(BUCKETS * BINS * BINS, np.int64)
         for row in (r for b in left.to_batches() for r in _rows(b)):
             c = Chunk(row)
             ones, twos = _totals(right, 1), _totals(right, 2)
-            own = c.own_counts(c.word)
-            word, pair = ones[c.word] - own, twos[c.pair] - c.own_counts(c.pair)
-            context = np.where(c.context >= 0, ones[c.context] - np.where(c.context >= 0, np.concatenate([[0], own[:-1]]), 0), stats["train_docs"] - 1)
+            block = c.blocks()
+            own = c.own_counts(c.word, block)
+            word, pair = ones[c.word] - own, twos[c.pair] - c.own_counts(c.pair, block)
+            begins = np.concatenate([[True], block[1:] != block[:-1]])  # its context is another block's token
+            context = np.where(c.context >= 0, ones[c.context] - np.where(begins, 0, np.concatenate([[0], own[:-1]])), stats["train_docs"] - 1)
             keep = np.repeat(c.train, c.sizes)
-            size = stats["train_tokens"] - np.repeat(c.sizes, c.sizes)
+            size = stats["train_tokens"] - np.bincount(block)[block]
             p2, p1 = _estimates(pair[keep], context[keep], word[keep], size[keep])
             uniform = 1.0 / (stats["known"] + 1)
             key = (bucket(context[keep]) * BINS + _bins(p2 / uniform)) * BINS + _bins(p1 / uniform)
@@ -213,27 +220,27 @@ def _deleted(stats: dict) -> Callable:
 def mixture_weights(keys: np.ndarray, counts: np.ndarray, rounds: int = 200, tolerance: float = 1e-7) -> np.ndarray:
     """Expectation-maximisation: for each context bucket the weights of the bigram, unigram and uniform estimates.
 
-    Buckets without held-out tokens take the weights of all together. An unseen context has no bigram estimate. The uniform weight stays positive.
+    Buckets without held-out tokens take the weights of the nearest learned bucket below, else above. An unseen context has no bigram estimate.
+    The uniform weight stays positive.
     """
-    bucket_of, rest = keys // (BINS * BINS), keys % (BINS * BINS)
+    group, rest = keys // (BINS * BINS), keys % (BINS * BINS)
     ratio = lambda b: np.where(b > 0, 2.0 ** ((b - BINS // 2) / 2), 0.0)
     parts = np.stack([ratio(rest // BINS), ratio(rest % BINS), np.ones(len(keys))], axis=1)
-    weights = np.full((BUCKETS + 1, 3), 1 / 3)
-    group = np.concatenate([bucket_of, np.full(len(keys), BUCKETS)])
-    parts, counts = np.concatenate([parts, parts]), np.concatenate([counts, counts]).astype(float)
+    weights = np.full((BUCKETS, 3), 1 / 3)
     for _ in range(rounds):
         share = weights[group] * parts
         share *= (counts / share.sum(axis=1))[:, None]
-        sums = np.stack([np.bincount(group, weights=share[:, k], minlength=BUCKETS + 1) for k in range(3)], axis=1) + [0, 0, 1e-3]
+        sums = np.stack([np.bincount(group, weights=share[:, k], minlength=BUCKETS) for k in range(3)], axis=1) + [0, 0, 1e-3]
         new = sums / sums.sum(axis=1, keepdims=True)
         moved, weights = np.abs(new - weights).max(), new
         if moved < tolerance:
             break
-    seen = np.bincount(group, minlength=BUCKETS + 1) > 0
-    weights[~seen] = weights[BUCKETS] if seen[BUCKETS] else 1 / 3
+    learned = np.unique(group)
+    if len(learned):
+        weights = weights[learned[np.maximum(np.searchsorted(learned, np.arange(BUCKETS), "right") - 1, 0)]]
     weights[0, 0] = 0.0
     weights[0] /= weights[0].sum()
-    return weights[:BUCKETS]
+    return weights
 
 
 def _score(stats: dict, weights: np.ndarray) -> Callable:
