@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from questlog.llm import bpe, langid, lm, minhash, mixing, packing, pq, sharding, simhash, warc
+from questlog.llm import bpe, langid, lm, minhash, mixing, packing, pq, sharding, simhash, toxicity, warc
 from questlog.llm.oracles import archives_sql, mixing_sql, near_vectors_sql
 
 
@@ -65,7 +65,11 @@ def op10_sharding(spark, sf_dir):
     return sharding.assign_shards(_read(spark, sf_dir, "documents"), shards=24)
 
 
-QUERIES = {f.__name__: f for f in (op1_pq_near_dedup, op2_mixing, op3_language_id, op4_fingerprints, op5_token_counts, op6_simhash, op7_warc_index, op8_packing, op9_lm_scores, op10_sharding)}
+def op11_toxicity(spark, sf_dir):
+    return toxicity.score_documents(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"), folds=4, held_out=2, threshold=0.3)
+
+
+QUERIES = {f.__name__: f for f in (op1_pq_near_dedup, op2_mixing, op3_language_id, op4_fingerprints, op5_token_counts, op6_simhash, op7_warc_index, op8_packing, op9_lm_scores, op10_sharding, op11_toxicity)}
 QUERIES["pipeline"] = corpus_pipeline.run
 ORACLES = {"op1_pq_near_dedup": near_vectors_sql(), "op2_mixing": mixing_sql(), "op7_warc_index": archives_sql()}
 if corpus_pipeline.ORACLE_SQL:

@@ -72,15 +72,17 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 9, 10, 11, 12, 13]] = True
+#: ASCII bytes that are no letters or digits: words between them are free of punctuation.
+PUNCTUATION = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(64-bit hash of each word, first word of each row and the end): words are runs without ASCII white space, with A-Z lower-cased."""
+def words(data: np.ndarray, offsets: np.ndarray, breaks: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """(64-bit hash of each word, first word of each row and the end): words are runs without `breaks` (ASCII white space), with A-Z lower-cased."""
     if not len(data):
         return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
-    inside = ~_SPACE[data]
+    inside = ~breaks[data]
     first = inside.copy()
     first[1:] &= ~inside[:-1]
     cut = offsets[:-1]
