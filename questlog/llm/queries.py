@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from questlog.llm import bpe, langid, lm, minhash, mixing, packing, pq, sharding, simhash, toxicity, warc
+from questlog.llm import alignment, bpe, langid, lm, minhash, mixing, packing, pq, sharding, simhash, toxicity, warc, whitening
 from questlog.llm.oracles import archives_sql, mixing_sql, near_vectors_sql
 
 
@@ -69,7 +69,17 @@ def op11_toxicity(spark, sf_dir):
     return toxicity.score_documents(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"), folds=4, held_out=2, threshold=0.3)
 
 
-QUERIES = {f.__name__: f for f in (op1_pq_near_dedup, op2_mixing, op3_language_id, op4_fingerprints, op5_token_counts, op6_simhash, op7_warc_index, op8_packing, op9_lm_scores, op10_sharding, op11_toxicity)}
+def op12_whitening(spark, sf_dir):
+    return whitening.whiten(_read(spark, sf_dir, "embeddings"), count=4)
+
+
+def op13_alignment(spark, sf_dir):
+    import public_tokenizers
+
+    return alignment.align(_read(spark, sf_dir, "documents"), vocabulary_path(), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+QUERIES = {f.__name__: f for f in (op1_pq_near_dedup, op2_mixing, op3_language_id, op4_fingerprints, op5_token_counts, op6_simhash, op7_warc_index, op8_packing, op9_lm_scores, op10_sharding, op11_toxicity, op12_whitening, op13_alignment)}
 QUERIES["pipeline"] = corpus_pipeline.run
 ORACLES = {"op1_pq_near_dedup": near_vectors_sql(), "op2_mixing": mixing_sql(), "op7_warc_index": archives_sql()}
 if corpus_pipeline.ORACLE_SQL:
