@@ -6,13 +6,12 @@ Every rollup is a hash aggregate with map-side partial results; what depends on
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from questlog.functions import scalars as S
 from questlog.functions.grammar import VERBS
-from questlog.operators.scan import SEQ_BLOCKS, prefix_scan, seq
+from questlog.operators.scan import SEQ, SEQ_BLOCKS, prefix_scan, seq
 from questlog.operators.sequences import about_self, gate_studies
 from questlog.session import materialise
 
@@ -39,12 +38,12 @@ def own_death() -> Column:
 FILE_KEYS = ["root_no", "loose", "folder", "path"]
 
 
-def kills_per_file(events: DataFrame) -> DataFrame:
+def kills_per_file(events: DataFrame, file_keys: list[str] = FILE_KEYS) -> DataFrame:
     """The kill rollup of each file. Every aggregate buffer has a fixed width (counts, timestamps, line numbers), so
     this is a hash aggregate with map-side combining; what needs the order of files comes after, on far fewer rows."""
     at = F.when(is_kill(), F.col("date").try_cast("timestamp_ntz"))
     by_verb = lambda v: F.when(F.col("verb") == v, at)
-    return events.filter(is_kill() | own_death()).groupBy("character", "creature", *FILE_KEYS).agg(
+    return events.filter(is_kill() | own_death()).groupBy("character", "creature", *file_keys).agg(
         *_kill_counters(),
         F.count_if(F.col("kind") == "Fallen").alias("killed_by_count"),
         F.min_by(at, F.when(at.isNotNull(), F.col("line_no"))).alias("date_first"),
@@ -61,13 +60,22 @@ def kills(events: DataFrame, values: DataFrame | None = None, aliases: DataFrame
     lookup; it is joined to the small rollup, not to the events. With `aliases(log_name, resolves_to, inline)` the
     value is that of the alias, else of the name, else of the name without `the `; `values` then is a bestiary with family and rarity.
     """
+    return with_values(kills_of_files(kills_per_file(events)), values, aliases)
+
+
+def kills_of_files(per_file: DataFrame, file_keys: list[str] = FILE_KEYS) -> DataFrame:
+    """The kill rollup from those of its files, which `file_keys` put in order."""
     text = lambda c: c.cast("string")
-    first = F.min_by("date_first", F.when(F.col("date_first").isNotNull(), F.struct(*FILE_KEYS)))
-    rollup = kills_per_file(events).groupBy("character", "creature").agg(
+    first = F.min_by("date_first", F.when(F.col("date_first").isNotNull(), F.struct(*file_keys)))
+    return per_file.groupBy("character", "creature").agg(
         *[F.sum(c).alias(c) for c in [*COUNTERS, "killed_by_count"]],
         text(first).alias("date_first"), text(F.max("date_last")).alias("date_last"),
         *[text(F.min(f"date_first_{v}")).alias(f"date_first_{v}") for v in VERBS],
         *[text(F.max(f"date_last_{v}")).alias(f"date_last_{v}") for v in VERBS])
+
+
+def with_values(rollup: DataFrame, values: DataFrame | None = None, aliases: DataFrame | None = None) -> DataFrame:
+    """`creature_value` of a kill rollup, as `kills` describes it."""
     if values is None:
         return rollup.withColumn("creature_value", F.lit(0).cast("bigint"))
     if aliases is not None:
@@ -78,6 +86,12 @@ def kills(events: DataFrame, values: DataFrame | None = None, aliases: DataFrame
     return rollup.join(v, "creature", "left").withColumn("creature_value", F.coalesce("creature_value", F.lit(0).cast("bigint")))
 
 
+def with_best_loot(rollup: DataFrame, loot: DataFrame) -> DataFrame:
+    """The largest own share of each creature's loot; 0 and '' where there was none."""
+    return rollup.join(loot, ["character", "creature"], "left").withColumns(
+        {"best_loot_value": F.coalesce("best_loot_value", F.lit(0).cast("bigint")), "best_loot_item": F.coalesce("best_loot_item", F.lit(""))})
+
+
 def kill_hourly(events: DataFrame) -> DataFrame:
     return events.filter(is_kill()).groupBy("character", "creature", S.hour_bucket("date").alias("hour")).agg(*_kill_counters())
 
@@ -151,14 +165,24 @@ def trainer_ranks(gated: DataFrame, trainer_meta: DataFrame | None = None) -> Da
 
     Per file first, with fixed-width buffers; the last date in scan order is then chosen among files.
     """
+    return with_multiplier(ranks_of_files(ranks_per_file(gated)), trainer_meta)
+
+
+def ranks_per_file(gated: DataFrame, file_keys: list[str] = FILE_KEYS) -> DataFrame:
     learning = F.col("kind") == "ApplyLearningRank"
-    per_file = gated.filter("counted").groupBy("character", "trainer", *FILE_KEYS).agg(
+    return gated.filter("counted").groupBy("character", "trainer", *file_keys).agg(
         F.count_if(F.col("kind") == "TrainerRank").alias("ranks"),
-        F.count_if(learning & F.col("flag")).alias("full"), F.count_if(learning & ~F.col("flag")).alias("part"),
+        F.count_if(learning & F.col("flag")).alias("full"), F.count_if(learning & ~F.col("flag")).alias("part_learned"),
         F.max_by(F.col("date").try_cast("timestamp_ntz"), "line_no").alias("last"))
-    out = per_file.groupBy("character", "trainer").agg(
-        F.sum("ranks").alias("ranks"), (F.sum("full") * 10).alias("apply_learning_ranks"), F.sum("part").alias("apply_learning_unknown_count"),
-        F.max_by("last", F.struct(*FILE_KEYS)).cast("string").alias("date_of_last_rank"))
+
+
+def ranks_of_files(per_file: DataFrame, file_keys: list[str] = FILE_KEYS) -> DataFrame:
+    return per_file.groupBy("character", "trainer").agg(
+        F.sum("ranks").alias("ranks"), (F.sum("full") * 10).alias("apply_learning_ranks"), F.sum("part_learned").alias("apply_learning_unknown_count"),
+        F.max_by("last", F.struct(*file_keys)).cast("string").alias("date_of_last_rank"))
+
+
+def with_multiplier(out: DataFrame, trainer_meta: DataFrame | None = None) -> DataFrame:
     if trainer_meta is None:
         return out.withColumn("effective_multiplier", F.lit(1.0))
     meta = trainer_meta.select("trainer", F.col("multiplier").alias("effective_multiplier"))
@@ -185,42 +209,45 @@ def _studied(events: DataFrame) -> DataFrame:
     return rows.withColumn("_at", seq())
 
 
-def _popped(events: DataFrame, rows: DataFrame) -> DataFrame:
+PLACE = ["root_no", "loose", "folder", "path", "line_no", "path_head", "line_block"]
+
+
+def completions(events: DataFrame) -> DataFrame:
+    """'Training completed' lines with their place."""
+    return events.filter("kind = 'LastyCompleted'").select("character", *PLACE)
+
+
+def _popped(done: DataFrame, rows: DataFrame) -> DataFrame:
     """(character, creature, lasty_type) finished by 'training completed', which names no creature.
 
     Each such line finishes the newest unfinished row. Only two moments of a row matter, its insertion and
     its first finish, and consecutive completions act as one number of pops; so a character comes down to
     at most two entries per catalogue creature and type, plus one count between two entries, whatever the
-    number of lines. That bounded list goes through one small sequential pass.
+    number of lines. Lines are brought to that by a prefix scan and an aggregate; the bounded list is then folded over a stack of open rows.
     """
-    keep = ["root_no", "loose", "folder", "path", "line_no", "path_head", "line_block"]
-    done = events.filter("kind = 'LastyCompleted'").select("character", *keep, F.lit(None).cast("string").alias("creature"),
-                                                           F.lit(None).cast("string").alias("lasty_type"), F.lit("pop").alias("op"))
+    done = done.withColumns({"creature": F.lit(None).cast("string"), "lasty_type": F.lit(None).cast("string"), "op": F.lit("pop")})
     who = done.select("character").distinct()
     first = rows.join(who, "character", "left_semi").select("character", "creature", "lasty_type", "_new", "_fin")
     marks = first.select("character", "creature", "lasty_type", F.lit("open").alias("op"), "_new.*").unionByName(
         first.filter("_fin is not null").select("character", "creature", "lasty_type", F.lit("shut").alias("op"), "_fin.*"))
-    marks = marks.select("character", *keep, "creature", "lasty_type", "op")
-    steps = prefix_scan(marks.unionByName(done), ["character"], ["line_no", "op"],
+    steps = prefix_scan(marks.select(*done.columns).unionByName(done), ["character"], ["line_no", "op"],
                         {"step": ("sum", (F.col("op") != "pop").cast("int"))}, SEQ_BLOCKS)
-    steps = steps.groupBy("character", "step", "op", "creature", "lasty_type").agg(F.count("*").alias("n"))
-
-    def pass_over(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.assign(late=(pdf["op"] == "pop").astype(int)).sort_values(["step", "late"])
-        open_rows: dict[tuple[str, str], None] = {}
-        out = []
-        for op, creature, kind, n in zip(pdf["op"], pdf["creature"], pdf["lasty_type"], pdf["n"]):
-            if op == "open":
-                open_rows[(creature, kind)] = None
-            elif op == "shut":
-                open_rows.pop((creature, kind), None)
-            else:
-                for _ in range(min(n, len(open_rows))):
-                    out.append(open_rows.popitem()[0])
-        return pd.DataFrame({"character": [pdf["character"].iloc[0]] * len(out), "creature": [c for c, _ in out],
-                             "lasty_type": [t for _, t in out]}, dtype=object)
-
-    return steps.groupBy("character").applyInPandas(pass_over, "character string, creature string, lasty_type string")
+    steps = steps.groupBy("character", "step", "op", "creature", "lasty_type").agg(F.count("*").cast("int").alias("n"))
+    row = F.struct("creature", "lasty_type")
+    listed = steps.groupBy("character").agg(F.array_sort(F.collect_list(F.struct("step", (F.col("op") == "pop").alias("late"), row.alias("row"), "op", "n"))).alias("steps"))
+    none = F.array().cast("array<struct<creature:string,lasty_type:string>>")
+
+    def fold(state: Column, s: Column) -> Column:
+        open_, out, n = state["open"], state["out"], F.least(s["n"], F.size(state["open"]))
+        left = F.size(open_) - n
+        is_pop = s["op"] == "pop"
+        return F.struct(
+            F.when(is_pop, F.slice(open_, 1, left)).when(s["op"] == "open", F.array_append(open_, s["row"])).otherwise(
+                F.filter(open_, lambda r: ~r.eqNullSafe(s["row"]))).alias("open"),
+            F.when(is_pop, F.concat(out, F.slice(open_, left + 1, n))).otherwise(out).alias("out"))
+
+    popped = F.aggregate("steps", F.struct(none.alias("open"), none.alias("out")), fold, lambda s: s["out"])
+    return listed.select("character", F.explode(popped).alias("row")).select("character", "row.*")
 
 
 def lastys(events: DataFrame, reflected: DataFrame | None = None) -> DataFrame:
@@ -231,22 +258,31 @@ def lastys(events: DataFrame, reflected: DataFrame | None = None) -> DataFrame:
     studied = materialise(_studied(events))
     touched = studied.filter(F.col("kind").isin(_TOUCHES))
     fin = F.col("kind") == "LastyFinished"
-    place = F.struct("root_no", "loose", "folder", "path", "line_no", "path_head", "line_block")
+    place = F.struct(*PLACE)
     rows = touched.groupBy("character", "creature", "lasty_type").agg(
         F.count("*").alias("message_count"),
         F.min_by("date", "_at").alias("first_seen"), F.max_by("date", "_at").alias("last_seen"),
         F.max(fin).alias("finished"), F.max_by("date", F.when(fin, F.col("_at"))).alias("completed"),
-        F.min("_at").alias("_since"), F.min_by(place, "_at").alias("_new"),
-        F.min_by(place, F.when(fin, F.col("_at"))).alias("_fin"))
-    rows = materialise(rows)
-    popped = _popped(events, rows).withColumn("_popped", F.lit(True))
+        F.min_by(place, "_at").alias("_new"), F.min_by(place, F.when(fin, F.col("_at"))).alias("_fin"))
     # abandoning marks the rows that exist; beginning any type of the creature clears all of them
     control = studied.filter(F.col("kind").isin("StudyAbandon", "LastyBeginStudy")).groupBy("character", "creature").agg(
-        F.max_by(F.struct(F.when(F.col("kind") == "StudyAbandon", F.col("date")).alias("date"), F.col("_at")), "_at").alias("_ctl"))
-    out = rows.join(popped, ["character", "creature", "lasty_type"], "left").join(control, ["character", "creature"], "left").select(
+        F.max_by(F.struct(F.when(F.col("kind") == "StudyAbandon", F.col("date")).alias("date"), F.col("_at").alias("at")), "_at").alias("_ctl"))
+    return with_reflected(studies_of_rows(rows, control, completions(events)), reflected)
+
+
+def studies_of_rows(rows: DataFrame, control: DataFrame, done: DataFrame) -> DataFrame:
+    """Studies from their counted rows (`_new` and `_fin`: places of the first line and of the first finish), the last abandon or begin line of each creature, and
+    the completions."""
+    rows = materialise(rows)
+    popped = _popped(done, rows).withColumn("_popped", F.lit(True))
+    since = F.struct(*[F.col(f"_new.{c}") for c in SEQ])
+    return rows.join(popped, ["character", "creature", "lasty_type"], "left").join(control, ["character", "creature"], "left").select(
         "character", "creature", "lasty_type", "message_count", "first_seen", "last_seen",
         (F.col("finished") | F.coalesce("_popped", F.lit(False))).alias("finished"), "completed",
-        F.when(F.col("_since") < F.col("_ctl._at"), F.col("_ctl.date")).alias("abandoned"))
+        F.when(since < F.col("_ctl.at"), F.col("_ctl.date")).alias("abandoned"))
+
+
+def with_reflected(out: DataFrame, reflected: DataFrame | None) -> DataFrame:
     if reflected is None:
         return out
     extra = reflected.groupBy("character", "creature", "lasty_type").agg(

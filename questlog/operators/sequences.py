@@ -24,12 +24,20 @@ def gate_ranks(events: DataFrame, overrides: DataFrame) -> DataFrame:
 
     `overrides(character, trainer, rank_mode, override_date)` has one row per (character, trainer).
     """
-    ranks = events.filter(F.col("kind").isin(RANK_KINDS) & ((F.col("kind") == "TrainerRank") | about_self()))
+    return with_rank_gate(events.filter(counts_as_rank()), overrides)
+
+
+def counts_as_rank() -> Column:
+    return F.col("kind").isin(RANK_KINDS) & ((F.col("kind") == "TrainerRank") | about_self())
+
+
+def with_rank_gate(lines: DataFrame, overrides: DataFrame) -> DataFrame:
+    """`counted` of every line, as if it were a rank line; `lines` may be a stream."""
     o = overrides.select("character", "trainer", "rank_mode", "override_date")
     counted = F.when(F.col("rank_mode") == "override", F.lit(False)).when(
         (F.col("rank_mode") == "override_until_date") & F.col("override_date").isNotNull(),
         S.date_after("date", "override_date")).otherwise(F.lit(True))
-    return ranks.join(o, ["character", "trainer"], "left").withColumn("counted", counted).drop("rank_mode", "override_date")
+    return lines.join(o, ["character", "trainer"], "left").withColumn("counted", counted).drop("rank_mode", "override_date")
 
 
 def rank_skips(gated: DataFrame) -> DataFrame:
@@ -42,17 +50,22 @@ def bow_checkpoints(events: DataFrame) -> DataFrame:
     State per (file, trainer): the last greeting, bow and phrase lines before the phrase. A phrase disarms,
     so a phrase that follows another one without a new greeting does not count.
     """
+    return confirmed_bows(bow_steps(events))
+
+
+def bow_steps(events: DataFrame) -> DataFrame:
+    """The lines that move a bow sequence; `step`: greeted, bowed or spoken."""
     greeting = F.col("kind").isin("TrainerGreetingSimple", "TrainerGreetingWithUnknownCheckpoint") & about_self()
-    steps = events.filter(greeting | F.col("kind").isin("TrainerBow", "TrainerCheckpointUnhailed"))
-    at = F.col("line_no")
-    scanned = prefix_scan(steps, ["path", "trainer"], ["line_no"], {
-        "_greeted": ("max", F.when(greeting, at)),
-        "_bowed": ("max", F.when(F.col("kind") == "TrainerBow", at)),
-        "_spoken": ("max", F.when(F.col("kind") == "TrainerCheckpointUnhailed", at)),
-    }, FILE_BLOCKS, inclusive=False)
+    step = F.when(greeting, F.lit("greeted")).when(F.col("kind") == "TrainerBow", F.lit("bowed")).when(F.col("kind") == "TrainerCheckpointUnhailed", F.lit("spoken"))
+    return events.withColumn("step", step).filter("step is not null")
+
+
+def confirmed_bows(steps: DataFrame) -> DataFrame:
+    """Phrases that end a bow sequence, of `bow_steps`."""
+    at = lambda step: ("max", F.when(F.col("step") == step, F.col("line_no")))
+    scanned = prefix_scan(steps, ["path", "trainer"], ["line_no"], {"_greeted": at("greeted"), "_bowed": at("bowed"), "_spoken": at("spoken")}, FILE_BLOCKS, inclusive=False)
     armed = F.col("_greeted").isNotNull() & (F.col("_greeted") > F.coalesce("_spoken", F.lit(-1)))
-    return scanned.filter((F.col("kind") == "TrainerCheckpointUnhailed") & armed & (F.col("_bowed") > F.col("_greeted"))).drop(
-        "_greeted", "_bowed", "_spoken")
+    return scanned.filter((F.col("step") == "spoken") & armed & (F.col("_bowed") > F.col("_greeted"))).drop("_greeted", "_bowed", "_spoken", "step")
 
 
 def checkpoints(events: DataFrame) -> DataFrame:
@@ -123,14 +136,21 @@ def departs(events: DataFrame, seq: Column) -> DataFrame:
                     (F.col("kind") == "FirstDepart") & (F.col("_set").isNull() | (F.col("_at") > F.col("_set"))), 1))).alias("departs")))
 
 
+def makes_kill_row() -> Column:
+    return F.col("kind").isin("SoloKill", "AssistedKill") | ((F.col("kind") == "Fallen") & about_self())
+
+
+def loot_label() -> Column:
+    kind = F.when(F.col("loot_type") == "mandible", F.lit("mandibles")).otherwise(F.coalesce("loot_type", F.lit("loot")))
+    return F.concat_ws(" ", "item", kind)
+
+
 def best_loot(events: DataFrame, seq: Column) -> DataFrame:
     """Largest own share per (character, creature); only loot after the first kill or death row counts."""
     rows = events.select("character", "kind", "creature", "item", "loot_type", "amount", "subject", seq.alias("_at"))
-    first = rows.filter(F.col("kind").isin("SoloKill", "AssistedKill") | ((F.col("kind") == "Fallen") & about_self())).groupBy(
-        "character", "creature").agg(F.min("_at").alias("_since"))
-    label = F.when(F.col("loot_type") == "mandible", F.lit("mandibles")).otherwise(F.coalesce("loot_type", F.lit("loot")))
+    first = rows.filter(makes_kill_row()).groupBy("character", "creature").agg(F.min("_at").alias("_since"))
     loot = rows.filter("kind = 'LootShare' and amount > 0").select(
-        "character", F.col("item").alias("creature"), "amount", "_at", F.concat_ws(" ", "item", label).alias("label"))
+        "character", F.col("item").alias("creature"), "amount", "_at", loot_label().alias("label"))
     best = loot.join(first, ["character", "creature"]).filter("_at > _since").groupBy("character", "creature").agg(
         F.min(F.struct((-F.col("amount")).alias("m"), F.col("_at"), F.col("label"))).alias("b"))
     return best.select("character", "creature", (-F.col("b.m")).alias("best_loot_value"), F.col("b.label").alias("best_loot_item"))

@@ -262,6 +262,21 @@ def kill_events(spark: SparkSession, sf_dir: str) -> DataFrame:
                               ((F.col("l_orderkey") * 8 + n) * 10000 + F.datediff("l_shipdate", F.lit("1990-01-01"))).alias("line_no")))
 
 
+@cache  # the plan, not the data
+def loot_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M2: the first items of an order also yield loot, after their kill or (the third) before it; some shares are not above 0."""
+    li = table(spark, sf_dir, "lineitem").filter("l_linenumber <= 3").select("l_orderkey", "l_partkey", "l_linenumber", "l_returnflag", "l_shipdate", "l_quantity")
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), F.concat_ws(" ", "p_type", "p_brand").alias("item"))
+    f = li.join(o, "l_orderkey").join(p, "l_partkey")
+    who = F.concat(F.lit("Hero"), F.floor(F.col("o_custkey") / 30).cast("string"))
+    flag, n = F.col("l_returnflag"), F.col("l_linenumber")
+    at = (F.col("l_orderkey") * 8 + n) * 10000 + F.datediff("l_shipdate", F.lit("1990-01-01")) + F.when(n == 3, -1).otherwise(5000)
+    return as_events(f.select(who.alias("character"), F.lit("LootShare").alias("kind"), "item", (F.floor("l_quantity") - 5).cast("bigint").alias("amount"),
+                              F.when(flag == "A", F.lit("fur")).when(flag == "N", F.lit("blood")).otherwise(F.lit("mandible")).alias("loot_type"),
+                              F.to_date("l_shipdate").cast("string").alias("date"), at.alias("line_no")))
+
+
 @cache  # the plan, not the data
 def kill_bestiary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bestiary of M2's creatures: value 20 x the largest size, family from the type, rarity text from the size."""

@@ -24,8 +24,11 @@ from questlog.operators import timelines as TL
 from questlog.operators.scan import seq
 from questlog.plans import adapters as A
 from questlog.plans import log_queries as L
+from questlog.functions.grammar import classify
+from questlog.operators import attribution as AT
 from questlog.operators.attribution import attribute, folder_character
 from questlog.session import materialise, scratch_path
+from questlog.sources import generations as G
 from questlog.sources import legacy, sinks
 from questlog.sources.dimensions import read_bestiary_xml
 from questlog.sources.logs import decode_lines as decode
@@ -47,9 +50,8 @@ def trainer_rollup(spark: SparkSession, d: str) -> DataFrame:
 
 @cache
 def kills(spark: SparkSession, d: str) -> DataFrame:
-    # the loot columns of the kill table: here the best value comes from the counts
-    return materialise(kill_rollup(spark, d).withColumn("best_loot_value", F.col("killed_count") * 3).withColumn(
-        "best_loot_item", F.concat(F.lit("fur of "), "creature")))
+    loot = Q.best_loot(A.kill_events(spark, d).unionByName(A.loot_events(spark, d), allowMissingColumns=True), seq())
+    return materialise(R.with_best_loot(kill_rollup(spark, d), loot))
 
 
 @cache
@@ -334,7 +336,7 @@ def character_summary(spark, d):
     ev = A.log_events(spark, d)
     people = R.character_counters(ev).join(Q.departs(ev, seq()), "character", "left").withColumn("departs", F.coalesce("departs", F.lit(0)))
     t = R.trainer_ranks(L.gated(spark, d), A.trainer_meta(spark)).withColumns({"modified_ranks": F.lit(0), "rank_mode": F.lit("modifier")})
-    return RP.summary(people, R.kills(ev), t, R.lastys(ev)).select(
+    return RP.summary(people, R.kills(ev), t, R.lastys(ev, Q.reflect_lists(ev))).select(
         "character", "deaths", "departs", "solo", "assisted", "killed_by", "creatures", "most_killed", "ranks", "effective_ranks", "trainers",
         "depart_rate", "chain_break_rate", "studies")
 
@@ -499,6 +501,76 @@ def stream_hourly(spark, d):
     return spark.read.schema("character string, creature string, hour string, solo bigint, assisted bigint").parquet(src + "/out")
 
 
+@cache  # the streams below run once per session
+def live_tables(spark, d) -> str:
+    """The rendered log as a live feed: three deliveries by the weeks of the file names, two of which cut files in half, with a restart before each; from lines over
+    gated ranks and confirmed bows to studies. Returns the folder of `lines` and `studies`."""
+    src = scratch_path(spark)
+    columns = [c.split()[0] for c in live.LINE.split(", ")]
+    parsed = A.parsed_log(spark, d)
+    lines = classify(parsed, "message", A.trainer_messages(spark)).join(folder_character(parsed), ["root_no", "folder"], "left").select(
+        *columns[:-1], "welcome", F.when(~F.col("loose"), F.col("folder_character")).alias("folder_character"))
+    lines = lines.join(AT.fill_timestamps(parsed).select("path", "line_no", "date"), ["path", "line_no"])
+    lines = lines.join(lines.groupBy("path").agg(((F.min("line_no") + F.max("line_no")) / 2).alias("mid")), "path")
+    week, late = F.regexp_extract("path", "CL Log [0-9]{4}:[0-9]{2}:([0-9]{2})", 1).cast("int"), F.col("line_no") >= F.col("mid")
+    part = F.when((week < 8) | ((week == 8) & ~late), 0).when((week == 8) | ((week == 15) & ~late), 1).otherwise(2)
+    lines = materialise(lines.withColumn("part", part).drop("mid"))
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    kind = f"{live.LINE}, welcome string, folder_character string"
+    given = f"{live.LINE}, character string, confirmed boolean"
+    feed = lambda: Q.with_rank_gate(live.stream_lines(spark.readStream.schema(kind).parquet(src + "/in")), A.overrides(spark, d)).select(
+        *columns, "character", "confirmed", "counted")
+    studies = lambda: live.stream_studies(spark.readStream.schema(given).parquet(src + "/lines/out"))
+    try:
+        for k in range(3):
+            lines.filter(F.col("part") == k).drop("part").write.mode("append").parquet(src + "/in")
+            _run(feed, src + "/lines")
+            _run(studies, src + "/studies")
+    finally:
+        spark.conf.set(key, before)
+    return src
+
+
+def stream_ranks(spark, d):
+    """Rank lines of the live feed with the gate of overrides."""
+    lines = spark.read.schema(f"{live.LINE}, character string, confirmed boolean, counted boolean").parquet(live_tables(spark, d) + "/lines/out")
+    return lines.filter(Q.counts_as_rank()).select("path", "line_no", "character", "trainer", "counted")
+
+
+def stream_bows(spark, d):
+    """Checkpoints that the live feed's bow sequences confirm."""
+    lines = spark.read.schema(f"{live.LINE}, character string, confirmed boolean").parquet(live_tables(spark, d) + "/lines/out")
+    return lines.filter("confirmed").select("character", "trainer", "rank_min", "rank_max", "date", "path", "line_no")
+
+
+def stream_study_gate(spark, d):
+    """Study lines of the live feed without progress on abandoned creatures."""
+    return spark.read.parquet(live_tables(spark, d) + "/studies/out").select("path", "line_no", "character", "creature", "kind")
+
+
+def stream_late(spark, d):
+    """Hourly kills of a feed in time order with a lateness of one day: four deliveries with a restart before each, of which every twentieth file comes with the last, some
+    lines come twice, and the last batch is replayed; then the rebuild folds the late lines in."""
+    src = scratch_path(spark)
+    rows = A.log_events(spark, d).select("path", "line_no", "character", "creature", "kind", "date")
+    at = F.unix_timestamp(F.try_to_timestamp("date"))
+    cuts = rows.agg(F.percentile_approx(at, F.array(*map(F.lit, (0.25, 0.5, 0.75))))).first()[0] or [0, 0, 0]
+    quarter = sum(((F.coalesce(at, F.lit(0)) >= c).cast("int") for c in cuts), F.lit(0))
+    part = F.when(F.crc32("path") % 20 == 0, 3).otherwise(quarter)
+    twice = F.when((F.col("line_no") % 13 == 0) & (part < 3), F.array(part, part + 1)).otherwise(F.array(part))
+    rows_in = materialise(rows.withColumn("part", F.explode(twice)))
+    sink = live.hourly_sink(src + "/hours")
+    feed = lambda: spark.readStream.schema(rows.schema).parquet(src + "/in")
+    for k in range(4):
+        rows_in.filter(F.col("part") == k).drop("part").write.mode("append").parquet(src + "/in")
+        q = feed().writeStream.foreachBatch(sink).option("checkpointLocation", src + "/state").trigger(availableNow=True).start()
+        q.awaitTermination()
+    sink(rows_in.filter("part = 3").drop("part"), 3)
+    return live.fold_late(live.read_hours(spark, src + "/hours"), G.current(spark, src + "/hours").read(spark, "late"), rows)
+
+
 def majority_vote(spark, d):
     return IH.majority_vote(A.item_lines(spark, d))
 
@@ -674,4 +746,4 @@ QUERIES = {f.__name__: f for f in (
     checkpoint_timeline, creature_lookup, trainer_lookup, alias_checks, canonical_family, canonical_rarity, bestiary_table, decode_lines,
     log_line_count, log_search, log_search_context, log_snippets, scan_plan, pending_files, manifest_update, tail_scan, stream_hourly,
     majority_vote, jaccard_pairs, jaccard_dedup, discover_logs, bestiary_xml, bestiary_writer, write_tables, csv_export, item_help,
-    stream_attribute, import_characters, import_kills, scalar_functions, titlecase_name, date_after)}
+    stream_attribute, stream_late, stream_ranks, stream_bows, stream_study_gate, import_characters, import_kills, scalar_functions, titlecase_name, date_after)}

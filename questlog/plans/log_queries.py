@@ -13,8 +13,10 @@ from questlog.operators import attribution as AT
 from questlog.operators import rankings as RK
 from questlog.operators import rollups as R
 from questlog.operators import sequences as Q
+from questlog.operators import updating as U
 from questlog.operators.scan import seq
 from questlog.plans import adapters as A
+from questlog.session import scratch_path
 
 
 @cache
@@ -113,7 +115,8 @@ def best_loot(spark, d):
 
 
 def kills_rollup(spark, d):
-    return R.kills(A.log_events(spark, d), A.bestiary(spark, d).select("name", "value"))
+    ev = A.log_events(spark, d)
+    return R.with_best_loot(R.kills(ev, A.bestiary(spark, d).select("name", "value")), Q.best_loot(ev, seq()))
 
 
 def kill_hourly(spark, d):
@@ -137,7 +140,8 @@ def announced_profession(spark, d):
 
 
 def log_lastys(spark, d):
-    return R.lastys(A.log_events(spark, d)).select("character", "creature", "lasty_type", "message_count", "first_seen", "last_seen")
+    ev = A.log_events(spark, d)
+    return R.lastys(ev, Q.reflect_lists(ev))
 
 
 def scan_report(spark, d):
@@ -154,8 +158,65 @@ def process_log(spark, d):
     return msgs.join(R.process_log_counts(msgs).withColumnRenamed("n", "of_level"), "level")
 
 
+# --- updates: the log arrives in three deliveries, and every rollup must equal that of one scan -------------------
+
+@cache  # written once per session: the tables that the updates below publish
+def updated(spark: SparkSession, d: str):
+    """A scan of the first half of most files, an update by the files that came later (between the others in scan order), and one by
+    the tails."""
+    ev, root = A.log_events(spark, d), scratch_path(spark)
+    half = ev.agg(F.floor(F.max("line_no") / 2)).first()[0] or 0
+    late, tail = F.pmod(F.crc32("path"), F.lit(5)) == 0, F.col("line_no") >= half
+    settings = {"overrides": A.overrides(spark, d), "values": A.bestiary(spark, d).select("name", "value"), "meta": A.trainer_meta(spark)}
+    U.rescan(spark, root, ev.filter(~late & ~tail), **settings)
+    U.update(spark, root, ev.filter(late), **settings)
+    return U.update(spark, root, ev.filter(~late & tail), **settings)
+
+
+def updated_kills(spark, d):
+    return updated(spark, d).read(spark, "kill_table")
+
+
+def updated_hours(spark, d):
+    return updated(spark, d).read(spark, "kill_hours")
+
+
+def updated_ranks(spark, d):
+    return updated(spark, d).read(spark, "trainer_ranks")
+
+
+def updated_counters(spark, d):
+    return updated(spark, d).read(spark, "character_counters")
+
+
+def updated_fishing(spark, d):
+    return updated(spark, d).read(spark, "fishing_catches").select("character", S.verb_text(F.col("fishing_catches")).alias("catches"))
+
+
+def updated_loot(spark, d):
+    return updated(spark, d).read(spark, "best_loot")
+
+
+def updated_departs(spark, d):
+    return updated(spark, d).read(spark, "depart_counts")
+
+
+def updated_checkpoints(spark, d):
+    return RK.checkpoint_history(updated(spark, d).read(spark, "checkpoint_table")).select("character", "trainer", "rank_min", "rank_max", "date")
+
+
+def updated_professions(spark, d):
+    return updated(spark, d).read(spark, "announced")
+
+
+def updated_studies(spark, d):
+    return updated(spark, d).read(spark, "study_table")
+
+
 QUERIES = {f.__name__: f for f in (
     filename_date, line_timestamp, ts_fallback, classify_lines, active_character, folder_character, undetermined_files, logins,
     start_date, deaths, rank_gate, rank_skips, bow_checkpoint, checkpoint_all, checkpoint_latest, top_checkpoints, reflect_lists,
     study_gate, departs, best_loot, kills_rollup, kill_hourly, character_counters, fishing_catches, trainer_ranks,
-    announced_profession, log_lastys, scan_report, process_log)}
+    announced_profession, log_lastys, scan_report, process_log,
+    updated_kills, updated_hours, updated_ranks, updated_counters, updated_fishing, updated_loot, updated_departs, updated_checkpoints, updated_professions,
+    updated_studies)}

@@ -34,8 +34,15 @@ WITH kev AS (
     CASE WHEN l_linenumber = 6 THEN 'Fallen' WHEN l_linestatus = 'O' THEN 'AssistedKill' ELSE 'SoloKill' END AS kind,
     CASE WHEN l_linenumber = 6 THEN NULL WHEN l_linenumber = 7 THEN 'dispatched' WHEN l_returnflag = 'A' THEN 'killed'
          WHEN l_returnflag = 'N' THEN 'slaughtered' ELSE 'vanquished' END AS verb,
-    strftime(l_shipdate, '%Y-%m-%d') || ' ' || printf('%02d:00:00', l_orderkey % 24) AS date, l_orderkey * 8 + l_linenumber AS seq
+    strftime(l_shipdate, '%Y-%m-%d') || ' ' || printf('%02d:00:00', l_orderkey % 24) AS date, l_orderkey * 8 + l_linenumber AS seq,
+    (l_orderkey * 8 + l_linenumber) * 10000 + date_diff('day', DATE '1990-01-01', CAST(l_shipdate AS DATE)) AS line, l_linenumber AS nth, l_returnflag AS flag,
+    CAST(floor(l_quantity) AS BIGINT) - 5 AS share
   FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN part ON p_partkey = l_partkey
+), lo AS (
+  SELECT l.character, l.creature, l.share AS best_loot_value, l.creature || CASE l.flag WHEN 'A' THEN ' fur' WHEN 'N' THEN ' blood' ELSE ' mandibles' END AS best_loot_item
+  FROM (SELECT *, line + CASE WHEN nth = 3 THEN -1 ELSE 5000 END AS at FROM kev WHERE nth <= 3 AND share > 0) l
+  JOIN (SELECT character, creature, min(line) AS since FROM kev GROUP BY ALL) f USING (character, creature) WHERE l.at > f.since
+  QUALIFY row_number() OVER (PARTITION BY l.character, l.creature ORDER BY l.share DESC, l.at, best_loot_item) = 1
 ), kb AS (
   SELECT CASE WHEN brand % 11 = 5 THEN 'Unseen ' ELSE '' END || p_type || ' ' || p_brand AS name,
     CASE WHEN brand % 10 = 0 THEN upper(p_type) WHEN brand % 7 = 0 THEN 'Ethereal' ELSE {initcap('p_type')} END AS family,
@@ -47,10 +54,10 @@ WITH kev AS (
 ), kbl AS (
   SELECT kb.*, fam.family_canonical, {rarity('kb.rarity')} AS rarity_canonical FROM kb JOIN fam ON fam.low = lower(kb.family)
 ), k AS (
-  SELECT a.*, CAST(coalesce(kb.value, 0) AS BIGINT) AS creature_value, a.killed_count * 3 AS best_loot_value, 'fur of ' || a.creature AS best_loot_item
+  SELECT a.*, CAST(coalesce(kb.value, 0) AS BIGINT) AS creature_value, coalesce(lo.best_loot_value, 0) AS best_loot_value, coalesce(lo.best_loot_item, '') AS best_loot_item
   FROM (SELECT character, creature, {COUNTERS}, CAST(count(*) FILTER (kind = 'Fallen') AS BIGINT) AS killed_by_count,
           first(date ORDER BY seq, date) FILTER ({IS_KILL}) AS date_first, max(date) FILTER ({IS_KILL}) AS date_last, {DATES}
-        FROM kev GROUP BY ALL) a LEFT JOIN kb ON kb.name = a.creature
+        FROM kev GROUP BY ALL) a LEFT JOIN kb ON kb.name = a.creature LEFT JOIN lo ON lo.character = a.character AND lo.creature = a.creature
 ), people AS (
   SELECT 'Hero' || n AS character, CASE WHEN n % 10 = 1 THEN 'Hero' || (n - 1) WHEN n % 10 = 3 THEN 'Hero' || (n - 2) END AS merged_into,
     CAST(sum(c_nationkey % 3) AS BIGINT) AS logins, CAST(sum(c_nationkey) AS BIGINT) AS deaths, CAST(count(*) AS BIGINT) AS departs,
@@ -553,3 +560,5 @@ ORACLES = {
     "date_after": """SELECT o_orderkey, CASE WHEN o_custkey % 5 = 4 THEN strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') > '6/' || (o_custkey % 28 + 1) || '/xx'
         ELSE CAST(o_orderdate AS DATE) > make_date([1995, 1997, 2000, 2001, 0][o_custkey % 5 + 1], 6, o_custkey % 28 + 1) END AS later FROM orders""",
 }
+
+ORACLES["stream_late"] = ORACLES["stream_hourly"]

@@ -183,6 +183,41 @@ REFLECT_X = """
 
 GATED, BOWS, STUDIED, REFLECT = LOG + GATED_X, LOG + BOWS_X, LOG + STUDIED_X, LOG + REFLECT_X
 
+# Studies: completions finish the newest unfinished row, walked line by line; the lists come last.
+LOG_STUDIES = (LOG + STUDIED_X + REFLECT_X).replace("WITH ev", "WITH RECURSIVE ev", 1) + """
+, ok AS (SELECT character, creature, coalesce(lasty_type, 'Movements') AS ty, kind, seq, date FROM studied)
+, steps AS (
+  SELECT character, kind, creature || '|' || ty AS row_key, row_number() OVER (PARTITION BY character ORDER BY seq) AS i
+  FROM (SELECT character, kind, creature, ty, seq FROM ok WHERE kind <> 'StudyAbandon' UNION ALL SELECT character, kind, '', '', seq FROM att WHERE kind = 'LastyCompleted')
+), walk AS (
+  SELECT character, 0::BIGINT AS i, []::VARCHAR[] AS open, []::VARCHAR[] AS seen, []::VARCHAR[] AS popped FROM (SELECT DISTINCT character FROM steps)
+  UNION ALL
+  SELECT w.character, s.i,
+    CASE WHEN s.kind = 'LastyCompleted' THEN w.open[:len(w.open) - 1]
+         WHEN s.kind = 'LastyFinished' THEN list_filter(w.open, lambda x: x <> s.row_key)
+         WHEN list_contains(w.seen, s.row_key) THEN w.open ELSE list_append(w.open, s.row_key) END,
+    CASE WHEN s.kind = 'LastyCompleted' OR list_contains(w.seen, s.row_key) THEN w.seen ELSE list_append(w.seen, s.row_key) END,
+    CASE WHEN s.kind = 'LastyCompleted' AND len(w.open) > 0 THEN list_append(w.popped, w.open[len(w.open)]) ELSE w.popped END
+  FROM walk w JOIN steps s ON s.character = w.character AND s.i = w.i + 1
+), pops AS (
+  SELECT character, unnest(popped) AS row_key FROM (SELECT character, popped FROM walk QUALIFY row_number() OVER (PARTITION BY character ORDER BY i DESC) = 1)
+), lastctl AS (
+  SELECT character, creature, last(kind ORDER BY seq) AS kind, max(seq) AS seq, last(date ORDER BY seq) AS date FROM ok WHERE kind IN ('StudyAbandon', 'LastyBeginStudy') GROUP BY ALL
+), la AS (
+  SELECT r.character, r.creature, r.lasty_type, r.message_count, r.first_seen, r.last_seen,
+    r.fin OR EXISTS (SELECT 1 FROM pops p WHERE p.character = r.character AND p.row_key = r.creature || '|' || r.lasty_type) AS finished, r.completed,
+    CASE WHEN c.kind = 'StudyAbandon' AND r.since < c.seq THEN c.date END AS abandoned
+  FROM (SELECT character, creature, ty AS lasty_type, CAST(count(*) AS BIGINT) AS message_count, first(date ORDER BY seq) AS first_seen, last(date ORDER BY seq) AS last_seen,
+          bool_or(kind = 'LastyFinished') AS fin, last(date ORDER BY seq) FILTER (kind = 'LastyFinished') AS completed, min(seq) AS since
+        FROM ok WHERE kind <> 'StudyAbandon' GROUP BY character, creature, ty) r LEFT JOIN lastctl c USING (character, creature)
+), listed AS (SELECT character, creature, lasty_type, count(*) AS n, max(date) AS day FROM reflected GROUP BY ALL
+), whole AS (
+  SELECT character, creature, lasty_type, CAST(coalesce(message_count, 0) + coalesce(n, 0) AS BIGINT) AS message_count, coalesce(first_seen, day) AS first_seen,
+    coalesce(day, last_seen) AS last_seen, n IS NOT NULL OR coalesce(finished, false) AS finished, coalesce(completed, day) AS completed, abandoned
+  FROM la FULL JOIN listed USING (character, creature, lasty_type)
+)
+"""
+
 _SOLO = ["killed", "slaughtered", "vanquished", "dispatched"]
 _HELP = ["assisted_kill_count", "assisted_slaughter_count", "assisted_vanquish_count", "assisted_dispatch_count"]
 COUNTERS = ", ".join([f"CAST(count(*) FILTER (kind = 'SoloKill' AND verb = '{v}') AS BIGINT) AS {v}_count" for v in _SOLO] + [
@@ -192,6 +227,18 @@ DATES = ", ".join([f"min(date) FILTER ({IS_KILL} AND verb = '{v}') AS date_first
                    for v in _SOLO])
 
 
+LOOT_X = f"""
+, first_kill AS (SELECT character, creature, min(seq) AS since FROM att WHERE {IS_KILL} OR (kind = 'Fallen' AND self) GROUP BY ALL)
+, bl AS (
+  SELECT a.character, a.item AS creature, a.amount AS best_loot_value,
+         a.item || ' ' || CASE loot_type WHEN 'mandible' THEN 'mandibles' ELSE loot_type END AS best_loot_item
+  FROM att a JOIN first_kill f ON f.character = a.character AND f.creature = a.item AND a.seq > f.since
+  WHERE a.kind = 'LootShare' AND a.amount > 0
+  QUALIFY row_number() OVER (PARTITION BY a.character, a.item ORDER BY a.amount DESC, a.seq) = 1
+)
+"""
+
+
 def counter_sql() -> str:
     """The plain counters, written out as conditions on the expected events."""
     n = lambda cond: f"CAST(count(*) FILTER ({cond}) AS BIGINT)"
@@ -250,16 +297,12 @@ ORACLES = {
     "departs": LOG + """, d AS (SELECT * FROM att WHERE kind IN ('Depart', 'FirstDepart'))
         SELECT character, CAST(coalesce(max(amount) FILTER (seq = s), 0) + count(*) FILTER (kind = 'FirstDepart' AND seq > coalesce(s, -1)) AS BIGINT) AS departs
         FROM (SELECT d.*, (SELECT max(x.seq) FROM d x WHERE x.character = d.character AND x.kind = 'Depart') AS s FROM d) GROUP BY character""",
-    "best_loot": LOG + f""", first_kill AS (SELECT character, creature, min(seq) AS since FROM att WHERE {IS_KILL} OR (kind = 'Fallen' AND self) GROUP BY ALL)
-        SELECT a.character, a.item AS creature, a.amount AS best_loot_value,
-               a.item || ' ' || CASE loot_type WHEN 'mandible' THEN 'mandibles' ELSE loot_type END AS best_loot_item
-        FROM att a JOIN first_kill f ON f.character = a.character AND f.creature = a.item AND a.seq > f.since
-        WHERE a.kind = 'LootShare' AND a.amount > 0
-        QUALIFY row_number() OVER (PARTITION BY a.character, a.item ORDER BY a.amount DESC, a.seq) = 1""",
-    "kills_rollup": LOG + f"""SELECT a.character, a.creature, {COUNTERS}, CAST(count(*) FILTER (kind = 'Fallen') AS BIGINT) AS killed_by_count,
+    "best_loot": LOG + LOOT_X + "SELECT * FROM bl",
+    "kills_rollup": LOG + LOOT_X + f"""SELECT a.character, a.creature, {COUNTERS}, CAST(count(*) FILTER (kind = 'Fallen') AS BIGINT) AS killed_by_count,
         first(date ORDER BY seq) FILTER ({IS_KILL}) AS date_first, max(date) FILTER ({IS_KILL}) AS date_last, {DATES},
-        CAST(coalesce(any_value(p.p_size), 0) AS BIGINT) AS creature_value
-        FROM att a LEFT JOIN part p ON p.p_name || ' ' || p.p_partkey = a.creature
+        CAST(coalesce(any_value(p.p_size), 0) AS BIGINT) AS creature_value, coalesce(any_value(bl.best_loot_value), 0) AS best_loot_value,
+        coalesce(any_value(bl.best_loot_item), '') AS best_loot_item
+        FROM att a LEFT JOIN part p ON p.p_name || ' ' || p.p_partkey = a.creature LEFT JOIN bl ON bl.character = a.character AND bl.creature = a.creature
         WHERE {IS_KILL} OR (kind = 'Fallen' AND self) GROUP BY ALL""",
     "kill_hourly": LOG + f"SELECT character, creature, date[1:13] AS hour, {COUNTERS} FROM att WHERE {IS_KILL} GROUP BY ALL",
     "character_counters": LOG + f"SELECT character, {counter_sql()} FROM att GROUP BY character",
@@ -273,10 +316,8 @@ ORACLES = {
         FROM ranks WHERE counted GROUP BY character, trainer""",
     "announced_profession": LOG + """SELECT character, last(profession ORDER BY seq) AS announced FROM att
         WHERE kind = 'ProfessionAnnouncement' AND self GROUP BY character""",
-    "log_lastys": STUDIED + """
-        SELECT character, creature, coalesce(lasty_type, 'Movements') AS lasty_type, CAST(count(*) AS BIGINT) AS message_count,
-               first(date ORDER BY seq) AS first_seen, last(date ORDER BY seq) AS last_seen
-        FROM studied WHERE kind <> 'StudyAbandon' GROUP BY ALL""",
+    "log_lastys": LOG_STUDIES + "SELECT * FROM whole",
+    "updated_studies": LOG_STUDIES + "SELECT * FROM la",
     "scan_report": LOG + GATED_X + BOWS_X + STUDIED_X + """
         SELECT (SELECT count(DISTINCT character) FROM att) AS characters,
           (SELECT count(DISTINCT path) FROM att) AS files_scanned,
@@ -297,3 +338,7 @@ ORACLES = {
         UNION ALL SELECT 'warn', 'skipped: could not determine character (' || path || ')', path FROM ln WHERE loose GROUP BY path HAVING count(welcome) = 0)
         SELECT level, message, file_path, (SELECT count(*) FROM msgs x WHERE x.level = msgs.level) AS of_level FROM msgs""",
 }
+ORACLES |= {updated: ORACLES[scanned] for updated, scanned in {
+    "updated_kills": "kills_rollup", "updated_hours": "kill_hourly", "updated_ranks": "trainer_ranks", "updated_counters": "character_counters", "updated_fishing": "fishing_catches",
+    "updated_loot": "best_loot", "updated_departs": "departs", "updated_checkpoints": "checkpoint_all", "updated_professions": "announced_profession",
+    "stream_ranks": "rank_gate", "stream_bows": "bow_checkpoint", "stream_study_gate": "study_gate"}.items()}

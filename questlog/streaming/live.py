@@ -1,18 +1,23 @@
 """Live feeds: the same events from files as they arrive.
 
-Lateness is one day; later lines go to the batch rebuild, which is idempotent.
+Lateness is one day. `stream_hourly` leaves later lines to the batch rebuild; `hourly_sink` keeps them aside and `fold_late` counts their hours anew.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from questlog.sources import generations as G
+
 LATENESS = "1 day"
+FORGET_MS = 30 * 86_400_000  # a greeting that nothing followed for so long is forgotten
+LINE = "path string, line_no bigint, kind string, creature string, lasty_type string, trainer string, subject string, flag boolean, rank_min bigint, rank_max bigint, date string"
+STEPS = ("greeted", "bowed", "spoken")
 
 
 def stream_hourly(events: DataFrame, lateness: str = LATENESS) -> DataFrame:
@@ -56,3 +61,184 @@ def stream_attribute(lines: DataFrame) -> DataFrame:
     return lines.groupBy("path").transformWithStateInPandas(
         statefulProcessor=ActiveCharacter(), outputStructType="path string, line_no bigint, character string",
         outputMode="Append", timeMode="None")
+
+
+class LiveFile(StatefulProcessor):
+    """Per file: the active character, and of each trainer the last greeting, bow and phrase, carried from batch to batch. Only lines that can move a bow sequence
+    are walked one by one."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self._active = handle.getValueState("active", "name string")
+        self._bows = handle.getMapState("bows", "trainer string", "greeted bigint, bowed bigint, spoken bigint", ttlDurationMs=FORGET_MS)
+
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
+        """What a batch rebuild knows of a file (`state_of`): `welcome`, or the steps of one trainer."""
+        for row in initialState.itertuples():
+            if pd.notna(row.welcome):
+                self._active.update((row.welcome,))
+            if pd.notna(row.trainer):
+                self._bows.updateValue((row.trainer,), tuple(int(getattr(row, s)) if pd.notna(getattr(row, s)) else -1 for s in STEPS))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        active = self._active.get()[0] if self._active.exists() else None
+        batch = pd.concat(list(rows), ignore_index=True).sort_values("line_no", ignore_index=True)  # a micro-batch's lines of one file
+        welcome = batch["welcome"].astype(object).where(batch["welcome"].notna(), None)
+        names = welcome.ffill()
+        if active is not None:
+            names = names.where(names.notna(), active)
+        names = names.where(names.notna(), batch["folder_character"].astype(object))
+        if welcome.notna().any():
+            self._active.update((str(welcome[welcome.notna()].iloc[-1]),))
+        confirmed = pd.Series(False, index=batch.index)
+        seen: dict[str, list[int]] = {}
+        moves = batch["kind"].isin(["TrainerGreetingSimple", "TrainerGreetingWithUnknownCheckpoint", "TrainerBow", "TrainerCheckpointUnhailed"])
+        for i in batch.index[moves]:
+            trainer, kind, line = batch.at[i, "trainer"], batch.at[i, "kind"], int(batch.at[i, "line_no"])
+            if trainer not in seen:
+                seen[trainer] = list(self._bows.getValue((trainer,))) if self._bows.containsKey((trainer,)) else [-1, -1, -1]
+            greeted, bowed, spoken = seen[trainer]
+            if kind == "TrainerBow":
+                seen[trainer][1] = line
+            elif kind == "TrainerCheckpointUnhailed":
+                confirmed[i] = greeted > spoken and bowed > greeted
+                seen[trainer][2] = line
+            elif str(batch.at[i, "subject"]).lower() == str(names[i]).lower():
+                seen[trainer][0] = line
+        for trainer, steps in seen.items():
+            self._bows.updateValue((trainer,), tuple(steps))
+        out = batch.drop(columns=["welcome", "folder_character"])
+        yield out.assign(character=names.astype(object), confirmed=confirmed)[[*(c.split()[0] for c in LINE.split(", ")), "character", "confirmed"]]
+
+    def close(self) -> None:
+        pass
+
+
+class LiveStudies(StatefulProcessor):
+    """Per (character, creature): is the study abandoned? Progress lines of an abandoned one go."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self._gone = handle.getValueState("gone", "gone boolean")
+
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
+        self._gone.update((bool(initialState["gone"].iloc[0]),))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        gone = bool(self._gone.get()[0]) if self._gone.exists() else False
+        batch = pd.concat(list(rows), ignore_index=True).sort_values(["path", "line_no"], ignore_index=True)
+        state = batch["kind"].map({"StudyAbandon": True, "LastyBeginStudy": False, "LastyFinished": False}).astype(object)
+        state = state.where(state.notna(), None)
+        before = state.shift(1).ffill()
+        before = before.where(before.notna(), gone).astype(bool)
+        if state.notna().any():
+            self._gone.update((bool(state[state.notna()].iloc[-1]),))
+        yield batch[~((batch["kind"] == "LastyProgress") & before)]
+
+    def close(self) -> None:
+        pass
+
+
+def state_of(attributed: DataFrame) -> DataFrame:
+    """What a live feed must know of the files that a batch has read: (path, welcome) and (path, trainer, greeted, bowed, spoken). `attributed` are classified lines with
+    their character."""
+    from questlog.operators.sequences import bow_steps
+
+    last = lambda step: F.max(F.when(F.col("step") == step, F.col("line_no"))).alias(step)
+    names = attributed.groupBy("path").agg(F.max_by("welcome", F.when(F.col("welcome").isNotNull(), F.col("line_no"))).alias("welcome"))
+    bows = bow_steps(attributed).groupBy("path", "trainer").agg(*[last(s) for s in STEPS])
+    return names.unionByName(bows, allowMissingColumns=True)
+
+
+def studies_state_of(events: DataFrame) -> DataFrame:
+    """(character, creature, gone) after the lines that a batch has read."""
+    from questlog.operators.scan import seq
+
+    state = F.when(F.col("kind") == "StudyAbandon", F.lit(True)).when(F.col("kind").isin("LastyBeginStudy", "LastyFinished"), F.lit(False))
+    return events.groupBy("character", "creature").agg(F.max_by(state, F.when(state.isNotNull(), seq())).alias("gone")).filter("gone is not null")
+
+
+def stream_lines(lines: DataFrame, initial: DataFrame | None = None) -> DataFrame:
+    """Classified lines of a feed with their `character`, and `confirmed` for phrases that end a bow sequence.
+
+    `lines` have the columns of LINE, `welcome` and `folder_character`; `initial` is what `state_of` gives for lines read before. Lines of a file must come in order over the
+    batches, in any order inside one. Lines that nobody can be given to are dropped.
+    """
+    found = lines.select(*[c.split()[0] for c in LINE.split(", ")], "welcome", "folder_character").groupBy("path").transformWithStateInPandas(
+        statefulProcessor=LiveFile(), outputStructType=f"{LINE}, character string, confirmed boolean", outputMode="Append", timeMode="ProcessingTime",
+        initialState=initial.groupBy("path") if initial is not None else None)
+    return found.filter("character is not null")
+
+
+def stream_studies(events: DataFrame, initial: DataFrame | None = None) -> DataFrame:
+    """The study lines of a feed (`path, line_no, character, creature, kind`) without progress on an abandoned creature; a creature's lines must come in scan order over the
+    batches. `initial` is what `studies_state_of` gives for lines read before."""
+    from questlog.operators.sequences import STUDY_KINDS
+
+    return events.filter(F.col("kind").isin(STUDY_KINDS)).select("path", "line_no", "character", "creature", "kind").groupBy("character", "creature").transformWithStateInPandas(
+        statefulProcessor=LiveStudies(), outputStructType="path string, line_no bigint, character string, creature string, kind string", outputMode="Append", timeMode="None",
+        initialState=initial.groupBy("character", "creature") if initial is not None else None)
+
+
+# ---- hourly kills with late lines: one published generation per batch
+
+HOUR = "character string, creature string, hour string, solo bigint, assisted bigint"
+KILL = "path string, line_no bigint, character string, creature string, kind string, at timestamp"
+HOUR_KEYS = ["character", "creature", "hour"]
+
+
+def _kills(lines: DataFrame) -> DataFrame:
+    return lines.filter(F.col("kind").isin("SoloKill", "AssistedKill")).withColumn("at", F.try_to_timestamp("date")).filter("at is not null").select(
+        *(c.split()[0] for c in KILL.split(", ")))
+
+
+def hours_of(kills: DataFrame) -> DataFrame:
+    return kills.groupBy("character", "creature", F.date_format("at", "yyyy-MM-dd HH").alias("hour")).agg(
+        F.count_if(F.col("kind") == "SoloKill").alias("solo"), F.count_if(F.col("kind") == "AssistedKill").alias("assisted"))
+
+
+def hourly_sink(root: str, lateness: str = LATENESS) -> Callable[[DataFrame, int], None]:
+    """For `foreachBatch` over classified lines `(path, line_no, character, creature, kind, date)`: tables in `root`, a generation per batch.
+
+    `hours` are counts to be summed (`read_hours`), `late` the kills that came more than `lateness` after the newest of the batches before, `recent` the keys of those counted within
+    that time: a line that is delivered twice counts once, and what must be remembered is bounded by the lateness. Data and the number of the
+    batch are published by one rename; a batch that is replayed finds its number taken and changes nothing.
+    """
+    def apply(batch: DataFrame, epoch: int) -> None:
+        spark = batch.sparkSession
+        old = G.current(spark, root)
+        if old is not None and old.number >= epoch:
+            return
+        folder = G.new_folder(root, epoch)
+        kills = _read(spark, G.write(_kills(batch).dropDuplicates(["path", "line_no"]), folder, "kills"), KILL)
+        clock = old.read(spark, "clock").first()["newest"] if old is not None else None
+        limit = F.lit(clock).cast("timestamp") - F.expr(f"interval {lateness}")
+        in_time = F.lit(True) if clock is None else F.col("at") >= limit
+        counted = kills.filter(in_time)
+        if old is not None:
+            counted = counted.join(old.read(spark, "recent").select("path", "line_no"), ["path", "line_no"], "left_anti")
+        newest = max((t for t in (clock, kills.agg(F.max("at")).first()[0]) if t is not None), default=None)
+        kept = counted.select("path", "line_no", "at").unionByName(old.read(spark, "recent")) if old is not None else counted.select("path", "line_no", "at")
+        tables = {
+            "hours": G.write(hours_of(counted), folder, "hours"), "late": G.write(kills.filter(~in_time), folder, "late"),
+            "recent": G.write(kept.filter(F.col("at") >= F.lit(newest).cast("timestamp") - F.expr(f"interval {lateness}")), folder, "recent"),
+            "clock": G.write(spark.createDataFrame([(newest,)], "newest timestamp"), folder, "clock")}
+        before = {n: old.tables[n] if old is not None and n in ("hours", "late") else [] for n in tables}
+        schemas = {n: _read(spark, path, None).schema.json() for n, path in tables.items()}
+        G.publish(spark, root, G.Generation(epoch, {n: [*before[n], path] for n, path in tables.items()}, schemas))
+
+    return apply
+
+
+def _read(spark, path: str, schema: str | None) -> DataFrame:
+    return (spark.read.schema(schema) if schema else spark.read).parquet(path)
+
+
+def read_hours(spark, root: str) -> DataFrame:
+    """The counts of `root` as published last."""
+    return G.current(spark, root).read(spark, "hours").groupBy(*HOUR_KEYS).agg(F.sum("solo").alias("solo"), F.sum("assisted").alias("assisted"))
+
+
+def fold_late(hours: DataFrame, late: DataFrame, lines: DataFrame) -> DataFrame:
+    """`hours` with those that late kills touch counted anew from all `lines`, so that a late copy of a counted line counts once; to be run by the rebuild, which has all lines."""
+    touched = late.select("character", "creature", F.date_format("at", "yyyy-MM-dd HH").alias("hour")).distinct()
+    anew = hours_of(_kills(lines).dropDuplicates(["path", "line_no"])).join(touched, HOUR_KEYS, "left_semi")
+    return hours.join(touched, HOUR_KEYS, "left_anti").unionByName(anew)
