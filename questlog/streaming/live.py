@@ -15,7 +15,6 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from questlog.sources import generations as G
 
 LATENESS = "1 day"
-FORGET_MS = 30 * 86_400_000  # a greeting that nothing followed for so long is forgotten
 LINE = "path string, line_no bigint, kind string, creature string, lasty_type string, trainer string, subject string, flag boolean, rank_min bigint, rank_max bigint, date string"
 STEPS = ("greeted", "bowed", "spoken")
 
@@ -69,7 +68,7 @@ class LiveFile(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._active = handle.getValueState("active", "name string")
-        self._bows = handle.getMapState("bows", "trainer string", "greeted bigint, bowed bigint, spoken bigint", ttlDurationMs=FORGET_MS)
+        self._bows = handle.getMapState("bows", "trainer string", "greeted bigint, bowed bigint, spoken bigint")
 
     def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
         """What a batch rebuild knows of a file (`state_of`): `welcome`, or the steps of one trainer."""
@@ -160,10 +159,11 @@ def stream_lines(lines: DataFrame, initial: DataFrame | None = None) -> DataFram
     """Classified lines of a feed with their `character`, and `confirmed` for phrases that end a bow sequence.
 
     `lines` have the columns of LINE, `welcome` and `folder_character`; `initial` is what `state_of` gives for lines read before. Lines of a file must come in order over the
-    batches, in any order inside one. Lines that nobody can be given to are dropped.
+    batches, in any order inside one. Lines that nobody can be given to are dropped. State is a name and three line numbers per trainer for each file; time-to-live would need processing-time
+    batches, which never end under `availableNow`, so a feed is trimmed by starting it anew from `initial`.
     """
     found = lines.select(*[c.split()[0] for c in LINE.split(", ")], "welcome", "folder_character").groupBy("path").transformWithStateInPandas(
-        statefulProcessor=LiveFile(), outputStructType=f"{LINE}, character string, confirmed boolean", outputMode="Append", timeMode="ProcessingTime",
+        statefulProcessor=LiveFile(), outputStructType=f"{LINE}, character string, confirmed boolean", outputMode="Append", timeMode="None",
         initialState=initial.groupBy("path") if initial is not None else None)
     return found.filter("character is not null")
 
