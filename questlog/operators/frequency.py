@@ -14,8 +14,8 @@ TWO_HOURS = 7_200
 def kill_frequency(hourly: DataFrame, merge_map: DataFrame | None = None, include_assisted: bool = True) -> DataFrame:
     """Per (character, creature): the day and the span of under two hours with most kills, with verb counts.
 
-    Buckets of merged characters are summed first. A window holds the hours of one creature of one
-    character: bounded by the calendar, whatever the number of kills. Both branches use that one shuffle.
+    Buckets of merged characters are summed first. Days are sums of hours; a window, of one frame of at most two rows, holds the hours of one creature of one
+    character: bounded by the calendar, whatever the number of kills.
     """
     if merge_map is not None:
         m = merge_map.select(F.col("name").alias("character"), "target")
@@ -27,17 +27,12 @@ def kill_frequency(hourly: DataFrame, merge_map: DataFrame | None = None, includ
     total = sum((F.col(v) for v in VERBS), F.lit(0))
     hours = hours.withColumn("n", total).withColumn("day", F.substring("hour", 1, 10)).withColumn(
         "at", F.coalesce(F.unix_timestamp(F.try_to_timestamp(F.concat("hour", F.lit(":00:00")), F.lit("yyyy-MM-dd HH:mm:ss"))), F.lit(0)))
-    days = Window.partitionBy(*keys, "day")
+    verbs = F.struct(*VERBS)
+    days = hours.groupBy(*keys, "day").agg(F.sum("n").alias("n"), *[F.sum(v).alias(v) for v in VERBS])
+    day = days.groupBy(*keys).agg(F.min(F.struct((-F.col("n")).alias("m"), "day", verbs.alias("v"))).alias("d")).filter("d.m < 0")
     span = Window.partitionBy(*keys).orderBy("at").rangeBetween(-(TWO_HOURS - 1), 0)
-    facts = hours.withColumn("day_n", F.sum("n").over(days)).withColumn("span_n", F.sum("n").over(span)).withColumn(
-        "span_start", F.min("hour").over(span))
-    for v in VERBS:
-        facts = facts.withColumn(f"day_{v}", F.sum(v).over(days)).withColumn(f"span_{v}", F.sum(v).over(span))
-    verbs = lambda p: F.struct(*[F.col(f"{p}_{v}").alias(v) for v in VERBS])
-    best = facts.groupBy(*keys).agg(
-        F.min(F.struct((-F.col("day_n")).alias("m"), "day", verbs("day").alias("v"))).alias("d"),
-        F.min(F.struct((-F.col("span_n")).alias("m"), F.col("hour").alias("right"), "span_start", verbs("span").alias("v"))).alias("s"),
-    ).filter("d.m < 0")
+    spans = hours.select(*keys, "hour", *[F.sum(c).over(span).alias(c) for c in ("n", *VERBS)], F.min("hour").over(span).alias("span_start"))
+    best = day.join(spans.groupBy(*keys).agg(F.min(F.struct((-F.col("n")).alias("m"), F.col("hour").alias("right"), "span_start", verbs.alias("v"))).alias("s")), keys)
     as_map = lambda c: F.map_filter(
         F.map_from_arrays(F.array(*[F.lit(v) for v in VERBS]), F.array(*[F.col(f"{c}.v.{v}") for v in VERBS])), lambda _, n: n > 0)
     return best.select(

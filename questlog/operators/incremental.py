@@ -20,7 +20,7 @@ def plan_scan(files: DataFrame, manifest: DataFrame, force: bool = False, order:
     """(path, action, offset, content_hash, length) for every candidate file.
 
     `files(path, length, content)`, `manifest(path, content_hash, byte_len)`. Bytes are not shuffled while at most BROADCAST_PATHS files are open. Actions: scan, tail, skip,
-    duplicate, changed. Copies of one content inside the batch count as duplicates of the first in scan
+    duplicate, changed, and error for a file that is to be read but has no content. Copies of one content inside the batch count as duplicates of the first in scan
     order: found by an aggregate on the hash, so any number of copies is one partial minimum per task.
     """
     order = order or ["path"]
@@ -42,16 +42,40 @@ def plan_scan(files: DataFrame, manifest: DataFrame, force: bool = False, order:
     known = manifest.select("content_hash").distinct().withColumn("_known", F.lit(True))
     fresh = f.filter("_len is null")
     first = fresh.groupBy("content_hash").agg(F.min("_at").alias("_first"))
+    unread = f.filter(F.col("content_hash").isNull() & (F.col("_len").isNull() | ((F.col("_len") > 0) & ~same_size))).select(
+        "path", F.lit("error").alias("action"), F.lit(0).cast("bigint").alias("offset"), "content_hash", "length")
     new = fresh.join(first, "content_hash").join(known, "content_hash", "left").select(
         "path", F.when(F.col("_known") | (F.col("_at") != F.col("_first")), F.lit("duplicate")).otherwise(F.lit("scan")).alias("action"),
         F.lit(0).cast("bigint").alias("offset"), "content_hash", "length")
-    old = f.filter("_len is not null").select(
+    old = f.filter(F.col("_len").isNotNull() & (F.col("content_hash").isNotNull() | (F.col("_len") <= 0) | same_size)).select(
         "path",
         F.when((F.col("_len") <= 0) | same_size, F.lit("skip"))
         .when((F.col("length") > F.col("_len")) & (F.col("_prefix") == F.col("_hash")), F.lit("tail")).otherwise(F.lit("changed")).alias("action"),
         F.col("_len"), "content_hash", "length")
     old = old.withColumn("offset", F.when(F.col("action") == "tail", F.col("_len")).otherwise(F.lit(0)).cast("bigint"))
-    return new.unionByName(old.select("path", "action", "offset", "content_hash", "length"))
+    return new.unionByName(old.select("path", "action", "offset", "content_hash", "length")).unionByName(unread)
+
+
+# Fixed texts of the process log.
+MESSAGES = {
+    "duplicate": ("info", "Skipped duplicate file (same content already scanned): "),
+    "changed": ("warn", "Log file changed unexpectedly (rotated/truncated); skipped — run Rescan Logs to reconcile: "),
+    "error": ("error", "Could not read file: "),
+}
+
+
+def plan_messages(plan: DataFrame) -> DataFrame:
+    """(level, message, file_path) for every file that the plan leaves out for a reason; unreadable files are named by their whole path."""
+    pick = lambda i: F.element_at(F.create_map(*[F.lit(x) for a, m in MESSAGES.items() for x in (a, m[i])]), F.col("action"))
+    name = F.when(F.col("action") == "error", F.col("path")).otherwise(F.element_at(F.split("path", "/"), -1))
+    return plan.filter(F.col("action").isin(list(MESSAGES))).select(pick(0).alias("level"), F.concat(pick(1), name).alias("message"), F.col("path").alias("file_path"))
+
+
+def plan_report(plan: DataFrame) -> DataFrame:
+    """One row: files scanned (whole or from an offset), skipped for any reason, and unreadable; bytes to read."""
+    a = F.col("action")
+    return plan.agg(F.count_if(a.isin("scan", "tail")).alias("files_scanned"), F.count_if(a.isin("skip", "duplicate", "changed")).alias("files_skipped"), F.count_if(a == "error").alias("errors"),
+                    F.coalesce(F.sum(F.when(a.isin("scan", "tail"), F.col("length") - F.col("offset"))), F.lit(0)).alias("bytes"))
 
 
 def pending(plan: DataFrame, undetermined: DataFrame | None = None) -> DataFrame:

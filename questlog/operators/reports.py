@@ -45,11 +45,28 @@ def kill_totals(kills: DataFrame) -> DataFrame:
         *[F.sum(RK.verb_total(v)).alias(v) for v in VERBS], F.count("*").alias("creatures"))
 
 
+def with_labels(kills: DataFrame, bestiary: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
+    """Add family_canonical, rarity_canonical and is_seasonal of each creature: those of its alias, else of its name; with aliases, else of the name without a leading
+    'the '. An inline alias brings its own labels and is not seasonal."""
+    labels = ["family_canonical", "rarity_canonical", "is_seasonal"]
+    b = labelled(bestiary).select("name", *labels)
+    if aliases is None:
+        return kills.join(b.withColumnRenamed("name", "creature"), "creature", "left")
+    pointed = aliases.filter("resolves_to is not null").select("log_name", F.col("resolves_to").alias("name")).join(b, "name").drop("name")
+    inline = aliases.filter("inline is not null").select("log_name", F.col("inline.family").alias("family_canonical"), S.canonical_rarity("inline.rarity").alias("rarity_canonical"), F.lit(False).alias("is_seasonal"))
+    every = pointed.unionByName(inline).withColumn("p", F.lit(0)).unionByName(b.withColumnRenamed("name", "log_name").withColumn("p", F.lit(1)))
+    index = every.groupBy("log_name").agg(F.min(F.struct("p", *labels)).alias("e"))
+    # names without the article need no second look; their key is spread so that it cannot become a hot one
+    bare = F.when(F.col("creature").startswith("the "), F.expr("substring(creature, 5)")).otherwise(F.concat(F.lit("\u0000"), F.pmod(F.xxhash64("creature"), F.lit(4096)).cast("string")))
+    rows = kills.join(index.select(F.col("log_name").alias("creature"), F.col("e").alias("_a")), "creature", "left").withColumn("_bare", bare).join(
+        index.select(F.col("log_name").alias("_bare"), F.col("e").alias("_b")), "_bare", "left")
+    return rows.select(*kills.columns, *[F.coalesce("_a", "_b")[c].alias(c) for c in labels])
+
+
 def filter_kills(kills: DataFrame, bestiary: DataFrame, family: str | None = None, rarity: str | None = None,
-                 seasonal: bool | None = None) -> DataFrame:
-    """Canonical labels, compared without case; a creature without entry is family '', rarity Unknown, not seasonal."""
-    b = labelled(bestiary).select(F.col("name").alias("creature"), "family_canonical", "rarity_canonical", "is_seasonal")
-    rows = kills.join(b, "creature", "left")
+                 seasonal: bool | None = None, aliases: DataFrame | None = None) -> DataFrame:
+    """Canonical labels, compared without case, found as by `with_labels`; a creature without entry is family '', rarity Unknown, not seasonal."""
+    rows = with_labels(kills, bestiary, aliases)
     if family is not None:
         rows = rows.filter(F.lower(F.coalesce("family_canonical", F.lit(""))) == family.lower())
     if rarity is not None:
@@ -261,7 +278,8 @@ def kills_export(kills: DataFrame, freq: DataFrame) -> DataFrame:
     j = kills.join(freq, ["character", "creature"], "left")
     some = (F.coalesce("best_day_count", F.lit(0)) > 0) | (F.coalesce("best_2h_count", F.lit(0)) > 0)
     blank = lambda c: F.when(some & (F.col(c) > 0), F.col(c).cast("string")).otherwise(F.lit(""))
-    return j.orderBy("character", RK.total().desc(), "creature").select(
+    # a character's rows, one for each creature at most, stay together and in order; characters are not sorted among one another
+    return j.repartition("character").sortWithinPartitions("character", RK.total().desc(), "creature").select(
         "character", F.col("creature").alias("Creature"),
         *[RK.verb_total(v).cast("string").alias(v.capitalize()) for v in ("vanquished", "killed", "dispatched", "slaughtered")],
         F.col("killed_by_count").cast("string").alias("Killed By"), F.col("creature_value").cast("string").alias("Value"),

@@ -149,7 +149,9 @@ def _messages() -> Column:
         F.when(k < 10, c(lit("Welcome to Clan Lord, "), hero, lit("!"))).when(k < 15, c(lit("Welcome back, "), hero, lit("!")))
         .when(k < 20, c(lit("Welcome to Clan Lord, ALT"), u, lit("  II!")))
         .when(k < 95, c(mark, lit("You feel the lessons of "), trainer, pick([".", ""], F.floor(k / 10) % 2)))
-        .when(k < 97, c(mark, lit("The Sun rises."))).otherwise(c(mark, lit("Something else happens.")))
+        .when(k < 96, c(mark, lit("The Sun rises."))).when((k == 96) & (e % 2 == 0), c(mark, lit("Something else happens.")))
+        .when(k < 98, c(mark, lit("You sense healing energy from Stranger."))).when(e % 2 == 0, c(mark, lit("You gain experience from your studies.")))
+        .otherwise(c(mark, lit("You can study up to 3 creatures concurrently.")))
     )
     header = c(mark, pick(["You have studied the following creatures:", "You have learned to befriend the following creatures:",
                            "You have learned to assume the shape of the following creatures:"], k % 3))

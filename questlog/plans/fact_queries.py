@@ -168,6 +168,13 @@ def kills_filtered(spark, d):
         "character", "creature", "killed_count")
 
 
+def kills_filtered_aliased(spark, d):
+    """The same filter where logs name creatures by aliases; inline ones come with a rarity of their own."""
+    a = A.kill_aliases(spark, d)
+    pick = lambda **by: RP.filter_kills(kills(spark, d), A.kill_bestiary(spark, d), aliases=a, **by).select("character", "creature", "killed_count")
+    return pick(family="economy", seasonal=False).unionByName(pick(family="inline", rarity="rare", seasonal=False))
+
+
 def kills_multi_filter(spark, d):
     return RP.filter_kills_multi(kills(spark, d), A.kill_bestiary(spark, d), ["Economy", "Promo", "Ethereal"], ["Common", "Rare", "Medium"]).select(
         "character", "creature", "killed_count")
@@ -445,6 +452,14 @@ def log_search(spark, d):
     return hits.select("path", "line_no", "character_name")
 
 
+def log_search_character(spark, d):
+    """The newest 25 hits of one role; of the roles only `assistant` is a known character."""
+    lines = A.lines_of_conversations(spark, d)
+    known = lines.filter("character = 'assistant'").select("character").distinct()
+    everyone = SE.search(lines, known, "de la").groupBy("character_name").agg(F.count("*").alias("n")).select(F.lit("").alias("path"), F.col("n").alias("line_no"), "character_name")
+    return SE.search(lines, known, "de la", character="user", limit=25).select("path", F.col("line_no").cast("bigint").alias("line_no"), "character_name").unionByName(everyone)
+
+
 def log_search_context(spark, d):
     hits = SE.search(A.lines_of_conversations(spark, d), None, "the of", include_speech=True, before=1, after=2)
     return hits.select("path", "line_no", F.array_join("context_before", "|").alias("context_before"), F.array_join("context_after", "|").alias("context_after"))
@@ -458,6 +473,20 @@ def scan_plan(spark, d):
     return IN.plan_scan(A.text_files(spark, d), A.text_manifest(spark, d), order=["doc_id"]).select("path", "action", "offset")
 
 
+def _text_plan(spark, d):
+    """M7 with every seventeenth file unreadable."""
+    files = A.text_files(spark, d).withColumn("content", F.when(F.col("doc_id") % 17 != 3, F.col("content")))
+    return materialise(IN.plan_scan(files, A.text_manifest(spark, d), order=["doc_id"]))
+
+
+def scan_plan_messages(spark, d):
+    return IN.plan_messages(_text_plan(spark, d))
+
+
+def scan_plan_report(spark, d):
+    return IN.plan_report(_text_plan(spark, d)).drop("bytes")
+
+
 def pending_files(spark, d):
     return IN.pending(IN.plan_scan(A.text_files(spark, d), A.text_manifest(spark, d), order=["doc_id"])).select("path")
 
@@ -575,6 +604,12 @@ def majority_vote(spark, d):
     return IH.majority_vote(A.item_lines(spark, d))
 
 
+def majority_vote_sources(spark, d):
+    """Sources as items, their documents as files, words as lines: a hot source holds a third of all."""
+    words = A.table(spark, d, "documents").select(F.col("source").alias("item"), F.col("doc_id").cast("string").alias("path"), F.explode(F.split("text", " ")).alias("line"))
+    return IH.majority_vote(words.filter("line <> ''"))
+
+
 def _sets(spark, d):
     """Documents as items with the set of their lines; items of more lines come first."""
     lines = A.table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("item"), F.explode(F.split("text", "\n")).alias("line")).filter("line <> ''")
@@ -598,6 +633,24 @@ def import_kills(spark, d):
     return _imported(spark, d)["kills"].select("character", "creature", "killed_count", "slaughtered_count", "creature_value", "date_first", "date_first_killed", "date_last")
 
 
+def import_trainers(spark, d):
+    return _imported(spark, d)["trainers"].select("character", "trainer", "ranks", "modified_ranks", "rank_mode", "date_of_last_rank", "effective_multiplier")
+
+
+def import_pets(spark, d):
+    return _imported(spark, d)["pets"]
+
+
+def import_studies(spark, d):
+    return _imported(spark, d)["lastys"]
+
+
+def import_report(spark, d):
+    """Counts of what was imported, and a row for every warning."""
+    done = _imported(spark, d)
+    return done["import_report"].unionByName(done["import_warnings"].select(F.col("message").alias("item"), F.lit(1).cast("bigint").alias("n")))
+
+
 @cache
 def _imported(spark, d):
     c = A.table(spark, d, "customer")
@@ -620,8 +673,13 @@ def _imported(spark, d):
         F.lit(0).cast("bigint").alias("ZVANQ"), F.lit(0).cast("bigint").alias("ZKILLEDBY"), F.max("o_orderkey").alias("ZCOINLEVEL"),
         F.min(F.when(F.col("o_orderstatus") == "O", F.col("z"))).alias("ZDATEFIRSTKILL"), F.min(F.when(F.col("o_orderstatus") == "P", F.col("z"))).alias("ZDATEFIRSTSLAUGHTER"),
         F.lit(0.0).alias("ZDATEFIRSTDISP"), F.max("z").alias("ZDATELASTENCOUNTER"))
+    key = F.col("o_orderkey")
+    beast = lambda n: F.concat(F.lit("Beast "), (key % n).cast("string"))
+    pets = t.filter("o_orderstatus = 'O'").groupBy("ZRELATIONSHIP", F.concat(F.lit("Pet "), (key % 4).cast("string")).alias("ZPETNAME")).agg(F.min(F.when(key % 3 == 0, beast(5)).otherwise("")).alias("ZMAXCREATURENAME"))
+    studies = t.filter("o_orderstatus = 'P'").groupBy(F.col("ZRELATIONSHIP").alias("ZCHARACTERRELATIONSHIP"), beast(6).alias("ZCREATURENAME"), A.pick(["Movements", "Befriend", "Morph"], key % 3).alias("ZLASTYTYPE")).agg(
+        F.count("*").alias("ZMESSAGECOUNT"), F.max((key % 2 == 0).cast("int")).alias("ZFINISHED"))
     values = spark.createDataFrame([("1-URGENT", 77)], "name string, value bigint")
-    return legacy.import_legacy({"characters": characters, "trainers": trained, "kills": killed}, values, A.trainer_meta(spark))
+    return legacy.import_legacy({"characters": characters, "trainers": trained, "kills": killed, "pets": pets, "lastys": studies}, values, A.trainer_meta(spark))
 
 
 def discover_logs(spark, d):
@@ -738,12 +796,12 @@ def date_after(spark, d):
 QUERIES = {f.__name__: f for f in (
     kill_table, kill_values_aliased, kill_hourly_volume, freq_best_day, freq_best_day_solo, freq_best_2h, freq_merged, kills_with_frequency, frequency_export, kills_export, kills_sorted,
     nemesis, highest_kill, coin_level, coin_level_stuffable, kill_extremes, lowest_recent, most_recent_kill, first_by_verb, kill_totals,
-    kills_filtered, kills_multi_filter, kill_facets, breakdown_family, breakdown_rarity, encountered, bestiary_completion, update_equals_rescan,
+    kills_filtered, kills_filtered_aliased, kills_multi_filter, kill_facets, breakdown_family, breakdown_rarity, encountered, bestiary_completion, update_equals_rescan,
     kills_merged, rank_override_apply, trainers_merged, trainer_report, zero_trainers, weighted_ranks, trainer_catalog, fighter_stats, profession,
     top_trainers, character_list, merge_map, merge_members, merge_violations, character_merged, pets_merged, lastys_rollup, lastys_merged, study_states,
     study_costs, ranger_points, family_progress, families_near, morph_candidates, top_targets, character_summary, coins_report,
     equipment_report, update_delta, month_spine, cv_timeline_kill, cv_timeline_rank, trainer_timeline, studies_timeline, stats_timeline,
     checkpoint_timeline, creature_lookup, trainer_lookup, alias_checks, canonical_family, canonical_rarity, bestiary_table, decode_lines,
-    log_line_count, log_search, log_search_context, log_snippets, scan_plan, pending_files, manifest_update, tail_scan, stream_hourly,
-    majority_vote, jaccard_pairs, jaccard_dedup, discover_logs, bestiary_xml, bestiary_writer, write_tables, csv_export, item_help,
-    stream_attribute, stream_late, stream_ranks, stream_bows, stream_study_gate, import_characters, import_kills, scalar_functions, titlecase_name, date_after)}
+    log_line_count, log_search, log_search_character, log_search_context, log_snippets, scan_plan, scan_plan_messages, scan_plan_report, pending_files, manifest_update, tail_scan, stream_hourly,
+    majority_vote, majority_vote_sources, jaccard_pairs, jaccard_dedup, discover_logs, bestiary_xml, bestiary_writer, write_tables, csv_export, item_help,
+    stream_attribute, stream_late, stream_ranks, stream_bows, stream_study_gate, import_characters, import_kills, import_trainers, import_pets, import_studies, import_report, scalar_functions, titlecase_name, date_after)}

@@ -213,10 +213,18 @@ def updated_studies(spark, d):
     return updated(spark, d).read(spark, "study_table")
 
 
+def process_log_page(spark, d):
+    """The newest 50 warnings, by the dates of their files."""
+    parsed = A.parsed_log(spark, d)
+    msgs = R.scan_messages(parsed, A.log_events(spark, d), Q.rank_skips(gated(spark, d)), AT.undetermined_files(parsed))
+    dated = msgs.withColumn("logged_at", S.filename_date(F.element_at(F.split("file_path", "/"), -1)))
+    return R.process_log(dated, level="warn", limit=50).select("logged_at", "message")
+
+
 QUERIES = {f.__name__: f for f in (
     filename_date, line_timestamp, ts_fallback, classify_lines, active_character, folder_character, undetermined_files, logins,
     start_date, deaths, rank_gate, rank_skips, bow_checkpoint, checkpoint_all, checkpoint_latest, top_checkpoints, reflect_lists,
     study_gate, departs, best_loot, kills_rollup, kill_hourly, character_counters, fishing_catches, trainer_ranks,
-    announced_profession, log_lastys, scan_report, process_log,
+    announced_profession, log_lastys, scan_report, process_log, process_log_page,
     updated_kills, updated_hours, updated_ranks, updated_counters, updated_fishing, updated_loot, updated_departs, updated_checkpoints, updated_professions,
     updated_studies)}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from questlog.functions.catalogs import FORMULA_NAMES, RANK_COSTS, STAT_COEFFICIENTS
 from questlog.plans.adapters import RARITIES, TRAINERS, TRAINER_NAMES
-from questlog.plans.oracle_log import COUNTERS, DATES, GATED_X, IS_KILL, BOWS, LOG, STUDIED_X, counter_sql, text_list
+from questlog.plans.oracle_log import COUNTERS, DATES, GATED_X, IS_KILL, BOWS, LOG, REFLECT_X, STUDIED_X, counter_sql, text_list
 
 _VERBS = ["killed", "slaughtered", "vanquished", "dispatched"]
 _COLS = [f"{v}_count" for v in _VERBS] + ["assisted_kill_count", "assisted_slaughter_count", "assisted_vanquish_count", "assisted_dispatch_count"]
@@ -425,7 +425,7 @@ ORACLES = {
         , fs AS (SELECT character, sum(n) AS n, string_agg(item || ':' || n, ', ' ORDER BY n DESC, item) AS catches FROM fc GROUP BY 1)
         SELECT character, round(100.0 * wood_taken / nullif(wood_taken + wood_useless, 0), 1)::DOUBLE AS wood_success, mimics_caught + 3 AS bag_slots,
           CAST(fishing_attempts + coalesce(n, 0) AS BIGINT) AS fishing_attempts, catches FROM cc LEFT JOIN fs USING (character)""",
-    "character_summary": LOG + GATED_X + STUDIED_X + f""", cc AS (SELECT character, {counter_sql()} FROM att GROUP BY character)
+    "character_summary": LOG + GATED_X + STUDIED_X + REFLECT_X + f""", cc AS (SELECT character, {counter_sql()} FROM att GROUP BY character)
         , d AS (SELECT *, max(seq) FILTER (kind = 'Depart') OVER (PARTITION BY character) AS s FROM att WHERE kind IN ('Depart', 'FirstDepart'))
         , dep AS (SELECT character, CAST(coalesce(max(amount) FILTER (seq = s), 0) + count(*) FILTER (kind = 'FirstDepart' AND seq > coalesce(s, -1)) AS BIGINT) AS departs FROM d GROUP BY character)
         , kk AS (SELECT character, creature, count(*) FILTER (kind = 'SoloKill') AS s, count(*) FILTER (kind = 'AssistedKill') AS a, count(*) FILTER (kind = 'Fallen') AS f
@@ -435,7 +435,8 @@ ORACLES = {
         , tt AS (SELECT character, trainer, count(*) FILTER (kind = 'TrainerRank') AS ranks, 10 * count(*) FILTER (kind = 'ApplyLearningRank' AND flag) AS al FROM ranks WHERE counted GROUP BY ALL)
         , ts AS (SELECT character, CAST(sum(ranks) AS BIGINT) AS ranks, CAST(round(sum((ranks + al) * CAST(CASE trainer WHEN 'Evus' THEN 1.1436 WHEN 'Swengus' THEN 1.0549 WHEN 'Gossamer' THEN 0.5 ELSE 1.0 END AS DECIMAL(12,6))), 1) AS DOUBLE) AS effective_ranks,
                    count(*) AS trainers FROM tt GROUP BY 1)
-        , sl AS (SELECT character, count(DISTINCT creature || '|' || coalesce(lasty_type, 'Movements')) AS studies FROM studied WHERE kind <> 'StudyAbandon' GROUP BY 1)
+        , sl AS (SELECT character, count(DISTINCT creature || '|' || lasty_type) AS studies FROM (
+                 SELECT character, creature, coalesce(lasty_type, 'Movements') AS lasty_type FROM studied WHERE kind <> 'StudyAbandon' UNION ALL SELECT character, creature, lasty_type FROM reflected) GROUP BY 1)
         SELECT cc.character, deaths, coalesce(departs, 0) AS departs, solo, assisted, killed_by, creatures, most_killed, ts.ranks, effective_ranks, trainers,
           round(100.0 * coalesce(departs, 0) / nullif(coalesce(departs, 0) + deaths, 0), 1)::DOUBLE AS depart_rate,
           round(100.0 * chains_broken / nullif(chains_broken + chains_used, 0), 1)::DOUBLE AS chain_break_rate, studies
@@ -562,3 +563,36 @@ ORACLES = {
 }
 
 ORACLES["stream_late"] = ORACLES["stream_hourly"]
+ORACLES["kills_filtered_aliased"] = KILLS + """, al AS (
+    SELECT DISTINCT p_type || ' ' || p_brand AS log_name, CAST(regexp_extract(p_brand, '([0-9]+)$', 1) AS INT) AS brand FROM part)
+    SELECT k.character, k.creature, k.killed_count FROM k LEFT JOIN al ON al.log_name = k.creature AND al.brand % 11 = 5
+    LEFT JOIN kbl ON kbl.name = CASE WHEN al.brand % 2 = 0 THEN 'Unseen ' ELSE '' END || k.creature
+    WHERE (al.brand % 2 = 1) OR (lower(coalesce(family_canonical, '')) = 'economy' AND NOT coalesce(is_seasonal, false))"""
+ORACLES["log_search_character"] = f"""WITH h AS (SELECT lpad(CAST(conv_id AS VARCHAR), 12, '0') AS path, CAST(turn AS BIGINT) AS line_no, role, CASE WHEN role = 'assistant' THEN role ELSE 'Unknown' END AS character_name
+    FROM conversations WHERE {_NORM} LIKE '% de la %' AND NOT {_SPEECH})
+    SELECT * FROM (SELECT path, line_no, character_name FROM h WHERE role = 'user' ORDER BY path DESC, line_no DESC LIMIT 25)
+    UNION ALL SELECT '', count(*), character_name FROM h GROUP BY character_name"""
+ORACLES["majority_vote_sources"] = """WITH d AS (SELECT DISTINCT source AS item, doc_id, unnest(string_split(text, ' ')) AS line FROM documents), w AS (SELECT * FROM d WHERE line <> ''), f AS (SELECT item, count(DISTINCT doc_id) AS files FROM w GROUP BY 1)
+    SELECT item, line, files FROM w JOIN f USING (item) GROUP BY ALL HAVING count(*) >= ceil(files / 2.0)"""
+ORACLES["import_trainers"] = f"""WITH meta(trainer, profession, multiplier, parts) AS (VALUES {_META}), t AS (SELECT o_custkey, ({_T})[o_orderkey % {_NT} + 1] AS trainer, count(*) AS ranks, max(o_orderdate) AS day
+    FROM orders WHERE o_orderstatus = 'F' GROUP BY ALL)
+    SELECT replace(c_name, '#', ' ') AS character, trainer, ranks, CAST(1 AS BIGINT) AS modified_ranks, 'modifier' AS rank_mode, strftime(nullif(day, TIMESTAMP '2001-01-01'), '%Y-%m-%d') AS date_of_last_rank,
+      CAST(multiplier AS DOUBLE) AS effective_multiplier FROM t JOIN meta USING (trainer) JOIN customer ON c_custkey = o_custkey WHERE c_custkey % 11 <> 5"""
+ORACLES["import_pets"] = """SELECT replace(c_name, '#', ' ') AS character, pet_name, coalesce(nullif(most, ''), pet_name) AS creature FROM (SELECT o_custkey, 'Pet ' || o_orderkey % 4 AS pet_name,
+    min(CASE WHEN o_orderkey % 3 = 0 THEN 'Beast ' || o_orderkey % 5 ELSE '' END) AS most FROM orders WHERE o_orderstatus = 'O' GROUP BY ALL) JOIN customer ON c_custkey = o_custkey WHERE c_custkey % 11 <> 5"""
+ORACLES["import_studies"] = """SELECT replace(c_name, '#', ' ') AS character, creature, lasty_type, finished, message_count FROM (SELECT o_custkey, 'Beast ' || o_orderkey % 6 AS creature,
+    ['Movements', 'Befriend', 'Morph'][o_orderkey % 3 + 1] AS lasty_type, bool_or(o_orderkey % 2 = 0) AS finished, count(*) AS message_count FROM orders WHERE o_orderstatus = 'P' GROUP BY ALL)
+    JOIN customer ON c_custkey = o_custkey WHERE c_custkey % 11 <> 5"""
+ORACLES["import_report"] = f"""WITH c AS (SELECT *, c_custkey % 11 = 5 AS bad, c_mktsegment = 'BUILDING' OR c_custkey IN (SELECT o_custkey FROM orders) AS related FROM customer), good AS (SELECT c_custkey AS o_custkey FROM c WHERE NOT bad)
+    , o AS (SELECT orders.*, ({_T})[o_orderkey % {_NT} + 1] AS trainer FROM orders JOIN good USING (o_custkey))
+    SELECT 'characters_imported' AS item, count(*) FILTER (NOT bad AND (related OR c_nationkey % 3 > 0)) AS n FROM c UNION ALL SELECT 'characters_skipped', count(*) FILTER (bad OR NOT (related OR c_nationkey % 3 > 0)) FROM c
+    UNION ALL SELECT 'trainers_imported', count(DISTINCT (o_custkey, trainer)) FROM o WHERE o_orderstatus = 'F' UNION ALL SELECT 'kills_imported', count(DISTINCT (o_custkey, o_orderpriority)) FROM o WHERE o_orderstatus <> 'F'
+    UNION ALL SELECT 'pets_imported', count(DISTINCT (o_custkey, o_orderkey % 4)) FROM o WHERE o_orderstatus = 'O' UNION ALL SELECT 'lastys_imported', count(DISTINCT (o_custkey, o_orderkey % 6)) FROM o WHERE o_orderstatus = 'P'
+    UNION ALL SELECT 'Skipped character with invalid name: bad/' || c_name, 1 FROM c WHERE bad AND related"""
+UNREAD = PLAN.replace("FROM f WHERE i = 0", "FROM f WHERE i = 0 AND doc_id % 17 <> 3").replace("WHEN i = 2 THEN 'tail'", "WHEN doc_id % 17 = 3 THEN 'error' WHEN i = 2 THEN 'tail'").replace(
+    "FROM f WHERE i > 0\n", "FROM f WHERE i > 0\n  UNION ALL SELECT path, 'error', 0, length FROM f WHERE i = 0 AND doc_id % 17 = 3\n")
+ORACLES["scan_plan_messages"] = UNREAD + """SELECT CASE action WHEN 'duplicate' THEN 'info' WHEN 'changed' THEN 'warn' ELSE 'error' END AS level, CASE action
+      WHEN 'duplicate' THEN 'Skipped duplicate file (same content already scanned): ' WHEN 'changed' THEN 'Log file changed unexpectedly (rotated/truncated); skipped — run Rescan Logs to reconcile: '
+      ELSE 'Could not read file: ' END || path AS message, path AS file_path FROM plan WHERE action IN ('duplicate', 'changed', 'error')"""
+ORACLES["scan_plan_report"] = UNREAD + """SELECT count(*) FILTER (action IN ('scan', 'tail')) AS files_scanned, count(*) FILTER (action IN ('skip', 'duplicate', 'changed')) AS files_skipped,
+    count(*) FILTER (action = 'error') AS errors FROM plan"""

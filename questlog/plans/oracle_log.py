@@ -227,6 +227,16 @@ DATES = ", ".join([f"min(date) FILTER ({IS_KILL} AND verb = '{v}') AS date_first
                    for v in _SOLO])
 
 
+MESSAGES_X = """, msgs AS (
+        SELECT 'warn' AS level, 'No timestamps in log lines — used filename date: ' || string_split(path, '/')[-1] AS message, path AS file_path
+          FROM ln GROUP BY path HAVING count(own_ts) = 0
+        UNION ALL SELECT 'warn', 'Unrecognized trainer checkpoint from ' || trainer || ' in ' || string_split(path, '/')[-1] || ': "There is nothing I can teach you."', path
+          FROM att WHERE kind = 'TrainerGreetingWithUnknownCheckpoint' AND self
+        UNION ALL SELECT 'info', 'Skipped ' || count(*) || ' rank(s) for ' || trainer || ' — override active: ' || string_split(path, '/')[-1], path
+          FROM ranks WHERE NOT counted GROUP BY path, trainer
+        UNION ALL SELECT 'warn', 'skipped: could not determine character (' || path || ')', path FROM ln WHERE loose GROUP BY path HAVING count(welcome) = 0)
+"""
+
 LOOT_X = f"""
 , first_kill AS (SELECT character, creature, min(seq) AS since FROM att WHERE {IS_KILL} OR (kind = 'Fallen' AND self) GROUP BY ALL)
 , bl AS (
@@ -328,15 +338,9 @@ ORACLES = {
              'TrainerRank', 'ApplyLearningRank', 'LastyProgress') AND (kind NOT IN ('Fallen', 'TrainerCheckpoint') OR self))
           + (SELECT count(*) FROM ranks WHERE counted) + (SELECT count(*) FROM bows)
           + (SELECT count(*) FROM studied WHERE kind = 'LastyProgress') AS events_found""",
-    "process_log": LOG + GATED_X + """, msgs AS (
-        SELECT 'warn' AS level, 'No timestamps in log lines — used filename date: ' || string_split(path, '/')[-1] AS message, path AS file_path
-          FROM ln GROUP BY path HAVING count(own_ts) = 0
-        UNION ALL SELECT 'warn', 'Unrecognized trainer checkpoint from ' || trainer || ' in ' || string_split(path, '/')[-1] || ': "There is nothing I can teach you."', path
-          FROM att WHERE kind = 'TrainerGreetingWithUnknownCheckpoint' AND self
-        UNION ALL SELECT 'info', 'Skipped ' || count(*) || ' rank(s) for ' || trainer || ' — override active: ' || string_split(path, '/')[-1], path
-          FROM ranks WHERE NOT counted GROUP BY path, trainer
-        UNION ALL SELECT 'warn', 'skipped: could not determine character (' || path || ')', path FROM ln WHERE loose GROUP BY path HAVING count(welcome) = 0)
-        SELECT level, message, file_path, (SELECT count(*) FROM msgs x WHERE x.level = msgs.level) AS of_level FROM msgs""",
+    "process_log": LOG + GATED_X + MESSAGES_X + "SELECT level, message, file_path, (SELECT count(*) FROM msgs x WHERE x.level = msgs.level) AS of_level FROM msgs",
+    "process_log_page": LOG + GATED_X + MESSAGES_X + """SELECT f.file_ts AS logged_at, message FROM msgs JOIN (SELECT DISTINCT path, file_ts FROM ln) f ON f.path = msgs.file_path
+        WHERE level = 'warn' ORDER BY logged_at DESC, message DESC LIMIT 50""",
 }
 ORACLES |= {updated: ORACLES[scanned] for updated, scanned in {
     "updated_kills": "kills_rollup", "updated_hours": "kill_hourly", "updated_ranks": "trainer_ranks", "updated_counters": "character_counters", "updated_fishing": "fishing_catches",
