@@ -7,6 +7,8 @@ tokens that the cell should give over those that it has. Everything is a DataFra
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -59,7 +61,8 @@ def rake(cells: DataFrame, targets: DataFrame, max_rounds: int = 40, tolerance:
     """`cells` with column weight (sums to 1), whose marginals equal the targets within `tolerance`.
 
     A value without target gets weight 0; a target without cells is given to the others of its dimension in proportion. A round is, for
-    each dimension, one partial aggregate, one join with its few sums and one written table, so that plans stay small.
+    each dimension, one partial aggregate, one join with its few sums and one written table, so that plans stay small. Where `max_rounds` do not
+    reach the tolerance (no weights can, if the cells that exist contradict the targets), a warning tells the largest correction still made.
     """
     total = cells.agg(F.sum("tokens")).first()[0]
     if total is None:
@@ -81,8 +84,11 @@ def rake(cells: DataFrame, targets: DataFrame, max_rounds: int = 40, tolerance:
                 *DIMENSIONS, "tokens", (F.col("weight") * factor).alias("weight"), (F.greatest("off", moved) if i else moved).alias("off")))
             discard(now)
             now = new
-        if now.agg(F.max("off")).first()[0] <= tolerance:
+        residual = now.agg(F.max("off")).first()[0]
+        if residual <= tolerance:
             break
+    else:
+        warnings.warn(f"raking stopped after {max_rounds} rounds with corrections of up to {residual:.3g}; the tolerance is {tolerance:g}", stacklevel=2)
     discard(shares)
     return now.drop("off")
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 
 def mixing_sql(share: float = 0.8, rounds: int = 40) -> str:
-    """Raking unrolled round by round, the scale by cumulative sums over cells in order of their filling points."""
+    """Raking unrolled round by round; a cell's copies are its share of the tokens to draw over those it has."""
     dims = {"source": 0.5, "lang": 0.7, "topic": 0.8}
     cte = [r"""items AS (SELECT doc_id, coalesce(source, '') AS source, coalesce(lang, '') AS lang,
  CASE WHEN trim(coalesce(text, '')) = '' THEN 'empty' WHEN contains(text, ' | ') THEN 'table' WHEN contains(text, '!!') THEN 'shout'
@@ -19,13 +19,7 @@ def mixing_sql(share: float = 0.8, rounds: int = 40) -> str:
         for d in dims:
             cte.append(f"r{at + 1} AS MATERIALIZED (SELECT r{at}.* REPLACE (w * target / sum(w) OVER (PARTITION BY {d}) AS w) FROM r{at} JOIN t_{d} USING ({d}))")
             at += 1
-    cte.append(f"""sorted AS (SELECT *, sum(tokens) OVER o AS filled, 1 - sum(w) OVER o AS open_w, tokens / w AS point,
- lead(tokens / w, 1, 1e300) OVER (ORDER BY tokens / w, source, lang, topic) AS next_point FROM r{at}
- WINDOW o AS (ORDER BY tokens / w, source, lang, topic ROWS UNBOUNDED PRECEDING))""")
-    cte.append(f"""goal AS (SELECT {share} * sum(tokens) AS g FROM cells)""")
-    cte.append("""scale AS (SELECT min(s) AS s FROM (SELECT g AS s FROM goal WHERE g <= (SELECT min(point) FROM sorted)
- UNION ALL SELECT (g - filled) / open_w FROM sorted, goal WHERE open_w > 1e-12 AND (g - filled) / open_w >= point AND (g - filled) / open_w < next_point))""")
-    cte.append(f"rated AS (SELECT source, lang, topic, w, least(1.0, s * w / tokens) AS rate FROM r{at}, scale)")
+    cte.append(f"rated AS (SELECT source, lang, topic, w, {share} * sum(tokens) OVER () * w / tokens AS rate FROM r{at})")
     return "WITH " + ",\n".join(cte) + """
 SELECT doc_id, source, lang, topic, items.tokens AS tokens, round(coalesce(w, 0), 6) AS weight,
  round(coalesce(rate, CASE WHEN items.tokens > 0 THEN 0.0 ELSE 1.0 END), 6) AS rate,

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,7 +23,7 @@ def op1_pq_near_dedup(spark, sf_dir):
 def op2_mixing(spark, sf_dir):
     docs = _read(spark, sf_dir, "documents")
     items = docs.select("doc_id", "source", "lang", mixing.topic_of(F.col("text")).alias("topic"), mixing.token_count(F.col("text")).alias("tokens"))
-    mixed = mixing.mix(mixing.materialise(items))
+    mixed = mixing.mix(mixing.materialise(items), max_copies=math.inf)  # documents may repeat, so that the drawn shares are the targets
     return mixed.withColumns({c: F.round(c, 6) for c in ("weight", "rate")})
 
 

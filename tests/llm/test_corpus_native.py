@@ -49,6 +49,14 @@ def test_raking_with_given_targets(spark):
     assert math.isclose(got["en"], 0.625, rel_tol=1e-6) and math.isclose(got["de"], 0.375, rel_tol=1e-6) and got["fr"] == 0
 
 
+def test_contradicting_cells_are_told(spark):
+    """Cells (a, x), (a, y), (b, y) with halves as targets: b can have its half only if (a, y) goes, which takes ever more rounds."""
+    cells = spark.createDataFrame([("a", "x", "t", 5.0), ("a", "y", "t", 3.0), ("b", "y", "t", 2.0)], "source string, lang string, topic string, tokens double")
+    targets = spark.createDataFrame([("source", "a", 0.5), ("source", "b", 0.5), ("lang", "x", 0.5), ("lang", "y", 0.5), ("topic", "t", 1.0)], "dimension string, value string, target double")
+    with pytest.warns(UserWarning, match="raking stopped after 3 rounds"):
+        mixing.rake(cells, targets, max_rounds=3)
+
+
 @pytest.mark.parametrize("cap", [1.0, 2.5])
 def test_rates_give_the_share_of_tokens(spark, cap):
     items = _items(spark)
