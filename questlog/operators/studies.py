@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from questlog.functions.catalogs import EXCLUDED_FAMILIES, RANGER_TRAINERS, STUDY_COSTS
 from questlog.operators.reports import effective_ranks
+from questlog.session import materialise
 
 TYPES = list(STUDY_COSTS)
 
@@ -87,24 +88,32 @@ def family_progress(states: DataFrame, bestiary: DataFrame, near_only: bool = Fa
     return out.orderBy("character", F.desc("has_progress"), F.desc("bonus_pct"), "family")
 
 
-def morph_candidates(lastys: DataFrame, bestiary: DataFrame, creature_values: DataFrame) -> DataFrame:
+FACTS = ["attack", "defense", "damage", "health", "frames_per_swing"]
+
+
+def eligible_targets(bestiary: DataFrame, creature_values: DataFrame) -> DataFrame:
+    """Common creatures of real families with a value: (creature, family, value, facts)."""
+    b = bestiary.filter(~F.coalesce("family", F.lit("")).isin(EXCLUDED_FAMILIES) & F.coalesce("rarity", F.lit("")).rlike("^(Common|Medium)"))
+    return b.join(creature_values.select("name", F.col("value").alias("_v")), "name").filter("_v > 0").select(
+        F.col("name").alias("creature"), F.nullif("family", F.lit("")).alias("family"), F.col("_v").alias("value"), *FACTS)
+
+
+def morph_candidates(lastys: DataFrame, bestiary: DataFrame, creature_values: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
     """Creatures whose form is still to be learned: stage reached and points left to pay.
 
     Studied creatures come from the studies, the others from the value table; eligible are common ones of
-    real families.
+    real families. `pairs(character, creature)` limits the result, and the work, to some of them.
     """
     from questlog.operators.reports import per_entry
-    b = bestiary.filter(~F.coalesce("family", F.lit("")).isin(EXCLUDED_FAMILIES) & F.coalesce("rarity", F.lit("")).rlike("^(Common|Medium)"))
-    facts = ["attack", "defense", "damage", "health", "frames_per_swing"]
-    targets = b.join(creature_values.select("name", F.col("value").alias("_v")), "name").filter("_v > 0").select(
-        F.col("name").alias("creature"), F.nullif("family", F.lit("")).alias("family"), F.col("_v").alias("value"), *facts)
+    facts = FACTS
+    targets = eligible_targets(bestiary, creature_values)
     states = study_states(lastys)
     costs = type_costs(lastys, bestiary)
     own = costs.groupBy("character", "creature").agg(*[F.max(F.when(F.col("lasty_type") == t, F.col("cost"))).alias(f"_c_{t}") for t in TYPES])
     done = costs.filter("finished and family is not null").groupBy("character", "family").agg(
         *[F.count_if(F.col("lasty_type") == t).alias(f"_d_{t}") for t in TYPES])
     # every ranger times the closed list of targets; studied or not is a left join from there
-    grid = per_entry(lastys.select("character").distinct(), targets)
+    grid = per_entry(lastys.select("character").distinct(), targets) if pairs is None else pairs.select("character", "creature").join(targets, "creature")
     g = grid.join(states, ["character", "creature"], "left").join(own, ["character", "creature"], "left").join(done, ["character", "family"], "left")
     fresh = {t: F.greatest(F.lit(1), F.lit(c) - F.coalesce(f"_d_{t}", F.lit(0))) for t, c in STUDY_COSTS.items()}
     # a type with its own completion keeps its place, otherwise it comes after all completions of the family
@@ -118,9 +127,22 @@ def morph_candidates(lastys: DataFrame, bestiary: DataFrame, creature_values: Da
         "character", "creature", "family", "value", stage.alias("stage"), left.cast("bigint").alias("points_left"), *facts)
 
 
-def top_targets(candidates: DataFrame, category: str = "value", cap: int | None = None, n: int = 20) -> DataFrame:
-    """The n best targets by value, attack, defense, damage, health, or by fewest frames per swing."""
-    rows = candidates if cap is None else candidates.filter(F.col("value") <= cap)
+def top_targets(lastys: DataFrame, bestiary: DataFrame, creature_values: DataFrame, category: str = "value", cap: int | None = None, n: int = 20) -> DataFrame:
+    """The n best candidates of each character by value, attack, defense, damage, health, or by fewest frames per swing: (character, creature, rank).
+
+    No grid: the order of the catalogue is the same for all, so a character's n best are among the first n plus as many as it has finished. Only that head of the catalogue
+    is ranked, and only so many rows are made for a character. `morph_candidates(pairs=...)` gives what is left to pay for them.
+    """
+    rows = eligible_targets(bestiary, creature_values)
+    rows = rows.filter(F.col(category) > 0) if cap is None else rows.filter((F.col(category) > 0) & (F.col("value") <= cap))
+    rows = materialise(rows.select("creature", "value", *([category] if category != "value" else [])))
     key = F.asc(category) if category == "frames_per_swing" else F.desc(category)
-    w = Window.partitionBy("character").orderBy(key, F.desc("value"), "creature")
-    return rows.filter(F.col(category) > 0).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
+    order = [key, F.desc("value"), F.asc("creature")]
+    done = materialise(study_states(lastys).filter("morph_status = 'completed'").select("character", "creature").join(rows.select("creature"), "creature"))
+    reach = materialise(lastys.select("character").distinct().join(done.groupBy("character").agg(F.count("*").alias("done")), "character", "left").select(
+        "character", (F.coalesce("done", F.lit(0)) + n).cast("int").alias("reach")))
+    most = reach.agg(F.max("reach")).first()[0] or n
+    head = rows.orderBy(*order).limit(most).select("creature", F.row_number().over(Window.orderBy(*order)).alias("place"))  # the head of the catalogue alone
+    reached = reach.select("character", F.explode(F.sequence(F.lit(1), "reach")).alias("place")).join(head, "place").join(done, ["character", "creature"], "left_anti")
+    w = Window.partitionBy("character").orderBy("place")
+    return reached.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n).select("character", "creature", "rank")

@@ -331,10 +331,9 @@ def morph_candidates(spark, d):
 
 
 def top_targets(spark, d):
-    c = _candidates(spark, d)
-    out = None
+    b, out = A.bestiary(spark, d), None
     for category in ("value", "attack", "frames_per_swing"):
-        part = ST.top_targets(c, category, 40).select("character", F.lit(category).alias("category"), "creature", F.col("rank").cast("bigint").alias("rank"))
+        part = ST.top_targets(lastys(spark, d), b, b.select("name", "value"), category, 40).select("character", F.lit(category).alias("category"), "creature", F.col("rank").cast("bigint").alias("rank"))
         out = part if out is None else out.unionByName(part)
     return out
 

@@ -99,3 +99,19 @@ def test_unreadable_files(spark):
     assert sorted((r["level"], r["message"]) for r in IN.plan_messages(plan).collect()) == [
         ("error", "Could not read file: /a/grown"), ("error", "Could not read file: /a/new"), ("info", "Skipped duplicate file (same content already scanned): two")]
     assert tuple(IN.plan_report(plan).first()) == (1, 2, 2, 3)
+
+
+def test_a_hot_character_gets_several_files(spark, tmp_path):
+    """Half of all rows are one character's; repeated rows and a null character are kept."""
+    from questlog.sources.sinks import read_table, write_tables
+
+    rows = [("Hot", i) for i in range(4000)] + [(f"c{i % 300}", i) for i in range(3990)] + [("Hot", 1)] * 5 + [(None, 3)] * 5
+    df = spark.createDataFrame(rows, "character string, hour bigint")
+    write_tables({"kill_hourly": df}, str(tmp_path), buckets=4, rows_per_file=500)
+    files = spark.read.parquet(f"{tmp_path}/kill_hourly").groupBy(F.input_file_name().alias("f")).count().collect()
+    assert max(r["count"] for r in files) < 2600 and sum(r["count"] for r in files) == len(rows)
+    hot = spark.read.parquet(f"{tmp_path}/kill_hourly").filter("character = 'Hot'").groupBy(F.input_file_name()).count().collect()
+    assert len(hot) >= 3 and max(r["count"] for r in hot) < 2400
+    key = lambda r: (r[0] or "", r[1])
+    assert sorted(map(tuple, read_table(spark, str(tmp_path), "kill_hourly").collect()), key=key) == sorted(rows, key=key)
+    assert read_table(spark, str(tmp_path), "kill_hourly", "Hot", buckets=4).count() == 4005
