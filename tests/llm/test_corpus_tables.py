@@ -204,7 +204,7 @@ def test_registered_queries_and_oracles(spark):
     from compare import DATA, compare, duck
 
     names = [n for n in entry.queries() if n.startswith("op") or n == "pipeline"]
-    assert sorted(int(n[2:].split("_")[0]) for n in names if n != "pipeline") == list(range(1, 11)) and "pipeline" in names
+    assert sorted(int(n[2:].split("_")[0]) for n in names if n != "pipeline") == list(range(1, 14)) and "pipeline" in names
     sf = f"{DATA}/sf0.001"
     for name in ("op1_pq_near_dedup", "op2_mixing", "op7_warc_index"):
         ok, note = compare(spark, duck(sf), sf, name, entry.queries()[name], entry.oracle_sql()[name])
