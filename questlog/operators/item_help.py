@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 from questlog.functions import scalars as S
 from questlog.operators.scan import FILE_BLOCKS, line_block, prefix_scan
@@ -138,30 +142,52 @@ def _representatives(sets: DataFrame) -> DataFrame:
     return chosen.select("r.item", (-F.col("r.m")).alias("files"), "r.n")
 
 
+BAND = 1.25
+
+
+def _band(size: Column) -> Column:
+    """Number of a set's size band: each size of its own up to 4, then bands a quarter wide."""
+    return F.floor(F.log(size.cast("double")) / math.log(BAND) + 1e-9).cast("int")
+
+
+def _bands(lines: DataFrame) -> DataFrame:
+    """Lines by which a set can meet another: (item, n, line, rest, small, large).
+
+    With lines ordered from rare to common, the first line that two sets share leaves at most `rest` more in each, so Jaccard >= 1/2
+    needs n + m <= 3 * (rest + 1) of both. A line therefore stands only under the pairs of size bands for which that holds: of one that all
+    sets contain, and which comes last in them, little more than sets of one line are left. `rest` is found from a histogram per item (lines equally rare count as
+    the first of them), so no set is sorted or gathered.
+    """
+    freq = lines.groupBy("line").agg(F.count("*").alias("df"))
+    ranked = materialise(lines.join(freq, "line"))
+    histogram = ranked.groupBy("item", "df").agg(F.count("*").alias("c"))
+    rarer = F.sum("c").over(Window.partitionBy("item").orderBy("df").rowsBetween(Window.unboundedPreceding, -1))
+    placed = ranked.filter("df > 1").join(histogram.select("item", "df", F.coalesce(rarer, F.lit(0)).alias("_rarer")), ["item", "df"])
+    placed = placed.withColumn("rest", F.col("n") - F.col("_rarer") - 1)
+    n = F.col("n")
+    low, high = F.ceil(n / 2), F.least(2 * n, 3 * (F.col("rest") + 1) - n)
+    reach = placed.filter(high >= low).select("item", "n", "line", "rest", _band(n).alias("_own"), F.explode(F.sequence(_band(low), _band(high))).alias("_other"))
+    return reach.select("item", "n", "line", "rest", F.least("_own", "_other").alias("small"), F.greatest("_own", "_other").alias("large"))
+
+
+def similar_candidates(lines: DataFrame) -> DataFrame:
+    """Pairs of different sets `lines(item, n, line)` that may have Jaccard >= 0.5: (a, na, b, nb), a < b, each once."""
+    banded = materialise(_bands(lines))
+    side = lambda s: banded.select(F.col("item").alias(s), F.col("n").alias(f"n{s}"), F.col("rest").alias(f"_r{s}"), "line", "small", "large")
+    met = side("a").join(side("b"), ["line", "small", "large"]).filter("a < b and na <= 2 * nb and nb <= 2 * na and na + nb <= 3 * (least(_ra, _rb) + 1)")
+    return met.select("a", "na", "b", "nb").distinct()
+
+
 def similar_pairs(sets: DataFrame) -> DataFrame:
     """Pairs of items whose line sets have Jaccard >= 0.5: (a, b, common, combined), a before b by file count, then name.
 
-    `sets(item, line, files)` has distinct rows. Exact set-similarity join by prefix filtering:
-
-    * items with one and the same set are joined once, through a representative;
-    * with lines ordered from rare to common, two sets with Jaccard >= 1/2 share a line among the first
-      n - ceil(n/2) + 1 of each. Those are taken as all lines up to a cut in rarity, found from a histogram
-      per item, so no set is sorted or gathered, and a line that everything contains makes no candidates;
-    * sizes must be within a factor of two, and candidates are checked by counting shared lines.
+    `sets(item, line, files)` has distinct rows. Items with one and the same set are joined once, through a representative. Of the others,
+    candidates come from `similar_candidates`, an exact prefix filter by size and position, and are checked by counting shared lines.
     """
     sets = materialise(sets.select("item", "line", "files"))
     reps = materialise(_representatives(sets))
     lines = sets.select("item", "line").join(reps.select("item", "n"), "item")
-    freq = lines.groupBy("line").agg(F.count("*").alias("df"))
-    rare = materialise(lines.join(freq, "line"))
-    histogram = rare.groupBy("item", "n", "df").agg(F.count("*").alias("c"))
-    upto = F.sum("c").over(Window.partitionBy("item").orderBy("df").rowsBetween(Window.unboundedPreceding, 0))
-    need = F.col("n") - F.ceil(F.col("n") / 2) + 1
-    cuts = histogram.withColumn("_upto", upto).filter(F.col("_upto") >= need).groupBy("item").agg(F.min("df").alias("cut"))
-    prefix = rare.join(cuts, "item").filter(F.col("df") <= F.col("cut")).select("item", "n", "line")
-    left = prefix.select(F.col("item").alias("a"), F.col("n").alias("na"), "line")
-    right = prefix.select(F.col("item").alias("b"), F.col("n").alias("nb"), "line")
-    cand = materialise(left.join(right, "line").filter("a < b and na <= 2 * nb and nb <= 2 * na").select("a", "b", "na", "nb").distinct())
+    cand = materialise(similar_candidates(lines))
     la = lines.select(F.col("item").alias("a"), "line")
     lb = lines.select(F.col("item").alias("b"), "line")
     shared = cand.join(la, "a").join(lb, ["b", "line"]).groupBy("a", "b", "na", "nb").agg(F.count("*").alias("common"))
@@ -172,22 +198,54 @@ def similar_pairs(sets: DataFrame) -> DataFrame:
     return close.select(F.when(swap, F.col("b")).otherwise(F.col("a")).alias("a"), F.when(swap, F.col("a")).otherwise(F.col("b")).alias("b"), "common", "combined")
 
 
-def dedup_sets(sets: DataFrame) -> DataFrame:
+AT_ONCE = 500_000
+
+
+def _greedy(pairs: pd.DataFrame) -> pd.DataFrame:
+    """The items of `pairs(m, a, b)`, all pairs up to some place of the order (m, b), decided one after the other."""
+    dropped = set()
+    for b, before in pairs.sort_values(["m", "b"]).groupby(["m", "b"], sort=False)["a"]:
+        if not dropped.issuperset(before):
+            dropped.add(b[1])
+    items = pd.unique(pd.concat([pairs["a"], pairs["b"]]))
+    return pd.DataFrame({"item": items, "kept": [x not in dropped for x in items]})
+
+
+def _in_order(pairs: DataFrame, at_once: int) -> DataFrame:
+    """(item, kept) of the earliest items, as many as have fewer than `at_once` pairs with earlier ones; no rows if the first has more."""
+    nth = pairs.select("m", "b").orderBy("m", "b").limit(at_once + 1).agg(F.count("*").alias("k"), F.max(F.struct("m", "b")).alias("last"))
+    up_to = nth.select(F.when(F.col("k") > at_once, F.col("last")).alias("last"))
+    stretch = pairs.filter(F.coalesce(F.struct("m", "b") < up_to.scalar(), F.lit(True)))
+    return stretch.groupBy().applyInPandas(_greedy, StructType([StructField("item", pairs.schema["a"].dataType), StructField("kept", BooleanType())]))
+
+
+def dedup_sets(sets: DataFrame, at_once: int = AT_ONCE, slow: float = 0.5) -> DataFrame:
     """Items kept when, from most files to fewest, an item is dropped if a kept earlier one is similar.
 
-    Copies of one set are dropped up front (the first stays or falls for all). The greedy pass runs in
-    rounds over the similar pairs: an item without an undecided earlier neighbour is kept, its later
-    neighbours are dropped. Each round decides at least the first undecided item of every chain.
+    Copies of one set are dropped up front (the first stays or falls for all). The similar pairs are then decided in rounds. A parallel
+    round keeps all items without an undecided earlier neighbour and drops their neighbours. Where that leaves more than the share `slow`
+    of the pairs, as long chains do, a stretch of the order follows: the earliest items, with at most `at_once` pairs, are decided one after the
+    other in one task. That is exact, as no decision depends on later items; a chain takes a round per `at_once` pairs instead of one per item.
     """
-    undecided = materialise(_representatives(sets).select("item"))
-    pairs = materialise(similar_pairs(sets).select("a", "b"))
-    kept = undecided.limit(0)
-    while not undecided.isEmpty():
-        blocked = pairs.select(F.col("b").alias("item")).distinct()
-        free = materialise(undecided.join(blocked, "item", "left_anti"))
-        kept = kept.unionByName(free)
-        dropped = pairs.join(free.withColumnRenamed("item", "a"), "a", "left_semi").select(F.col("b").alias("item")).distinct()
-        undecided = materialise(undecided.join(free, "item", "left_anti").join(dropped, "item", "left_anti"))
-        pairs = materialise(pairs.join(undecided.withColumnRenamed("item", "a"), "a", "left_semi").join(
-            undecided.withColumnRenamed("item", "b"), "b", "left_semi"))
-    return kept
+    sets = materialise(sets.select("item", "line", "files"))
+    reps = materialise(_representatives(sets).select("item", "files"))
+    pairs = materialise(similar_pairs(sets).join(reps.withColumnRenamed("item", "b"), "b").select("a", "b", (-F.col("files")).alias("m")))
+    fallen, left, in_order = [], pairs.count(), False
+    while left:
+        in_order = left <= at_once or in_order
+        if in_order:
+            decided = materialise(_in_order(pairs, at_once))
+        else:
+            free = pairs.select(F.col("a").alias("item")).distinct().join(pairs.select(F.col("b").alias("item")), "item", "left_anti")
+            decided = materialise(free.withColumn("kept", F.lit(True)))
+        hit = pairs.join(decided.filter("kept").select(F.col("item").alias("a")), "a", "left_semi").select(F.col("b").alias("item"))
+        out = materialise(decided.filter("not kept").select("item").unionByName(hit).distinct())
+        fallen.append(out)
+        gone = decided.select("item").unionByName(out).distinct()
+        pairs = materialise(pairs.join(gone.withColumnRenamed("item", "a"), "a", "left_anti").join(gone.withColumnRenamed("item", "b"), "b", "left_anti"))
+        before, left = left, pairs.count()
+        in_order = not in_order and left > slow * before
+    items = reps.select("item")
+    for out in fallen:
+        items = items.join(out, "item", "left_anti")
+    return items

@@ -200,3 +200,60 @@ def test_similar_sets_with_copies_and_a_common_line(spark):
         if not any(2 * len(sets[n] & sets[m]) >= len(sets[n] | sets[m]) for m in kept):
             kept.append(n)
     assert sorted(r["item"] for r in IH.dedup_sets(df).collect()) == sorted(kept)
+
+
+def plain_dedup(sets, files):
+    kept = []
+    for n in sorted(sets, key=lambda n: (-files[n], n)):
+        if not any(2 * len(sets[n] & sets[m]) >= len(sets[n] | sets[m]) for m in kept):
+            kept.append(n)
+    return sorted(kept)
+
+
+def sets_frame(spark, sets, files):
+    return spark.createDataFrame([(n, line, files[n]) for n, s in sets.items() for line in sorted(s)], "item string, line string, files bigint")
+
+
+def test_a_line_in_all_sets_makes_no_candidates(spark):
+    sets = {f"i{k:04}": {"hot", f"own{k}", f"pair{k // 2}"} for k in range(2000)} | {"alone": {"hot"}, "two": {"hot", "own0"}}
+    lines = spark.createDataFrame([(n, len(s), line) for n, s in sets.items() for line in sorted(s)], "item string, n bigint, line string")
+    pairs = {tuple(sorted((r["a"], r["b"]))) for r in IH.similar_candidates(lines).select("a", "b").collect()}
+    names, want = sorted(sets), set()
+    for k in range(1000):
+        want.add((f"i{2 * k:04}", f"i{2 * k + 1:04}"))
+    want |= {("alone", "two"), ("i0000", "two")}
+    assert want <= pairs and len(pairs) <= len(want) + 4
+    got = {tuple(sorted((r["a"], r["b"]))) for r in IH.similar_pairs(sets_frame(spark, sets, dict.fromkeys(names, 1))).collect()}
+    assert got == want
+
+
+def test_similar_pairs_of_many_sizes(spark):
+    rng = random.Random(8)
+    base = [f"w{k}" for k in range(60)]
+    sets = {}
+    for k in range(120):
+        s = set(rng.sample(base, rng.randrange(1, 40)))
+        sets[f"i{k}"] = s
+        sets[f"j{k}"] = set(rng.sample(sorted(s), max(1, rng.randrange(len(s) // 3, len(s) + 1)))) | {f"w{rng.randrange(90)}" for _ in range(rng.randrange(3))}
+    files = {n: rng.randrange(1, 4) for n in sets}
+    unique = {}
+    for n in sorted(sets, key=lambda n: (-files[n], n)):
+        unique.setdefault(frozenset(sets[n]), n)
+    reps = sorted(unique.values())
+    want = {(a, b) for i, a in enumerate(reps) for b in reps[i + 1:] if 2 * len(sets[a] & sets[b]) >= len(sets[a] | sets[b])}
+    df = sets_frame(spark, sets, files)
+    assert {tuple(sorted((r["a"], r["b"]))) for r in IH.similar_pairs(df).collect()} == want
+    for at_once in (1, 7, 500_000):
+        assert sorted(r["item"] for r in IH.dedup_sets(df, at_once).collect()) == plain_dedup(sets, files)
+
+
+def test_a_long_chain_of_similar_sets(spark):
+    sets = {f"c{k:05}": {f"l{k}", f"l{k + 1}", f"l{k + 2}"} for k in range(10_000)}
+    df = sets_frame(spark, sets, dict.fromkeys(sets, 1))
+    want = [f"c{k:05}" for k in range(0, 10_000, 2)]
+    assert sorted(r["item"] for r in IH.dedup_sets(df).collect()) == want
+    assert sorted(r["item"] for r in IH.dedup_sets(df, at_once=3_000).collect()) == want
+
+
+def test_no_sets(spark):
+    assert IH.dedup_sets(sets_frame(spark, {"x": {"l"}}, {"x": 1}).limit(0)).collect() == []
