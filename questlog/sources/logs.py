@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 
 from questlog.functions import scalars as S
 from questlog.functions.grammar import WELCOME_BACK, WELCOME_LOGIN, java
-from questlog.operators.scan import line_block, path_head, prefix_scan
+from questlog.operators.scan import LINE_BLOCK, line_block, path_head, prefix_scan
+from questlog.session import materialise
 
 LOG_GLOB = "CL Log *"
 # File names hold colons, which Hadoop's checksum layer over the local disk cannot open; the raw layer can. The
@@ -121,26 +122,57 @@ def read_logs(spark: SparkSession, bases: str | list[str], recursive: bool = Tru
     return out.withColumn("folder", F.coalesce("folder", F.lit("")))
 
 
-def read_log_lines(spark: SparkSession, base: str, recursive: bool = True) -> DataFrame:
+def read_log_lines(spark: SparkSession, base: str, recursive: bool = True, positions: bool = False) -> DataFrame:
     """Lines of the same files through the splittable text source.
 
-    Inside a split rows come in file order, so a line's place is its distance from the first line of
-    its split plus the number of lines in earlier splits: two small aggregates instead of a sort.
+    The source is read once and its rows are written with their place in the split, so numbers and lines come from one and the same reading.
+    Inside a split rows come in file order: a line's place is its distance from the first line of its split plus the number of lines in earlier
+    splits, two small aggregates instead of a sort.
+
+    With `positions` also `byte_pos`, where the line starts in the file, and `raw_len`, its bytes with the line end: right for any
+    encoding that keeps ASCII, LF, CRLF or CR line ends, a byte order mark, and a last line without an end. Files are cut at LF then, so one of CR ends
+    only is read by one task.
     """
-    raw = (
-        spark.read.options(**READ_OPTIONS).text(base)
-        .select(_clean(F.col("_metadata.file_path")).alias("path"), F.col("_metadata.file_block_start").alias("_start"),
-                F.monotonically_increasing_id().alias("_id"), F.col("value"))
-    )
-    splits = raw.groupBy("path", "_start").agg(F.min("_id").alias("_first"), F.count("*").alias("_lines"))
-    splits = prefix_scan(splits, ["path"], ["_start"], {"_before": ("sum", F.col("_lines"))}, inclusive=False)
-    lines = raw.join(splits.drop("_lines"), ["path", "_start"]).select(
-        "path", (F.col("_id") - F.col("_first") + F.col("_before")).alias("line_no"), decode_line(F.col("value")).alias("content"))
+    reader = spark.read.options(**READ_OPTIONS)
+    raw = materialise(
+        (reader.option("lineSep", "\n") if positions else reader).text(base)
+        .select(_clean(F.col("_metadata.file_path")).alias("path"), F.col("_metadata.file_block_start").alias("_start"), F.col("_metadata.file_size").alias("_size"),
+                F.monotonically_increasing_id().alias("_id"), F.col("value").cast("binary").alias("value")))
+    lines = _placed(raw) if positions else _numbered(raw)
     located = locate(lines.select("path").distinct(), base, recursive).select(
         "path", F.lit(0).alias("root_no"), F.coalesce("folder", F.lit("")).alias("folder"), "loose")
     return lines.join(located, "path")
 
 
+def _numbered(raw: DataFrame) -> DataFrame:
+    splits = raw.groupBy("path", "_start").agg(F.min("_id").alias("_first"), F.count("*").alias("_lines"))
+    splits = prefix_scan(splits, ["path"], ["_start"], {"_before": ("sum", F.col("_lines"))}, inclusive=False)
+    return raw.join(splits.drop("_lines"), ["path", "_start"]).select(
+        "path", (F.col("_id") - F.col("_first") + F.col("_before")).alias("line_no"), decode_line(F.col("value").cast("string")).alias("content"))
+
+
+def _placed(raw: DataFrame) -> DataFrame:
+    """(path, line_no, byte_pos, raw_len, content) of pieces that end at LF or at the end of the file."""
+    latin = F.decode("value", "ISO-8859-1")
+    cut = F.when(F.contains(latin, F.lit("\r")), F.split(latin, r"(?<=\r)")).otherwise(F.array(latin))
+    # a carriage return before the line feed belongs to one line end with it
+    cut = F.when((F.size(cut) > 1) & (F.element_at(cut, -1) == ""), F.slice(cut, F.lit(1), F.size(cut) - 1)).otherwise(cut)
+    rows = raw.withColumn("_cut", cut).withColumn("_len", F.octet_length("value").cast("bigint") + 1).withColumn("_block", F.floor(F.col("_id") / LINE_BLOCK))
+    # the reader leaves out a byte order mark, and counts a line end after a last line that has none
+    marks = raw.groupBy("path").agg(F.when(F.sum(F.octet_length("value") + 1) < F.max("_size"), F.lit(3)).otherwise(F.lit(0)).cast("bigint").alias("_mark"))
+    rows = prefix_scan(rows, ["path"], ["_id"], {"_lines": ("sum", F.size("_cut")), "_bytes": ("sum", F.col("_len"))}, [["_start"], ["_block"]], inclusive=False, attach=marks)
+    rows = rows.withColumns({c: F.coalesce(c, F.lit(0)).cast("bigint") for c in ("_lines", "_bytes", "_mark")})
+    at = F.col("_bytes") + F.col("_mark")
+    end = F.least(at + F.col("_len"), "_size")
+    starts = F.transform("_cut", lambda _, i: F.aggregate(F.slice("_cut", F.lit(1), i), F.lit(0), lambda n, x: n + F.length(x)))
+    starts = F.when(F.size("_cut") == 1, F.array(F.lit(0))).otherwise(starts)
+    each = rows.select("path", "_lines", at.alias("_at"), end.alias("_end"), starts.alias("_starts"), F.posexplode("_cut").alias("_pos", "_text"))
+    pos = F.col("_at") + F.element_at("_starts", F.col("_pos") + 1)
+    after = F.when(F.col("_pos") + 1 == F.size("_starts"), F.col("_end")).otherwise(pos + F.length("_text"))
+    text = F.encode(F.regexp_replace("_text", r"\r\z", ""), "ISO-8859-1").cast("string")
+    return each.select("path", (F.col("_lines") + F.col("_pos")).alias("line_no"), pos.alias("byte_pos"), (after - pos).alias("raw_len"), decode_line(text).alias("content"))
+
+
 def welcome_login(message: Column | str) -> Column:
     """Name on a login line, title-cased; NULL on other lines."""
     return _welcome(S.col(message), WELCOME_LOGIN)

@@ -2,6 +2,7 @@
 
 import datetime
 import json
+import random
 
 from pyspark.sql import functions as F
 
@@ -139,3 +140,50 @@ def test_csv_files_carry_their_header(spark, tmp_path):
     write_csv(df, str(tmp_path / "out"))
     back = spark.read.option("header", True).option("escape", '"').csv(str(tmp_path / "out"))
     assert back.columns == ["name", "n", "note"] and {tuple(r) for r in back.collect()} == {("a,b", "1", None), ('say "x"', "2", "y")}
+
+
+def plain_places(data: bytes):
+    """(line_no, byte_pos, raw_len, raw text) by walking the bytes."""
+    mark = 3 if data.startswith(b"\xef\xbb\xbf") else 0
+    out, at = [], mark
+    while at < len(data):
+        end = at
+        while end < len(data) and data[end] not in b"\r\n":
+            end += 1
+        stop = end + (2 if data[end:end + 2] == b"\r\n" else 1 if end < len(data) else 0)
+        out.append((len(out), at, stop - at, data[at:end]))
+        at = stop
+    return out
+
+
+def test_byte_positions_of_the_split_reader(spark, tmp_path):
+    rng = random.Random(3)
+    words = [b"plain", "café".encode(), b"it\xd5s \x8e", b"", b"\xa5You feel", b"x" * 70]
+    endings = {"lf": [b"\n"], "crlf": [b"\r\n"], "cr": [b"\r"], "mixed": [b"\n", b"\r\n", b"\r"]}
+    data = {}
+    for name, ends in endings.items():
+        body = b"".join(rng.choice(words) + rng.choice(ends) for _ in range(24))
+        data[f"CL Log {name}"] = body
+        data[f"CL Log {name} open"] = body + b"no end"
+        data[f"CL Log {name} marked"] = b"\xef\xbb\xbf" + body + b"no end"
+        data[f"CL Log {name} marked closed"] = b"\xef\xbb\xbf" + body + b"end\n"
+    data |= {"CL Log empty": b"", "CL Log blank": b"\n\n\n"}
+    (tmp_path / "logs" / "ann").mkdir(parents=True)
+    for name, body in data.items():
+        (tmp_path / "logs" / "ann" / name).write_bytes(body)
+    want = sorted((name, *line[:3]) for name, body in data.items() for line in plain_places(body))
+    small = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in ("128m", "200"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            rows = read_log_lines(spark, str(tmp_path / "logs"), positions=True).collect()
+            assert sorted((r["path"].split("/")[-1], r["line_no"], r["byte_pos"], r["raw_len"]) for r in rows) == want
+            texts = {(r["path"].split("/")[-1], r["line_no"]): r["content"] for r in rows}
+            for name, body in data.items():
+                for line_no, _, _, raw in plain_places(body):
+                    try:
+                        assert texts[name, line_no] == raw.decode()
+                    except UnicodeDecodeError:
+                        assert texts[name, line_no].isprintable() and len(texts[name, line_no]) == len(raw)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", small)
