@@ -307,20 +307,32 @@ _CONDITIONAL = ["Fallen", "TrainerCheckpoint", "TrainerCheckpointUnhailed", "Las
 def scan_report(parsed: DataFrame, events: DataFrame, gated: DataFrame, confirmed: DataFrame, studies: DataFrame) -> DataFrame:
     """One row: characters, files scanned and skipped, lines, events that counted.
 
-    `confirmed` are the bow checkpoints, `studies` the gated study events, `gated` the rank events.
+    `confirmed` are the bow checkpoints, `studies` the gated study events, `gated` the rank events. Each input is read once; what is known
+    of it is counted per character or file in partial aggregates, and the small counts are added up together.
     """
-    plain = events.agg(
-        F.count_distinct("character").alias("characters"),
-        F.count_if(~F.col("kind").isin(_SILENT + _CONDITIONAL) | (F.col("kind").isin("Fallen", "TrainerCheckpoint") & about_self())).alias("e1"))
-    ranks = gated.agg(F.count_if("counted").alias("e2"))
-    bows = confirmed.agg(F.count("*").alias("e3"))
-    progress = studies.agg(F.count_if(F.col("kind") == "LastyProgress").alias("e4"))
-    lines = parsed.groupBy("path").agg(F.count("*").alias("n"), F.max("loose").alias("loose"), F.min("undetermined").alias("undetermined")).agg(
-        F.count_if(~F.col("undetermined")).alias("files_scanned"), F.count_if("undetermined").alias("files_skipped"),
-        F.sum(F.when(~F.col("undetermined"), F.col("n"))).alias("lines_parsed"))
-    counted = F.col("e1") + ranks.scalar() + bows.scalar() + progress.scalar()
-    files = {c: lines.select(c).scalar() for c in ("files_scanned", "files_skipped", "lines_parsed")}
-    return plain.select("characters", *[v.alias(c) for c, v in files.items()], counted.alias("events_found"))
+    kept = ~F.col("kind").isin(_SILENT + _CONDITIONAL) | (F.col("kind").isin("Fallen", "TrainerCheckpoint") & about_self())
+    zero = F.lit(0).cast("bigint")
+
+    def part(df: DataFrame, **columns: Column) -> DataFrame:
+        names = ("characters", "events", "scanned", "skipped", "lines")
+        return df.select(*[columns.get(n, zero).alias(n) for n in names])
+
+    people = events.groupBy("character").agg(F.count_if(kept).alias("n"))
+    files = parsed.groupBy("path").agg(F.count("*").alias("n"), F.min("undetermined").alias("lost"))
+    once = lambda c: c.cast("bigint")
+    parts = [
+        part(people, characters=once(F.col("character").isNotNull()), events=F.col("n")),
+        part(gated.agg(F.count_if("counted").alias("n")), events=F.col("n")),
+        part(confirmed.agg(F.count("*").alias("n")), events=F.col("n")),
+        part(studies.agg(F.count_if(F.col("kind") == "LastyProgress").alias("n")), events=F.col("n")),
+        part(files, scanned=once(~F.col("lost")), skipped=once(F.col("lost")), lines=F.when(~F.col("lost"), F.col("n"))),
+    ]
+    every = parts[0]
+    for more in parts[1:]:
+        every = every.unionByName(more)
+    total = lambda c: F.coalesce(F.sum(c), zero)
+    return every.agg(total("characters").alias("characters"), total("scanned").alias("files_scanned"), total("skipped").alias("files_skipped"),
+                     total("lines").alias("lines_parsed"), total("events").alias("events_found"))
 
 
 def process_log(df: DataFrame, level: str | None = None, limit: int | None = None) -> DataFrame:
