@@ -120,3 +120,19 @@ def test_search_folds_letters_with_several_marks(spark):
     assert {r["line_no"] for r in search(lines, None, "tiếng").collect()} == {1, 2}
     assert [r["snippet"] for r in search(lines, None, "tieng viet").collect()] == ["nói <mark>tiếng Việt</mark>"]
     assert [r["line_no"] for r in search(lines, None, "한국어 が").collect()] == [3]
+
+
+def test_copy_of_an_earlier_state_equals_the_sql(spark, tmp_path):
+    """A new document whose text is the first half of one that has grown since; another is the text of an unchanged one."""
+    import duckdb
+    from questlog.plans import fact_queries as FQ
+    from questlog.plans.oracle_facts import ORACLES
+    docs = {0: "Reouti anatha.", 2: "Reouti anatha.\nReouti anatha.", 5: "whole", 6: "whole", 8: "ab", 9: "cd", 10: "Reouti anatha."}
+    spark.createDataFrame(list(docs.items()), "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    for name in ("scan_plan", "scan_plan_messages", "scan_plan_report", "pending_files", "manifest_update"):
+        df, cur = getattr(FQ, name)(spark, str(tmp_path)), con.execute(ORACLES[name])
+        columns = sorted(df.columns)
+        want = [dict(zip([c[0] for c in cur.description], r)) for r in cur.fetchall()]
+        assert sorted(tuple(str(r[c]) for c in columns) for r in df.collect()) == sorted(tuple(str(r[c]) for c in columns) for r in want), name
