@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,10 +18,13 @@ def op1_pq_near_dedup(spark, sf_dir):
     return pq.near_duplicates(_read(spark, sf_dir, "embeddings"), threshold=0.95)
 
 
+MAX_COPIES = 4  # of one document: more repetition gives a model little
+
+
 def op2_mixing(spark, sf_dir):
     docs = _read(spark, sf_dir, "documents")
     items = docs.select("doc_id", "source", "lang", mixing.topic_of(F.col("text")).alias("topic"), mixing.token_count(F.col("text")).alias("tokens"))
-    mixed = mixing.mix(mixing.materialise(items), max_copies=math.inf)  # documents may repeat, so that the drawn shares are the targets
+    mixed = mixing.mix(mixing.materialise(items), max_copies=MAX_COPIES)  # what full cells cannot give, the others give
     return mixed.withColumns({c: F.round(c, 6) for c in ("weight", "rate")})
 
 

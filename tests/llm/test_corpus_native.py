@@ -133,3 +133,22 @@ def test_shards_are_written(spark, tmp_path):
     sharding.write_shards(docs, 4, str(tmp_path / "out"))
     back = spark.read.parquet(str(tmp_path / "out"))
     assert back.count() == 200 and back.columns == ["doc_id", "text", "extra", "shard"] and back.select("shard").distinct().count() == 4
+
+
+def test_op2_full_cells_leave_their_share_to_the_others(spark, tmp_path):
+    """A rare source cannot be raised to its target within the copies allowed; the query then still draws the share of all tokens that it shall, as its SQL does."""
+    import duckdb
+    from questlog.llm import queries as LQ
+    rows = [(i, "big", "en", "many plain words in every one of these texts") for i in range(400)] + [(400, "rare", "en", "few words"), (401, "rare", "de", "wenige")]
+    spark.createDataFrame(rows, "doc_id bigint, source string, lang string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = LQ.op2_mixing(spark, str(tmp_path))
+    mixed = [r.asDict() for r in got.collect()]
+    assert max(r["rate"] for r in mixed) == LQ.MAX_COPIES
+    total = sum(r["tokens"] for r in mixed)
+    assert math.isclose(sum(r["tokens"] * r["rate"] for r in mixed), 0.8 * total, rel_tol=1e-5)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    cur = con.execute(LQ.ORACLES["op2_mixing"])
+    want = [dict(zip([c[0] for c in cur.description], r)) for r in cur.fetchall()]
+    same = lambda found: sorted(tuple(round(float(r[c]), 5) if isinstance(r[c], float) else str(r[c]) for c in sorted(r)) for r in found)
+    assert same(mixed) == same(want)
