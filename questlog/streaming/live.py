@@ -5,10 +5,11 @@ Lateness is one day. `stream_hourly` leaves later lines to the batch rebuild; `h
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, GroupedData
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -32,24 +33,38 @@ def stream_hourly(events: DataFrame, lateness: str = LATENESS) -> DataFrame:
         "character", "creature", F.date_format("window.start", "yyyy-MM-dd HH").alias("hour"), "solo", "assisted")
 
 
+BUCKETS = 256  # of files or creatures: a call of Python, and a small Arrow batch, for each of those would be most of the work
+
+
+def bucketed(df: DataFrame, *keys: str) -> GroupedData:
+    """`df` dealt into buckets by keys; what is remembered of a key stands in a map of its bucket."""
+    return df.withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).cast("int")).groupBy("bucket")
+
+
+def _names(batch: pd.DataFrame, active: dict[str, str | None]) -> tuple[pd.Series, dict[str, str]]:
+    """The active character of each line of a batch that is in order of path and line, and the last one welcomed of each file. `active` are those from before the batch."""
+    welcome = batch["welcome"].astype(object).where(batch["welcome"].notna(), None)
+    names = welcome.groupby(batch["path"]).ffill()
+    names = names.where(names.notna(), batch["path"].map(active))
+    names = names.where(names.notna(), batch["folder_character"].astype(object))
+    said = welcome.notna()
+    return names.astype(object), dict(zip(batch.loc[said, "path"], welcome[said]))  # of one path the last line stays
+
+
 class ActiveCharacter(StatefulProcessor):
-    """Per file: the active character, carried from batch to batch. Lines of a batch are put in order first."""
+    """Per bucket of files: the active character of each, carried from batch to batch. Lines of a batch are put in order first."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self._active = handle.getValueState("active", "name string")
+        self._active = handle.getMapState("active", "path string", "name string")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        active = self._active.get()[0] if self._active.exists() else None
-        # a micro-batch delivers bounded chunks of a file; only the welcome column is looked at
-        batch = pd.concat(list(rows), ignore_index=True).sort_values("line_no")
-        names = batch["welcome"].astype(object).where(batch["welcome"].notna(), None).ffill()
-        if active is not None:
-            names = names.where(names.notna(), active)
-        names = names.where(names.notna(), batch["folder_character"].astype(object))
-        last = batch["welcome"].dropna()
-        if len(last):
-            self._active.update((str(last.iloc[-1]),))
-        yield pd.DataFrame({"path": batch["path"].astype(object), "line_no": batch["line_no"], "character": names.astype(object)})
+        # a micro-batch delivers bounded chunks of the files of a bucket
+        batch = pd.concat(list(rows), ignore_index=True).sort_values(["path", "line_no"], ignore_index=True)
+        known = {p: self._active.getValue((p,)) for p in batch["path"].unique()}
+        names, last = _names(batch, {p: v[0] if v else None for p, v in known.items()})
+        for path, name in last.items():
+            self._active.updateValue((path,), (str(name),))
+        yield pd.DataFrame({"path": batch["path"].astype(object), "line_no": batch["line_no"], "character": names})
 
     def close(self) -> None:
         pass
@@ -57,80 +72,88 @@ class ActiveCharacter(StatefulProcessor):
 
 def stream_attribute(lines: DataFrame) -> DataFrame:
     """(path, line_no, character) of a stream of parsed lines `(path, line_no, welcome, folder_character)`."""
-    return lines.groupBy("path").transformWithStateInPandas(
+    return bucketed(lines, "path").transformWithStateInPandas(
         statefulProcessor=ActiveCharacter(), outputStructType="path string, line_no bigint, character string",
         outputMode="Append", timeMode="None")
 
 
 class LiveFile(StatefulProcessor):
-    """Per file: the active character, and of each trainer the last greeting, bow and phrase, carried from batch to batch. Only lines that can move a bow sequence
-    are walked one by one."""
+    """Per bucket of files: of each file the active character, and of each of its trainers the last greeting, bow and phrase, carried from batch to batch. State is
+    read and written once per file of a batch; only lines that can move a bow sequence are walked one by one."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self._active = handle.getValueState("active", "name string")
-        self._bows = handle.getMapState("bows", "trainer string", "greeted bigint, bowed bigint, spoken bigint")
+        self._files = handle.getMapState("files", "path string", "name string, bows string")
+
+    def _read(self, path: str) -> tuple[str | None, dict[str, list[int]]]:
+        found = self._files.getValue((path,))
+        return (found[0], json.loads(found[1])) if found else (None, {})
+
+    def _write(self, path: str, name: str | None, bows: dict[str, list[int]]) -> None:
+        self._files.updateValue((path,), (name, json.dumps(bows)))
 
     def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
-        """What a batch rebuild knows of a file (`state_of`): `welcome`, or the steps of one trainer."""
-        for row in initialState.itertuples():
-            if pd.notna(row.welcome):
-                self._active.update((row.welcome,))
-            if pd.notna(row.trainer):
-                self._bows.updateValue((row.trainer,), tuple(int(getattr(row, s)) if pd.notna(getattr(row, s)) else -1 for s in STEPS))
+        """What a batch rebuild knows of files (`state_of`): `welcome`, or the steps of one trainer."""
+        for path, rows in initialState.groupby("path"):
+            name, bows = self._read(path)
+            for row in rows.itertuples():
+                if pd.notna(row.welcome):
+                    name = row.welcome
+                if pd.notna(row.trainer):
+                    bows[row.trainer] = [int(getattr(row, s)) if pd.notna(getattr(row, s)) else -1 for s in STEPS]
+            self._write(path, name, bows)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        active = self._active.get()[0] if self._active.exists() else None
-        batch = pd.concat(list(rows), ignore_index=True).sort_values("line_no", ignore_index=True)  # a micro-batch's lines of one file
-        welcome = batch["welcome"].astype(object).where(batch["welcome"].notna(), None)
-        names = welcome.ffill()
-        if active is not None:
-            names = names.where(names.notna(), active)
-        names = names.where(names.notna(), batch["folder_character"].astype(object))
-        if welcome.notna().any():
-            self._active.update((str(welcome[welcome.notna()].iloc[-1]),))
-        confirmed = pd.Series(False, index=batch.index)
-        seen: dict[str, list[int]] = {}
+        batch = pd.concat(list(rows), ignore_index=True).sort_values(["path", "line_no"], ignore_index=True)  # a micro-batch's lines of one bucket
+        known = {p: self._read(p) for p in batch["path"].unique()}
+        names, last = _names(batch, {p: name for p, (name, _) in known.items()})
+        confirmed = [False] * len(batch)
+        changed = set(last)
         moves = batch["kind"].isin(["TrainerGreetingSimple", "TrainerGreetingWithUnknownCheckpoint", "TrainerBow", "TrainerCheckpointUnhailed"])
-        for i in batch.index[moves]:
-            trainer, kind, line = batch.at[i, "trainer"], batch.at[i, "kind"], int(batch.at[i, "line_no"])
-            if trainer not in seen:
-                seen[trainer] = list(self._bows.getValue((trainer,))) if self._bows.containsKey((trainer,)) else [-1, -1, -1]
-            greeted, bowed, spoken = seen[trainer]
+        walked = batch[moves]
+        for i, path, trainer, kind, line, subject, name in zip(walked.index, walked["path"], walked["trainer"], walked["kind"], walked["line_no"], walked["subject"], names[moves]):
+            steps = known[path][1].setdefault(trainer, [-1, -1, -1])
+            changed.add(path)
+            greeted, bowed, spoken = steps
             if kind == "TrainerBow":
-                seen[trainer][1] = line
+                steps[1] = int(line)
             elif kind == "TrainerCheckpointUnhailed":
                 confirmed[i] = greeted > spoken and bowed > greeted
-                seen[trainer][2] = line
-            elif str(batch.at[i, "subject"]).lower() == str(names[i]).lower():
-                seen[trainer][0] = line
-        for trainer, steps in seen.items():
-            self._bows.updateValue((trainer,), tuple(steps))
-        out = batch.drop(columns=["welcome", "folder_character"])
-        yield out.assign(character=names.astype(object), confirmed=confirmed)[[*(c.split()[0] for c in LINE.split(", ")), "character", "confirmed"]]
+                steps[2] = int(line)
+            elif str(subject).lower() == str(name).lower():
+                steps[0] = int(line)
+        for path in changed:
+            self._write(path, last.get(path, known[path][0]), known[path][1])
+        yield batch.assign(character=names, confirmed=confirmed)[[*(c.split()[0] for c in LINE.split(", ")), "character", "confirmed"]]
 
     def close(self) -> None:
         pass
 
 
 class LiveStudies(StatefulProcessor):
-    """Per (character, creature): is the study abandoned? Progress lines of an abandoned one go."""
+    """Per bucket of (character, creature): is the study abandoned? Progress lines of an abandoned one go."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self._gone = handle.getValueState("gone", "gone boolean")
+        self._gone = handle.getMapState("gone", "character string, creature string", "gone boolean")
 
     def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
-        self._gone.update((bool(initialState["gone"].iloc[0]),))
+        for row in initialState.itertuples():
+            self._gone.updateValue((row.character, row.creature), (bool(row.gone),))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        gone = bool(self._gone.get()[0]) if self._gone.exists() else False
         batch = pd.concat(list(rows), ignore_index=True).sort_values(["path", "line_no"], ignore_index=True)
+        study = batch.groupby(["character", "creature"], dropna=False).ngroup()
+        named = batch[["character", "creature"]].assign(study=study).drop_duplicates("study")
+        keys = {n: (c, d) for n, c, d in zip(named["study"], named["character"], named["creature"])}
+        gone = {n: self._gone.getValue(k) for n, k in keys.items()}
         state = batch["kind"].map({"StudyAbandon": True, "LastyBeginStudy": False, "LastyFinished": False}).astype(object)
         state = state.where(state.notna(), None)
-        before = state.shift(1).ffill()
-        before = before.where(before.notna(), gone).astype(bool)
-        if state.notna().any():
-            self._gone.update((bool(state[state.notna()].iloc[-1]),))
-        yield batch[~((batch["kind"] == "LastyProgress") & before)]
+        before = state.groupby(study).shift(1).groupby(study).ffill()
+        before = before.where(before.notna(), study.map({n: bool(g[0]) if g else False for n, g in gone.items()})).astype(bool)
+        said = state.notna()
+        for n, last in dict(zip(study[said], state[said])).items():
+            if gone[n] is None or bool(gone[n][0]) != last:
+                self._gone.updateValue(keys[n], (bool(last),))
+        yield batch[~((batch["kind"] == "LastyProgress") & before)][["path", "line_no", "character", "creature", "kind"]]
 
     def close(self) -> None:
         pass
@@ -159,12 +182,13 @@ def stream_lines(lines: DataFrame, initial: DataFrame | None = None) -> DataFram
     """Classified lines of a feed with their `character`, and `confirmed` for phrases that end a bow sequence.
 
     `lines` have the columns of LINE, `welcome` and `folder_character`; `initial` is what `state_of` gives for lines read before. Lines of a file must come in order over the
-    batches, in any order inside one. Lines that nobody can be given to are dropped. State is a name and three line numbers per trainer for each file; time-to-live would need processing-time
+    batches, in any order inside one. Lines that nobody can be given to are dropped. State is a name and three line numbers per trainer for each file, in maps of BUCKETS groups; time-to-live would need processing-time
     batches, which never end under `availableNow`, so a feed is trimmed by starting it anew from `initial`.
     """
-    found = lines.select(*[c.split()[0] for c in LINE.split(", ")], "welcome", "folder_character").groupBy("path").transformWithStateInPandas(
+    rows = lines.select(*[c.split()[0] for c in LINE.split(", ")], "welcome", "folder_character")
+    found = bucketed(rows, "path").transformWithStateInPandas(
         statefulProcessor=LiveFile(), outputStructType=f"{LINE}, character string, confirmed boolean", outputMode="Append", timeMode="None",
-        initialState=initial.groupBy("path") if initial is not None else None)
+        initialState=bucketed(initial, "path") if initial is not None else None)
     return found.filter("character is not null")
 
 
@@ -173,9 +197,10 @@ def stream_studies(events: DataFrame, initial: DataFrame | None = None) -> DataF
     batches. `initial` is what `studies_state_of` gives for lines read before."""
     from questlog.operators.sequences import STUDY_KINDS
 
-    return events.filter(F.col("kind").isin(STUDY_KINDS)).select("path", "line_no", "character", "creature", "kind").groupBy("character", "creature").transformWithStateInPandas(
+    studies = events.filter(F.col("kind").isin(STUDY_KINDS)).select("path", "line_no", "character", "creature", "kind")
+    return bucketed(studies, "character", "creature").transformWithStateInPandas(
         statefulProcessor=LiveStudies(), outputStructType="path string, line_no bigint, character string, creature string, kind string", outputMode="Append", timeMode="None",
-        initialState=initial.groupBy("character", "creature") if initial is not None else None)
+        initialState=bucketed(initial, "character", "creature") if initial is not None else None)
 
 
 # ---- hourly kills with late lines: one published generation per batch

@@ -115,3 +115,30 @@ def test_a_hot_character_gets_several_files(spark, tmp_path):
     key = lambda r: (r[0] or "", r[1])
     assert sorted(map(tuple, read_table(spark, str(tmp_path), "kill_hourly").collect()), key=key) == sorted(rows, key=key)
     assert read_table(spark, str(tmp_path), "kill_hourly", "Hot", buckets=4).count() == 4005
+
+
+class _Maps:
+    """A state handle whose maps are dictionaries."""
+
+    def getMapState(self, name, *_):
+        held = {}
+        return type("Held", (), {"getValue": lambda s, k: held.get(k), "updateValue": lambda s, k, v: held.__setitem__(k, v)})()
+
+
+def test_one_call_serves_many_files():
+    """Lines of several files and creatures, mixed, in one call of Python; what one file or creature left must not reach another."""
+    import pandas as pd
+    columns = [c.split()[0] for c in live.LINE.split(", ")] + ["welcome", "folder_character"]
+    line = lambda path, no, kind="Ignored", **more: {**dict.fromkeys(columns), "path": path, "line_no": no, "kind": kind, "folder_character": "Cid", **more}
+    files = live.LiveFile()
+    files.init(_Maps())
+    first = [line("b", 1), line("a", 2, "TrainerGreetingSimple", trainer="x", subject="ANN"), line("a", 1, welcome="Ann"), line("b", 2, "TrainerBow", trainer="x")]
+    second = [line("b", 3, "TrainerCheckpointUnhailed", trainer="x"), line("a", 4, "TrainerCheckpointUnhailed", trainer="x"), line("a", 3, "TrainerBow", trainer="x")]
+    run = lambda p, rows: {(r.path, r.line_no): r for f in p.handleInputRows(0, iter([pd.DataFrame(rows)]), None) for r in f.itertuples()}
+    assert {k: r.character for k, r in run(files, first).items()} == {("a", 1): "Ann", ("a", 2): "Ann", ("b", 1): "Cid", ("b", 2): "Cid"}
+    assert {k: (r.character, r.confirmed) for k, r in run(files, second).items()} == {("a", 3): ("Ann", False), ("a", 4): ("Ann", True), ("b", 3): ("Cid", False)}
+    studies = live.LiveStudies()
+    studies.init(_Maps())
+    study = lambda no, who, kind: {"path": "a", "line_no": no, "character": who, "creature": "Rat", "kind": kind}
+    assert set(run(studies, [study(2, "Bob", "LastyProgress"), study(1, "Ann", "StudyAbandon"), study(3, "Ann", "LastyProgress")])) == {("a", 1), ("a", 2)}
+    assert set(run(studies, [study(5, "Bob", "LastyProgress"), study(4, "Ann", "LastyProgress"), study(6, "Ann", "LastyBeginStudy"), study(7, "Ann", "LastyProgress")])) == {("a", 5), ("a", 6), ("a", 7)}
