@@ -142,3 +142,12 @@ def test_one_call_serves_many_files():
     study = lambda no, who, kind: {"path": "a", "line_no": no, "character": who, "creature": "Rat", "kind": kind}
     assert set(run(studies, [study(2, "Bob", "LastyProgress"), study(1, "Ann", "StudyAbandon"), study(3, "Ann", "LastyProgress")])) == {("a", 1), ("a", 2)}
     assert set(run(studies, [study(5, "Bob", "LastyProgress"), study(4, "Ann", "LastyProgress"), study(6, "Ann", "LastyBeginStudy"), study(7, "Ann", "LastyProgress")])) == {("a", 5), ("a", 6), ("a", 7)}
+
+
+def test_rendering_is_spread_over_tasks(spark, tmp_path):
+    """One file of one row group is one task of a scan."""
+    from questlog.plans import adapters as A
+    spark.range(50_000).select(F.col("id").alias("event_id"), F.timestamp_seconds("id").cast("timestamp_ntz").alias("ts"), (F.col("id") % 9).alias("user_id"), F.lit("click").alias("event_type"),
+                               F.lit(1.0).alias("value"), F.lit('{"k": 3}').alias("props")).coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    spark.range(5).select(F.col("id").alias("p_partkey"), F.lit("Rat").alias("p_name")).write.parquet(f"{tmp_path}/part.parquet")
+    assert A.render_log(spark, str(tmp_path)).rdd.getNumPartitions() == 3
