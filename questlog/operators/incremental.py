@@ -16,15 +16,14 @@ def content_hash(content: Column) -> Column:
     return F.sha2(content, 256)
 
 
-def plan_scan(files: DataFrame, manifest: DataFrame, force: bool = False, order: list[str] | None = None, earlier: bool = True) -> DataFrame:
+def plan_scan(files: DataFrame, manifest: DataFrame, force: bool = False, order: list[str] | None = None, known: DataFrame | None = None) -> DataFrame:
     """(path, action, offset, content_hash, length) for every candidate file.
 
     `files(path, length, content)`, `manifest(path, content_hash, byte_len)`. Bytes are not shuffled while at most BROADCAST_PATHS files are open. Actions: scan, tail, skip,
     duplicate, changed, and error for a file that is to be read but has no content. Copies of one content inside the batch count as duplicates of the first in scan
     order: found by an aggregate on the hash, so any number of copies is one partial minimum per task.
 
-    A new file also is a duplicate of what the manifest knows: of every content that was ever read, or with `earlier=False` only of files that still stand as they were
-    read, so that a copy of what a file held before it grew is scanned.
+    A new file also is a duplicate of what was read before: of every content that the manifest knows, or with `known(content_hash)` of those alone.
     """
     order = order or ["path"]
     prior = manifest.select("path", F.col("byte_len").alias("_len"), F.col("content_hash").alias("_hash"))
@@ -42,8 +41,7 @@ def plan_scan(files: DataFrame, manifest: DataFrame, force: bool = False, order:
     f = sized.join(hashed, "path", "left")
     if force:
         return f.select("path", F.lit("scan").alias("action"), F.lit(0).cast("bigint").alias("offset"), "content_hash", "length")
-    contents = manifest.select("content_hash") if earlier else sized.filter(same_size).select(F.col("_hash").alias("content_hash"))
-    known = contents.distinct().withColumn("_known", F.lit(True))
+    known = (manifest if known is None else known).select("content_hash").distinct().withColumn("_known", F.lit(True))
     fresh = f.filter("_len is null")
     first = fresh.groupBy("content_hash").agg(F.min("_at").alias("_first"))
     unread = f.filter(F.col("content_hash").isNull() & (F.col("_len").isNull() | ((F.col("_len") > 0) & ~same_size))).select(
