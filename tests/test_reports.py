@@ -175,3 +175,26 @@ def test_morph_grid_is_not_shuffled(spark):
         assert own[("Hero0", "f7")] == 19 and own[("Hero1", "f7")] == 20 and own[("Hero0", "f1")] == 20
     finally:
         spark.conf.set(key, before)
+
+
+def test_kill_rollup_moves_narrow_lines(spark):
+    """80,000 kills and 40,000 shares of 30,000 creatures of characters, met by every task: as many partial sums as lines would be moved, and kills twice. Loot before the first kill does not count."""
+    from questlog.operators import rollups as R
+    from questlog.operators import sequences as Q
+    from questlog.operators.scan import SEQ, seq
+    from questlog.plans.adapters import as_events
+    n = F.xxhash64("id") % 30_000
+    rows = spark.range(0, 120_000, 1, 8).withColumn("n", F.abs(n)).select(
+        F.format_string("Hero%d", F.col("n") % 1000).alias("character"), F.format_string("Hero%d", F.col("n") % 1000).alias("subject"), F.format_string("beast %d", F.col("n")).alias("creature"),
+        F.format_string("beast %d", F.col("n")).alias("item"), F.when(F.col("id") % 3 == 0, F.lit("LootShare")).when(F.col("id") % 3 == 1, F.lit("SoloKill")).otherwise(F.lit("AssistedKill")).alias("kind"),
+        F.when(F.col("id") % 3 > 0, F.lit("killed")).alias("verb"), (F.col("id") % 50).alias("amount"), F.lit("fur").alias("loot_type"),
+        F.timestamp_seconds(1_700_000_000 + F.abs(F.xxhash64("id", F.lit(1))) % 10_000_000).cast("string").alias("date"), F.abs(F.xxhash64("id", F.lit(2)) % 10_000_000).alias("line_no"))
+    events = as_events(rows)
+    assert set(SEQ) <= set(events.columns)
+    moved = lambda: spark.sparkContext._jsc.sc().statusStore().executorList(False).apply(0).totalShuffleWrite()
+    start = moved()
+    got = R.kills_with_loot(events).localCheckpoint()
+    narrow = moved() - start
+    want = R.with_best_loot(R.kills(events), Q.best_loot(events, seq()))
+    assert narrow < 50 * 120_000, narrow  # with partial sums and a second scan 60 bytes a line
+    assert got.count() == want.count() and got.select(*want.columns).exceptAll(want).count() == 0
