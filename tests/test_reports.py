@@ -10,6 +10,7 @@ from questlog.operators.fighter import fighter_stats
 from questlog.operators.frequency import kill_frequency
 from questlog.operators.merge import merge_map
 from questlog.operators.rollups import COUNTERS
+from questlog.session import materialise
 
 
 def hourly(spark, rows):
@@ -198,3 +199,23 @@ def test_kill_rollup_moves_narrow_lines(spark):
     want = R.with_best_loot(R.kills(events), Q.best_loot(events, seq()))
     assert narrow < 50 * 120_000, narrow  # with partial sums and a second scan 60 bytes a line
     assert got.count() == want.count() and got.select(*want.columns).exceptAll(want).count() == 0
+
+
+def _shuffles(spark, df):
+    """Shuffles by key of a plan, each counted once where it is used again."""
+    return sum("Exchange hashpartitioning" in line and "ReusedExchange" not in line for line in df._jdf.queryExecution().executedPlan().toString().splitlines())
+
+
+def test_frequency_deals_hours_once(spark, monkeypatch):
+    """Hours, days, spans and the best of them need no shuffle but the one by creature, in partitions of a bounded number of hours."""
+    monkeypatch.setattr("questlog.operators.frequency.HOURS_PER_TASK", 1, raising=False)
+    keys = ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")
+    before = [spark.conf.get(k) for k in keys]
+    rows = materialise(hourly(spark, [("A", "Rat", "2024-01-01 10", 3, 0), ("A", "Cat", "2024-01-02 10", 1, 1)]))
+    try:
+        for k, v in zip(keys, ("false", "-1")):
+            spark.conf.set(k, v)
+        assert _shuffles(spark, kill_frequency(rows)) == 1
+    finally:
+        for k, v in zip(keys, before):
+            spark.conf.set(k, v)
