@@ -131,6 +131,56 @@ def test_studies(spark):
     assert got == want
 
 
+@pytest.mark.parametrize("crowd", [None, 0, 250])
+def test_studies_whole_and_by_blocks(spark, monkeypatch, crowd):
+    """Characters held whole, by blocks or some of each have the same studies, and narrow lines are shuffled few times."""
+    monkeypatch.setattr(scan, "WINDOW_ROWS", 5_000, raising=False)
+    if crowd is not None:
+        monkeypatch.setattr(scan, "CROWD", crowd, raising=False)
+    kinds = ["LastyBeginStudy", "LastyProgress", "LastyProgress", "LastyFinished", "StudyAbandon", "StudyProgress", "LastyCompleted"]
+    n = F.col("line_no")
+    pick = lambda salt, of: F.pmod(F.xxhash64(n, F.lit(salt)), F.lit(of)).cast("int")
+    kind = F.element_at(F.array(*[F.lit(k) for k in kinds]), pick(1, len(kinds)) + 1)
+    who = F.when(n % 10 == 0, F.lit("Hero")).otherwise(F.concat(F.lit("Hero"), pick(2, 90).cast("string")))
+    ev = spark.range(20_000).select(
+        F.col("id").alias("line_no"), F.lit(0).alias("root_no"), F.lit(False).alias("loose"), F.lit("").alias("folder"), F.lit("/facts/all").alias("path"), F.lit("/facts/all").alias("path_head"),
+        F.floor(F.col("id") / 64).alias("line_block")).withColumns({"character": who, "kind": kind, "date": F.format_string("d%07d", "line_no")}).withColumns({
+            "creature": F.when(F.col("kind") != "LastyCompleted", F.concat(F.lit("Beast "), pick(3, 40).cast("string"))),
+            "lasty_type": F.when(F.col("kind").isin("LastyBeginStudy", "LastyProgress", "LastyFinished"), F.element_at(F.array(F.lit("Morph"), F.lit("Befriend")), pick(4, 2) + 1))})
+    ev = ev.localCheckpoint()
+    moved = lambda: spark.sparkContext._jsc.sc().statusStore().executorList(False).apply(0).totalShuffleWrite()
+    start = moved()
+    got = {tuple(r) for r in R.lastys(ev).collect()}
+    if crowd is None:
+        assert moved() - start < 130 * 20_000, (moved() - start) / 20_000
+
+    table, gone = {}, set()
+    for r in ev.orderBy("line_no").collect():
+        who, c, d, kind = r["character"], r["creature"], r["date"], r["kind"]
+        mine = table.setdefault(who, {})
+        if kind == "LastyCompleted":
+            left = [t for t in mine.values() if not t["finished"]]
+            if left:
+                left[-1]["finished"] = True
+            continue
+        if kind == "StudyAbandon":
+            gone.add((who, c))
+        if kind in ("StudyAbandon", "LastyBeginStudy"):
+            for key, t in mine.items():
+                if key[0] == c:
+                    t["abandoned"] = d if kind == "StudyAbandon" else None
+        if kind == "StudyAbandon" or (kind == "LastyProgress" and (who, c) in gone):
+            continue
+        if kind in ("LastyBeginStudy", "LastyFinished"):
+            gone.discard((who, c))
+        t = mine.setdefault((c, r["lasty_type"] or "Movements"), {"n": 0, "first": d, "last": d, "finished": False, "completed": None, "abandoned": None})
+        t["n"], t["last"] = t["n"] + 1, d
+        if kind == "LastyFinished":
+            t["finished"], t["completed"] = True, d
+    want = {(who, *key, *t.values()) for who, mine in table.items() for key, t in mine.items()}
+    assert got == want
+
+
 def help_blocks(lines):
     """The block rules read one line at a time."""
     out = set()
