@@ -181,6 +181,44 @@ def test_studies_whole_and_by_blocks(spark, monkeypatch, crowd):
     assert got == want
 
 
+@pytest.mark.parametrize("crowd", [None, 0])
+def test_completions_finish_the_newest_open_study(spark, monkeypatch, crowd):
+    """Completions in a row, with nothing open, after a finish, beside lines without creature or type, and over two files."""
+    if crowd is not None:
+        monkeypatch.setattr(scan, "CROWD", crowd)
+    line = lambda path, n, kind, creature=None, ty=None, who="Ann": {"path": path, "line_no": n, "kind": kind, "creature": creature, "lasty_type": ty, "character": who, "date": f"d{path[-1]}{n}"}
+    rows = [
+        line("/f/2", 0, "LastyCompleted"), line("/f/2", 1, "LastyCompleted"), line("/f/2", 2, "LastyBeginStudy", "e", "Morph"),
+        line("/f/1", 0, "LastyCompleted"), line("/f/1", 1, "LastyBeginStudy", "a", "Morph"), line("/f/1", 2, "LastyBeginStudy", "b", "Morph"), line("/f/1", 3, "LastyProgress", "c"),
+        line("/f/1", 4, "LastyProgress", None, "Morph"), line("/f/1", 5, "LastyFinished", "d", "Morph"), line("/f/1", 6, "LastyFinished", "b", "Morph"), line("/f/1", 7, "LastyCompleted"),
+        line("/f/1", 8, "LastyProgress", "b", "Morph"), line("/f/1", 9, "StudyAbandon", "z"),
+        line("/f/1", 3, "LastyCompleted", who="Bob"), line("/f/1", 4, "LastyProgress", "a", "Morph", who="Bob"), line("/f/1", 1, "LastyProgress", "a", "Morph", who=None), line("/f/1", 2, "LastyCompleted", who=None),
+    ]
+    got = {(r["character"], r["creature"], r["lasty_type"]): (r["message_count"], r["finished"], r["completed"]) for r in R.lastys(events(spark, rows)).collect()}
+    assert got == {
+        ("Ann", "a", "Morph"): (1, True, None), ("Ann", "b", "Morph"): (3, True, "d16"), ("Ann", "c", None): (1, True, None), ("Ann", None, "Morph"): (1, True, None), ("Ann", "d", "Morph"): (1, True, "d15"),
+        ("Ann", "e", "Morph"): (1, False, None), ("Bob", "a", "Morph"): (1, False, None), (None, "a", "Morph"): (1, True, None)}
+
+
+def test_whole_characters_are_shuffled_once_and_not_joined(spark):
+    """Numbering, gating, counting and completions of characters held whole keep to the tasks of one shuffle, and no rows are written or joined in between."""
+    kinds = ["LastyBeginStudy", "LastyFinished", "LastyCompleted"]
+    rows = [{"path": "/f/1", "line_no": i, "kind": kinds[i % 3], "character": "AB"[i % 2], "creature": None if i % 3 == 2 else "abc"[i % 5 % 3], "lasty_type": None if i % 3 == 2 else "Morph"} for i in range(60)]
+    plan = R.lastys(events(spark, rows))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Join" not in plan
+
+
+def test_study_lines_are_not_shuffled_for_their_creatures(spark):
+    """The creatures are 50 rows of a table that may be large: the lines are not dealt by them, however large that table is taken to be."""
+    from questlog.plans.adapters import study_events
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = study_events(spark, "/root/testdata/sf0.001").select("*")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "hashpartitioning" not in plan and "BroadcastHashJoin" in plan
+
+
 def help_blocks(lines):
     """The block rules read one line at a time."""
     out = set()
