@@ -116,26 +116,35 @@ def rates(cells: DataFrame, share: float, max_copies: float = 1.0) -> DataFrame:
 
 
 def mix(items: DataFrame, targets: DataFrame | None = None, share: float = 0.8, max_copies: float = 1.0,
-        max_rounds: int = 40, tolerance: float = 1e-9, carry: str | None = None) -> DataFrame:
+        max_rounds: int = 40, tolerance: float = 1e-9, carry: str | None = None, also: dict[str, float] | None = None) -> DataFrame:
     """doc_id, source, lang, topic, tokens, weight, rate, copies for every row of `items` (doc_id, the dimensions, tokens).
 
     ``weight`` is the raked share of the document's cell in the mixture, ``rate`` its calibrated number of copies, ``copies`` that
     number rounded down or up by a draw fixed by doc_id. Null dimension values count as the empty string. A document without tokens
     takes no part in the weights: weight 0, and it is kept once (rate 1), as it changes no marginal. Repeated rows are drawn
-    alike. Other columns of `items` are left, but for one named in `carry`. An empty table gives an empty result.
+    alike. Other columns of `items` are left, but for one named in `carry`. An empty table gives an empty result. For each name in `also` columns
+    <name>_rate and <name>_copies follow: the same draw with that many copies at most (`math.inf`: any number, which meets the targets).
     """
     kept = [carry] if carry else []
     filled = items.select("doc_id", *(F.coalesce(F.col(d).cast("string"), F.lit("")).alias(d) for d in DIMENSIONS),
                           F.coalesce("tokens", F.lit(0)).cast("long").alias("tokens"), *kept)
     cells = materialise(cells_of(filled))
     fitted = rake(cells, targets if targets is not None else tempered_targets(cells), max_rounds, tolerance)
-    rated = materialise(rates(fitted, share, max_copies).select(*DIMENSIONS, "weight", "rate"))
+    rated, names = rates(fitted, share, max_copies), {"rate": "copies"}
+    for name, cap in (also or {}).items():
+        other = rates(fitted, share, cap).select(*DIMENSIONS, F.col("rate").alias(f"{name}_rate"))
+        rated, names[f"{name}_rate"] = rated.join(other, list(DIMENSIONS)), f"{name}_copies"
+    rated = materialise(rated.select(*DIMENSIONS, "weight", *names))
     discard(cells, fitted)
     out = filled.join(rated, list(DIMENSIONS), "left").withColumns(
-        {"weight": F.coalesce("weight", F.lit(0.0)), "rate": F.coalesce("rate", F.when(F.col("tokens") > 0, 0.0).otherwise(1.0))})
-    whole = F.floor("rate")
-    copies = whole + F.when(unit_draw(F.col("doc_id")) < F.col("rate") - whole, 1).otherwise(0)
-    return out.select("doc_id", *DIMENSIONS, "tokens", "weight", "rate", copies.cast("int").alias("copies"), *kept)
+        {"weight": F.coalesce("weight", F.lit(0.0)), **{r: F.coalesce(r, F.when(F.col("tokens") > 0, 0.0).otherwise(1.0)) for r in names}})
+
+    def copies(rate: str) -> Column:
+        whole = F.floor(rate)
+        return (whole + F.when(unit_draw(F.col("doc_id")) < F.col(rate) - whole, 1).otherwise(0)).cast("int")
+
+    drawn = [c for rate, name in names.items() for c in (F.col(rate), copies(rate).alias(name))]
+    return out.select("doc_id", *DIMENSIONS, "tokens", "weight", *drawn, *kept)
 
 
 def marginals(mixed: DataFrame, targets: DataFrame) -> DataFrame:

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 
 def mixing_sql(share: float = 0.8, rounds: int = 40, max_copies: float = 4.0) -> str:
-    """Raking unrolled round by round, the scale by cumulative sums over cells in order of the scales at which they are full."""
+    """Raking unrolled round by round, the scale by cumulative sums over cells in order of the scales at which they are full.
+
+    Three draws: with at most `max_copies` of a document, with any number (target), with one at most (once)."""
     dims = {"source": 0.5, "lang": 0.7, "topic": 0.8}
     cte = [r"""items AS (SELECT doc_id, coalesce(source, '') AS source, coalesce(lang, '') AS lang,
  CASE WHEN trim(coalesce(text, '')) = '' THEN 'empty' WHEN contains(text, ' | ') THEN 'table' WHEN contains(text, '!!') THEN 'shout'
@@ -19,18 +21,21 @@ def mixing_sql(share: float = 0.8, rounds: int = 40, max_copies: float = 4.0) ->
         for d in dims:
             cte.append(f"r{at + 1} AS MATERIALIZED (SELECT r{at}.* REPLACE (w * target / sum(w) OVER (PARTITION BY {d}) AS w) FROM r{at} JOIN t_{d} USING ({d}))")
             at += 1
-    cte.append(f"""sorted AS (SELECT *, {max_copies} * sum(tokens) OVER o AS filled, 1 - sum(w) OVER o AS open_w, {max_copies} * tokens / w AS point,
- lead({max_copies} * tokens / w, 1, 1e300) OVER (ORDER BY tokens / w, source, lang, topic) AS next_point FROM r{at}
- WINDOW o AS (ORDER BY tokens / w, source, lang, topic ROWS UNBOUNDED PRECEDING))""")
     cte.append(f"""goal AS (SELECT {share} * sum(tokens) AS g FROM cells)""")
-    cte.append("""scale AS (SELECT min(s) AS s FROM (SELECT g AS s FROM goal WHERE g <= (SELECT min(point) FROM sorted)
- UNION ALL SELECT (g - filled) / open_w FROM sorted, goal WHERE open_w > 1e-12 AND (g - filled) / open_w >= point AND (g - filled) / open_w < next_point))""")
-    cte.append(f"rated AS (SELECT source, lang, topic, w, least({max_copies}, s * w / tokens) AS rate FROM r{at}, scale)")
-    return "WITH " + ",\n".join(cte) + """
+    for x, cap in (("", max_copies), ("_once", 1.0)):
+        cte.append(f"""sorted{x} AS (SELECT *, {cap} * sum(tokens) OVER o AS filled, 1 - sum(w) OVER o AS open_w, {cap} * tokens / w AS point,
+ lead({cap} * tokens / w, 1, 1e300) OVER (ORDER BY tokens / w, source, lang, topic) AS next_point FROM r{at}
+ WINDOW o AS (ORDER BY tokens / w, source, lang, topic ROWS UNBOUNDED PRECEDING))""")
+        cte.append(f"""scale{x} AS (SELECT min(s) AS s{x} FROM (SELECT g AS s FROM goal WHERE g <= (SELECT min(point) FROM sorted{x})
+ UNION ALL SELECT (g - filled) / open_w FROM sorted{x}, goal WHERE open_w > 1e-12 AND (g - filled) / open_w >= point AND (g - filled) / open_w < next_point))""")
+    cte.append(f"""rated AS (SELECT source, lang, topic, w, least({max_copies}, s * w / tokens) AS rate, g * w / tokens AS target_rate,
+ least(1.0, s_once * w / tokens) AS once_rate FROM r{at}, goal, scale, scale_once)""")
+    draws = ",\n".join(f""" round(coalesce({d}rate, CASE WHEN items.tokens > 0 THEN 0.0 ELSE 1.0 END), 6) AS {d}rate,
+ CAST(floor(coalesce({d}rate, 1.0)) + CASE WHEN CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS UBIGINT) / 4294967296.0
+  < coalesce({d}rate, 1.0) - floor(coalesce({d}rate, 1.0)) THEN 1 ELSE 0 END AS INTEGER) AS {d}copies""" for d in ("", "target_", "once_"))
+    return "WITH " + ",\n".join(cte) + f"""
 SELECT doc_id, source, lang, topic, items.tokens AS tokens, round(coalesce(w, 0), 6) AS weight,
- round(coalesce(rate, CASE WHEN items.tokens > 0 THEN 0.0 ELSE 1.0 END), 6) AS rate,
- CAST(floor(coalesce(rate, 1.0)) + CASE WHEN CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS UBIGINT) / 4294967296.0
-  < coalesce(rate, 1.0) - floor(coalesce(rate, 1.0)) THEN 1 ELSE 0 END AS INTEGER) AS copies
+{draws}
 FROM items LEFT JOIN rated USING (source, lang, topic)"""
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,13 +21,14 @@ def op1_pq_near_dedup(spark, sf_dir):
 
 
 MAX_COPIES = 4  # of one document: more repetition gives a model little
+DRAWS = {"target": math.inf, "once": 1.0}  # beside it: as many copies as the targets take, and no document twice
 
 
 def op2_mixing(spark, sf_dir):
     docs = _read(spark, sf_dir, "documents")
     items = docs.select("doc_id", "source", "lang", mixing.topic_of(F.col("text")).alias("topic"), mixing.token_count(F.col("text")).alias("tokens"))
-    mixed = mixing.mix(mixing.materialise(items), max_copies=MAX_COPIES)  # what full cells cannot give, the others give
-    return mixed.withColumns({c: F.round(c, 6) for c in ("weight", "rate")})
+    mixed = mixing.mix(mixing.materialise(items), max_copies=MAX_COPIES, also=DRAWS)  # what full cells cannot give, the others give
+    return mixed.withColumns({c: F.round(c, 6) for c in ("weight", "rate", *(f"{d}_rate" for d in DRAWS))})
 
 
 def op3_language_id(spark, sf_dir):

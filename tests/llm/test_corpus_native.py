@@ -152,3 +152,26 @@ def test_op2_full_cells_leave_their_share_to_the_others(spark, tmp_path):
     want = [dict(zip([c[0] for c in cur.description], r)) for r in cur.fetchall()]
     same = lambda found: sorted(tuple(round(float(r[c]), 5) if isinstance(r[c], float) else str(r[c]) for c in sorted(r)) for r in found)
     assert same(mixed) == same(want)
+
+
+def test_op2_draws_are_whole(spark, tmp_path):
+    """A rare source is drawn as often as its target takes, beyond any limit of copies; without repeats the search for the scale still gives 0.8 of all tokens. Both are in the SQL."""
+    import duckdb
+    from questlog.llm import queries as LQ
+    rows = [(i, "big", "en", "many plain words in every one of these texts") for i in range(400)] + [(400 + i, "rare", "en", "few words") for i in range(8)]
+    spark.createDataFrame(rows, "doc_id bigint, source string, lang string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = LQ.op2_mixing(spark, str(tmp_path))
+    mixed = [r.asDict() for r in got.collect()]
+    total, rare = sum(r["tokens"] for r in mixed), 16 ** 0.5 / (16 ** 0.5 + 3600 ** 0.5)
+    for name, most in (("target_", 0.8 * rare * total / 16), ("once_", 1)):
+        assert math.isclose(sum(r["tokens"] * r[f"{name}rate"] for r in mixed), 0.8 * total, rel_tol=1e-5)
+        assert math.isclose(max(r[f"{name}rate"] for r in mixed), most, rel_tol=1e-5)
+        assert all(0 <= r[f"{name}copies"] - r[f"{name}rate"] < 1 or 0 <= r[f"{name}rate"] - r[f"{name}copies"] < 1 for r in mixed)
+    assert 0.8 * rare * total / 16 > 2 * LQ.MAX_COPIES
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    cur = con.execute(LQ.ORACLES["op2_mixing"])
+    columns = [c[0] for c in cur.description]
+    assert columns == got.columns
+    key = lambda r: (r["doc_id"], *(round(float(r[c]), 5) for c in columns[4:]))
+    assert sorted(map(key, mixed)) == sorted(key(dict(zip(columns, r))) for r in cur.fetchall())
